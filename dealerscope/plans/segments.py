@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from dealerscope.functions.money import total
+from dealerscope.operators.quality import count_between, duplicate_keys, row_checks, union_checks
 from dealerscope.operators.ranking import mean_rank_share
 from dealerscope.sources.durable import materialise
 
@@ -56,3 +59,126 @@ def standardise(table: DataFrame) -> DataFrame:
         return F.round(F.coalesce(score, F.lit(0.0)), 6)
 
     return table.withColumns({f"z_{m}": z(m) for m in MEASURES})
+
+
+def vectors(standardised: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(Z_COLUMNS), outputCol="features").transform(standardised)
+
+
+def fit_restarts(
+    points: DataFrame,
+    ks: Iterable[int] = CLUSTER_COUNTS,
+    restarts: int = RESTARTS,
+    seed: int = SEED,
+    parallelism: int = 8,
+) -> dict[int, KMeansModel]:
+    """The model of least inertia for each k, out of ``restarts`` differently seeded fits.
+
+    The fits are independent jobs on the same cached points; ``parallelism`` of them are
+    submitted at a time, so that the stages of one fill the gaps of another.
+    """
+    jobs = [(k, seed + i) for k in ks for i in range(restarts)]
+
+    def fit(job):
+        k, start = job
+        return KMeans(k=k, seed=start, maxIter=100, featuresCol="features", predictionCol="cluster_id").fit(points)
+
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), jobs)
+    best: dict[int, KMeansModel] = {}
+    for (k, _), model in zip(jobs, models):
+        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = model
+    return best
+
+
+def diagnose(points: DataFrame, models: dict[int, KMeansModel]) -> list[tuple[int, float, float]]:
+    """``(k, inertia, silhouette)`` per model, with squared Euclidean silhouette.
+
+    That form needs only the sums of each cluster, not the distances of all pairs.
+    """
+    evaluator = ClusteringEvaluator(predictionCol="cluster_id", featuresCol="features", metricName="silhouette")
+    return [
+        (k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(points))))
+        for k, model in sorted(models.items())
+    ]
+
+
+def best_k(diagnostics: Iterable[tuple[int, float, float]]) -> int:
+    """The k of greatest silhouette; the smaller k on a tie."""
+    return min(diagnostics, key=lambda d: (-d[2], d[0]))[0]
+
+
+def centroids(assigned: DataFrame) -> DataFrame:
+    """Mean of each measure per cluster, in original units."""
+    means = (F.avg(F.col(m).cast("double")).alias(m) for m in MEASURES)
+    return assigned.groupBy("cluster_id").agg(*means)
+
+
+def label_clusters(centres: DataFrame) -> DataFrame:
+    """Name each cluster by the rank shares of its centre; the first rule that holds wins.
+
+    The rules compare clusters with each other, so they stay valid when the data changes,
+    and two clusters may get the same name.
+    """
+    ranked = reduce(lambda df, m: mean_rank_share(df, m, f"share_{m}"), MEASURES, centres)
+    r, f, m = (F.col(f"share_{name}") for name in MEASURES)
+    label = (
+        F.when((r < 0.40) & (f > 0.60) & (m > 0.60), "Champions")
+        .when((r > 0.65) & (f < 0.50), "At Risk")
+        .when(f > 0.60, "Loyal")
+        .when(r < 0.50, "Potential")
+        .otherwise("Needs Attention")
+    )
+    return ranked.select("cluster_id", *MEASURES, label.alias("segment_label"))
+
+
+@dataclass(frozen=True)
+class Segmentation:
+    segments: DataFrame  # one row per dealer
+    diagnostics: DataFrame  # one row per k
+    centres: DataFrame  # one row per cluster of the chosen k, with its label
+
+
+def segment_dealers(
+    dealers: DataFrame,
+    orders: DataFrame,
+    ks: Iterable[int] = CLUSTER_COUNTS,
+    restarts: int = RESTARTS,
+    seed: int = SEED,
+) -> Segmentation:
+    """Cluster the dealers for each k, keep the k that separates best, label its clusters."""
+    points = vectors(materialise(standardise(materialise(rfm(dealers, orders))))).persist()
+    try:
+        models = fit_restarts(points, ks, restarts, seed)
+        diagnostics = diagnose(points, models)
+        chosen = models[best_k(diagnostics)]
+        assigned = materialise(chosen.transform(points).select("dealer_id", *MEASURES, "cluster_id"))
+    finally:
+        points.unpersist()
+    centres = materialise(label_clusters(centroids(assigned)))
+    labels = centres.select("cluster_id", "segment_label")
+    table = dealers.sparkSession.createDataFrame(diagnostics, "k INT, inertia DOUBLE, silhouette DOUBLE")
+    labelled = assigned.join(labels, "cluster_id").select("dealer_id", *MEASURES, "cluster_id", "segment_label")
+    return Segmentation(labelled, table, centres)
+
+
+def segment_profile(segments: DataFrame) -> DataFrame:
+    """Dealers and mean measures per label."""
+    means = (F.avg(F.col(m).cast("double")).alias(f"mean_{m}") for m in MEASURES)
+    return segments.groupBy("segment_label").agg(F.count(F.lit(1)).alias("dealers"), *means)
+
+
+def segment_checks(segments: DataFrame, dealers_with_orders: DataFrame) -> DataFrame:
+    """``(check_name, failures)`` for a segment table: one row per dealer, 3 to 5 clusters, labelled."""
+    unlabelled = F.coalesce(F.length("segment_label"), F.lit(0)) == 0
+    clusters = segments.select("cluster_id").distinct()
+    missing = dealers_with_orders.select("dealer_id").distinct().join(segments, "dealer_id", "left_anti")
+    return union_checks(
+        [
+            row_checks(segments, {"segments: no label": unlabelled}),
+            duplicate_keys(segments, ["dealer_id"], "segments: duplicate dealer"),
+            row_checks(missing, {"segments: dealer left out": F.lit(True)}),
+            count_between(clusters, min(CLUSTER_COUNTS), max(CLUSTER_COUNTS), "segments: number of clusters"),
+        ]
+    )
