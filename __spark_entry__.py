@@ -15,7 +15,7 @@ from pyspark.sql.types import DateType, DecimalType
 
 from dealerscope.functions.dates import as_date
 from dealerscope.operators import quality
-from dealerscope.plans import adhoc, alerts, reports, segments, timeseries, views
+from dealerscope.plans import adhoc, alerts, forecast, reports, segments, timeseries, views
 from dealerscope.sources.roles import Roles, roles_from_star
 from dealerscope.sources.tables import refresh_status, row_counts
 
@@ -159,6 +159,36 @@ def _adhoc(spark: SparkSession, folder: str) -> DataFrame:
     return _portable(adhoc.ask(spark, roles_from_star(spark, folder), AS_OF, ADHOC))
 
 
+_stored: dict[tuple[str, str, str], object] = {}
+
+
+def _stored_run(kind: str, spark: SparkSession, folder: str):
+    """The forecast or segmentation of a folder, fitted once per Spark application.
+
+    Its tables are written when it is fitted, and the panels that show them read those.
+    """
+    key = (kind, spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        r = roles_from_star(spark, folder)
+        if kind == "forecast":
+            _stored[key] = forecast.run_forecast(r.lines, r.products, r.calendar, _top_skus(r))
+        else:
+            _stored[key] = segments.segment_dealers(r.dealers, r.orders)
+    return _stored[key]
+
+
+def _forecast_query(plan) -> Query:
+    return lambda spark, folder: _portable(
+        plan(_stored_run("forecast", spark, folder), roles_from_star(spark, folder))
+    )
+
+
+def _segment_query(plan) -> Query:
+    return lambda spark, folder: _portable(
+        plan(_stored_run("segments", spark, folder), roles_from_star(spark, folder))
+    )
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: the dealer scorecard on the smallest tables."""
     return queries()["dealer_scorecard"](spark, "/root/testdata/sf0.001")
@@ -229,6 +259,26 @@ def queries() -> dict[str, Query]:
         # dealer segments
         "dealer_rfm": _query(lambda r: segments.rfm(r.dealers, r.orders)),
         "rfm_standardised": _query(lambda r: segments.standardise(segments.rfm(r.dealers, r.orders))),
+        "dealer_segments": _segment_query(lambda run, r: run.segments),
+        "segment_diagnostics": _segment_query(lambda run, r: run.diagnostics),
+        "segment_profile": _segment_query(lambda run, r: segments.segment_profile(run.segments)),
+        "segment_overview": _segment_query(lambda run, r: reports.segment_overview(run.segments, r.dealers)),
+        # forecasts
+        "demand_forecast": _forecast_query(lambda run, r: run.results),
+        "forecast_model_summary": _forecast_query(lambda run, r: forecast.model_summary(run.scores)),
+        "forecast_series": _forecast_query(
+            lambda run, r: reports.forecast_series(reports.forecast_overview(run.results, r.products))
+        ),
+        "dq_result_sanity": lambda spark, folder: _portable(
+            quality.union_checks(
+                [
+                    forecast.forecast_checks(_stored_run("forecast", spark, folder).results),
+                    segments.segment_checks(
+                        _stored_run("segments", spark, folder).segments, roles_from_star(spark, folder).orders
+                    ),
+                ]
+            )
+        ),
         # bounded SQL
         "adhoc_bounded": _adhoc,
     }
