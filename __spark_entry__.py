@@ -237,10 +237,10 @@ def queries() -> dict[str, Query]:
         "aging_totals": _query(lambda r: reports.aging_totals(_aging(r))),
         "aging_search": _query(lambda r: reports.aging_search(_aging(r), TERM)),
         # scheduled reports
-        "weekly_summary_recent": _query(lambda r: alerts.weekly_summary_recent(_monthly(r), AS_OF)),
+        "weekly_summary_recent": _query(lambda r: alerts.weekly_summary_recent(r.orders, r.dealers, AS_OF)),
         "weekly_summary_json": _query(
             lambda r: alerts.as_json(
-                alerts.weekly_summary_recent(_monthly(r), AS_OF).select(
+                alerts.weekly_summary_recent(r.orders, r.dealers, AS_OF).select(
                     "month", "region", "total_revenue", "total_orders"
                 )
             )

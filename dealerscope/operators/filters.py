@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealerscope.functions.dates import as_date
+from dealerscope.operators.joins import sized
 
 
 def in_regions(dealers: DataFrame, regions: Iterable[str] | None) -> DataFrame:
@@ -31,13 +32,8 @@ def region_date_filter(
     lo: dt.date | str | None = None,
     hi: dt.date | str | None = None,
 ) -> Callable[[DataFrame], DataFrame]:
-    """The global panel filter, for ``rows.transform(...)``.
-
-    The dealer side is only tested for existence. Spark broadcasts it when it is under
-    the session's threshold; beyond that the join is shuffled, and a dealer that holds
-    a large share of the rows is split by the adaptive skew join.
-    """
-    keys = in_regions(dealers, regions).select("dealer_id")
+    """The global panel filter, for ``rows.transform(...)``; dealers are tested for existence."""
+    keys = sized(in_regions(dealers, regions).select("dealer_id"))
     return lambda rows: in_date_range(rows, lo, hi).join(keys, "dealer_id", "left_semi")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealerscope.operators.joins import is_small
 from dealerscope.sources.durable import materialise
 
 # Bucket widths of the value axis, fine to coarse. Amounts have two decimals, so a fine
@@ -39,12 +40,29 @@ def _count_above(counts: DataFrame, group: Sequence[str], widths: Sequence[int])
     )
 
 
-def rank_descending(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """``RANK() OVER (PARTITION BY group ORDER BY value DESC NULLS FIRST)`` for large groups.
+# Up to this many rows in all, even a single group is a light sort for one task.
+WINDOW_ROWS = 1_000_000
 
-    Equal to the window function, ties included, but a group is split along the value
-    axis instead of being sorted by one task. ``df`` is written once, since it is read
-    again for the counts. ``group`` columns must not be null.
+
+def rank_descending(
+    df: DataFrame, group: Sequence[str], value: str, out: str, sizer: DataFrame, max_rows: int = WINDOW_ROWS
+) -> DataFrame:
+    """``RANK() OVER (PARTITION BY group ORDER BY value DESC NULLS FIRST)`` at any size.
+
+    ``sizer`` is a table with as many rows as ``df`` that is cheap to count. If it is
+    small, the window function is used as it is. Otherwise see :func:`rank_split`.
+    """
+    if is_small(sizer, max_rows):
+        ordered = Window.partitionBy(*group).orderBy(F.desc_nulls_first(value))
+        return df.withColumn(out, F.rank().over(ordered).cast("bigint"))
+    return rank_split(df, group, value, out)
+
+
+def rank_split(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """The same ranks, ties included, with each group split along the value axis.
+
+    No task sorts a whole group. ``df`` is written once, since it is read again for the
+    counts. ``group`` columns must not be null.
     """
     rows = materialise(df)
     nulls = rows.filter(F.col(value).isNull())

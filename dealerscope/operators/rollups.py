@@ -7,10 +7,9 @@ row per split. The dimensions are joined afterwards, to one row per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.functions.dates import month_start
 from dealerscope.functions.money import TOTAL, total
 
 
@@ -28,17 +27,13 @@ def with_outstanding(orders: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
-def dealer_totals(orders: DataFrame, *by: Column) -> DataFrame:
-    """Revenue and number of orders per dealer (and per ``by``)."""
-    return orders.groupBy("dealer_id", *by).agg(
-        total("total_amount").alias("revenue"), F.count("order_id").alias("orders")
+def dealer_totals(orders: DataFrame) -> DataFrame:
+    """Revenue and number of orders per dealer."""
+    return orders.groupBy("dealer_id").agg(
+        total("total_amount").alias("revenue"), F.count(F.lit(1)).alias("orders")
     )
 
 
-def dealer_month_totals(orders: DataFrame) -> DataFrame:
-    return dealer_totals(orders, month_start("order_date").alias("month"))
-
-
 def product_totals(lines: DataFrame) -> DataFrame:
     """Revenue and quantity per product."""
     return lines.groupBy("product_id").agg(

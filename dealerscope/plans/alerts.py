@@ -11,15 +11,21 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.functions.dates import as_date, week_start
+from dealerscope.functions.dates import as_date
+from dealerscope.plans.views import monthly_sales_summary
 
 
-def weekly_summary_recent(monthly: DataFrame, as_of: dt.date | str) -> DataFrame:
+def weekly_summary_recent(orders: DataFrame, dealers: DataFrame, as_of: dt.date | str) -> DataFrame:
     """Monthly summary rows whose month starts on or after last week's Monday.
 
-    A month start is compared with a week start, so most weeks the result is empty.
+    A month start is compared with a week start, so most weeks the result is empty. The
+    rows sought are those of whole months from a first one on, which is asked of the order
+    date itself, so that older files are not read.
     """
-    return monthly.filter(F.col("month") >= week_start(F.date_sub(as_date(as_of), 7)))
+    day = dt.date.fromisoformat(str(as_of)) - dt.timedelta(days=7)
+    monday = day - dt.timedelta(days=day.weekday())
+    first = monday if monday.day == 1 else (monday.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
+    return monthly_sales_summary(orders.filter(F.col("order_date") >= as_date(first)), dealers)
 
 
 def as_json(df: DataFrame) -> DataFrame:

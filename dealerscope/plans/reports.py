@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from dealerscope.functions.dates import as_date, month_start
 from dealerscope.functions.money import TOTAL, ratio, total
 from dealerscope.operators.filters import in_date_range, in_regions, region_date_filter, search
-from dealerscope.operators.rollups import dealer_month_totals, dealer_totals
+from dealerscope.operators.joins import rollup_through, sized
+from dealerscope.operators.rollups import dealer_totals
 from dealerscope.plans.views import AGE_BUCKETS, dealer_scorecard
 
 Day = dt.date | str | None
@@ -51,13 +52,15 @@ def kpi_summary(
 def monthly_revenue(
     orders: DataFrame, dealers: DataFrame, regions: Regions = None, lo: Day = None, hi: Day = None
 ) -> DataFrame:
-    return (
-        dealer_month_totals(in_date_range(orders, lo, hi))
-        .join(in_regions(dealers, regions).select("dealer_id"), "dealer_id")
-        .groupBy(F.col("month").alias("month_start"))
-        .agg(total("revenue").alias("revenue"))
-        .orderBy("month_start")
-    )
+    return rollup_through(
+        in_date_range(orders, lo, hi),
+        key="dealer_id",
+        fact_columns={"month_start": month_start("order_date")},
+        dimension=in_regions(dealers, regions).select("dealer_id"),
+        by=["month_start"],
+        amounts={"revenue": "total_amount"},
+        counts={},
+    ).orderBy("month_start")
 
 
 def _extreme(df: DataFrame, value: str, key: str, n: int, smallest: bool = False) -> DataFrame:
@@ -135,7 +138,7 @@ def crop_demand_curve(
     hi: Day = None,
 ) -> DataFrame:
     """Monthly quantity sold of one crop's products."""
-    of_crop = products.filter(F.col("target_crop") == crop).select("product_id")
+    of_crop = sized(products.filter(F.col("target_crop") == crop).select("product_id"))
     return (
         lines.transform(region_date_filter(dealers, regions, lo, hi))
         .join(of_crop, "product_id", "left_semi")

@@ -47,8 +47,10 @@ def rfm(dealers: DataFrame, orders: DataFrame) -> DataFrame:
 def standardise(table: DataFrame) -> DataFrame:
     """Add ``z_*``: each measure less its mean, over its population deviation.
 
-    A measure that is the same for all dealers becomes zero.
+    A measure that is the same for all dealers becomes zero. The table is read twice, for
+    the moments and for the rows, and so written first.
     """
+    table = materialise(table)
     pairs = [(F.avg(F.col(m).cast("double")), F.stddev_pop(F.col(m).cast("double"))) for m in MEASURES]
     moments = table.agg(F.struct(*(c.alias(f"{k}_{m}") for m, p in zip(MEASURES, pairs) for k, c in zip("ms", p))))
     stats = moments.scalar()
@@ -148,7 +150,7 @@ def segment_dealers(
     seed: int = SEED,
 ) -> Segmentation:
     """Cluster the dealers for each k, keep the k that separates best, label its clusters."""
-    points = vectors(materialise(standardise(materialise(rfm(dealers, orders))))).persist()
+    points = vectors(materialise(standardise(rfm(dealers, orders)))).persist()
     try:
         models = fit_restarts(points, ks, restarts, seed)
         diagnostics = diagnose(points, models)

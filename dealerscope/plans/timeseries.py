@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealerscope.functions.dates import days_to_peak, season_window, week_start
-from dealerscope.functions.money import total
+from dealerscope.operators.joins import rollup_through
 from dealerscope.plans.reports import crop_peak_month
 
 LAGS = 4
@@ -104,20 +104,14 @@ def demand_features(series: DataFrame) -> DataFrame:
 
 
 def sales_by_season_window(lines: DataFrame, products: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Orders, quantity and revenue per crop before the peak, just after it and otherwise.
-
-    Lines are summed per product and day before the product columns are joined.
-    """
-    daily = lines.groupBy("product_id", "order_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("q"), total("total_amount").alias("r")
-    )
+    """Lines, quantity and revenue per crop before the peak, just after it and otherwise."""
     until = days_to_peak(F.col("order_date"), F.col("peak_month"))
-    return (
-        daily.join(product_peaks(products, calendar), "product_id")
-        .groupBy("crop", season_window(until).alias("season_window"))
-        .agg(
-            F.sum("n").alias("line_count"),
-            F.sum("q").alias("total_quantity"),
-            total("r").alias("total_revenue"),
-        )
+    return rollup_through(
+        lines,
+        key="product_id",
+        fact_columns={"order_date": F.col("order_date")},
+        dimension=product_peaks(products, calendar),
+        by=["crop", season_window(until).alias("season_window")],
+        amounts={"total_revenue": "total_amount"},
+        counts={"line_count": F.lit(1), "total_quantity": F.col("quantity")},
     )

@@ -8,22 +8,26 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.functions.dates import as_date
+from dealerscope.functions.dates import as_date, month_start
 from dealerscope.functions.money import percent, ratio, total
+from dealerscope.operators.joins import rollup_through
 from dealerscope.operators.ranking import rank_descending
-from dealerscope.operators.rollups import dealer_month_totals, dealer_totals, product_totals, with_outstanding
+from dealerscope.operators.rollups import dealer_totals, product_totals, with_outstanding
 from dealerscope.sources.roles import Roles
 
 
 def monthly_sales_summary(orders: DataFrame, dealers: DataFrame) -> DataFrame:
     """Revenue, number of orders and mean order value per month and region."""
-    return (
-        dealer_month_totals(orders)
-        .join(dealers.select("dealer_id", "region"), "dealer_id")
-        .groupBy("month", "region")
-        .agg(total("revenue").alias("total_revenue"), F.sum("orders").alias("total_orders"))
-        .withColumn("avg_order_value", ratio(F.col("total_revenue"), F.col("total_orders")))
+    sums = rollup_through(
+        orders,
+        key="dealer_id",
+        fact_columns={"month": month_start("order_date")},
+        dimension=dealers.select("dealer_id", "region"),
+        by=["month", "region"],
+        amounts={"total_revenue": "total_amount"},
+        counts={"total_orders": F.lit(1)},
     )
+    return sums.withColumn("avg_order_value", ratio(F.col("total_revenue"), F.col("total_orders")))
 
 
 def dealer_scorecard(
@@ -91,7 +95,11 @@ def product_sales(products: DataFrame, lines: DataFrame) -> DataFrame:
 def product_crop_performance(products: DataFrame, lines: DataFrame) -> DataFrame:
     """:func:`product_sales` ranked by revenue within the crop, unsold products first."""
     return rank_descending(
-        product_sales(products, lines), ["target_crop"], "total_revenue", "rank_within_crop_category"
+        product_sales(products, lines),
+        ["target_crop"],
+        "total_revenue",
+        "rank_within_crop_category",
+        sizer=products.select("product_id"),
     )
 
 
@@ -152,8 +160,8 @@ def register_views(
 ) -> list[str]:
     """Make base tables, views and any stored results available to SQL by name.
 
-    ``names`` restricts the registration. The views are lazy but for
-    ``product_crop_performance``, whose per-product sums are written when it is registered.
+    ``names`` restricts the registration. Some views count a dimension when they are
+    composed, to choose how to join it.
     """
     r = roles
     surface: dict[str, Callable[[], DataFrame]] = {
