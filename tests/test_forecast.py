@@ -1,0 +1,125 @@
+import datetime as dt
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from conftest import day
+from pyspark.sql import functions as F
+
+from dealerscope.plans import forecast as fc
+from dealerscope.plans import timeseries as ts
+
+
+def _series(make, weeks=120, products=(1, 2)):
+    rows = []
+    for p in products:
+        for i in range(weeks):
+            y = 20 * p + 10 * math.sin(2 * math.pi * i * 7 / 365.25) + (i % 3)
+            rows.append((p, str(day("2022-01-03") + dt.timedelta(weeks=i)), y, 6))
+    return ts.mark_holdout(ts.with_days_to_peak(make.weekly(*rows)))
+
+
+def test_short_series_are_left_out(make):
+    series = make.weekly(
+        *((p, str(day("2024-01-01") + dt.timedelta(weeks=i)), 1, 6) for p in (8, 9) for i in range(p))
+    )
+    assert {r.product_id for r in fc.long_enough(series).collect()} == {9}
+
+
+def test_seasonal_regression_follows_a_cycle(make):
+    rows = fc.forecast_seasonal(_series(make)).collect()
+    assert len(rows) == 16
+    assert all(abs(r.y - r.yhat) < 6 and r.yhat >= 0 for r in rows)
+
+
+def test_seasonal_regression_handles_one_training_week_and_zeros():
+    weeks = [day("2024-01-01") + dt.timedelta(weeks=i) for i in range(9)]
+    group = pd.DataFrame(
+        {"product_id": 1, "ds": weeks, "y": 0.0, "days_to_peak_demand": 0.0, "is_holdout": [False] + [True] * 8}
+    )
+    out = fc._forecast_one(group)
+    assert len(out) == 8 and np.isfinite(out.yhat).all() and (out.yhat >= 0).all()
+
+
+class _Last:
+    """Stands in for a fitted model: predicts lag_1 plus one, less at the peak month."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.col("lag_1") + 1 - 100 * (F.col("month") == 3).cast("int"))
+
+
+def test_each_prediction_feeds_the_next_and_is_clipped(make):
+    weeks = [(1, str(day("2024-01-08") + dt.timedelta(weeks=i)), 50 if i == 4 else 0, 6) for i in range(13)]
+    features = ts.demand_features(ts.mark_holdout(ts.with_days_to_peak(make.weekly(*weeks))))
+    rows = fc.forecast_boosted(_Last(), features).orderBy("ds").collect()
+    months = [r.ds.month for r in rows]
+    assert months == [2, 2, 2, 3, 3, 3, 3, 4]
+    assert [r.yhat for r in rows] == [51, 52, 53, 0, 0, 0, 0, 1]
+
+
+def test_boosted_model_does_not_see_the_holdout(make):
+    series = _series(make, weeks=40, products=(1,))
+    changed = series.withColumn("y", F.when(F.col("is_holdout"), F.lit(9999.0)).otherwise(F.col("y")))
+    small = {"maxIter": 5}
+    first, second = (
+        fc.forecast_boosted(fc.fit_boosted(ts.demand_features(s), small), ts.demand_features(s)).orderBy("ds").collect()
+        for s in (series, changed)
+    )
+    assert [r.yhat for r in first] == [r.yhat for r in second]
+
+
+def _forecast(spark, rows):
+    return spark.createDataFrame(
+        [(p, day("2024-01-01") + dt.timedelta(weeks=i), float(y), float(h)) for p, i, y, h in rows],
+        "product_id INT, ds DATE, y DOUBLE, yhat DOUBLE",
+    )
+
+
+def test_score_counts_small_actuals_as_one(spark):
+    row = fc.score(_forecast(spark, [(1, 0, 0, 2), (1, 1, 10, 5)])).first()
+    assert row.mape == pytest.approx((200 + 50) / 2)
+    assert row.rmse == pytest.approx(math.sqrt((4 + 25) / 2))
+
+
+def test_winner_tie_goes_to_the_seasonal_model(spark):
+    boosted = _forecast(spark, [(1, 0, 10, 8), (2, 0, 10, 9), (3, 0, 10, 1)])
+    seasonal = _forecast(spark, [(1, 0, 10, 12), (2, 0, 10, 5), (3, 0, 10, 9)])
+    scores = fc.compare(boosted, seasonal)
+    rows = {r.product_id: r for r in fc.select_winner(boosted, seasonal, scores).collect()}
+    assert {k: (r.model_used, r.predicted_qty) for k, r in rows.items()} == {
+        1: (fc.SEASONAL, 12.0), 2: (fc.BOOSTED, 9.0), 3: (fc.SEASONAL, 9.0),
+    }
+    assert rows[2].mape == rows[2].boosted_mape == pytest.approx(10.0)
+    assert rows[2].seasonal_mape == pytest.approx(50.0) and rows[2].rmse == pytest.approx(1.0)
+    summary = {r.model: (r.wins, r.mean_mape) for r in fc.model_summary(scores).collect()}
+    assert summary[fc.SEASONAL] == (2, pytest.approx(80 / 3)) and summary[fc.BOOSTED] == (1, pytest.approx(40.0))
+
+
+def test_a_model_without_wins_is_still_listed(spark):
+    same = _forecast(spark, [(1, 0, 10, 8)])
+    assert {r.model: r.wins for r in fc.model_summary(fc.compare(same, same)).collect()} == {fc.SEASONAL: 1, fc.BOOSTED: 0}
+
+
+def test_whole_run(make):
+    lines = make.lines(
+        *((100 * p + i, str(day("2022-01-03") + dt.timedelta(days=7 * i + p)), 1, p, 3 + (i * p) % 7, 10) for p in (1, 2, 3) for i in range(60))
+    )
+    products = make.products((1, "a", "Rice"), (2, "b", "Rice"), (3, "c", "Wheat"))
+    calendar = make.calendar(("Rice", "North", 7), ("Wheat", "North", 11))
+    skus = make.spark.createDataFrame([(1,), (3,)], "product_id INT")
+    run = fc.run_forecast(lines, products, calendar, skus, {"maxIter": 5})
+    rows = run.results.collect()
+    assert len(rows) == 16 and {r.product_id for r in rows} == {1, 3}
+    assert all(r.predicted_qty >= 0 and math.isfinite(r.mape) for r in rows)
+    assert all(r.failures == 0 for r in fc.forecast_checks(run.results).collect())
+
+
+def test_forecast_checks_report_problems(spark):
+    bad = spark.createDataFrame(
+        [(1, day("2024-01-01"), -1.0, 5.0), (1, day("2024-01-01"), 1.0, float("inf")), (2, day("2024-01-01"), 1.0, float("nan"))],
+        "product_id INT, forecast_week DATE, predicted_qty DOUBLE, mape DOUBLE",
+    )
+    assert {r.check_name: r.failures for r in fc.forecast_checks(bad).collect()} == {
+        "forecast: negative quantity": 1, "forecast: MAPE not finite": 2, "forecast: duplicate week": 1,
+    }
