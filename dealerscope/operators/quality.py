@@ -47,12 +47,12 @@ def orphans(child: DataFrame, parents: Mapping[str, DataFrame], name: str) -> Da
     Rows are counted per key combination first, so what is joined to the parents is one
     row per combination, however many rows a popular key has.
     """
-    keys = child.groupBy(*parents).agg(F.count(F.lit(1)).alias("n"))
+    keys = child.groupBy(*parents).agg(F.count(F.lit(1)).alias("_rows"))
     for key, parent in parents.items():
-        known = parent.select(key).distinct().withColumn(f"{key}_known", F.lit(True))
+        known = parent.select(key).distinct().withColumn(f"_known_{key}", F.lit(True))
         keys = keys.join(known, key, "left")
-    broken = reduce(lambda a, b: a | b, (F.col(f"{key}_known").isNull() for key in parents))
-    return keys.filter(broken).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failures")).select(
+    broken = reduce(lambda a, b: a | b, (F.col(f"_known_{key}").isNull() for key in parents))
+    return keys.filter(broken).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("failures")).select(
         F.lit(name).alias("check_name"), "failures"
     )
 
@@ -73,7 +73,7 @@ def reconciliation(orders: DataFrame, payments: DataFrame, name: str) -> DataFra
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Key values that occur more than once."""
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
     return repeated.agg(F.count(F.lit(1)).alias("failures")).select(F.lit(name).alias("check_name"), "failures")
 
 

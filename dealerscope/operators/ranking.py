@@ -16,27 +16,27 @@ _WIDTHS = (2**14, 2**34)
 
 
 def _count_above(counts: DataFrame, group: Sequence[str], widths: Sequence[int]) -> DataFrame:
-    """Add ``above``: how many rows of the group have a greater value.
+    """Add ``_above``: how many rows of the group have a greater value.
 
-    ``counts`` holds one row per group and distinct value, with ``n`` rows each. The
+    ``counts`` holds one row per group and distinct value, with ``_n`` rows each. The
     running sum is taken inside one bucket of the value axis; the rows of all higher
     buckets are added from the next, coarser level.
     """
     if not widths:
-        running = Window.partitionBy(*group).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("above", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    bucketed = counts.withColumn("bucket", F.floor(F.col("value") / F.lit(widths[0])))
-    coarse = bucketed.groupBy(*group, F.col("bucket").alias("value")).agg(F.sum("n").alias("n"))
+        running = Window.partitionBy(*group).orderBy(F.desc("_value")).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_above", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    bucketed = counts.withColumn("_bucket", F.floor(F.col("_value") / F.lit(widths[0])))
+    coarse = bucketed.groupBy(*group, F.col("_bucket").alias("_value")).agg(F.sum("_n").alias("_n"))
     coarse = _count_above(coarse, group, [w // widths[0] for w in widths[1:]])
-    coarse = coarse.select(*group, F.col("value").alias("bucket"), F.col("above").alias("above_bucket"))
+    coarse = coarse.select(*group, F.col("_value").alias("_bucket"), F.col("_above").alias("_above_bucket"))
     running = (
-        Window.partitionBy(*group, "bucket").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group, "_bucket").orderBy(F.desc("_value")).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        bucketed.withColumn("inside", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .join(coarse, [*group, "bucket"])
-        .withColumn("above", F.col("inside") + F.col("above_bucket"))
-        .drop("bucket", "inside", "above_bucket")
+        bucketed.withColumn("_inside", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+        .join(coarse, [*group, "_bucket"])
+        .withColumn("_above", F.col("_inside") + F.col("_above_bucket"))
+        .drop("_bucket", "_inside", "_above_bucket")
     )
 
 
@@ -67,11 +67,11 @@ def rank_split(df: DataFrame, group: Sequence[str], value: str, out: str) -> Dat
     rows = materialise(df)
     nulls = rows.filter(F.col(value).isNull())
     known = rows.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*group, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    ranks = _count_above(counts, group, _WIDTHS).select(*group, F.col("value").alias(value), "above")
-    missing = nulls.groupBy(*group).agg(F.count(F.lit(1)).alias("missing"))
+    counts = known.groupBy(*group, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = _count_above(counts, group, _WIDTHS).select(*group, F.col("_value").alias(value), "_above")
+    missing = nulls.groupBy(*group).agg(F.count(F.lit(1)).alias("_missing"))
     ranks = ranks.join(missing, list(group), "left").select(
-        *group, value, (F.col("above") + F.coalesce("missing", F.lit(0)) + 1).alias(out)
+        *group, value, (F.col("_above") + F.coalesce("_missing", F.lit(0)) + 1).alias(out)
     )
     ranked = known.join(ranks, [*group, value])
     return ranked.select(*df.columns, out).unionByName(

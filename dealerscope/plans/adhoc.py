@@ -23,9 +23,7 @@ def checked_select(statement: str, limit: int = ROW_BOUND) -> str:
     A forbidden word is refused even inside a string; ``WITH`` is not accepted. Trailing
     semicolons are dropped. A statement that has a LIMIT anywhere keeps it as it is.
     """
-    body = statement.strip()
-    while body.endswith(";"):
-        body = body[:-1]
+    body = statement.strip().rstrip("; \t\n")
     words = re.findall(r"\w+", body.upper())
     if not body.upper().startswith("SELECT"):
         raise ValueError("the statement must start with SELECT")

@@ -1,0 +1,168 @@
+from decimal import Decimal as D
+
+import pytest
+from pyspark.sql import functions as F
+
+from dealerscope.operators.quality import QualityError, run_suite
+from dealerscope.plans import jobs
+from dealerscope.sources import tables as t
+from dealerscope.sources.schemas import INPUT_DDL
+
+FILES = {
+    "dealers": [
+        "dealer_id,dealer_name,dealer_type,region,district,credit_limit,onboarding_date",
+        '1,"Rao, Sons",Retailer,North,N1,1000.5,2021-01-05',
+        "2,Patil Stores,Distributor,South,S1,2000,2022-02-06",
+    ],
+    "products": [
+        "product_id,product_name,category,target_crop,pack_size,mrp,dealer_price,shelf_life_months",
+        "1,Growth A,PGR,Rice,1 L,100.00,80.00,24",
+        "2,Growth B,PGR,Wheat,1 L,200.00,150.00,18",
+    ],
+    "suppliers": ["supplier_id,supplier_name,region,lead_time_days", "1,S One,North,7"],
+    "raw_materials": ["material_id,material_name,supplier_id,unit_cost,current_stock", "1,Carrier,1,9.50,100"],
+    "crop_calendar": [
+        "crop,region,sowing_month,peak_demand_month", "Rice,North,6,7", "Rice,South,6,7", "Wheat,North,10,11",
+    ],
+    "production_batches": [
+        "batch_id,product_id,production_date,quantity_produced,qc_status", "1,1,2024-01-01,1034.8799999999999,Passed",
+    ],
+    "inventory": [
+        "inventory_id,product_id,batch_no,mfg_date,expiry_date,quantity_available,reorder_level",
+        "1,1,B-1,2024-01-01,2026-01-01,10,50",
+    ],
+    "sales_orders": [
+        "order_id,order_date,dealer_id,product_id,quantity,unit_price,discount_pct,total_amount,dispatch_date,payment_status",
+        "1,2024-01-10,1,1,10,80,0,800.00,2024-01-12,Paid",
+        "2,2024-02-10,2,2,10,150,2,1470.00,,Partial",
+        "3,2024-03-10,2,1,5,80,0,400.00,,Overdue",
+    ],
+    "payments": [
+        "payment_id,order_id,amount_received,payment_date,payment_mode",
+        "1,1,800.00,2024-01-20,UPI",
+        "2,2,500.00,2024-02-20,Cheque",
+        "3,3,40.00,,",
+    ],
+}
+
+
+@pytest.fixture
+def csvs(tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for name, rows in FILES.items():
+        (folder / f"{name}.csv").write_text("\n".join(rows) + "\n")
+    return folder
+
+
+def edit(csvs, name, old, new):
+    path = csvs / f"{name}.csv"
+    text = path.read_text()
+    assert old in text
+    path.write_text(text.replace(old, new))
+
+
+def test_load_counts_and_types(spark, csvs, tmp_path):
+    out = str(tmp_path / "tables")
+    counts = {r.table_name: r.row_count for r in jobs.load(spark, str(csvs), out).collect()}
+    assert counts == {name: len(rows) - 1 for name, rows in FILES.items()}
+    batch = t.read_table(spark, "production_batches", out).first()
+    assert batch.quantity_produced == D("1034.88")
+    dealer = t.read_table(spark, "dealers", out).orderBy("dealer_id").first()
+    assert dealer.dealer_name == "Rao, Sons" and dealer.credit_limit == D("1000.50")
+    for name, ddl in INPUT_DDL.items():
+        assert len(t.read_table(spark, name, out).columns) == ddl.count(" ") - ddl.count(", ")
+
+
+def test_reload_replaces_the_rows(spark, csvs, tmp_path):
+    out = str(tmp_path / "tables")
+    jobs.load(spark, str(csvs), out)
+    jobs.load(spark, str(csvs), out)
+    assert t.read_table(spark, "sales_orders", out).count() == 3
+    status = t.refresh_status(t.read_table(spark, "sales_orders", out)).first()
+    assert status.order_count == 3 and "completed" in status.status
+
+
+def test_missing_file_changes_nothing(spark, csvs, tmp_path):
+    (csvs / "payments.csv").unlink()
+    out = tmp_path / "tables"
+    with pytest.raises(Exception, match="payments.csv"):
+        jobs.load(spark, str(csvs), str(out))
+    assert not out.exists()
+
+
+def test_malformed_value_and_wrong_header_fail_the_read(spark, csvs):
+    edit(csvs, "suppliers", ",7", ",seven")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        t.read_csv_table(spark, "suppliers", str(csvs)).collect()
+    edit(csvs, "crop_calendar", "crop,region", "region,crop")
+    with pytest.raises(Exception, match="(?i)header"):
+        t.read_csv_table(spark, "crop_calendar", str(csvs)).collect()
+
+
+@pytest.mark.parametrize(
+    ("table", "old", "new", "message"),
+    [
+        ("sales_orders", "1,2024-01-10,1,", "1,2024-01-10,,", "sales_orders: missing relationship key"),
+        ("sales_orders", "1,2024-01-10,1,", "1,2024-01-10,9,", "sales_orders: orphan foreign key"),
+        ("payments", "2,2,500", "2,8,500", "payments: orphan foreign key"),
+        ("payments", "1,1,800.00", "1,1,799.99", "status contradicts receipts"),
+        ("payments", "2,2,500", "2,2,-5", "payments: negative amount"),
+        ("inventory", ",10,50", ",-10,50", "inventory: negative amount"),
+        ("dealers", "Retailer", "Broker", "dealers.dealer_type: unknown value"),
+        ("crop_calendar", "Wheat,North,10,11", "Wheat,North,10,13", "peak_demand_month: out of range"),
+        ("crop_calendar", "Rice,South", "Rice,North", "crop_calendar: duplicate key"),
+        ("products", "2,Growth B", "2,", "products: missing required value"),
+        ("inventory", "1,1,B-1", "1,5,B-1", "inventory: orphan foreign key"),
+    ],
+)
+def test_each_broken_rule_fails_the_load_and_keeps_the_tables(spark, csvs, tmp_path, table, old, new, message):
+    edit(csvs, table, old, new)
+    out = str(tmp_path / "tables")
+    with pytest.raises(QualityError, match=message):
+        jobs.load(spark, str(csvs), out)
+    assert t.read_table(spark, table, out).count() == len(FILES[table]) - 1
+
+
+def test_suite_names_are_distinct(spark, csvs):
+    frames = {name: t.read_csv_table(spark, name, str(csvs)) for name in INPUT_DDL}
+    names = [r.check_name for r in run_suite(frames).collect()]
+    assert len(names) == len(set(names)) > 30
+
+
+def test_clustered_write_spreads_a_hot_day(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(30_000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-01-02")).cast("date").alias("d")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is tiny
+    try:
+        t.write_replace(df, path, ("d", "id"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) >= 3 and max(sizes) < 15_000
+
+
+def test_jobs_store_results_that_sql_can_read(spark, csvs, tmp_path, monkeypatch):
+    orders = FILES["sales_orders"][:1] + [
+        f"{i},2024-{1 + i % 12:02d}-{1 + i % 28:02d},{1 + i % 6},{1 + i % 2},{1 + i % 9},80,0,{(1 + i % 9) * 80}.00,,Overdue"
+        for i in range(240)
+    ]
+    (csvs / "sales_orders.csv").write_text("\n".join(orders) + "\n")
+    dealers = FILES["dealers"][:1] + [f"{i},D{i},Retailer,North,N1,1000,2021-01-05" for i in range(1, 7)]
+    (csvs / "dealers.csv").write_text("\n".join(dealers) + "\n")
+    (csvs / "payments.csv").write_text(FILES["payments"][0] + "\n")
+    out = str(tmp_path / "tables")
+    jobs.load(spark, str(csvs), out)
+    assert jobs.stored_results(spark, out) == {}
+    jobs.forecast(spark, out, top_n=2, params={"maxIter": 3})
+    jobs.segment(spark, out, restarts=2)
+    assert set(jobs.stored_results(spark, out)) == {"demand_forecast_results", "dealer_segments"}
+    rows = jobs.ask(spark, out, "2024-12-31", "select count(*) n, min(predicted_qty) lo from demand_forecast_results").first()
+    assert rows.n == 16 and rows.lo >= 0
+    named = jobs.ask(
+        spark, out, "2024-12-31",
+        "SELECT s.segment_label, d.dealer_name FROM dealer_segments s JOIN dealers d USING (dealer_id) WHERE dealer_id = :id", id=3,
+    ).collect()
+    assert [r.dealer_name for r in named] == ["D3"] and named[0].segment_label
