@@ -7,19 +7,29 @@ row per split. The dimensions are joined afterwards, to one row per key.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.functions.money import TOTAL, total
+from dealerscope.functions.money import total
 
 
 def receipts_by_order(payments: DataFrame) -> DataFrame:
-    return payments.groupBy("order_id").agg(total("amount_received").alias("received"))
+    """Receipts per order, summed as whole cents.
+
+    This is the widest shuffle of the receivables reports, and a long takes half the room
+    of a decimal sum in it. It holds 9 million receipts of the largest amount on one order,
+    and Spark's ANSI mode raises an error beyond that. Sums over many orders stay decimal.
+    """
+    cents = F.sum((F.col("amount_received") * 100).cast("bigint"))
+    received = (cents.cast("decimal(19,0)") * F.lit(Decimal("0.01"))).cast("decimal(20,2)")
+    return payments.groupBy("order_id").agg(received.alias("received"))
 
 
 def with_outstanding(orders: DataFrame, payments: DataFrame) -> DataFrame:
     """Orders plus ``outstanding`` = total less receipts (none received counts as zero)."""
-    received = F.coalesce(F.col("received"), F.lit(0).cast(TOTAL))
+    received = F.coalesce(F.col("received"), F.lit(0).cast("decimal(20,2)"))
     return (
         orders.select("order_id", "order_date", "dealer_id", "total_amount")
         .join(receipts_by_order(payments), "order_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealerscope.functions.dates import days_to_peak, season_window, week_start
+from dealerscope.functions.money import total
 from dealerscope.operators.joins import rollup_through
 from dealerscope.plans.reports import crop_peak_month
 
@@ -104,14 +105,22 @@ def demand_features(series: DataFrame) -> DataFrame:
 
 
 def sales_by_season_window(lines: DataFrame, products: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Lines, quantity and revenue per crop before the peak, just after it and otherwise."""
-    until = days_to_peak(F.col("order_date"), F.col("peak_month"))
-    return rollup_through(
+    """Lines, quantity and revenue per crop before the peak, just after it and otherwise.
+
+    Summed per crop and day first, so the season is worked out for few rows.
+    """
+    daily = rollup_through(
         lines,
         key="product_id",
         fact_columns={"order_date": F.col("order_date")},
         dimension=product_peaks(products, calendar),
-        by=["crop", season_window(until).alias("season_window")],
+        by=["crop", "peak_month", "order_date"],
         amounts={"total_revenue": "total_amount"},
         counts={"line_count": F.lit(1), "total_quantity": F.col("quantity")},
     )
+    window = season_window(days_to_peak(F.col("order_date"), F.col("peak_month")))
+    return daily.groupBy("crop", window.alias("season_window")).agg(
+        F.sum("line_count").alias("line_count"),
+        F.sum("total_quantity").alias("total_quantity"),
+        total("total_revenue").alias("total_revenue"),
+    )
