@@ -7,17 +7,21 @@ Python as different types.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType
 
-from dealerscope.functions.dates import as_date
-from dealerscope.operators import quality
-from dealerscope.plans import adhoc, alerts, forecast, reports, segments, timeseries, views
-from dealerscope.sources.roles import Roles, roles_from_star
-from dealerscope.sources.tables import refresh_status, row_counts
+sys.path.insert(0, str(Path(__file__).resolve().parent))  # when loaded by path from elsewhere
+
+from dealerscope.functions.dates import as_date  # noqa: E402
+from dealerscope.operators import quality  # noqa: E402
+from dealerscope.plans import adhoc, alerts, forecast, reports, segments, timeseries, views  # noqa: E402
+from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
+from dealerscope.sources.tables import refresh_status, row_counts  # noqa: E402
 
 AS_OF = "2001-08-01"  # the latest order date of the test tables
 REGIONS = ["ASIA", "EUROPE", "AMERICA"]
@@ -219,6 +223,9 @@ def queries() -> dict[str, Query]:
         "region_list": _query(lambda r: reports.region_list(r.dealers)),
         "order_date_bounds": _query(lambda r: reports.order_date_bounds(r.orders)),
         "kpi_summary": _query(lambda r: reports.kpi_summary(r.orders, r.dealers, REGIONS, LO, HI)),
+        "kpi_texts": _query(
+            lambda r: reports.kpi_texts(reports.kpi_summary(r.orders, r.dealers, REGIONS, LO, HI))
+        ),
         "monthly_revenue": _query(lambda r: reports.monthly_revenue(r.orders, r.dealers, REGIONS, LO, HI)),
         "top_regions": _query(lambda r: reports.top_regions(r.orders, r.dealers, REGIONS, LO, HI)),
         "top_dealers": _query(lambda r: reports.top_dealers(r.orders, r.dealers, REGIONS, LO, HI)),
@@ -566,6 +573,14 @@ def oracle_sql() -> dict[str, str]:
             "dealer_id) AS dealers, coalesce(CAST(sum(total_amount) AS DOUBLE) / count(*), 0) AS aov "
             "FROM chosen_orders",
         ),
+        "kpi_texts": _with(
+            ["chosen_orders"],
+            "SELECT 'Total revenue' AS metric, '\u20b9' || format('{:,}', CAST(round_even(sum(total_amount), 0) AS "
+            "BIGINT)) AS text FROM chosen_orders UNION ALL SELECT 'Total orders', format('{:,}', count(*)) FROM "
+            "chosen_orders UNION ALL SELECT 'Active dealers', CAST(count(DISTINCT dealer_id) AS VARCHAR) FROM "
+            "chosen_orders UNION ALL SELECT 'Average order value', '\u20b9' || format('{:,}', CAST(round_even("
+            "CAST(sum(total_amount) AS DOUBLE) / count(*), 0) AS BIGINT)) FROM chosen_orders",
+        ),
         "monthly_revenue": _with(
             ["chosen_orders"],
             "SELECT CAST(CAST(date_trunc('month', order_date) AS DATE) AS VARCHAR) AS month_start, "

@@ -33,10 +33,11 @@ def days_to_peak(day: Column, peak_month: Column) -> Column:
     )
 
 
+# Signed days to the peak, inclusive, of the two windows around it.
+SEASON_WINDOWS = {"pre_peak": (0, 45), "post_peak": (-15, -1)}
+
+
 def season_window(days_until_peak: Column) -> Column:
     """Which part of the season a day falls in, given its signed days to the peak."""
-    return (
-        F.when(days_until_peak.between(0, 45), "pre_peak")
-        .when(days_until_peak.between(-15, -1), "post_peak")
-        .otherwise("baseline")
-    )
+    named = (F.when(days_until_peak.between(lo, hi), name) for name, (lo, hi) in SEASON_WINDOWS.items())
+    return F.coalesce(*named, F.lit("baseline"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,9 @@ from dealerscope.operators.quality import duplicate_keys, row_checks, union_chec
 from dealerscope.plans.timeseries import HOLDOUT_WEEKS, LAGS, demand_features, demand_series
 from dealerscope.sources.durable import materialise
 
+# The per-product fit travels to the workers as code, so they need numpy and pandas only.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LAG_COLUMNS = tuple(f"lag_{i}" for i in range(1, LAGS + 1))
 FEATURES = (*LAG_COLUMNS, "rolling_4", "month", "days_to_peak_demand")
 BOOSTED, SEASONAL = "boosted_trees", "seasonal_regression"

@@ -49,6 +49,18 @@ def kpi_summary(
     return sums.withColumn("aov", aov)
 
 
+def kpi_texts(kpis: DataFrame, currency: str = "\u20b9") -> DataFrame:
+    """The four figures as they are shown: ``metric``, ``text``, with grouped thousands."""
+    texts = {
+        "Total revenue": F.concat(F.lit(currency), F.format_number("revenue", 0)),
+        "Total orders": F.format_number("orders", 0),
+        "Active dealers": F.col("dealers").cast("string"),
+        "Average order value": F.concat(F.lit(currency), F.format_number("aov", 0)),
+    }
+    rows = [F.struct(F.lit(name).alias("metric"), text.alias("text")) for name, text in texts.items()]
+    return kpis.select(F.inline(F.array(*rows)))
+
+
 def monthly_revenue(
     orders: DataFrame, dealers: DataFrame, regions: Regions = None, lo: Day = None, hi: Day = None
 ) -> DataFrame:

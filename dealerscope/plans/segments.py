@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerscope.functions.money import total
@@ -117,21 +117,34 @@ def centroids(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster_id").agg(*means)
 
 
+# A label applies if the rank shares of the centre are below or above these
+# bounds; the first label that applies is taken, else the last name.
+LABEL_RULES = (
+    ("Champions", {"recency": ("below", 0.40), "frequency": ("above", 0.60), "monetary": ("above", 0.60)}),
+    ("At Risk", {"recency": ("above", 0.65), "frequency": ("below", 0.50)}),
+    ("Loyal", {"frequency": ("above", 0.60)}),
+    ("Potential", {"recency": ("below", 0.50)}),
+)
+OTHER_LABEL = "Needs Attention"
+
+
+def _applies(bounds: Mapping[str, tuple[str, float]]) -> Column:
+    tests = (
+        F.col(f"share_{m}") < bound if side == "below" else F.col(f"share_{m}") > bound
+        for m, (side, bound) in bounds.items()
+    )
+    return reduce(lambda a, b: a & b, tests)
+
+
 def label_clusters(centres: DataFrame) -> DataFrame:
-    """Name each cluster by the rank shares of its centre; the first rule that holds wins.
+    """Name each cluster by the rank shares of its centre, see ``LABEL_RULES``.
 
     The rules compare clusters with each other, so they stay valid when the data changes,
     and two clusters may get the same name.
     """
     ranked = reduce(lambda df, m: mean_rank_share(df, m, f"share_{m}"), MEASURES, centres)
-    r, f, m = (F.col(f"share_{name}") for name in MEASURES)
-    label = (
-        F.when((r < 0.40) & (f > 0.60) & (m > 0.60), "Champions")
-        .when((r > 0.65) & (f < 0.50), "At Risk")
-        .when(f > 0.60, "Loyal")
-        .when(r < 0.50, "Potential")
-        .otherwise("Needs Attention")
-    )
+    names = (F.when(_applies(bounds), name) for name, bounds in LABEL_RULES)
+    label = F.coalesce(*names, F.lit(OTHER_LABEL))
     return ranked.select("cluster_id", *MEASURES, label.alias("segment_label"))
 
 

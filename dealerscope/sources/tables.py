@@ -72,9 +72,13 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+# Fixed value: the status text of a finished load.
+REFRESH_STATUS = "ETL completed; standard views require no refresh"
+
+
 def refresh_status(orders: DataFrame) -> DataFrame:
     """What a finished load reports: a status text and the number of orders."""
     return orders.groupBy().agg(
-        F.lit("ETL completed; standard views require no refresh").alias("status"),
+        F.lit(REFRESH_STATUS).alias("status"),
         F.count(F.lit(1)).alias("order_count"),
     )

@@ -173,3 +173,10 @@ def test_rows_as_json(make):
     assert alerts.as_json(df).first().json == (
         '{"region":"South","total_revenue":"12.50","dealer_count":"1","avg_revenue_per_dealer":"12.5"}'
     )
+
+
+def test_kpi_texts(make):
+    kpis = reports.kpi_summary(make.orders((1, "2024-01-10", 1, "1234567.50", "Paid")), make.dealers(*DEALERS))
+    assert {r.metric: r.text for r in reports.kpi_texts(kpis).collect()} == {
+        "Total revenue": "₹1,234,568", "Total orders": "1", "Active dealers": "1", "Average order value": "₹1,234,568",
+    }
