@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealerscope.operators.joins import is_small
+from dealerscope.operators.joins import is_small, sized
 from dealerscope.sources.durable import materialise
 
 # Bucket widths of the value axis, fine to coarse. Amounts have two decimals, so a fine
@@ -70,7 +70,7 @@ def rank_split(df: DataFrame, group: Sequence[str], value: str, out: str) -> Dat
     counts = known.groupBy(*group, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
     ranks = _count_above(counts, group, _WIDTHS).select(*group, F.col("_value").alias(value), "_above")
     missing = nulls.groupBy(*group).agg(F.count(F.lit(1)).alias("_missing"))
-    ranks = ranks.join(missing, list(group), "left").select(
+    ranks = ranks.join(sized(missing), list(group), "left").select(
         *group, value, (F.col("_above") + F.coalesce("_missing", F.lit(0)) + 1).alias(out)
     )
     ranked = known.join(ranks, [*group, value])

@@ -72,7 +72,7 @@ def fit_restarts(
     ks: Iterable[int] = CLUSTER_COUNTS,
     restarts: int = RESTARTS,
     seed: int = SEED,
-    parallelism: int = 8,
+    parallelism: int = 16,
 ) -> dict[int, KMeansModel]:
     """The model of least inertia for each k, out of ``restarts`` differently seeded fits.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dealerscope.functions.dates import days_to_peak, season_window, week_start
 from dealerscope.functions.money import total
-from dealerscope.operators.joins import rollup_through
+from dealerscope.operators.joins import rollup_through, sized
 from dealerscope.plans.reports import crop_peak_month
 
 LAGS = 4
@@ -21,8 +21,9 @@ def top_skus(product_revenue: DataFrame, n: int = 12) -> DataFrame:
 
 def product_peaks(products: DataFrame, calendar: DataFrame) -> DataFrame:
     """Peak month per product. The calendar is cut to one row per crop before the join,
-    because it lists a crop once per region."""
-    peaks = crop_peak_month(calendar).withColumnRenamed("peak_demand_month", "peak_month")
+    because it lists a crop once per region. The few crops are broadcast: shuffling the
+    products by crop would gather a popular crop in one task."""
+    peaks = sized(crop_peak_month(calendar).withColumnRenamed("peak_demand_month", "peak_month"))
     return (
         products.select("product_id", F.col("target_crop").alias("crop"))
         .join(peaks, "crop")
