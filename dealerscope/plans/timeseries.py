@@ -47,14 +47,28 @@ def _by_week():
     return Window.partitionBy("product_id").orderBy("ds")
 
 
+def typed_weekly(weekly: DataFrame) -> DataFrame:
+    """The series columns as numbers, whatever type they arrive in.
+
+    An unreadable product id is an error, an unreadable quantity counts as zero, an
+    unreadable month is left empty.
+    """
+    return weekly.select(
+        F.col("product_id").cast("bigint").alias("product_id"),
+        "ds",
+        F.coalesce(F.col("y").try_cast("double"), F.lit(0.0)).alias("y"),
+        F.col("peak_month").try_cast("int").alias("peak_month"),
+    )
+
+
 def fill_weeks(weekly: DataFrame) -> DataFrame:
     """Every week from a product's first to its last; weeks without an order have y = 0.
 
     Days are anchored to their Monday first. Each row then emits itself and the empty
     weeks up to the next one, so nothing is joined back.
     """
-    anchored = weekly.groupBy("product_id", week_start("ds").alias("ds")).agg(
-        F.coalesce(F.sum("y"), F.lit(0.0)).alias("y"), F.min("peak_month").alias("peak_month")
+    anchored = typed_weekly(weekly).groupBy("product_id", week_start("ds").alias("ds")).agg(
+        F.sum("y").alias("y"), F.min("peak_month").alias("peak_month")
     )
     week = F.expr("INTERVAL 7 DAYS")
     following = F.coalesce(F.lead("ds").over(_by_week()), F.date_add("ds", 7))

@@ -29,6 +29,16 @@ def test_weekly_demand_does_not_multiply_by_calendar_regions(make):
     assert ts.weekly_demand(lines, products, calendar).count() == 3
 
 
+def test_numbers_given_as_text(spark):
+    rows = [("7", day("2024-01-01"), "2.5", "6"), ("7", day("2024-01-08"), "n/a", "x"), ("7", day("2024-01-15"), None, "")]
+    df = spark.createDataFrame(rows, "product_id STRING, ds DATE, y STRING, peak_month STRING")
+    typed = ts.typed_weekly(df).orderBy("ds").collect()
+    assert [(r.product_id, r.y, r.peak_month) for r in typed] == [(7, 2.5, 6), (7, 0.0, None), (7, 0.0, None)]
+    bad = spark.createDataFrame([("seven", day("2024-01-01"), "1", "6")], df.schema)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        ts.typed_weekly(bad).collect()
+
+
 def test_gap_of_three_weeks_is_filled_with_zeros(make):
     rows = ts.fill_weeks(make.weekly((1, "2024-01-01", 4, 6), (1, "2024-01-29", 5, 6), (2, "2024-01-08", 1, 3))).collect()
     assert sorted((r.product_id, str(r.ds), r.y, r.peak_month) for r in rows) == [
