@@ -14,6 +14,8 @@ def build_session(master: str | None = None, app: str = "dealerscope", **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # no Python call-site lookup for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master is not None:
         builder = builder.master(master)

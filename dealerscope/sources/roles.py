@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Roles:
+class Roles(Protocol):
     dealers: DataFrame
     products: DataFrame
     suppliers: DataFrame
@@ -27,10 +28,23 @@ class Roles:
     calendar: DataFrame
 
 
+@dataclass(frozen=True)
+class TableRoles:
+    dealers: DataFrame
+    products: DataFrame
+    suppliers: DataFrame
+    orders: DataFrame
+    product_lines: DataFrame
+    lines: DataFrame
+    payments: DataFrame
+    inventory: DataFrame
+    calendar: DataFrame
+
+
 def roles_from_tables(tables: Mapping[str, DataFrame]) -> Roles:
     """Roles of the nine loaded tables; header and line are the same row there."""
     orders = tables["sales_orders"]
-    return Roles(
+    return TableRoles(
         dealers=tables["dealers"],
         products=tables["products"],
         suppliers=tables["suppliers"],
@@ -64,10 +78,6 @@ _STAR_DDL = {
 }
 
 
-def star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(_STAR_DDL[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-
 def _net() -> Column:
     """Line amount after discount; the factors are decimals before they are multiplied."""
     gross = F.col("l_extendedprice").cast("decimal(12,2)")
@@ -75,72 +85,115 @@ def _net() -> Column:
     return F.round(gross * kept, 2).cast("decimal(12,2)")
 
 
-def roles_from_star(spark: SparkSession, folder: str) -> Roles:
-    """Roles of the TPC-H-like tables; the column mapping is in FIXTURES.md part B."""
-    star = {name: star_table(spark, folder, name) for name in _STAR_DDL}
-    geography = (
-        star["nation"]
-        .join(star["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("n_nationkey", "n_name", "r_name")
-    )
-    dealers = star["customer"].join(geography, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("dealer_id"),
-        F.col("c_name").alias("dealer_name"),
-        F.col("c_mktsegment").alias("dealer_type"),
-        F.col("r_name").alias("region"),
-        F.col("n_name").alias("district"),
-        F.col("c_acctbal").cast("decimal(12,2)").alias("credit_limit"),
-    )
-    suppliers = star["supplier"].join(geography, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("supplier_id"),
-        F.col("s_name").alias("supplier_name"),
-        F.col("r_name").alias("region"),
-    )
-    products = star["part"].select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("target_crop"),
-        F.col("p_retailprice").cast("decimal(10,2)").alias("dealer_price"),
-        F.col("p_size").alias("shelf_life_months"),
-    )
-    status = F.col("o_orderstatus")
-    orders = star["orders"].select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        F.col("o_custkey").alias("dealer_id"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("total_amount"),
-        F.when(status == "F", "Paid").when(status == "P", "Partial").when(status == "O", "Overdue")
-        .alias("payment_status"),
-    )
-    product_lines = star["lineitem"].select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        _net().alias("total_amount"),
-    )
-    lines = product_lines.join(orders.select("order_id", "order_date", "dealer_id"), "order_id")
-    payments = star["lineitem"].filter(F.col("l_linestatus") == "F").select(
-        F.col("l_orderkey").alias("order_id"),
-        _net().alias("amount_received"),
-        F.col("l_shipdate").cast("date").alias("payment_date"),
-    )
-    inventory = star["lineitem"].filter(F.col("l_linestatus") == "O").select(
-        F.col("l_partkey").alias("product_id"),
-        F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias("batch_no"),
-        F.col("l_shipdate").cast("date").alias("expiry_date"),
-        F.col("l_quantity").cast("decimal(12,2)").alias("quantity_available"),
-        (F.col("l_quantity").cast("int") * 8).cast("decimal(12,2)").alias("reorder_level"),
-    )
-    # One calendar row per crop and region, from an equi-join on a generated region key.
-    calendar = (
-        star["part"].select(F.col("p_brand").alias("crop")).distinct()
-        .withColumn("region_key", F.explode(F.sequence(F.lit(0), F.lit(4))))
-        .join(star["region"], F.col("region_key") == F.col("r_regionkey"))
-        .select(
-            "crop",
+class StarRoles:
+    """Roles of the TPC-H-like tables; the column mapping is in FIXTURES.md part B.
+
+    A role is composed when it is first asked for, so a query pays for its own roles only.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder.rstrip("/")
+
+    def table(self, name: str) -> DataFrame:
+        return self._spark.read.schema(_STAR_DDL[name]).parquet(f"{self._folder}/{name}.parquet")
+
+    @cached_property
+    def _geography(self) -> DataFrame:
+        return (
+            self.table("nation")
+            .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select("n_nationkey", "n_name", "r_name")
+        )
+
+    @cached_property
+    def dealers(self) -> DataFrame:
+        located = self.table("customer").join(self._geography, F.col("c_nationkey") == F.col("n_nationkey"))
+        return located.select(
+            F.col("c_custkey").alias("dealer_id"),
+            F.col("c_name").alias("dealer_name"),
+            F.col("c_mktsegment").alias("dealer_type"),
             F.col("r_name").alias("region"),
-            (F.regexp_extract("crop", "([0-9]+)$", 1).cast("int") % 12 + 1).alias("peak_demand_month"),
+            F.col("n_name").alias("district"),
+            F.col("c_acctbal").cast("decimal(12,2)").alias("credit_limit"),
         )
-    )
-    return Roles(dealers, products, suppliers, orders, product_lines, lines, payments, inventory, calendar)
+
+    @cached_property
+    def suppliers(self) -> DataFrame:
+        located = self.table("supplier").join(self._geography, F.col("s_nationkey") == F.col("n_nationkey"))
+        return located.select(
+            F.col("s_suppkey").alias("supplier_id"),
+            F.col("s_name").alias("supplier_name"),
+            F.col("r_name").alias("region"),
+        )
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self.table("part").select(
+            F.col("p_partkey").alias("product_id"),
+            F.col("p_name").alias("product_name"),
+            F.col("p_type").alias("category"),
+            F.col("p_brand").alias("target_crop"),
+            F.col("p_retailprice").cast("decimal(10,2)").alias("dealer_price"),
+            F.col("p_size").alias("shelf_life_months"),
+        )
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        status = F.col("o_orderstatus")
+        return self.table("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_orderdate").cast("date").alias("order_date"),
+            F.col("o_custkey").alias("dealer_id"),
+            F.col("o_totalprice").cast("decimal(12,2)").alias("total_amount"),
+            F.when(status == "F", "Paid").when(status == "P", "Partial").when(status == "O", "Overdue")
+            .alias("payment_status"),
+        )
+
+    @cached_property
+    def product_lines(self) -> DataFrame:
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            F.col("l_quantity").cast("int").alias("quantity"),
+            _net().alias("total_amount"),
+        )
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return self.product_lines.join(self.orders.select("order_id", "order_date", "dealer_id"), "order_id")
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return self.table("lineitem").filter(F.col("l_linestatus") == "F").select(
+            F.col("l_orderkey").alias("order_id"),
+            _net().alias("amount_received"),
+            F.col("l_shipdate").cast("date").alias("payment_date"),
+        )
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        return self.table("lineitem").filter(F.col("l_linestatus") == "O").select(
+            F.col("l_partkey").alias("product_id"),
+            F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias("batch_no"),
+            F.col("l_shipdate").cast("date").alias("expiry_date"),
+            F.col("l_quantity").cast("decimal(12,2)").alias("quantity_available"),
+            (F.col("l_quantity").cast("int") * 8).cast("decimal(12,2)").alias("reorder_level"),
+        )
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        """One row per crop and region, from an equi-join on a generated region key."""
+        crops = self.table("part").select(F.col("p_brand").alias("crop")).distinct()
+        return (
+            crops.withColumn("region_key", F.explode(F.sequence(F.lit(0), F.lit(4))))
+            .join(self.table("region"), F.col("region_key") == F.col("r_regionkey"))
+            .select(
+                "crop",
+                F.col("r_name").alias("region"),
+                (F.regexp_extract("crop", "([0-9]+)$", 1).cast("int") % 12 + 1).alias("peak_demand_month"),
+            )
+        )
+
+
+def roles_from_star(spark: SparkSession, folder: str) -> Roles:
+    return StarRoles(spark, folder)
