@@ -79,7 +79,7 @@ def _top_skus(r: Roles) -> DataFrame:
 
 
 def _series(r: Roles) -> DataFrame:
-    return timeseries.demand_series(r.lines, r.products, r.calendar, _top_skus(r))
+    return timeseries.demand_series(r.lines_of(_top_skus(r)), r.products, r.calendar)
 
 
 def _null_keys(r: Roles) -> DataFrame:
@@ -175,7 +175,7 @@ def _stored_run(kind: str, spark: SparkSession, folder: str):
     if key not in _stored:
         r = roles_from_star(spark, folder)
         if kind == "forecast":
-            _stored[key] = forecast.run_forecast(r.lines, r.products, r.calendar, _top_skus(r))
+            _stored[key] = forecast.run_forecast(r.lines_of(_top_skus(r)), r.products, r.calendar)
         else:
             _stored[key] = segments.segment_dealers(r.dealers, r.orders)
     return _stored[key]
@@ -257,7 +257,9 @@ def queries() -> dict[str, Query]:
         "overdue_message": _query(lambda r: alerts.overdue_message(_aging(r))),
         # demand series
         "top_skus": _query(_top_skus),
-        "weekly_demand": _query(lambda r: timeseries.weekly_demand(r.lines, r.products, r.calendar, _top_skus(r))),
+        "weekly_demand": _query(
+            lambda r: timeseries.weekly_demand(r.lines_of(_top_skus(r)), r.products, r.calendar)
+        ),
         "weekly_demand_filled": _query(_series),
         "demand_features": _query(lambda r: timeseries.demand_features(_series(r))),
         "sales_by_season_window": _query(

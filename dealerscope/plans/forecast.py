@@ -126,7 +126,8 @@ def _forecast_one(group: pd.DataFrame) -> pd.DataFrame:
     size = max(np.abs(y[known]).max(), 1.0)
     bends = np.linspace(0, 0.8, min(CHANGE_POINTS, known.sum()) + 1)[1:]
     x = _design(days, until, first, span, bends)
-    scales = np.concatenate([[5.0, 5.0, SEASON_SCALE], np.full(2 * YEAR_ORDER, SEASON_SCALE), np.full(len(bends), BEND_SCALE)])
+    level, season, bend = [5.0, 5.0, SEASON_SCALE], [SEASON_SCALE] * 2 * YEAR_ORDER, [BEND_SCALE] * len(bends)
+    scales = np.array(level + season + bend)
     beta = _penalised_fit(x[known], y[known] / size, scales)
     yhat = np.clip(x[held] @ beta * size, 0, None)
     return group.loc[held, ["product_id", "ds", "y"]].assign(yhat=yhat)
@@ -208,10 +209,10 @@ def run_forecast(
     lines: DataFrame,
     products: DataFrame,
     calendar: DataFrame,
-    skus: DataFrame,
+    skus: DataFrame | None = None,
     params: Mapping[str, object] | None = None,
 ) -> ForecastRun:
-    """Build the series of the chosen products, fit both models, keep the better per product.
+    """Build the series of the lines' (or the chosen) products, fit both models, keep the better.
 
     The facts are read once, for the weekly series; everything after it works on at most
     one row per product and week.

@@ -40,7 +40,7 @@ def forecast(
     """Forecast the best-selling products and replace the stored results."""
     r = open_roles(spark, folder)
     skus = top_skus(product_sales(r.products, r.product_lines), top_n)
-    run = run_forecast(r.lines, r.products, r.calendar, skus, params)
+    run = run_forecast(r.lines_of(skus), r.products, r.calendar, params=params)
     write_result(run.results, RESULT_DDL["demand_forecast_results"], os.path.join(folder, "demand_forecast_results"))
     return run
 

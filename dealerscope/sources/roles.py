@@ -15,6 +15,9 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dealerscope.operators.joins import sized
+from dealerscope.sources.durable import materialise
+
 
 class Roles(Protocol):
     dealers: DataFrame
@@ -27,6 +30,9 @@ class Roles(Protocol):
     inventory: DataFrame
     calendar: DataFrame
 
+    def lines_of(self, products: DataFrame) -> DataFrame:
+        """Order lines of a few products: order_id, order_date, product_id, quantity."""
+
 
 @dataclass(frozen=True)
 class TableRoles:
@@ -40,6 +46,10 @@ class TableRoles:
     inventory: DataFrame
     calendar: DataFrame
 
+    def lines_of(self, products: DataFrame) -> DataFrame:
+        chosen = self.lines.join(products.select("product_id"), "product_id", "left_semi")
+        return chosen.select("order_id", "order_date", "product_id", "quantity")
+
 
 def roles_from_tables(tables: Mapping[str, DataFrame]) -> Roles:
     """Roles of the nine loaded tables; header and line are the same row there."""
@@ -162,6 +172,15 @@ class StarRoles:
     def lines(self) -> DataFrame:
         return self.product_lines.join(self.orders.select("order_id", "order_date", "dealer_id"), "order_id")
 
+    def lines_of(self, products: DataFrame) -> DataFrame:
+        """The chosen lines are written first. If they turn out few, they are broadcast to the
+        order headers, which then need no shuffle."""
+        chosen = self.product_lines.select("order_id", "product_id", "quantity").join(
+            products.select("product_id"), "product_id", "left_semi"
+        )
+        dates = self.orders.select("order_id", "order_date")
+        return dates.join(sized(materialise(chosen)), "order_id")
+
     @cached_property
     def payments(self) -> DataFrame:
         return self.table("lineitem").filter(F.col("l_linestatus") == "F").select(

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dealerscope.sources.schemas import INPUT_DDL, input_schema
 
@@ -42,14 +43,17 @@ def write_replace(df: DataFrame, path: str, cluster_by: Iterable[str] = ()) -> N
 
 def write_result(df: DataFrame, schema_ddl: str, path: str) -> None:
     """Cast to the declared result types, in the declared column order, and replace."""
-    from pyspark.sql.types import StructType
-
     fields = StructType.fromDDL(schema_ddl).fields
     write_replace(df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in fields)), path)
 
 
-# The fact table is clustered by date because every panel filters on it.
-_CLUSTERING = {"sales_orders": ("order_date", "order_id"), "payments": ("payment_date", "payment_id")}
+# Orders and stock are clustered by the date that panels filter on. Payments are clustered
+# by order, so that the receipts of an order are summed before the shuffle.
+_CLUSTERING = {
+    "sales_orders": ("order_date", "order_id"),
+    "inventory": ("expiry_date", "inventory_id"),
+    "payments": ("order_id", "payment_id"),
+}
 
 
 def load_tables(spark: SparkSession, csv_folder: str, out_folder: str) -> dict[str, DataFrame]:
