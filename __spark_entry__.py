@@ -35,6 +35,11 @@ ADHOC = (
     "WHERE credit_utilization_pct > 100 GROUP BY region) s ON r.region = s.region ORDER BY r.region;"
 )
 
+ADHOC_BOUND = (
+    "SELECT product_id, product_name, total_quantity_sold, rank_within_crop_category FROM product_crop_performance "
+    "WHERE target_crop = :crop AND total_quantity_sold >= :floor ORDER BY total_quantity_sold DESC, product_id"
+)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -159,8 +164,10 @@ def _row_counts(r: Roles) -> DataFrame:
     )
 
 
-def _adhoc(spark: SparkSession, folder: str) -> DataFrame:
-    return _portable(adhoc.ask(spark, roles_from_star(spark, folder), AS_OF, ADHOC))
+def _adhoc(statement: str, **parameters: object) -> Query:
+    return lambda spark, folder: _portable(
+        adhoc.ask(spark, roles_from_star(spark, folder), AS_OF, statement, **parameters)
+    )
 
 
 _stored: dict[tuple[str, str, str], object] = {}
@@ -270,11 +277,14 @@ def queries() -> dict[str, Query]:
         "rfm_standardised": _query(lambda r: segments.standardise(segments.rfm(r.dealers, r.orders))),
         "dealer_segments": _segment_query(lambda run, r: run.segments),
         "segment_diagnostics": _segment_query(lambda run, r: run.diagnostics),
+        "segment_centres": _segment_query(lambda run, r: run.centres),
         "segment_profile": _segment_query(lambda run, r: segments.segment_profile(run.segments)),
         "segment_overview": _segment_query(lambda run, r: reports.segment_overview(run.segments, r.dealers)),
         # forecasts
         "demand_forecast": _forecast_query(lambda run, r: run.results),
         "forecast_model_summary": _forecast_query(lambda run, r: forecast.model_summary(run.scores)),
+        "forecast_scores": _forecast_query(lambda run, r: run.scores),
+        "forecast_overview": _forecast_query(lambda run, r: reports.forecast_overview(run.results, r.products)),
         "forecast_series": _forecast_query(
             lambda run, r: reports.forecast_series(reports.forecast_overview(run.results, r.products))
         ),
@@ -289,7 +299,8 @@ def queries() -> dict[str, Query]:
             )
         ),
         # bounded SQL
-        "adhoc_bounded": _adhoc,
+        "adhoc_bounded": _adhoc(ADHOC),
+        "adhoc_parameters": _adhoc(ADHOC_BOUND, crop=CROP, floor=100),
     }
 
 
@@ -694,6 +705,13 @@ def oracle_sql() -> dict[str, str]:
             )
             + " FROM rfm",
         ),
+        "adhoc_parameters": _with(
+            ["product_sales"],
+            "SELECT product_id, product_name, CAST(total_quantity_sold AS BIGINT) AS total_quantity_sold, "
+            "rank_within_crop_category FROM (SELECT *, rank() OVER (PARTITION BY target_crop ORDER BY total_revenue "
+            "DESC NULLS FIRST) AS rank_within_crop_category FROM product_sales) WHERE target_crop = "
+            f"'{CROP}' AND total_quantity_sold >= 100 ORDER BY total_quantity_sold DESC, product_id LIMIT 200",
+        ),
         "adhoc_bounded": _with(
             ["regional", "scorecard"],
             "SELECT r.region, r.dealer_count, s.dealers_over_limit FROM regional r JOIN (SELECT region, count(*) AS "

@@ -45,16 +45,16 @@ def orphans(child: DataFrame, parents: Mapping[str, DataFrame], name: str) -> Da
     """Child rows for which any of the foreign keys (null included) has no parent row.
 
     Rows are counted per key combination first, so what is joined to the parents is one
-    row per combination, however many rows a popular key has.
+    row per combination, however many rows a popular key has. A combination counts once:
+    those that lack the first parent, then those that have it but lack the second, and so on.
     """
-    keys = child.groupBy(*parents).agg(F.count(F.lit(1)).alias("_rows"))
+    matched = child.groupBy(*parents).agg(F.count(F.lit(1)).alias("_rows"))
+    broken = []
     for key, parent in parents.items():
-        known = parent.select(key).distinct().withColumn(f"_known_{key}", F.lit(True))
-        keys = keys.join(known, key, "left")
-    broken = reduce(lambda a, b: a | b, (F.col(f"_known_{key}").isNull() for key in parents))
-    return keys.filter(broken).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("failures")).select(
-        F.lit(name).alias("check_name"), "failures"
-    )
+        broken.append(matched.join(parent.select(key), key, "left_anti").select("_rows"))
+        matched = matched.join(parent.select(key), key, "left_semi")
+    total = F.coalesce(F.sum("_rows"), F.lit(0)).alias("failures")
+    return reduce(DataFrame.unionByName, broken).agg(total).select(F.lit(name).alias("check_name"), "failures")
 
 
 def reconciliation(orders: DataFrame, payments: DataFrame, name: str) -> DataFrame:

@@ -9,8 +9,9 @@ from conftest import SMALL
 
 duckdb = pytest.importorskip("duckdb")
 FITTED = {
-    "dealer_segments", "segment_diagnostics", "segment_profile", "segment_overview",
-    "demand_forecast", "forecast_model_summary", "forecast_series", "dq_result_sanity",
+    "dealer_segments", "segment_diagnostics", "segment_centres", "segment_profile", "segment_overview",
+    "demand_forecast", "forecast_model_summary", "forecast_scores", "forecast_overview", "forecast_series",
+    "dq_result_sanity",
 }
 
 
