@@ -341,72 +341,83 @@ _ROLE_SQL = {
     ),
 }
 
-# The views, written as the plain SQL they stand for.
+# The views in SQL, built from shared steps.
 _VIEW_SQL = {
+    "dealer_orders": (
+        "SELECT order_id, dealer_id, dealer_name, region, order_date, total_amount, "
+        "CAST(date_trunc('month', order_date) AS DATE) AS month FROM sales_orders JOIN dealers USING (dealer_id)"
+    ),
+    "receipts": "SELECT order_id, sum(amount_received) AS received FROM payments GROUP BY order_id",
     "open_orders": (
-        "SELECT s.*, s.total_amount - coalesce(p.received, 0) AS outstanding FROM sales_orders s LEFT JOIN "
-        "(SELECT order_id, sum(amount_received) AS received FROM payments GROUP BY order_id) p USING (order_id)"
+        "SELECT order_id, dealer_id, total_amount, payment_status, total_amount - coalesce(received, 0) AS "
+        f"outstanding, date_diff('day', order_date, DATE '{AS_OF}') AS age "
+        "FROM sales_orders LEFT JOIN receipts USING (order_id)"
     ),
     "monthly": (
-        "SELECT CAST(date_trunc('month', s.order_date) AS DATE) AS month, d.region, sum(s.total_amount) AS "
-        "total_revenue, count(*) AS total_orders, CAST(sum(s.total_amount) AS DOUBLE) / count(*) AS avg_order_value "
-        "FROM sales_orders s JOIN dealers d USING (dealer_id) GROUP BY 1, 2"
+        "SELECT month, region, sum(total_amount) AS total_revenue, count(*) AS total_orders, "
+        "CAST(sum(total_amount) AS DOUBLE) / count(*) AS avg_order_value FROM dealer_orders GROUP BY month, region"
     ),
-    "scorecard_cents": (
-        "SELECT d.dealer_id, d.dealer_name, d.region, d.dealer_type, sum(o.total_amount) AS total_revenue, "
-        "count(o.order_id) AS order_count, d.credit_limit, sum(o.outstanding) AS current_outstanding, "
-        "CAST(sum(o.outstanding) * 100 AS HUGEINT) AS owed, CAST(d.credit_limit * 100 AS HUGEINT) AS allowed "
-        "FROM dealers d LEFT JOIN open_orders o USING (dealer_id) GROUP BY ALL"
+    "dealer_sums": (
+        "SELECT dealer_id, sum(total_amount) AS total_revenue, count(*) AS orders, sum(outstanding) AS "
+        "current_outstanding, CAST(sum(outstanding) * 100 AS HUGEINT) AS owed FROM open_orders GROUP BY dealer_id"
     ),
     # Rounds 100 * owed / allowed half away from zero with whole numbers only.
     "scorecard": (
-        "SELECT dealer_id, dealer_name, region, dealer_type, total_revenue, order_count, credit_limit, "
-        "current_outstanding, CASE WHEN allowed <> 0 THEN sign(owed) * sign(allowed) * ((20000 * abs(owed) + "
-        "abs(allowed)) // (2 * abs(allowed))) / 100.0 END AS credit_utilization_pct FROM scorecard_cents"
+        "SELECT dealer_id, dealer_name, region, dealer_type, total_revenue, coalesce(orders, 0) AS order_count, "
+        "credit_limit, current_outstanding, CASE WHEN allowed <> 0 THEN sign(owed) * sign(allowed) * ((20000 * "
+        "abs(owed) + abs(allowed)) // (2 * abs(allowed))) / 100.0 END AS credit_utilization_pct FROM "
+        "(SELECT *, CAST(credit_limit * 100 AS HUGEINT) AS allowed FROM dealers) LEFT JOIN dealer_sums "
+        "USING (dealer_id)"
+    ),
+    "aged": (
+        "SELECT dealer_id, sum(outstanding) FILTER (age >= 0 AND age <= 30) AS b0, sum(outstanding) FILTER "
+        "(age > 30 AND age <= 60) AS b31, sum(outstanding) FILTER (age > 60 AND age <= 90) AS b61, "
+        "sum(outstanding) FILTER (age > 90) AS b91 FROM open_orders GROUP BY dealer_id"
     ),
     "aging": (
-        "SELECT d.dealer_id, d.dealer_name, "
-        "sum(CASE WHEN DATE '{as_of}' - order_date BETWEEN 0 AND 30 THEN outstanding ELSE 0 END) AS outstanding_0_30, "
-        "sum(CASE WHEN DATE '{as_of}' - order_date BETWEEN 31 AND 60 THEN outstanding ELSE 0 END) AS outstanding_31_60, "
-        "sum(CASE WHEN DATE '{as_of}' - order_date BETWEEN 61 AND 90 THEN outstanding ELSE 0 END) AS outstanding_61_90, "
-        "sum(CASE WHEN DATE '{as_of}' - order_date > 90 THEN outstanding ELSE 0 END) AS outstanding_90_plus "
-        "FROM dealers d JOIN open_orders USING (dealer_id) GROUP BY d.dealer_id, d.dealer_name"
-    ).format(as_of=AS_OF),
+        "SELECT dealer_id, dealer_name, coalesce(b0, 0) AS outstanding_0_30, coalesce(b31, 0) AS outstanding_31_60, "
+        "coalesce(b61, 0) AS outstanding_61_90, coalesce(b91, 0) AS outstanding_90_plus "
+        "FROM aged JOIN dealers USING (dealer_id)"
+    ),
+    "stock_sums": (
+        "SELECT product_id, sum(quantity_available) AS quantity_available, max(reorder_level) AS reorder_level, "
+        "min(expiry_date) AS first_expiry FROM inventory GROUP BY product_id"
+    ),
     "stock": (
-        "SELECT p.product_id, p.product_name, sum(i.quantity_available) AS quantity_available, max(i.reorder_level) "
-        "AS reorder_level, sum(i.quantity_available) < max(i.reorder_level) AS is_below_reorder, "
-        f"CAST(min(i.expiry_date - DATE '{AS_OF}') AS INTEGER) AS days_to_expiry "
-        "FROM products p JOIN inventory i USING (product_id) GROUP BY p.product_id, p.product_name"
+        "SELECT product_id, product_name, quantity_available, reorder_level, quantity_available < reorder_level AS "
+        f"is_below_reorder, CAST(date_diff('day', DATE '{AS_OF}', first_expiry) AS INTEGER) AS days_to_expiry "
+        "FROM stock_sums JOIN products USING (product_id)"
+    ),
+    "line_sums": (
+        "SELECT product_id, sum(total_amount) AS total_revenue, sum(quantity) AS total_quantity_sold "
+        "FROM order_lines GROUP BY product_id"
     ),
     "product_sales": (
-        "SELECT p.product_id, p.product_name, p.target_crop, sum(s.total_amount) AS total_revenue, "
-        "sum(s.quantity) AS total_quantity_sold FROM products p LEFT JOIN order_lines s USING (product_id) "
-        "GROUP BY p.product_id, p.product_name, p.target_crop"
+        "SELECT product_id, product_name, target_crop, total_revenue, total_quantity_sold FROM products "
+        "LEFT JOIN line_sums USING (product_id)"
     ),
     "regional": (
-        "SELECT d.region, sum(s.total_amount) AS total_revenue, count(DISTINCT d.dealer_id) AS dealer_count "
-        "FROM dealers d JOIN sales_orders s USING (dealer_id) GROUP BY d.region"
-    ),
-    "chosen_lines": (
-        "SELECT s.* FROM order_lines s JOIN dealers d USING (dealer_id) WHERE d.region IN ('ASIA', 'EUROPE', "
-        f"'AMERICA') AND s.order_date BETWEEN DATE '{LO}' AND DATE '{HI}'"
+        "SELECT region, sum(total_amount) AS total_revenue, count(DISTINCT dealer_id) AS dealer_count "
+        "FROM dealer_orders GROUP BY region"
     ),
     "chosen_orders": (
-        "SELECT s.*, d.region, d.dealer_name FROM sales_orders s JOIN dealers d USING (dealer_id) WHERE d.region IN "
-        f"('ASIA', 'EUROPE', 'AMERICA') AND s.order_date BETWEEN DATE '{LO}' AND DATE '{HI}'"
+        "SELECT * FROM dealer_orders WHERE region IN ('ASIA', 'EUROPE', 'AMERICA') "
+        f"AND order_date >= DATE '{LO}' AND order_date <= DATE '{HI}'"
     ),
+    "chosen_lines": "SELECT * FROM order_lines SEMI JOIN chosen_orders USING (order_id)",
     "chosen_products": (
-        "SELECT p.product_id, p.product_name, p.target_crop, sum(s.total_amount) AS revenue FROM chosen_lines s "
-        "JOIN products p USING (product_id) GROUP BY 1, 2, 3"
+        "SELECT product_id, product_name, target_crop, revenue FROM products JOIN (SELECT product_id, "
+        "sum(total_amount) AS revenue FROM chosen_lines GROUP BY product_id) USING (product_id)"
     ),
     "top_skus": (
         "SELECT product_id FROM product_sales ORDER BY total_revenue DESC NULLS LAST, product_id LIMIT 12"
     ),
     "peaks": "SELECT crop, min(peak_demand_month) AS peak_month FROM crop_calendar GROUP BY crop",
     "weekly": (
-        "SELECT s.product_id, CAST(date_trunc('week', s.order_date) AS DATE) AS ds, CAST(sum(s.quantity) AS DOUBLE) "
-        "AS y, c.peak_month FROM order_lines s JOIN products p USING (product_id) JOIN peaks c ON c.crop = "
-        "p.target_crop WHERE s.product_id IN (SELECT product_id FROM top_skus) GROUP BY 1, 2, 4"
+        "SELECT product_id, ds, CAST(sum(quantity) AS DOUBLE) AS y, any_value(peak_month) AS peak_month FROM "
+        "(SELECT product_id, quantity, CAST(date_trunc('week', order_date) AS DATE) AS ds FROM order_lines "
+        "SEMI JOIN top_skus USING (product_id)) JOIN products USING (product_id) JOIN peaks ON crop = target_crop "
+        "GROUP BY product_id, ds"
     ),
     "weeks": (
         "SELECT product_id, peak_month, CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 7 DAY)) AS DATE) "
@@ -417,12 +428,14 @@ _VIEW_SQL = {
         "days_to_peak_demand, row_number() OVER (PARTITION BY w.product_id ORDER BY w.ds DESC) <= 8 AS is_holdout "
         "FROM weeks w LEFT JOIN weekly x ON x.product_id = w.product_id AND x.ds = w.ds"
     ),
+    "dated_orders": (
+        "SELECT dealer_id, total_amount, order_date, max(order_date) OVER () AS latest, "
+        "order_date >= max(order_date) OVER () - INTERVAL 12 MONTH AS recent FROM sales_orders"
+    ),
     "rfm": (
-        "SELECT dealer_id, CAST((SELECT max(order_date) FROM sales_orders) - max(order_date) AS INTEGER) AS recency, "
-        "count(*) FILTER (WHERE order_date >= (SELECT max(order_date) FROM sales_orders) - INTERVAL 12 MONTH) AS "
-        "frequency, coalesce(sum(total_amount) FILTER (WHERE order_date >= (SELECT max(order_date) FROM "
-        "sales_orders) - INTERVAL 12 MONTH), 0) AS monetary FROM dealers JOIN sales_orders USING (dealer_id) "
-        "GROUP BY dealer_id"
+        "SELECT dealer_id, CAST(date_diff('day', max(order_date), any_value(latest)) AS INTEGER) AS recency, "
+        "count_if(recent) AS frequency, sum(if(recent, total_amount, 0)) AS monetary "
+        "FROM dated_orders SEMI JOIN dealers USING (dealer_id) GROUP BY dealer_id"
     ),
 }
 
@@ -438,23 +451,29 @@ def _nearest_sql(day: str, month: str) -> str:
 _VIEW_SQL["series"] = _VIEW_SQL["series"].format(nearest=_nearest_sql("w.ds", "w.peak_month"))
 
 _NEEDS = {
-    "open_orders": ["sales_orders", "payments"],
-    "monthly": ["sales_orders", "dealers"],
-    "scorecard_cents": ["dealers", "open_orders"],
-    "scorecard": ["scorecard_cents"],
-    "aging": ["dealers", "open_orders"],
-    "stock": ["products", "inventory"],
-    "product_sales": ["products", "order_lines"],
-    "regional": ["dealers", "sales_orders"],
-    "chosen_lines": ["order_lines", "dealers"],
-    "chosen_orders": ["sales_orders", "dealers"],
+    "dealer_orders": ["sales_orders", "dealers"],
+    "receipts": ["payments"],
+    "open_orders": ["sales_orders", "receipts"],
+    "monthly": ["dealer_orders"],
+    "dealer_sums": ["open_orders"],
+    "scorecard": ["dealers", "dealer_sums"],
+    "aged": ["open_orders"],
+    "aging": ["aged", "dealers"],
+    "stock_sums": ["inventory"],
+    "stock": ["products", "stock_sums"],
+    "line_sums": ["order_lines"],
+    "product_sales": ["products", "line_sums"],
+    "regional": ["dealer_orders"],
+    "chosen_orders": ["dealer_orders"],
+    "chosen_lines": ["order_lines", "chosen_orders"],
     "chosen_products": ["chosen_lines", "products"],
     "top_skus": ["product_sales"],
     "peaks": ["crop_calendar"],
     "weekly": ["order_lines", "products", "peaks", "top_skus"],
     "weeks": ["weekly"],
     "series": ["weeks", "weekly"],
-    "rfm": ["dealers", "sales_orders"],
+    "dated_orders": ["sales_orders"],
+    "rfm": ["dealers", "dated_orders"],
 }
 
 
@@ -547,11 +566,9 @@ def oracle_sql() -> dict[str, str]:
             "SELECT 'dealers', count(*) FROM dealers WHERE credit_limit < 0",
         ),
         "dq_payment_reconciliation": _with(
-            ["sales_orders", "payments"],
-            "SELECT 'status contradicts receipts' AS check_name, count(*) AS failures FROM sales_orders s LEFT JOIN "
-            "(SELECT order_id, sum(amount_received) AS amount FROM payments GROUP BY order_id) p USING (order_id) "
-            "WHERE (s.payment_status = 'Paid' AND coalesce(p.amount, 0) <> s.total_amount) OR (s.payment_status IN "
-            "('Partial', 'Overdue') AND coalesce(p.amount, 0) >= s.total_amount)",
+            ["open_orders"],
+            "SELECT 'status contradicts receipts' AS check_name, count_if(CASE payment_status WHEN 'Paid' THEN "
+            "outstanding <> 0 ELSE outstanding <= 0 END) AS failures FROM open_orders",
         ),
         "dq_domain": _with(
             ["sales_orders", "dealers", "crop_calendar"],
@@ -596,8 +613,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "monthly_revenue": _with(
             ["chosen_orders"],
-            "SELECT CAST(CAST(date_trunc('month', order_date) AS DATE) AS VARCHAR) AS month_start, "
-            "CAST(sum(total_amount) AS DOUBLE) AS revenue FROM chosen_orders GROUP BY 1 ORDER BY 1",
+            "SELECT CAST(month AS VARCHAR) AS month_start, CAST(sum(total_amount) AS DOUBLE) AS revenue "
+            "FROM chosen_orders GROUP BY month ORDER BY month",
         ),
         "top_regions": _with(
             ["chosen_orders"],
@@ -626,9 +643,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "crop_demand_curve": _with(
             ["chosen_lines", "products"],
-            "SELECT CAST(CAST(date_trunc('month', s.order_date) AS DATE) AS VARCHAR) AS month_start, "
-            "CAST(sum(s.quantity) AS BIGINT) AS quantity FROM chosen_lines s JOIN products p USING (product_id) "
-            f"WHERE p.target_crop = '{CROP}' GROUP BY 1 ORDER BY 1",
+            "SELECT strftime(order_date, '%Y-%m-01') AS month_start, CAST(sum(quantity) AS BIGINT) AS quantity "
+            f"FROM chosen_lines JOIN products USING (product_id) WHERE target_crop = '{CROP}' "
+            "GROUP BY month_start ORDER BY month_start",
         ),
         "crop_peak_month": _with(["peaks"], "SELECT crop, peak_month AS peak_demand_month FROM peaks"),
         "stock_overview": _with(
@@ -637,10 +654,11 @@ def oracle_sql() -> dict[str, str]:
         "low_stock": _with(["stock"], f"SELECT {stock_columns} FROM stock WHERE is_below_reorder"),
         "near_expiry": _with(
             ["inventory", "products"],
-            "SELECT p.product_id, p.product_name, i.batch_no, CAST(i.expiry_date AS VARCHAR) AS expiry_date, "
-            "CAST(i.quantity_available AS DOUBLE) AS quantity_available, "
-            f"CAST(i.expiry_date - DATE '{AS_OF}' AS INTEGER) AS days_to_expiry FROM inventory i JOIN products p "
-            f"USING (product_id) WHERE i.expiry_date - DATE '{AS_OF}' BETWEEN 0 AND 60",
+            "SELECT product_id, product_name, batch_no, CAST(expiry_date AS VARCHAR) AS expiry_date, "
+            "CAST(quantity_available AS DOUBLE) AS quantity_available, "
+            f"CAST(date_diff('day', DATE '{AS_OF}', expiry_date) AS INTEGER) AS days_to_expiry FROM inventory "
+            f"JOIN products USING (product_id) WHERE expiry_date >= DATE '{AS_OF}' AND "
+            f"expiry_date <= DATE '{AS_OF}' + 60",
         ),
         "aging_totals": _with(
             ["aging"],

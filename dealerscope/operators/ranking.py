@@ -62,21 +62,22 @@ def rank_split(df: DataFrame, group: Sequence[str], value: str, out: str) -> Dat
     """The same ranks, ties included, with each group split along the value axis.
 
     No task sorts a whole group. ``df`` is written once, since it is read again for the
-    counts. ``group`` columns must not be null.
+    counts. The group is kept as one struct, which equals itself even where a column of it
+    is null.
     """
-    rows = materialise(df)
+    rows = materialise(df).withColumn("_group", F.struct(*group))
     nulls = rows.filter(F.col(value).isNull())
-    known = rows.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*group, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = _count_above(counts, group, _WIDTHS).select(*group, F.col("_value").alias(value), "_above")
-    missing = nulls.groupBy(*group).agg(F.count(F.lit(1)).alias("_missing"))
-    ranks = ranks.join(sized(missing), list(group), "left").select(
-        *group, value, (F.col("_above") + F.coalesce("_missing", F.lit(0)) + 1).alias(out)
-    )
-    ranked = known.join(ranks, [*group, value])
-    return ranked.select(*df.columns, out).unionByName(
-        nulls.withColumn(out, F.lit(1).cast("bigint")).select(*df.columns, out)
+    known = rows.filter(F.col(value).isNotNull()).withColumn("_value", F.col(value))
+    counts = known.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    missing = nulls.groupBy("_group").agg(F.count(F.lit(1)).alias("_missing"))
+    above = F.col("_above") + F.coalesce("_missing", F.lit(0))
+    ranks = (
+        _count_above(counts, ["_group"], _WIDTHS)
+        .join(sized(missing), "_group", "left")
+        .select("_group", "_value", (above + 1).alias(out))
     )
+    ranked = known.join(ranks, ["_group", "_value"]).select(*df.columns, out)
+    return ranked.unionByName(nulls.withColumn(out, F.lit(1).cast("bigint")).select(*df.columns, out))
 
 
 def mean_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:

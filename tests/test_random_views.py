@@ -1,4 +1,4 @@
-"""The views on random tables with all the awkward cases, against the plain SQL they stand for."""
+"""The views on random tables with all the awkward cases, against the same views in SQL."""
 
 import datetime as dt
 import random

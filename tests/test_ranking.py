@@ -13,7 +13,11 @@ def test_split_rank_equals_the_window_function(spark, seed):
     rng = random.Random(seed)
     pool = [None, D("0.00"), D("16384.00"), D("16383.99"), D("-5.10"), D("99999999999.99"), D("17179869184.00")]
     rows = [
-        (i, rng.choice("abc") if i % 3 else "hot", rng.choice(pool) if i % 2 else D(rng.randint(0, 10**rng.randint(2, 13))) / 100)
+        (
+            i,
+            rng.choice(["a", "b", None]) if i % 3 else "hot",
+            rng.choice(pool) if i % 2 else D(rng.randint(0, 10 ** rng.randint(2, 13))) / 100,
+        )
         for i in range(600)
     ]
     df = spark.createDataFrame(rows, "id INT, g STRING, v DECIMAL(38,2)")
