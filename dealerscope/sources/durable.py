@@ -28,9 +28,11 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of the written table.
 
     Used where a result is read by several later branches (so the facts behind it
-    are scanned once) and between the steps of an iteration (so lineage stays short).
+    are scanned once) and between the steps of an iteration (so lineage stays short). All
+    tables of one application lie in one folder, which can go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/dealerscope-{uuid.uuid4().hex}"
+    own = f"{scratch_root(spark).rstrip('/')}/dealerscope-{spark.sparkContext.applicationId}"
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
