@@ -17,11 +17,13 @@ from pyspark.sql.types import DateType, DecimalType
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))  # when loaded by path from elsewhere
 
-from dealerscope.functions.dates import as_date  # noqa: E402
+from dealerscope.functions.dates import as_date, month_start  # noqa: E402
+from dealerscope.functions.money import total  # noqa: E402
 from dealerscope.operators import quality  # noqa: E402
 from dealerscope.plans import adhoc, alerts, forecast, reports, segments, timeseries, views  # noqa: E402
+from dealerscope.sources.durable import fresh_path  # noqa: E402
 from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
-from dealerscope.sources.tables import refresh_status, row_counts  # noqa: E402
+from dealerscope.sources.tables import load_table, refresh_status, row_counts  # noqa: E402
 
 AS_OF = "2001-08-01"  # the latest order date of the test tables
 REGIONS = ["ASIA", "EUROPE", "AMERICA"]
@@ -164,6 +166,21 @@ def _row_counts(r: Roles) -> DataFrame:
     )
 
 
+def _reload(spark: SparkSession, folder: str) -> DataFrame:
+    """The payments written as CSV, loaded with their schema, and summed from the loaded table."""
+    nothing = F.lit(None).cast("string")
+    rows = roles_from_star(spark, folder).payments.select(
+        nothing.alias("payment_id"), "order_id", "amount_received", "payment_date", nothing.alias("payment_mode")
+    )
+    path = fresh_path(spark)
+    rows.write.option("header", True).csv(f"{path}/payments.csv")
+    loaded = load_table(spark, "payments", path, path)
+    by_month = loaded.groupBy(month_start("payment_date").alias("month")).agg(
+        F.count(F.lit(1)).alias("receipts"), total("amount_received").alias("amount")
+    )
+    return _portable(by_month)
+
+
 def _adhoc(statement: str, **parameters: object) -> Query:
     return lambda spark, folder: _portable(
         adhoc.ask(spark, roles_from_star(spark, folder), AS_OF, statement, **parameters)
@@ -216,6 +233,7 @@ def queries() -> dict[str, Query]:
         "regional_performance": _query(lambda r: views.regional_performance(r.dealers, r.orders)),
         # load and quality
         "load_row_counts": _query(_row_counts),
+        "reload_from_csv": _reload,
         "refresh_status": _query(lambda r: refresh_status(r.orders)),
         "dq_null_keys": _query(_null_keys),
         "dq_orphans": _query(_orphans),
@@ -228,6 +246,8 @@ def queries() -> dict[str, Query]:
         "dq_presence": _query(_presence),
         # panels
         "region_list": _query(lambda r: reports.region_list(r.dealers)),
+        "dealer_type_list": _query(lambda r: reports.dealer_type_list(r.dealers)),
+        "crop_list": _query(lambda r: reports.crop_list(_product_revenue(r))),
         "order_date_bounds": _query(lambda r: reports.order_date_bounds(r.orders)),
         "kpi_summary": _query(lambda r: reports.kpi_summary(r.orders, r.dealers, REGIONS, LO, HI)),
         "kpi_texts": _query(
@@ -259,6 +279,11 @@ def queries() -> dict[str, Query]:
                 )
             )
         ),
+        "weekly_regional_json": _query(
+            lambda r: alerts.as_json(
+                views.regional_performance(r.dealers, r.orders).select("region", "total_revenue", "dealer_count")
+            )
+        ),
         "low_stock_message": _query(lambda r: alerts.low_stock_message(_stock(r))),
         "overdue_reminders": _query(lambda r: alerts.overdue_reminders(_aging(r))),
         "overdue_message": _query(lambda r: alerts.overdue_message(_aging(r))),
@@ -541,6 +566,11 @@ def oracle_sql() -> dict[str, str]:
             "UNION ALL SELECT 'inventory', count(*) FROM lineitem WHERE l_linestatus = 'O' "
             "UNION ALL SELECT 'crop_calendar', count(DISTINCT p_brand) * (SELECT count(*) FROM region) FROM part"
         ),
+        "reload_from_csv": (
+            "SELECT strftime(l_shipdate, '%Y-%m-01') AS month, count(*) AS receipts, CAST(sum(CAST(round(CAST("
+            "l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2))), 2) AS "
+            "DECIMAL(12,2))) AS DOUBLE) AS amount FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1"
+        ),
         "refresh_status": (
             "SELECT 'ETL completed; standard views require no refresh' AS status, count(*) AS order_count FROM orders"
         ),
@@ -593,6 +623,10 @@ def oracle_sql() -> dict[str, str]:
             f"(SELECT 1 FROM sales_orders WHERE payment_status = 'Overdue' AND order_date < DATE '{AS_OF}' - 90)",
         ),
         "region_list": _with(["dealers"], "SELECT DISTINCT region FROM dealers ORDER BY region"),
+        "dealer_type_list": "SELECT DISTINCT c_mktsegment AS dealer_type FROM customer ORDER BY 1",
+        "crop_list": _with(
+            ["chosen_products"], "SELECT DISTINCT target_crop FROM chosen_products ORDER BY target_crop"
+        ),
         "order_date_bounds": _with(
             ["sales_orders"],
             "SELECT CAST(min(order_date) AS VARCHAR) AS lo, CAST(max(order_date) AS VARCHAR) AS hi FROM sales_orders",
@@ -679,6 +713,11 @@ def oracle_sql() -> dict[str, str]:
             "CAST(total_revenue AS DECIMAL(38,2)) || '\",\"total_orders\":\"' || total_orders || '\"}' AS json "
             f"FROM monthly WHERE {recent}",
         ),
+        "weekly_regional_json": _with(
+            ["regional"],
+            "SELECT '{\"region\":\"' || region || '\",\"total_revenue\":\"' || CAST(total_revenue AS DECIMAL(38,2)) "
+            "|| '\",\"dealer_count\":\"' || dealer_count || '\"}' AS json FROM regional",
+        ),
         "low_stock_message": _with(
             ["stock"],
             "SELECT product_id // 1000 AS part, count(*) AS line_count, string_agg(product_name || ': ' || "

@@ -23,6 +23,15 @@ def region_list(dealers: DataFrame) -> DataFrame:
     return dealers.select("region").distinct().orderBy("region")
 
 
+def dealer_type_list(dealers: DataFrame) -> DataFrame:
+    return dealers.select("dealer_type").distinct().orderBy("dealer_type")
+
+
+def crop_list(revenue: DataFrame) -> DataFrame:
+    """Crops with sales, from :func:`product_revenue`."""
+    return revenue.select("target_crop").distinct().orderBy("target_crop")
+
+
 def order_date_bounds(orders: DataFrame) -> DataFrame:
     return orders.agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
 

@@ -24,6 +24,12 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A path not used before, in this application's subfolder of the shared folder."""
+    own = f"{scratch_root(spark).rstrip('/')}/dealerscope-{spark.sparkContext.applicationId}"
+    return f"{own}/{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once and return a scan of the written table.
 
@@ -32,7 +38,6 @@ def materialise(df: DataFrame) -> DataFrame:
     tables of one application lie in one folder, which can go when the application has ended.
     """
     spark = df.sparkSession
-    own = f"{scratch_root(spark).rstrip('/')}/dealerscope-{spark.sparkContext.applicationId}"
-    path = f"{own}/{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -56,15 +56,21 @@ _CLUSTERING = {
 }
 
 
+def load_table(spark: SparkSession, name: str, csv_folder: str, out_folder: str) -> DataFrame:
+    """Full refresh of one table from its CSV."""
+    frame = read_csv_table(spark, name, csv_folder)
+    write_replace(frame, f"{out_folder.rstrip('/')}/{name}", _CLUSTERING.get(name, ()))
+    return read_table(spark, name, out_folder)
+
+
 def load_tables(spark: SparkSession, csv_folder: str, out_folder: str) -> dict[str, DataFrame]:
     """Full refresh: every CSV is read with its schema and replaces its Parquet table.
 
     All inputs are resolved before the first write, so a missing file changes nothing.
     """
-    frames = {name: read_csv_table(spark, name, csv_folder) for name in INPUT_DDL}
-    for name, frame in frames.items():
-        write_replace(frame, f"{out_folder.rstrip('/')}/{name}", _CLUSTERING.get(name, ()))
-    return {name: read_table(spark, name, out_folder) for name in INPUT_DDL}
+    for name in INPUT_DDL:
+        read_csv_table(spark, name, csv_folder)
+    return {name: load_table(spark, name, csv_folder, out_folder) for name in INPUT_DDL}
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
