@@ -16,6 +16,11 @@ ROW_BOUND = 200
 # Words that a read-only statement may not contain, in any case.
 FORBIDDEN_WORDS = frozenset({"INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "TRUNCATE", "GRANT", "REVOKE"})
 
+# What a database role without rights would refuse: Spark's calls into Java, and files read
+# by their path instead of a registered name.
+JAVA_CALLS = frozenset({"REFLECT", "TRY_REFLECT", "JAVA_METHOD"})
+FILE_RELATION = re.compile(r"\b(parquet|orc|csv|json|text|avro|binaryfile)\s*\.\s*`", re.IGNORECASE)
+
 
 def checked_select(statement: str, limit: int = ROW_BOUND) -> str:
     """The statement with a row bound, or ValueError unless it is one plain SELECT.
@@ -29,8 +34,10 @@ def checked_select(statement: str, limit: int = ROW_BOUND) -> str:
         raise ValueError("the statement must start with SELECT")
     if ";" in body:
         raise ValueError("only one statement is accepted")
-    if found := FORBIDDEN_WORDS.intersection(words):
+    if found := (FORBIDDEN_WORDS | JAVA_CALLS).intersection(words):
         raise ValueError(f"not a read-only statement: {', '.join(sorted(found))}")
+    if FILE_RELATION.search(body):
+        raise ValueError("only registered names can be read")
     has_limit = any(a == "LIMIT" and b.isdigit() for a, b in zip(words, words[1:]))
     return body if has_limit else f"{body} LIMIT {limit}"
 
