@@ -459,7 +459,7 @@ _VIEW_SQL = {
     ),
     "rfm": (
         "SELECT dealer_id, CAST(date_diff('day', max(order_date), any_value(latest)) AS INTEGER) AS recency, "
-        "count_if(recent) AS frequency, sum(if(recent, total_amount, 0)) AS monetary "
+        "count(*) FILTER (recent) AS frequency, sum(if(recent, total_amount, 0)) AS monetary "
         "FROM dated_orders SEMI JOIN dealers USING (dealer_id) GROUP BY dealer_id"
     ),
 }
@@ -597,8 +597,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dq_payment_reconciliation": _with(
             ["open_orders"],
-            "SELECT 'status contradicts receipts' AS check_name, count_if(CASE payment_status WHEN 'Paid' THEN "
-            "outstanding <> 0 ELSE outstanding <= 0 END) AS failures FROM open_orders",
+            "SELECT 'status contradicts receipts' AS check_name, count(*) FILTER (CASE payment_status WHEN 'Paid' "
+            "THEN outstanding <> 0 ELSE outstanding <= 0 END) AS failures FROM open_orders",
         ),
         "dq_domain": _with(
             ["sales_orders", "dealers", "crop_calendar"],

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from conftest import SMALL
 
 duckdb = pytest.importorskip("duckdb")
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 FITTED = {
     "dealer_segments", "segment_diagnostics", "segment_centres", "segment_profile", "segment_overview",
     "demand_forecast", "forecast_model_summary", "forecast_scores", "forecast_overview", "forecast_series",
@@ -41,6 +42,8 @@ def test_same_rows(spark, other, name):
     df = entry.queries()[name](spark, SMALL)
     relation = other.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(relation.columns)
+    types = dict(zip(relation.columns, map(str, relation.types)))
+    assert {c: TYPES[t] for c, t in df.dtypes} == types
     assert _rows(df.columns, df.collect()) == _rows(relation.columns, relation.fetchall())
 
 
