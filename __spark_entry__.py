@@ -25,6 +25,13 @@ from dealerscope.sources.durable import fresh_path  # noqa: E402
 from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
 from dealerscope.sources.tables import load_table, refresh_status, row_counts  # noqa: E402
 
+try:  # the training-data operators may be left out of an installation
+    from dealerscope.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("dealerscope.llm", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 AS_OF = "2001-08-01"  # the latest order date of the test tables
 REGIONS = ["ASIA", "EUROPE", "AMERICA"]
 LO, HI = "1997-01-01", "2000-12-31"
@@ -223,6 +230,14 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return core_queries() | (llm_queries.queries() if llm_queries else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    return core_sql() | (llm_queries.oracle_sql() if llm_queries else {})
+
+
+def core_queries() -> dict[str, Query]:
     return {
         # reporting views
         "monthly_sales_summary": _query(_monthly),
@@ -522,7 +537,7 @@ def _money(*columns: str) -> str:
     return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
 
 
-def oracle_sql() -> dict[str, str]:
+def core_sql() -> dict[str, str]:
     aging_columns = _money("outstanding_0_30", "outstanding_31_60", "outstanding_61_90", "outstanding_90_plus")
     score_columns = (
         "dealer_id, dealer_name, region, order_count, credit_utilization_pct, "

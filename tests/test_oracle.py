@@ -34,10 +34,10 @@ def _rows(columns, rows):
 
 
 def test_every_query_but_the_fits_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == FITTED
+    assert set(entry.core_queries()) - set(entry.core_sql()) == FITTED
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.core_sql()))
 def test_same_rows(spark, other, name):
     df = entry.queries()[name](spark, SMALL)
     relation = other.sql(entry.oracle_sql()[name])

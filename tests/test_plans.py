@@ -33,7 +33,7 @@ def large_everywhere(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(FITTED)])
+@pytest.mark.parametrize("name", [n for n in entry.core_queries() if not n.startswith(FITTED)])
 def test_no_cross_join_and_no_python(spark, name):
     plan = plan_of(entry.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
