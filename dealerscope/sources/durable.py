@@ -30,14 +30,15 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{own}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once and return a scan of the written table.
 
     Used where a result is read by several later branches (so the facts behind it
     are scanned once) and between the steps of an iteration (so lineage stays short). All
     tables of one application lie in one folder, which can go when the application has ended.
+    ``options`` are the writer's, such as the compression.
     """
     spark = df.sparkSession
     path = fresh_path(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
