@@ -7,14 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import language_id, url_filters
+from dealerscope.llm import language_id, token_files, url_filters
 from dealerscope.llm.common import read_table, remainder
+from dealerscope.sources.durable import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -24,6 +29,12 @@ URL_RULES = [
 ]
 
 
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark)
+    token_files.write_token_files(read_table(spark, folder, "documents"), path, BYTE_BPE)
+    return token_files.read_token_files(spark, path, digest=True)
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
@@ -38,6 +49,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_token_files": op4_token_files,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
     }
