@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import language_id, token_files, url_filters
+from dealerscope.llm import language_id, packing, token_files, url_filters
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
 
@@ -29,6 +29,10 @@ URL_RULES = [
 ]
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, folder, "documents"), WORD_BPE)
+
+
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark)
     token_files.write_token_files(read_table(spark, folder, "documents"), path, BYTE_BPE)
@@ -49,6 +53,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
