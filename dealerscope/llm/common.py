@@ -136,5 +136,5 @@ def shingle_hashes(words: np.ndarray, length: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for i in range(n):
-        total += mix64(words[i : len(words) - n + 1 + i] + np.uint64(i + 1) * _B)
+        total += mix64(words[i : len(words) - n + 1 + i] + mix64(np.array([i + 1], np.uint64)))
     return mix64(total + np.uint64(n))

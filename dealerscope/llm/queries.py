@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import language_id, packing, token_files, url_filters
+from dealerscope.llm import language_id, packing, shingle_join, token_files, url_filters
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
 
@@ -39,6 +39,11 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path, digest=True)
 
 
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    members = shingle_join.join_similar(read_table(spark, folder, "documents")).members
+    return members.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "links")
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
@@ -55,6 +60,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
+        "op6_ngram_jaccard": op6_ngram_jaccard,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
     }
