@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import language_id, packing, shingle_join, token_files, url_filters
+from dealerscope.llm import language_id, line_dedup, packing, shingle_join, token_files, url_filters
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
 
@@ -44,6 +44,11 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return members.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "links")
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, folder, "documents"))
+    return kept.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.md5("text").alias("text_md5"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
@@ -61,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
         "op6_ngram_jaccard": op6_ngram_jaccard,
+        "op7_line_dedup": op7_line_dedup,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
     }
