@@ -63,13 +63,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[32, *range(9, 14)]] = True
+_PUNCTUATION = _BREAK.copy()
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
 
 
-def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Iterable[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and at which word each text starts (one more for the end).
 
-    A word is a run of characters other than ASCII white space, its A-Z lower-cased. The hash is
+    A word is a run of characters other than ASCII white space, if ``plain`` also other than ASCII
+    punctuation; its A-Z are lower-cased, if ``plain`` all its letters. The hash is
     a polynomial in the word's UTF-8 bytes, mixed with its length. The texts are taken in parts
     of at most about a megabyte that end at a space, so a long text needs no large arrays.
     """
@@ -81,14 +84,14 @@ def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         nonlocal size
         if pending:
-            found, per_text = _hash_block(pending)
+            found, per_text = _hash_block(pending, plain)
             hashes.append(found)
             counts.extend(per_text)
             pending.clear()
             size = 0
 
     for text in texts:
-        raw = text.encode("utf-8", "surrogatepass")
+        raw = (text.lower() if plain else text).encode("utf-8", "surrogatepass")
         if len(raw) <= 1 << 20:
             if size + len(raw) > 1 << 20:
                 flush()
@@ -103,7 +106,7 @@ def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
             if cut <= begin:  # a very long word: to its own end
                 ends = [e for e in (raw.find(b" ", end), raw.find(b"\n", end)) if e >= 0]
                 cut = min(ends) if ends else len(raw)
-            found, (n,) = _hash_block([raw[begin:cut]])
+            found, (n,) = _hash_block([raw[begin:cut]], plain)
             hashes.append(found)
             total += n
             begin = cut + 1
@@ -112,9 +115,9 @@ def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
-def _hash_block(raws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+def _hash_block(raws: list[bytes], plain: bool) -> tuple[np.ndarray, list[int]]:
     data = _LOWER[np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)]
-    gaps = _BREAK[data]
+    gaps = (_PUNCTUATION if plain else _BREAK)[data]
     starts = np.flatnonzero(~gaps & np.concatenate(([True], gaps[:-1])))
     bounds = np.cumsum([0] + [len(raw) + 1 for raw in raws])
     per_text = np.diff(np.searchsorted(starts, bounds)).tolist()

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import language_id, line_dedup, packing, shingle_join, token_files, url_filters
+from dealerscope.llm import decontamination, language_id, line_dedup, packing, shingle_join, token_files, url_filters
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
 
@@ -29,6 +29,10 @@ URL_RULES = [
 ]
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, folder, "documents"), WORD_BPE)
 
@@ -63,6 +67,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
         "op6_ngram_jaccard": op6_ngram_jaccard,
