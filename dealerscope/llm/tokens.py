@@ -6,17 +6,21 @@ import re
 from functools import cache
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 END_ID = 2
-_CACHED = 400_000  # words, and parts of words, that a Python worker keeps
+_CACHED = 300_000  # words, and parts of words, that a Python worker keeps
 _LONGEST = 48  # characters of a kept word
 
 # Characters for which a blank always ends a pre-token and nothing joins or folds across it.
-_PLAIN = r"\n\x20-\x7e¡-ſ"
-_ODD = re.compile(f"[^{_PLAIN}]")
-_BLANKS = re.compile(r" [ \n]|\n ")
+_ODD = re.compile("[^\n\x20-\x7e¡-ſ]")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation that starts no contraction
+
+# How the two kinds of tokenizer split text before their merges.
+_BY_BYTE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BY_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _BYTES = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
 _BYTES |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _BYTES)}
 _NONE = b""
@@ -25,19 +29,21 @@ _NONE = b""
 class _Words(dict):
     """Ids of words, as bytes of unsigned 32-bit integers; a missing word is encoded.
 
-    A word of letters and then punctuation is two pre-tokens, each of which goes straight to the
-    tokenizer's merges. The words met first are kept, up to a bound, frequent ones among them.
+    A word is split into pre-tokens, each of which goes straight to the tokenizer's merges. The
+    words met first are kept, up to a bound, frequent ones among them.
     """
 
     def __init__(self, tokenizer: Tokenizer, lower: bool):
         super().__init__()
-        self.tokenizer, self.merge, self.lower = tokenizer, tokenizer.model.tokenize, lower
-        self.parts: dict[str, bytes] = {"": _NONE}
+        self.merge, self.lower = tokenizer.model.tokenize, lower
+        self.split = regex.compile(_BY_WORD if lower else _BY_BYTE).findall
+        self.parts: dict[str, bytes] = {}
+        self[""] = _NONE
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
 
     def _part(self, part: str) -> bytes:
-        if part.isascii() and " " not in part:
+        if part.isascii() and part.isprintable() and " " not in part:
             mapped = part
         else:
             mapped = part.encode().decode("latin-1").translate(_BYTES)
@@ -56,8 +62,7 @@ class _Words(dict):
             if tail:
                 found += self.parts.get(tail) or self._part(tail)
         else:
-            packed = self.packed
-            found = b"".join([packed[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
+            found = b"".join([self.parts.get(part) or self._part(part) for part in self.split(plain)])
         if len(self) < _CACHED and len(word) <= _LONGEST:
             self[word] = found
         return found
@@ -67,9 +72,10 @@ class Encoder:
     """Encodes as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     Two kinds are known: byte-level, where a blank belongs to the word after it, and word-level,
-    where white space only separates. A text of plain characters is cut at its blanks, where both
-    kinds start a new pre-token, and the words are looked up; any other text, and any other kind
-    of tokenizer, goes to the library whole.
+    where white space only separates. A text of plain characters is cut at its blanks and newlines,
+    where both kinds start a new pre-token, and the words are looked up; any other text, and any
+    other kind of tokenizer, goes to the library whole. To the byte-level kind runs of white space
+    are no plain text either, but for two newlines inside the text.
     """
 
     def __init__(self, path: str):
@@ -77,24 +83,27 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.by_word = self.tokenizer.normalizer is not None
         self.words = _Words(self.tokenizer, self.by_word)
-        sample = "It's a Wörd, 12 !!\nand|more."
-        whole = self._whole(sample)
-        self.cuts = self._cut(sample) == whole
+        sample = "It's a Wörd, 12 !!\nand|more.\n\nEnd"
+        self.cuts = self._cut(sample) == self._whole(sample)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _cut(self, text: str) -> bytes:
-        words = text.split() if self.by_word else text.replace(" ", "\0 ").split("\0")
+        words = text.split() if self.by_word else text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return b"".join(map(self.words.__getitem__, words))
 
+    def _plain(self, text: str) -> bool:
+        if _ODD.search(text):
+            return False
+        runs = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n")
+        return self.by_word or not runs
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return _NONE
-        if not self.cuts or _ODD.search(text) or (not self.by_word and _BLANKS.search(text)):
-            return self._whole(text)
-        return self._cut(text)
+        return self._cut(text) if self.cuts and self._plain(text) else self._whole(text)
 
 
 @cache
