@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import decontamination, language_id, line_dedup, packing, shingle_join, token_files, url_filters
+from dealerscope.llm import decontamination, language_id, line_dedup, nearest, packing, shingle_join, token_files, url_filters
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
 
@@ -29,6 +29,11 @@ URL_RULES = [
 ]
 
 
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    embeddings = read_table(spark, folder, "embeddings")
+    return nearest.nearest(embeddings, embeddings.filter("vec_id % 20 = 0"))
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -67,6 +72,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_nearest": op1_nearest,
         "op2_decontamination": op2_decontamination,
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
