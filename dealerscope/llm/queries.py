@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import decontamination, language_id, line_dedup, nearest, packing, shingle_join, token_files, url_filters
+from dealerscope.llm import decontamination, language_id, line_dedup, nearest, packing, quality, shingle_join, token_counts, token_files, url_filters
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
 
@@ -48,6 +48,14 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, path, digest=True)
 
 
+# E-mail addresses and runs of digits such as card or telephone numbers.
+PERSONAL = r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+|[0-9]{6,}|[+][0-9][0-9() -]{8,}[0-9]"
+
+
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.recount_masked(read_table(spark, folder, "documents"), BYTE_BPE, PERSONAL, "[hidden]")
+
+
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     members = shingle_join.join_similar(read_table(spark, folder, "documents")).members
     return members.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "links")
@@ -58,6 +66,14 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", F.col("lines_removed").cast("long").alias("lines_removed"), F.md5("text").alias("text_md5"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    model = quality.learn_quality(documents, labels.filter(remainder("doc_id", 4) != 2))
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return quality.score_quality(documents, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents")
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
@@ -76,8 +92,10 @@ def queries() -> dict[str, Query]:
         "op2_decontamination": op2_decontamination,
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
+        "op5_token_counts": op5_token_counts,
         "op6_ngram_jaccard": op6_ngram_jaccard,
         "op7_line_dedup": op7_line_dedup,
+        "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
     }
