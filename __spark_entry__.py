@@ -36,6 +36,12 @@ AS_OF = "2001-08-01"  # the latest order date of the test tables
 REGIONS = ["ASIA", "EUROPE", "AMERICA"]
 LO, HI = "1997-01-01", "2000-12-31"
 DEALER_TYPES = ["BUILDING", "MACHINERY"]
+
+# The domains of the test tables, and how many rows their tables may have.
+STATUSES = ["Paid", "Partial", "Overdue"]
+ALL_DEALER_TYPES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+ROW_BOUNDS = {"dealers": (100, 20_000), "products": (100, 50_000), "orders": (4_000, 6_000), "calendar": (125, 125)}
+
 CROP = "Brand#12"
 TERM = "00[1-3]7"
 ADHOC = (
@@ -132,14 +138,21 @@ def _domain(r: Roles) -> DataFrame:
     return quality.union_checks(
         [
             quality.row_checks(
-                r.orders, {"payment status": quality.outside_domain("payment_status", ["Paid", "Partial"])}
+                r.orders, {"payment status": quality.outside_domain("payment_status", STATUSES)}
             ),
-            quality.row_checks(r.dealers, {"dealer type": quality.outside_domain("dealer_type", DEALER_TYPES)}),
-            quality.row_checks(r.calendar, {"peak month": quality.outside_range("peak_demand_month", 1, 9)}),
+            quality.row_checks(r.dealers, {"dealer type": quality.outside_domain("dealer_type", ALL_DEALER_TYPES)}),
+            quality.row_checks(r.calendar, {"peak month": quality.outside_range("peak_demand_month", 1, 12)}),
         ]
     )
 
 
+def _row_bounds(r: Roles) -> DataFrame:
+    tables = {"dealers": r.dealers, "products": r.products, "orders": r.orders, "calendar": r.calendar}
+    return quality.union_checks(
+        [quality.count_between(tables[name], lo, hi, f"{name}: rows") for name, (lo, hi) in ROW_BOUNDS.items()]
+    )
+
+
 def _duplicate_keys(r: Roles) -> DataFrame:
     return quality.union_checks(
         [
@@ -257,6 +270,7 @@ def core_queries() -> dict[str, Query]:
             lambda r: quality.reconciliation(r.orders, r.payments, "status contradicts receipts")
         ),
         "dq_domain": _query(_domain),
+        "dq_row_bounds": _query(_row_bounds),
         "dq_duplicate_keys": _query(_duplicate_keys),
         "dq_presence": _query(_presence),
         # panels
@@ -284,7 +298,7 @@ def core_queries() -> dict[str, Query]:
         "low_stock": _query(lambda r: reports.low_stock(_stock(r))),
         "near_expiry": _query(lambda r: reports.near_expiry(r.inventory, r.products, AS_OF)),
         "aging_totals": _query(lambda r: reports.aging_totals(_aging(r))),
-        "aging_search": _query(lambda r: reports.aging_search(_aging(r), TERM)),
+        "aging_search": _query(lambda r: reports.aging_search(r.dealers, r.orders, r.payments, AS_OF, TERM)),
         # scheduled reports
         "weekly_summary_recent": _query(lambda r: alerts.weekly_summary_recent(r.orders, r.dealers, AS_OF)),
         "weekly_summary_json": _query(
@@ -618,9 +632,19 @@ def core_sql() -> dict[str, str]:
         "dq_domain": _with(
             ["sales_orders", "dealers", "crop_calendar"],
             "SELECT 'payment status' AS check_name, count(*) AS failures FROM sales_orders WHERE payment_status NOT "
-            "IN ('Paid', 'Partial') UNION ALL SELECT 'dealer type', count(*) FROM dealers WHERE dealer_type NOT IN "
-            "('BUILDING', 'MACHINERY') UNION ALL SELECT 'peak month', count(*) FROM crop_calendar WHERE "
-            "peak_demand_month NOT BETWEEN 1 AND 9",
+            "IN ('Paid', 'Partial', 'Overdue') UNION ALL SELECT 'dealer type', count(*) FROM dealers WHERE dealer_type NOT IN "
+            "('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY') UNION ALL SELECT 'peak month', count(*) FROM crop_calendar WHERE "
+            "peak_demand_month NOT BETWEEN 1 AND 12",
+        ),
+        "dq_row_bounds": _with(
+            ["dealers", "products", "sales_orders", "crop_calendar"],
+            " UNION ALL ".join(
+                f"SELECT '{name}: rows' AS check_name, CAST(CASE WHEN count(*) BETWEEN {lo} AND {hi} THEN 0 ELSE 1 END "
+                f"AS BIGINT) AS failures FROM {table}"
+                for (name, (lo, hi)), table in zip(
+                    ROW_BOUNDS.items(), ("dealers", "products", "sales_orders", "crop_calendar")
+                )
+            ),
         ),
         "dq_duplicate_keys": _with(
             ["dealers", "products", "sales_orders", "inventory", "crop_calendar"],

@@ -1,4 +1,4 @@
-"""Joins of the facts to a dimension, chosen by the measured size of the dimension."""
+"""Joins of the facts to a dimension."""
 
 from __future__ import annotations
 
@@ -9,23 +9,6 @@ from pyspark.sql import functions as F
 
 from dealerscope.functions.money import total
 
-# Rows of a key plus one or two short columns: at this many a copy stays near 32 MB.
-BROADCAST_ROWS = 500_000
-
-
-def is_small(dimension: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether every executor can hold a copy of the dimension, from its actual row count."""
-    return dimension.count() <= max_rows
-
-
-def sized(dimension: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The dimension marked for broadcast if it is small, otherwise unchanged.
-
-    An unmarked side is joined by shuffle, where the adaptive skew join splits a key that
-    holds a large share of the rows.
-    """
-    return F.broadcast(dimension) if is_small(dimension, max_rows) else dimension
-
 
 def rollup_through(
     facts: DataFrame,
@@ -35,14 +18,14 @@ def rollup_through(
     by: Sequence[str | Column],
     amounts: Mapping[str, str],
     counts: Mapping[str, Column],
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Sums per ``by``, whose columns come from the facts and, through ``key``, the dimension.
 
     ``amounts`` (output name to fact column) are summed exactly, ``counts`` (output name to
-    a whole-number expression) as integers. With a small dimension the facts are joined
-    where they lie and only the sums are shuffled. With a large one the facts are first
-    summed per key and fact column, so a hot key arrives as few rows and none is split.
+    a whole-number expression) as integers. The facts are summed per key and fact column
+    before the join, at every size: Spark sums inside each input split first, so a hot key
+    arrives as few rows. How the sums meet the dimension is left to adaptive execution,
+    which knows the bytes of both.
     """
     rows = facts.select(
         key,
@@ -51,8 +34,5 @@ def rollup_through(
         *(column.alias(name) for name, column in counts.items()),
     )
     sums = [*(total(name).alias(name) for name in amounts), *(F.sum(name).alias(name) for name in counts)]
-    if is_small(dimension, max_rows):
-        joined = rows.join(F.broadcast(dimension), key)
-    else:
-        joined = rows.groupBy(key, *fact_columns).agg(*sums).join(dimension, key)
-    return joined.groupBy(*by).agg(*sums)
+    summed = rows.groupBy(key, *fact_columns).agg(*sums)
+    return summed.join(dimension, key).groupBy(*by).agg(*sums)

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealerscope.operators.joins import is_small, sized
-from dealerscope.sources.durable import materialise
-
 # Bucket widths of the value axis, fine to coarse. Amounts have two decimals, so a fine
 # bucket holds at most 2**14 * 100 distinct values and a coarse one 2**20 fine buckets.
 _WIDTHS = (2**14, 2**34)
@@ -40,32 +37,14 @@ def _count_above(counts: DataFrame, group: Sequence[str], widths: Sequence[int])
     )
 
 
-# Up to this many rows in all, even a single group is a light sort for one task.
-WINDOW_ROWS = 1_000_000
-
-
-def rank_descending(
-    df: DataFrame, group: Sequence[str], value: str, out: str, sizer: DataFrame, max_rows: int = WINDOW_ROWS
-) -> DataFrame:
-    """``RANK() OVER (PARTITION BY group ORDER BY value DESC NULLS FIRST)`` at any size.
-
-    ``sizer`` is a table with as many rows as ``df`` that is cheap to count. If it is
-    small, the window function is used as it is. Otherwise see :func:`rank_split`.
-    """
-    if is_small(sizer, max_rows):
-        ordered = Window.partitionBy(*group).orderBy(F.desc_nulls_first(value))
-        return df.withColumn(out, F.rank().over(ordered).cast("bigint"))
-    return rank_split(df, group, value, out)
-
-
-def rank_split(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
-    """The same ranks, ties included, with each group split along the value axis.
+def rank_descending(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
+    """``RANK() OVER (PARTITION BY group ORDER BY value DESC NULLS FIRST)``, ties included.
 
-    No task sorts a whole group. ``df`` is written once, since it is read again for the
-    counts. The group is kept as one struct, which equals itself even where a column of it
-    is null.
+    No task sorts a whole group: each is split along the value axis, at every size. ``df`` is
+    read for the counts and for the rows; its shuffles are shared by both. The group is kept
+    as one struct, which equals itself even where a column of it is null.
     """
-    rows = materialise(df).withColumn("_group", F.struct(*group))
+    rows = df.withColumn("_group", F.struct(*group))
     nulls = rows.filter(F.col(value).isNull())
     known = rows.filter(F.col(value).isNotNull()).withColumn("_value", F.col(value))
     counts = known.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("_n"))
@@ -73,7 +52,7 @@ def rank_split(df: DataFrame, group: Sequence[str], value: str, out: str) -> Dat
     above = F.col("_above") + F.coalesce("_missing", F.lit(0))
     ranks = (
         _count_above(counts, ["_group"], _WIDTHS)
-        .join(sized(missing), "_group", "left")
+        .join(missing, "_group", "left")
         .select("_group", "_value", (above + 1).alias(out))
     )
     ranked = known.join(ranks, ["_group", "_value"]).select(*df.columns, out)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from dealerscope.functions.dates import as_date, month_start
 from dealerscope.functions.money import TOTAL, ratio, total
 from dealerscope.operators.filters import in_date_range, in_regions, region_date_filter, search
-from dealerscope.operators.joins import rollup_through, sized
+from dealerscope.operators.joins import rollup_through
 from dealerscope.operators.rollups import dealer_totals
-from dealerscope.plans.views import AGE_BUCKETS, dealer_scorecard
+from dealerscope.plans.views import AGE_BUCKETS, dealer_aging_report, dealer_scorecard
 
 Day = dt.date | str | None
 Regions = Iterable[str] | None
@@ -109,6 +109,12 @@ def top_dealers(
     return _extreme(per_dealer, "revenue", "dealer_id", n).select("dealer_id", "dealer_name", "revenue")
 
 
+def of_dealers(dealers: DataFrame, orders: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The orders of some dealers and the payments of these orders, cut before anything is summed."""
+    kept = orders.join(dealers.select("dealer_id"), "dealer_id", "left_semi")
+    return kept, payments.join(kept.select("order_id"), "order_id", "left_semi")
+
+
 def dealer_performance(
     dealers: DataFrame,
     orders: DataFrame,
@@ -120,7 +126,7 @@ def dealer_performance(
     chosen = in_regions(dealers, regions)
     if types is not None:
         chosen = chosen.filter(F.col("dealer_type").isin(list(types)))
-    score = dealer_scorecard(chosen, orders, payments, carry=["dealer_type"])
+    score = dealer_scorecard(chosen, *of_dealers(chosen, orders, payments), carry=["dealer_type"])
     return score.orderBy(F.desc_nulls_last("total_revenue"), "dealer_id")
 
 
@@ -159,7 +165,7 @@ def crop_demand_curve(
     hi: Day = None,
 ) -> DataFrame:
     """Monthly quantity sold of one crop's products."""
-    of_crop = sized(products.filter(F.col("target_crop") == crop).select("product_id"))
+    of_crop = products.filter(F.col("target_crop") == crop).select("product_id")
     return (
         lines.transform(region_date_filter(dealers, regions, lo, hi))
         .join(of_crop, "product_id", "left_semi")
@@ -207,8 +213,12 @@ def aging_totals(aging: DataFrame) -> DataFrame:
     )
 
 
-def aging_search(aging: DataFrame, term: str) -> DataFrame:
-    return search(aging, "dealer_name", term)
+def aging_search(
+    dealers: DataFrame, orders: DataFrame, payments: DataFrame, as_of: dt.date | str, term: str
+) -> DataFrame:
+    """The aging report of the dealers whose name matches."""
+    chosen = search(dealers, "dealer_name", term)
+    return dealer_aging_report(chosen, *of_dealers(chosen, orders, payments), as_of)
 
 
 def forecast_overview(results: DataFrame, products: DataFrame) -> DataFrame:

@@ -48,9 +48,8 @@ def standardise(table: DataFrame) -> DataFrame:
     """Add ``z_*``: each measure less its mean, over its population deviation.
 
     A measure that is the same for all dealers becomes zero. The table is read twice, for
-    the moments and for the rows, and so written first.
+    the moments and for the rows.
     """
-    table = materialise(table)
     pairs = [(F.avg(F.col(m).cast("double")), F.stddev_pop(F.col(m).cast("double"))) for m in MEASURES]
     moments = table.agg(F.struct(*(c.alias(f"{k}_{m}") for m, p in zip(MEASURES, pairs) for k, c in zip("ms", p))))
     stats = moments.scalar()
@@ -67,6 +66,11 @@ def vectors(standardised: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(Z_COLUMNS), outputCol="features").transform(standardised)
 
 
+def in_fixed_order(points: DataFrame, parts: int = 16) -> DataFrame:
+    """Id and vector only, dealt and sorted by id: the fits see one order however the input lies."""
+    return points.select("dealer_id", "features").repartition(parts, "dealer_id").sortWithinPartitions("dealer_id")
+
+
 def fit_restarts(
     points: DataFrame,
     ks: Iterable[int] = CLUSTER_COUNTS,
@@ -163,19 +167,20 @@ def segment_dealers(
     seed: int = SEED,
 ) -> Segmentation:
     """Cluster the dealers for each k, keep the k that separates best, label its clusters."""
-    points = vectors(materialise(standardise(rfm(dealers, orders)))).persist()
+    table = materialise(standardise(rfm(dealers, orders)))
+    points = in_fixed_order(vectors(table)).persist()
     try:
         models = fit_restarts(points, ks, restarts, seed)
         diagnostics = diagnose(points, models)
         chosen = models[best_k(diagnostics)]
-        assigned = materialise(chosen.transform(points).select("dealer_id", *MEASURES, "cluster_id"))
+        assigned = materialise(chosen.transform(vectors(table)).select("dealer_id", *MEASURES, "cluster_id"))
     finally:
         points.unpersist()
     centres = materialise(label_clusters(centroids(assigned)))
     labels = centres.select("cluster_id", "segment_label")
-    table = dealers.sparkSession.createDataFrame(diagnostics, "k INT, inertia DOUBLE, silhouette DOUBLE")
+    by_k = dealers.sparkSession.createDataFrame(diagnostics, "k INT, inertia DOUBLE, silhouette DOUBLE")
     labelled = assigned.join(labels, "cluster_id").select("dealer_id", *MEASURES, "cluster_id", "segment_label")
-    return Segmentation(labelled, table, centres)
+    return Segmentation(labelled, by_k, centres)
 
 
 def segment_profile(segments: DataFrame) -> DataFrame:

@@ -99,7 +99,6 @@ def product_crop_performance(products: DataFrame, lines: DataFrame) -> DataFrame
         ["target_crop"],
         "total_revenue",
         "rank_within_crop_category",
-        sizer=products.select("product_id"),
     )
 
 

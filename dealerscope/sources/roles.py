@@ -15,8 +15,6 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.operators.joins import sized
-from dealerscope.sources.durable import materialise
 
 
 class Roles(Protocol):
@@ -173,13 +171,13 @@ class StarRoles:
         return self.product_lines.join(self.orders.select("order_id", "order_date", "dealer_id"), "order_id")
 
     def lines_of(self, products: DataFrame) -> DataFrame:
-        """The chosen lines are written first. If they turn out few, they are broadcast to the
-        order headers, which then need no shuffle."""
+        """The lines are filtered before they meet the order headers; if few are left,
+        adaptive execution broadcasts them and the headers need no shuffle."""
         chosen = self.product_lines.select("order_id", "product_id", "quantity").join(
             products.select("product_id"), "product_id", "left_semi"
         )
         dates = self.orders.select("order_id", "order_date")
-        return dates.join(sized(materialise(chosen)), "order_id")
+        return dates.join(chosen, "order_id")
 
     @cached_property
     def payments(self) -> DataFrame:
@@ -201,10 +199,11 @@ class StarRoles:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        """One row per crop and region, from an equi-join on a generated region key."""
+        """One row per crop and region: each crop gets the keys of the region table, as one list."""
         crops = self.table("part").select(F.col("p_brand").alias("crop")).distinct()
+        keys = self.table("region").agg(F.collect_set("r_regionkey")).scalar()
         return (
-            crops.withColumn("region_key", F.explode(F.sequence(F.lit(0), F.lit(4))))
+            crops.withColumn("region_key", F.explode(keys))
             .join(self.table("region"), F.col("region_key") == F.col("r_regionkey"))
             .select(
                 "crop",

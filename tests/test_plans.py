@@ -7,7 +7,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from dealerscope.operators import joins, quality
+from dealerscope.operators import quality
 from dealerscope.operators.filters import region_date_filter
 from dealerscope.plans import alerts, reports, views
 from dealerscope.sources.roles import roles_from_star
@@ -25,9 +25,8 @@ def roles(spark):
 
 
 @pytest.fixture
-def large_everywhere(spark, monkeypatch):
+def large_everywhere(spark):
     """As on big tables: nothing is small enough to broadcast."""
-    monkeypatch.setattr(joins, "is_small", lambda *_: False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -52,12 +51,6 @@ def test_weekly_summary_reads_only_recent_dates(roles):
     assert "GreaterThanOrEqual(o_orderdate,2001-08-01" in plan
 
 
-def test_small_dimension_leaves_the_facts_in_place(roles):
-    plan = plan_of(views.monthly_sales_summary(roles.orders, roles.dealers))
-    above_scan = plan[: plan.index("orders.parquet")]
-    assert above_scan.count("Exchange hashpartitioning") == 1  # the sums by month and region
-
-
 def test_large_dimension_meets_sums_not_rows(large_everywhere, roles):
     plan = plan_of(views.monthly_sales_summary(roles.orders, roles.dealers))
     before_join = plan[plan.index("SortMergeJoin") : plan.index("orders.parquet")]
@@ -136,3 +129,29 @@ def test_orphan_check_joins_keys_not_rows(spark, large_everywhere):
     plan = plan_of(quality.orphans(_skewed_orders(spark).drop("payload"), {"dealer_id": _dealers(spark)}, "x"))
     assert _shuffled_after(plan, "dealer_id", "partial_count")
     assert plan.count("Range (0, 60000") == 1
+
+
+@pytest.mark.parametrize("name", [n for n in entry.core_queries() if not n.startswith((*FITTED, "reload_from_csv"))])
+def test_composing_a_plain_query_starts_no_job(spark, name):
+    tracker = spark.sparkContext.statusTracker()
+    group = f"compose {name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        entry.core_queries()[name](spark, SMALL)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(tracker.getJobIdsForGroup(group)) == []
+
+
+def test_dealer_choice_reaches_the_facts(spark, large_everywhere, roles):
+    plan = plan_of(reports.dealer_performance(roles.dealers, roles.orders, roles.payments, ["ASIA"], ["BUILDING"]))
+    sums = [plan[m.start() :] for m in re.finditer("partial_sum", plan)]
+    assert sums and all("LeftSemi" in below for below in sums)
+
+
+def test_calendar_follows_the_region_table(spark, tmp_path):
+    regions = spark.createDataFrame([(k, f"R{k}") for k in (0, 7, 10, 11, 12, 40)], "r_regionkey INT, r_name STRING")
+    regions.write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([("Brand#11",), ("Brand#25",)], "p_brand STRING").write.parquet(f"{tmp_path}/part.parquet")
+    rows = roles_from_star(spark, str(tmp_path)).calendar.collect()
+    assert {(r.crop, r.region) for r in rows} == {(b, f"R{k}") for b in ("Brand#11", "Brand#25") for k in (0, 7, 10, 11, 12, 40)}

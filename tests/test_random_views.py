@@ -7,7 +7,6 @@ from decimal import Decimal as D
 import pytest
 
 import __spark_entry__ as entry
-from dealerscope.operators import joins, ranking
 from dealerscope.plans import segments, timeseries, views
 
 duckdb = pytest.importorskip("duckdb")
@@ -60,11 +59,8 @@ def _plain(value):
     return round(float(value), 9) if isinstance(value, float | D) else value
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("seed", range(3))
-def test_views_on_random_tables(spark, monkeypatch, seed, small):
-    monkeypatch.setattr(joins, "is_small", lambda *_: small)
-    monkeypatch.setattr(ranking, "is_small", lambda *_: small)
+def test_views_on_random_tables(spark, seed):
     connection, t = duckdb.connect(), {}
     for name, (ddl, rows) in _tables(seed).items():
         t[name] = spark.createDataFrame(rows, ddl)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dealerscope.operators.ranking import mean_rank_share, rank_descending, rank_split
+from dealerscope.operators.ranking import mean_rank_share, rank_descending
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -22,16 +22,7 @@ def test_split_rank_equals_the_window_function(spark, seed):
     ]
     df = spark.createDataFrame(rows, "id INT, g STRING, v DECIMAL(38,2)")
     expected = df.withColumn("r", F.rank().over(Window.partitionBy("g").orderBy(F.desc_nulls_first("v"))))
-    assert sorted(map(str, rank_split(df, ["g"], "v", "r").collect())) == sorted(map(str, expected.collect()))
-
-
-def test_size_decides_between_window_and_split(spark):
-    df = spark.createDataFrame([(i, "g", D(i % 4)) for i in range(20)], "id INT, g STRING, v DECIMAL(38,2)")
-    window = rank_descending(df, ["g"], "v", "r", sizer=df)
-    split = rank_descending(df, ["g"], "v", "r", sizer=df, max_rows=5)
-    assert "Window" in window._jdf.queryExecution().optimizedPlan().toString()
-    assert window.schema.simpleString() == split.schema.simpleString()
-    assert sorted(window.collect()) == sorted(split.collect())
+    assert sorted(map(str, rank_descending(df, ["g"], "v", "r").collect())) == sorted(map(str, expected.collect()))
 
 
 def test_mean_rank_share_averages_ties(spark):

@@ -3,7 +3,6 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from dealerscope.operators import joins
 from dealerscope.operators.filters import region_date_filter
 from dealerscope.plans import alerts, reports, views
 
@@ -37,9 +36,7 @@ def test_region_list_and_bounds(make):
         (["O'Brien"], None, None, []),
     ],
 )
-@pytest.mark.parametrize("small", [True, False])
-def test_global_filter(make, monkeypatch, regions, lo, hi, expected, small):
-    monkeypatch.setattr(joins, "is_small", lambda *_: small)
+def test_global_filter(make, regions, lo, hi, expected):
     rows = make.orders(*ORDERS).transform(region_date_filter(make.dealers(*DEALERS), regions, lo, hi))
     assert sorted(r.order_id for r in rows.collect()) == expected
 
@@ -124,7 +121,10 @@ def test_aging_totals_long_form(make):
     ("term", "ids"), [("", [1, 2]), ("asha", [1]), ("binod", [2]), (r"\(seeds\)", [2]), ("^agro", []), ("a.ha", [1])]
 )
 def test_aging_search(make, term, ids):
-    assert sorted(r.dealer_id for r in reports.aging_search(_aging(make), term).collect()) == ids
+    dealers = make.dealers((1, "Asha Agro", "North", 10, "Retailer"), (2, "Binod (Seeds)", "North", 10, "Retailer"), (3, None, "North", 1, "Retailer"))
+    orders = make.orders(*((i, "2024-01-05", i, 5, "Overdue") for i in (1, 2, 3)))
+    found = reports.aging_search(dealers, orders, make.payments((1, 2), (2, 1)), "2024-01-20", term).collect()
+    assert {r.dealer_id: r.outstanding_0_30 for r in found} == {i: D("3.00") if i == 1 else D("4.00") for i in ids}
 
 
 def test_overdue_reminders_and_message(make):

@@ -1,7 +1,6 @@
 from decimal import Decimal as D
 
 
-from dealerscope.operators import joins
 from dealerscope.plans import views
 
 DEALERS = [
@@ -31,15 +30,6 @@ def test_monthly_summary_by_region(make):
     }
 
 
-def test_rollup_is_the_same_for_small_and_large_dimensions(make, monkeypatch):
-    orders = make.orders(*((i, f"2024-0{1 + i % 3}-15", 1 + i % 4, i, "Paid") for i in range(60)))
-    dealers = make.dealers(*DEALERS)
-    small = views.monthly_sales_summary(orders, dealers)
-    monkeypatch.setattr(joins, "is_small", lambda *_: False)
-    large = views.monthly_sales_summary(orders, dealers)
-    assert sorted(small.collect()) == sorted(large.collect())
-
-
 def test_scorecard_keeps_dealers_without_orders_and_guards_zero_limit(make):
     orders = make.orders((1, "2024-01-05", 1, 100, "Partial"), (2, "2024-01-06", 1, 50, "Overdue"), (3, "2024-01-06", 2, 70, "Paid"))
     payments = make.payments((1, 30), (1, 20.55), (3, 70), (77, 5))
