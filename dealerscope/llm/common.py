@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dealerscope.sources.durable import materialise
 
-__all__ = ["arrow_batch", "in_blocks", "materialise", "mix64", "read_table", "remainder", "shingle_hashes", "texts_of", "word_hashes"]
+__all__ = ["arrow_batch", "in_blocks", "materialise", "mix64", "read_table", "remainder", "shingle_hashes", "shingles_of_each", "texts_of", "word_hashes"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -141,3 +141,10 @@ def shingle_hashes(words: np.ndarray, length: int = 5) -> np.ndarray:
     for i in range(n):
         total += mix64(words[i : len(words) - n + 1 + i] + mix64(np.array([i + 1], np.uint64)))
     return mix64(total + np.uint64(n))
+
+
+def shingles_of_each(words: np.ndarray, starts: np.ndarray, length: int = 5) -> Iterator[np.ndarray]:
+    """``shingle_hashes`` of each text of ``word_hashes``: one pass over all words, then slices."""
+    every = shingle_hashes(words, length) if len(words) >= length else np.zeros(0, np.uint64)
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        yield every[a : b - length + 1] if b - a >= length else shingle_hashes(words[a:b], length)

@@ -15,21 +15,22 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.llm.common import in_blocks, materialise, mix64, shingle_hashes, texts_of, word_hashes
+from dealerscope.llm.common import in_blocks, materialise, mix64, shingles_of_each, texts_of, word_hashes
 from dealerscope.llm.components import connected_components
 
 WORDS = 5
 NEED, OF = 3, 7  # overlap * 7 >= 3 * (sum of the sizes) is a Jaccard similarity of at least 3/4
-GROUPS = 128  # coordinates of a point
+GROUPS = 256  # coordinates of a point
 FREQUENT = 4000  # a shingle is frequent in over 1 / 4000 of the documents
 MOST_FREQUENT = 2_000_000  # the rarest of the frequent shingles beyond this count as rare
 BLOCK = 2048  # points of an R-tree
+_LEAF = 64  # points that are compared without a tree
+_TOGETHER = 4096  # points of the buckets that a task takes at a time, about
 _FANOUT = 16
 _COUNTED = 1 << 23  # shingles counted together in a task
 
@@ -37,16 +38,14 @@ _COUNTED = 1 << 23  # shingles counted together in a task
 def _sets(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text, as unsigned 64-bit hashes."""
     for part in in_blocks(texts):
-        hashes, starts = word_hashes(texts[part])
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            yield np.unique(shingle_hashes(hashes[a:b], words))
+        for shingles in shingles_of_each(*word_hashes(texts[part]), words):
+            yield np.unique(shingles)
 
 
 def _class_of(shingles: np.ndarray) -> bytes:
-    """128 bits that name a set."""
-    first = mix64(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))
-    second = mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return mix64(np.array([first, second], np.uint64)).tobytes()
+    """128 bits that name a set: the sums of its hashes and of their squares."""
+    sums = (int(shingles.sum(dtype=np.uint64)), int((shingles * shingles).sum(dtype=np.uint64)))
+    return sums[0].to_bytes(8, "little") + sums[1].to_bytes(8, "little")
 
 
 def _key(name: bytes) -> int:
@@ -60,7 +59,7 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document; rows (frequent, times) for shingles met often in a task."""
-    names = ["doc_id", "n", "class", "key", "counts", "frequent", "times"]
+    names = ["doc_id", "version", "n", "class", "key", "counts", "frequent", "times"]
     seen: set[bytes] = set()
     kept: list[np.ndarray] = []
     size = 0
@@ -69,7 +68,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = np.unique(np.concatenate(kept), return_counts=True)
         often = times > 2
         n, nulls = int(often.sum()), pa.nulls
-        columns = [nulls(n, pa.int64()), nulls(n, pa.int32()), nulls(n, pa.binary()), nulls(n, pa.int64()), nulls(n, pa.list_(pa.int32()))]
+        columns = [nulls(n, pa.int64()), nulls(n, pa.int64()), nulls(n, pa.int32()), nulls(n, pa.binary()), nulls(n, pa.int64()), nulls(n, pa.binary())]
         return pa.RecordBatch.from_arrays([*columns, _signed(values[often]), pa.array(times[often])], names=names)
 
     for batch in batches:
@@ -77,7 +76,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shingles in _sets(texts_of(batch)):
             sizes.append(len(shingles))
             classes.append(_class_of(shingles))
-            counts.append(np.bincount((shingles >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32))
+            counts.append(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
             if classes[-1] not in seen:
                 seen.add(classes[-1])
                 kept.append(shingles)
@@ -88,8 +87,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = 0
         n = len(sizes)
         keys = np.array([_key(name) for name in classes], np.int64)
-        columns = [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary()), pa.array(keys)]
-        columns.append(pa.array(counts, pa.list_(pa.int32())))
+        columns = [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary())]
+        columns += [pa.array(keys), pa.array(counts, pa.binary())]
         yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
     if kept:
         yield counted()
@@ -144,11 +143,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(key[out])], names=["shingle", "key"])
 
 
-def _verified_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_BITS = 27  # of the filter, 16 MB
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids, of fixed size: most documents that are not needed fail it."""
+    bits = ids.filter("id IS NOT NULL").select(F.explode(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1)))).alias("bit"))
+    bit = F.pmod("bit", F.lit(1 << _BITS))
+    words = bits.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(bit, {1 << _BITS}) & 63 as int))")).alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(1 << (_BITS - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _needed_sets(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(class, shingles) of the documents that pass the filter, a class once for each task."""
+    seen: set[bytes] = set()
     for batch in batches:
-        sets = list(_sets(texts_of(batch)))
-        columns = [pa.array([_class_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["class", "shingles"])
+        passed = np.ones(batch.num_rows, dtype=bool)
+        for name in ("hash_a", "hash_b"):
+            bit = batch.column(name).to_numpy(zero_copy_only=False) & ((1 << _BITS) - 1)
+            passed &= (bits.value[bit >> 6] >> (bit & 63)) & 1 == 1
+        passed |= np.asarray(batch.column("doc_id").is_null())
+        texts = texts_of(batch.filter(pa.array(passed)))
+        classes, sets = [], []
+        for shingles in _sets(texts):
+            name = _class_of(shingles)
+            if name not in seen:
+                seen.add(name)
+                classes.append(name)
+                sets.append(shingles.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
 
 
 def _enough(overlap: Column, a: Column, b: Column) -> Column:
@@ -201,25 +227,63 @@ class RTree:
         return mine
 
 
-def _bucket_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one bucket, or of two of its blocks, that the R-tree cannot rule out."""
-    points = np.stack(frame["counts"].to_numpy()).astype(np.int32)
-    sizes = frame["n"].to_numpy().astype(np.int64)
+def _tree_pairs(points: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of points of one unit that its R-tree cannot rule out."""
     order = np.lexsort((points.argmax(axis=1), points[:, 0], sizes))
-    names, blocks = frame["class"].to_numpy()[order], frame["block"].to_numpy()[order]
-    tree = RTree.pack(points[order], sizes[order], frame["component"].factorize()[0][order])
-    apart = frame["block_a"].iloc[0] != frame["block_b"].iloc[0]
-    found: list[tuple[bytes, bytes]] = []
-    for at in range(len(names)):
-        for other in tree.partners(at).tolist():
-            if other > at and not (apart and blocks[at] == blocks[other]):
-                found.append((min(names[at], names[other]), max(names[at], names[other])))
-    return pd.DataFrame(found, columns=["a", "b"])
+    tree = RTree.pack(points[order].astype(np.int64), sizes[order], components[order])
+    found = [tree.partners(at) for at in range(len(order))]
+    first = np.repeat(np.arange(len(order)), [len(f) for f in found])
+    second = np.concatenate(found) if found else first
+    keep = second > first
+    return order[first[keep]], order[second[keep]]
+
+
+def _leaf_pairs(unit: np.ndarray, points: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many small units at once, sorted by unit: a unit is a single leaf."""
+    firsts, seconds = [], []
+    for apart in range(1, _LEAF):
+        if apart >= len(unit):
+            break
+        near = (unit[apart:] == unit[:-apart]) & (components[apart:] != components[:-apart])
+        near &= (4 * sizes[apart:] >= 3 * sizes[:-apart]) & (4 * sizes[:-apart] >= 3 * sizes[apart:])
+        at = np.flatnonzero(near)
+        for part in np.array_split(at, 1 + len(at) // 4096):
+            overlap = np.minimum(points[part], points[part + apart]).sum(axis=1)
+            kept = part[_within_bound(overlap, sizes[part], sizes[part + apart])]
+            firsts.append(kept)
+            seconds.append(kept + apart)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
+
+
+def _units_pairs(table: pa.Table) -> pa.Table:
+    """The pairs of the buckets, or pairs of blocks, that came to one task."""
+    table = table.combine_chunks().sort_by("unit")
+    unit, block = table.column("unit").to_numpy(), table.column("block").to_numpy()
+    names = table.column("class").to_pylist()
+    points = _counts(table.column("counts").combine_chunks())
+    sizes = table.column("n").to_numpy().astype(np.int64)
+    components = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
+    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    many = np.diff(np.concatenate((starts, [len(unit)])))
+    small = np.flatnonzero(np.repeat(many <= _LEAF, many))
+    first, second = _leaf_pairs(unit[small], points[small], sizes[small], components[small])
+    firsts, seconds = [small[first]], [small[second]]
+    for start, n in zip(starts[many > _LEAF].tolist(), many[many > _LEAF].tolist()):
+        rows = slice(start, start + n)
+        first, second = _tree_pairs(points[rows], sizes[rows], components[rows])
+        blocks = block[rows]
+        keep = (blocks[first] != blocks[second]) | (blocks.min() == blocks.max())  # others meet in their own block
+        firsts.append(start + first[keep])
+        seconds.append(start + second[keep])
+    pairs = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in zip(np.concatenate(firsts).tolist(), np.concatenate(seconds).tolist())}
+    a, b = zip(*sorted(pairs)) if pairs else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 
 @dataclass
 class SimilarDocuments:
-    """``members``: (doc_id, n_shingles, class, component_id, links); ``links``: (a, b), pairs of classes."""
+    """``members``: (doc_id, version, n_shingles, class, group, component_id, links); ``links``: (a, b), pairs of classes."""
 
     members: DataFrame
     links: DataFrame
@@ -231,7 +295,8 @@ def join_similar(documents: DataFrame) -> SimilarDocuments:
     Words are runs of characters other than ASCII white space, A-Z lower-cased; a text of fewer
     words has its whole sequence as one shingle; one without words, or null, has none and no
     links. ``members`` has every row; ``component_id`` is the least doc_id that links reach, its
-    own if none; ``class`` names its set. ``links`` connects classes so that each pair of similar
+    own if none; ``class`` names its set, ``group`` the class that stands for its component, and
+    ``version`` is the text's hash. ``links`` connects classes so that each pair of similar
     documents is joined by a path of links, without every pair in a large group: where two classes
     are already joined, they are not compared. Repeated rows and exact copies are one class. Rows
     with a null id take part and can join others. Shingles and sets are known by hashes of 64 and
@@ -239,8 +304,8 @@ def join_similar(documents: DataFrame) -> SimilarDocuments:
     """
     spark = documents.sparkSession
     frame = documents.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n int, class binary, key long, counts array<int>, frequent long, times long"
-    survey = materialise(frame.mapInArrow(_survey, schema))
+    schema = "doc_id long, version long, n int, class binary, key long, counts binary, frequent long, times long"
+    survey = materialise(frame.withColumn("version", F.xxhash64("text")).mapInArrow(_survey, schema))
     rows = survey.filter("class IS NOT NULL")
     classes = rows.groupBy("class").agg(
         F.min("doc_id").alias("least_id"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("counts").alias("counts")
@@ -258,71 +323,114 @@ def join_similar(documents: DataFrame) -> SimilarDocuments:
     sorted_prefixes = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key")
     shared = materialise(sorted_prefixes.mapInArrow(_shared, "shingle long, key long"))
     buckets = materialise(shared.join(classes.select("key", "class"), "key").select("shingle", "class").distinct())
-    wanted = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "least_id")
-    needed = wanted.select("least_id").distinct()
-    holders = frame.join(needed, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
-    sets = holders.select("text").mapInArrow(_verified_sets, "class binary, shingles array<long>")
-    sets = materialise(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
 
     points = classes.select("class", "n", "counts")
-    links = _verify(_near_pivots(buckets, points), sets)
-    joined = connected_components(links)
-    links = materialise(links.union(_verify(_across(buckets, points, joined), sets)))
+    near = materialise(_near_pivots(buckets, points))
+    links = _verify(near, _sets_for(near, classes, frame))
+    open_ = materialise(_open_buckets(buckets, connected_components(links)))
+    across = materialise(_across(open_, points))
+    links = materialise(links.union(_verify(across, _sets_for(across, classes, frame))))
     joined = connected_components(links)
 
     home = classes.select("class", "least_id").join(joined.withColumnRenamed("node", "class"), "class", "left")
     home = home.withColumn("component", F.coalesce("component", "class"))
     ids = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
     degree = links.select("a").union(links.select("b")).toDF("class").groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    home = home.join(ids, "component").join(degree, "class", "left").select("class", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    members = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(home, "class")
+    home = home.join(ids, "component").join(degree, "class", "left").select(
+        "class", F.col("component").alias("group"), "component_id", F.coalesce("links", F.lit(0)).alias("links")
+    )
+    members = rows.select("doc_id", "version", F.col("n").alias("n_shingles"), "class").join(home, "class")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    members = members.select("doc_id", "n_shingles", "class", own.alias("component_id"), "links")
+    members = members.select("doc_id", "version", "n_shingles", "class", "group", own.alias("component_id"), "links")
     return SimilarDocuments(members, links)
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs whose sizes and summed coordinate minima allow the similarity."""
-    a, b = points.toDF("a", "n_a", "counts_a"), points.toDF("b", "n_b", "counts_b")
-    sized = pairs.join(a, "a").join(b, "b")
-    overlap = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return sized.filter(_enough(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents with all their columns, one of each group of similar ones.
 
+    The one with the least doc_id stays, then the one whose text has the least hash; a null id
+    comes last, and of repeated rows one stays. Texts without words are all kept.
+    """
+    members = join_similar(documents).members
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")).alias("best")
+    kept = members.filter("n_shingles > 0").groupBy("group").agg(best).select("best.doc_id", "best.version")
+    kept = kept.union(members.filter("n_shingles = 0").select("doc_id", "version")).distinct().toDF("kept_id_", "kept_version_")
+    versions = documents.withColumn("version_", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.col("version_") == F.col("kept_version_"))
+    chosen = versions.join(materialise(kept), same, "left_semi")
+    words = F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    once = chosen.filter(words).dropDuplicates(["doc_id", "version_"])
+    return once.union(chosen.filter(~words)).drop("version_")
 
-def _near_pivots(buckets: DataFrame, points: DataFrame) -> DataFrame:
-    """Each class with the first and the last class of its buckets: most groups need no more."""
-    pivots = buckets.groupBy("shingle").agg(F.min("class").alias("first"), F.max("class").alias("last"))
-    met = buckets.join(pivots, "shingle")
-    pairs = met.select("class", "first").union(met.select("class", "last")).filter("class <> first").distinct()
-    pairs = pairs.select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct()
-    return _bounded(pairs, points)
 
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), GROUPS)
 
-def _across(buckets: DataFrame, points: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in a bucket, by its R-tree.
 
-    Buckets of one component are done, of buckets with the same classes one is kept. A bucket of
-    many classes is split into blocks, and each pair of blocks is a task's work.
-    """
+def _within_bound(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return OF * overlap.astype(np.int64) >= NEED * (a.astype(np.int64) + b)
+
+
+def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their points those whose summed coordinate minima are large enough."""
+    for batch in batches:
+        overlap = np.minimum(_counts(batch.column("counts_a")), _counts(batch.column("counts_b"))).sum(axis=1)
+        keep = _within_bound(overlap, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _near_pivots(buckets: DataFrame, points: DataFrame) -> DataFrame:
+    """Each class with one class of its buckets, if their points allow it; most groups need no more."""
+    pivots = buckets.groupBy("shingle").agg(F.min("class").alias("pivot"))
+    met = buckets.join(pivots, "shingle").filter("class <> pivot")
+    pairs = met.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
+    sized = pairs.join(points.toDF("a", "n_a", "counts_a"), "a").join(points.toDF("b", "n_b", "counts_b"), "b")
+    alike = sized.filter("4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
+    return alike.mapInArrow(_allowed, "a binary, b binary")
+
+
+def _open_buckets(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """(shingle, class, component) of the buckets with several components; of those with the same classes, one."""
     placed = buckets.join(joined.withColumnRenamed("node", "class"), "class", "left")
     placed = placed.withColumn("component", F.coalesce("component", "class"))
     kinds = placed.groupBy("shingle").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"),
         F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.min("class").alias("first"),
     )
-    kinds = kinds.filter("low <> high").groupBy("many", "sum", "first").agg(F.min("shingle").alias("shingle"))
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    open_ = placed.join(kinds.select("shingle", blocks.alias("blocks")), "shingle")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("block_a", F.least("block", "other")).withColumn("block_b", F.greatest("block", "other"))
-    dealt = dealt.join(points, "class").select("shingle", "block_a", "block_b", "block", "class", "component", "n", "counts")
-    pairs = dealt.groupBy("shingle", "block_a", "block_b").applyInPandas(_bucket_pairs, "a binary, b binary")
-    return pairs.distinct()
+    kept = kinds.filter("low <> high").groupBy("many", "sum", "first").agg(F.min("shingle").alias("shingle"))
+    return placed.join(kept.select("shingle"), "shingle").select("shingle", "class", "component")
+
+
+def _sets_for(pairs: DataFrame, classes: DataFrame, frame: DataFrame) -> DataFrame:
+    """(class, shingles) for the classes of some pairs, computed again from the texts.
+
+    The texts are filtered where they are; neither they nor the sets of all classes are shuffled.
+    """
+    wanted = classes.join(pairs.select("a").union(pairs.select("b")).toDF("class").distinct(), "class", "left_semi")
+    wanted = materialise(wanted.select("class", "least_id"))
+    bits = frame.sparkSession.sparkContext.broadcast(_filter(wanted.select(F.col("least_id").alias("id"))))
+    hashed = frame.withColumns({"hash_a": F.xxhash64("doc_id"), "hash_b": F.xxhash64("doc_id", F.lit(1))})
+    sets = hashed.mapInArrow(partial(_needed_sets, bits=bits), "class binary, shingles array<long>")
+    return materialise(sets.join(wanted.select("class"), "class", "left_semi"))
+
+
+def _across(open_: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs of different components that meet in a bucket, by its R-tree.
+
+    A bucket of many classes is split into blocks, and each pair of blocks is a unit of work.
+    """
+    sizes = open_.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = open_.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = materialise(dealt.select("class", F.xxhash64("component").alias("component"), unit.alias("unit"), "block", "blocks"))
+    parts = 1 + dealt.count() // _TOGETHER
+    task = F.pmod(F.col("unit"), F.lit(parts)).alias("task")
+    return dealt.join(points, "class").groupBy(task).applyInArrow(_units_pairs, "a binary, b binary").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that share enough shingles."""
+    """The pairs that share enough shingles. A set may be there more than once."""
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     overlap = F.size(F.array_intersect("set_a", "set_b"))
-    return materialise(both.filter(_enough(overlap, F.size("set_a"), F.size("set_b"))).select("a", "b"))
+    return materialise(both.filter(_enough(overlap, F.size("set_a"), F.size("set_b"))).select("a", "b").distinct())
