@@ -7,8 +7,10 @@ leaked item lies in one of them whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ FEWEST_WORDS = 5  # an item of fewer words has no shingle and names no passage
 K1, B = 1.2, 0.75
 POSTINGS = 2_000_000  # of one index; more items make more indexes, each queried by all passages
 _BLOCK = 64  # postings under one maximum
+_DONE = 1 << 62  # the current item of a list at its end
 _ESSENTIAL = 0.8  # of an item's score lies in its essential words
 
 
@@ -64,10 +67,7 @@ class Index:
     need: np.ndarray  # an item's least essential score for the threshold
 
     def __post_init__(self) -> None:
-        self.most = np.maximum.reduceat(self.impacts, self.first[:-1]) if len(self.terms) else self.impacts
-        self.blocks = [
-            np.maximum.reduceat(self.impacts[a:b], np.arange(0, b - a, _BLOCK)) for a, b in zip(self.first[:-1], self.first[1:])
-        ]
+        self.lists: dict[int, tuple] = {}
         keep = np.concatenate(([0], np.cumsum(self.essential)))
         self.essential_first = keep[self.first]
         self.essential_items, self.essential_impacts = self.items[self.essential], self.impacts[self.essential]
@@ -75,6 +75,15 @@ class Index:
         used = self.terms[np.diff(self.essential_first) > 0]
         self.maybe[(used >> np.uint64(44)).astype(np.int64)] = True
 
+    def list_of(self, term: int) -> tuple:
+        """A term's items, impacts, block maxima and largest impact, as the search reads them."""
+        if term not in self.lists:
+            a, b = int(self.first[term]), int(self.first[term + 1])
+            impacts = self.impacts[a:b]
+            blocks = np.maximum.reduceat(impacts, np.arange(0, b - a, _BLOCK))
+            self.lists[term] = (self.items[a:b].tolist(), impacts.tolist(), blocks.tolist(), float(impacts.max()))
+        return self.lists[term]
+
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, term number) of the words that may have essential postings."""
         place = np.flatnonzero(self.maybe[(words >> np.uint64(44)).astype(np.int64)])
@@ -91,52 +100,49 @@ class Index:
         """
         found = np.unique(words)
         at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
-        cursors = [[int(self.first[t]), t] for t in at[self.terms[at] == found].tolist()]
-        end = {t: int(self.first[t + 1]) for _, t in cursors}
+        # of each list: current item, its place, the items, their impacts, block maxima, largest impact
+        cursors = [[lists[0][0], 0, *lists] for lists in map(self.list_of, at[self.terms[at] == found].tolist())]
         out: list[tuple[int, float]] = []
 
-        def skip(cursor: list[int], item: int) -> None:
-            place, t = cursor
-            cursor[0] = place + int(np.searchsorted(self.items[place : end[t]], item))
+        def skip(cursor: list, item: int) -> None:
+            if cursor[0] < item:
+                cursor[1] = bisect_left(cursor[2], item, cursor[1])
+                cursor[0] = cursor[2][cursor[1]] if cursor[1] < len(cursor[2]) else _DONE
 
         while True:
-            cursors = sorted((c for c in cursors if c[0] < end[c[1]]), key=lambda c: self.items[c[0]])
+            cursors.sort(key=itemgetter(0))
+            while cursors and cursors[-1][0] == _DONE:
+                cursors.pop()
             total, pivot = 0.0, -1
-            for i, (_, t) in enumerate(cursors):
-                total += self.most[t]
+            for i, cursor in enumerate(cursors):
+                total += cursor[5]
                 if total >= threshold:
                     pivot = i
                     break
             if pivot < 0:
                 return out
-            item = self.items[cursors[pivot][0]]
-            while pivot + 1 < len(cursors) and self.items[cursors[pivot + 1][0]] == item:
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            bound, nearest = 0.0, int(item) + 1
-            ends = []
-            for place, t in cursors[: pivot + 1]:
-                first = int(self.first[t])
-                ahead = place + int(np.searchsorted(self.items[place : end[t]], item))
-                if ahead < end[t]:
-                    block = (ahead - first) // _BLOCK
-                    bound += self.blocks[t][block]
-                    ends.append(int(self.items[min(first + (block + 1) * _BLOCK, end[t]) - 1]) + 1)
+            bound, nearest = 0.0, _DONE if pivot + 1 == len(cursors) else cursors[pivot + 1][0]
+            for now, place, items, _, blocks, _ in cursors[: pivot + 1]:
+                ahead = place if now == item else bisect_left(items, item, place)
+                if ahead < len(items):
+                    block = ahead // _BLOCK
+                    bound += blocks[block]
+                    nearest = min(nearest, items[min((block + 1) * _BLOCK, len(items)) - 1] + 1)
             if bound < threshold:
-                if pivot + 1 < len(cursors):
-                    ends.append(int(self.items[cursors[pivot + 1][0]]))
-                nearest = max(nearest, min(ends))
                 for cursor in cursors[: pivot + 1]:
-                    skip(cursor, nearest)
+                    skip(cursor, max(nearest, item + 1))
                 continue
             score = 0.0
             for cursor in cursors[: pivot + 1]:
                 skip(cursor, item)
-                place, t = cursor
-                if place < end[t] and self.items[place] == item:
-                    score += self.impacts[place]
-                    cursor[0] += 1
+                if cursor[0] == item:
+                    score += cursor[3][cursor[1]]
+                    skip(cursor, item + 1)
             if score >= threshold:
-                out.append((int(item), float(score)))
+                out.append((item, score))
 
     def overlaps(self, words: np.ndarray, item: int) -> tuple[float, float]:
         """Shares of the question's shingles and of the answer's words that the passage has."""
@@ -260,6 +266,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESH
 
 
 def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that leak no item, with all their columns; rows with a null id are judged by their text."""
-    leaks = find_leaks(documents.withColumn("doc_id", F.xxhash64("text")), items).select(F.col("doc_id").alias("leaked_")).distinct()
+    """The documents that leak no item, with all their columns. A document is known by its text, so null ids do no harm."""
+    texts = documents.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = materialise(find_leaks(texts, items).select(F.col("doc_id").alias("leaked_")).distinct())
     return documents.join(leaks, F.xxhash64("text") == F.col("leaked_"), "left_anti")
