@@ -83,7 +83,8 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``documents``, the text without later repeated runs, and lines_removed.
 
     A line goes if it lies in a run of lines with ``min_words`` words or more that occurs earlier,
-    in a document before or further up; an empty line goes with the run around it. What is left
+    in a document before or further up (it may overlap itself: of one line again and again, the
+    first stays); an empty line goes with the run around it. What is left
     keeps its order and newlines, a text may become empty, null stays null. Rows with the same id
     and text are one document and end alike. Columns of those names in the input are replaced.
     """

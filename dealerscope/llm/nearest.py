@@ -134,7 +134,7 @@ def _visits(batches: Iterator[pa.RecordBatch], forest: Broadcast, many: int, tog
         margins = vectors @ forest.value.planes.reshape(-1, width).T - forest.value.middles.ravel()
         rows: list[tuple] = []
         ids, packed = batch.column("query_id").to_pylist(), batch.column("vector").to_pylist()
-        for i, row in enumerate(margins.reshape(-1, trees, inner).tolist()):
+        for i, row in enumerate(margins.reshape(len(margins), trees, inner).tolist()):
             groups: dict[tuple[int, int], list[int]] = {}
             for tree, leaf in forest.value.visit(row, many):
                 groups.setdefault((tree, leaf // together), []).append(leaf)
