@@ -203,7 +203,7 @@ def _reload(spark: SparkSession, folder: str) -> DataFrame:
 
 def _adhoc(statement: str, **parameters: object) -> Query:
     return lambda spark, folder: _portable(
-        adhoc.ask(spark, roles_from_star(spark, folder), AS_OF, statement, **parameters)
+        adhoc.ask(spark, roles_from_star(spark, folder), AS_OF, statement, parameters=parameters)
     )
 
 

@@ -64,7 +64,7 @@ def stored_results(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return found
 
 
-def ask(spark: SparkSession, folder: str, as_of: dt.date | str, statement: str, **parameters: object) -> DataFrame:
+def ask(spark: SparkSession, folder: str, as_of: dt.date | str, statement: str, parameters: Mapping[str, object] | None = None) -> DataFrame:
     """A bounded SELECT over tables, views and stored results."""
     roles, results = open_roles(spark, folder), stored_results(spark, folder)
-    return adhoc.ask(spark, roles, as_of, statement, results, **parameters)
+    return adhoc.ask(spark, roles, as_of, statement, results, parameters)
