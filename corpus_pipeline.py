@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealerscope.llm import decontamination, language_id, line_dedup, packing, shingle_join
-from dealerscope.llm.common import read_table
+from dealerscope.llm.common import read_table, share_package
 from dealerscope.sources.durable import fresh_path
 
 LEAST_COSINE = 0.1  # a text of LONG characters or more that is farther from all languages is in none of them
@@ -16,6 +16,7 @@ LONG = 100
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the texts that have no letter or are like none of the languages that ``lang`` names."""
+    share_package(spark)
     profiles = language_id.learn_profiles(docs, F.lit(True))
     scored = language_id.predict_language(docs, profiles)
     foreign = (F.col("score") < LEAST_COSINE) & (F.length("text") >= LONG)

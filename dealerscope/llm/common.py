@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,19 @@ from dealerscope.sources.durable import materialise
 __all__ = ["arrow_batch", "in_blocks", "materialise", "mix64", "read_table", "remainder", "shingle_hashes", "shingles_of_each", "texts_of", "word_hashes"]
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they see that folder.
+
+    On a cluster without a shared installation, pass the package with ``--py-files`` as usual.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known.get("PYTHONPATH"))))
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
