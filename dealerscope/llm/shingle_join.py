@@ -29,6 +29,7 @@ GROUPS = 256  # coordinates of a point
 FREQUENT = 4000  # a shingle is frequent in over 1 / 4000 of the documents
 MOST_FREQUENT = 2_000_000  # the rarest of the frequent shingles beyond this count as rare
 BLOCK = 2048  # points of an R-tree
+_VERIFIED = 1_000_000  # shingles of a part of the sets that are verified together
 _LEAF = 64  # points that are compared without a tree
 _TOGETHER = 4096  # points of the buckets that a task takes at a time, about
 _FANOUT = 16
@@ -173,14 +174,10 @@ def _needed_sets(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator
             if name not in seen:
                 seen.add(name)
                 classes.append(name)
-                sets.append(shingles.view(np.int64))
+                sets.append(np.sort(shingles.view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
 
 
-def _enough(overlap: Column, a: Column, b: Column) -> Column:
-    return overlap * OF >= (a + b) * NEED
-
-
 @dataclass
 class RTree:
     """Points packed in order into leaves, leaves into nodes: boxes, least and largest sizes, components.
@@ -429,8 +426,36 @@ def _across(open_: DataFrame, points: DataFrame) -> DataFrame:
     return dealt.join(points, "class").groupBy(task).applyInArrow(_units_pairs, "a binary, b binary").distinct()
 
 
+def _verified(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The pairs of a unit that share enough shingles."""
+    known = dict(zip(sets.column("class").to_pylist(), (s.values.to_numpy() for s in sets.column("shingles"))))
+    kept = [
+        enough(known[a], known[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())
+    ]
+    return pairs.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+
+def enough(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have the similarity."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int((a[at] == b).sum()) * OF >= (len(a) + len(b)) * NEED
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that share enough shingles. A set may be there more than once."""
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    overlap = F.size(F.array_intersect("set_a", "set_b"))
-    return materialise(both.filter(_enough(overlap, F.size("set_a"), F.size("set_b"))).select("a", "b").distinct())
+    """The pairs that share enough shingles. A set may be there more than once.
+
+    Classes are dealt to parts of about _VERIFIED shingles, and a unit of work is two parts: a set
+    goes once to each unit where it has pairs, however many they are.
+    """
+    shingles = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    parts = 1 + shingles // _VERIFIED
+
+    def part(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(parts))
+
+    unit = F.struct(F.least(part("a"), part("b")).alias("low"), F.greatest(part("a"), part("b")).alias("high"))
+    units = pairs.withColumn("unit", unit)
+    members = pairs.select(unit.alias("place"), F.explode(F.array("a", "b")).alias("class")).distinct()
+    placed = members.join(sets, "class").select("place", "class", "shingles")
+    found = units.groupBy("unit").cogroup(placed.groupBy("place")).applyInArrow(_verified, "a binary, b binary")
+    return materialise(found)
