@@ -26,7 +26,7 @@ LEAF = 128  # vectors in a leaf, about
 SHARE = 2.0  # leaves that a query visits, in leaves of one tree; over all trees there are TREES times as many
 SAMPLE = 32_768  # vectors to which the planes are fitted
 TOP = 20
-_TOGETHER = 8192  # vectors, or queries, that a task holds
+_TOGETHER = 32_768  # vectors, or queries, that a task holds
 
 
 @dataclass
