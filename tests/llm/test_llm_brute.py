@@ -231,6 +231,7 @@ def test_near_copies_in_chains(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "BLOCK", 16)
     monkeypatch.setattr(shingle_join, "_TOGETHER", 64)
     monkeypatch.setattr(shingle_join, "_LEAF", 4)
+    monkeypatch.setattr(shingle_join, "_VERIFIED", 500)
     frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
     found = shingle_join.join_similar(frame).members.collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(sets[i]), wanted[i]) for i in texts}

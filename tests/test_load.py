@@ -173,6 +173,7 @@ def test_jobs_store_results_that_sql_can_read(spark, csvs, tmp_path, monkeypatch
     assert rows.n == 16 and rows.lo >= 0
     named = jobs.ask(
         spark, out, "2024-12-31",
-        "SELECT s.segment_label, d.dealer_name FROM dealer_segments s JOIN dealers d USING (dealer_id) WHERE dealer_id = :id", id=3,
+        "SELECT s.segment_label, d.dealer_name FROM dealer_segments s JOIN dealers d USING (dealer_id) WHERE dealer_id = :id",
+        {"id": 3},
     ).collect()
     assert [r.dealer_name for r in named] == ["D3"] and named[0].segment_label
