@@ -153,18 +153,23 @@ def _scored(queries: pa.Table, index: pa.Table, top: int) -> pa.Table:
         empty = [pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())]
         return pa.table(empty, names=names)
     leaf = index.column("leaf").to_numpy()
+    last_leaf = int(leaf.max())
     vectors = _matrix(index.column("vector"))
     first_ids = np.array([ids[0] for ids in index.column("ids").to_pylist()])
     visited = queries.column("leaves").to_pylist()
+    order = np.argsort(leaf, kind="stable")
+    numbers, starts = np.unique(leaf[order], return_index=True)
+    by_leaf = list(zip(numbers.tolist(), np.split(order, starts[1:])))
     found_query, found_index, found_score = [], [], []
     for start in range(0, queries.num_rows, 256):
         part = queries.slice(start, 256)
         body = _matrix(part.column("vector"))
-        sees = np.zeros((len(body), int(leaf.max()) + 1), dtype=bool)
+        sees = np.zeros((len(body), last_leaf + 1), dtype=bool)
         for i, leaves in enumerate(visited[start : start + len(body)]):
-            sees[i, [x for x in leaves if x <= leaf.max()]] = True
-        for number in np.unique(leaf).tolist():
-            mine, asking = np.flatnonzero(leaf == number), np.flatnonzero(sees[:, number])
+            wanted = np.array(leaves)
+            sees[i, wanted[wanted <= last_leaf]] = True
+        for number, mine in by_leaf:
+            asking = np.flatnonzero(sees[:, number])
             if not len(asking):
                 continue
             rough = body[asking] @ vectors[mine].T
