@@ -42,16 +42,25 @@ def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
 
-def fit_boosted(features: DataFrame, params: Mapping[str, object] | None = None) -> GBTRegressionModel:
-    """One model over all products, trained on the weeks before each product's holdout."""
+def fit_boosted(features: DataFrame, params: Mapping[str, object] | None = None) -> GBTRegressionModel | None:
+    """One model over all products, trained on the weeks before each product's holdout.
+
+    None if no product has a week with all its lags before the holdout.
+    """
     known = features.filter(~F.col("is_holdout")).dropna(subset=[*FEATURES, "y"])
+    if known.isEmpty():
+        return None
     train = _assembler().transform(known).select("features", F.col("y").alias("label"))
     return GBTRegressor(**{**BOOSTED_PARAMS, **(params or {})}).fit(train)
 
 
-def forecast_boosted(model: GBTRegressionModel, features: DataFrame, holdout: int = HOLDOUT_WEEKS) -> DataFrame:
+def forecast_boosted(
+    model: GBTRegressionModel | None, features: DataFrame, holdout: int = HOLDOUT_WEEKS
+) -> DataFrame:
     """Predict the holdout week by week, each clipped prediction feeding the next lags.
 
+    Without a model the mean of the four latest quantities is the prediction.
+
     The state is one row per product: the four latest quantities, and the holdout weeks
     as an array. A step adds one column to it, so no step shuffles or joins anything.
     """
@@ -71,7 +80,10 @@ def forecast_boosted(model: GBTRegressionModel, features: DataFrame, holdout: in
                 "days_to_peak_demand": current["until_peak"],
             }
         )
-        predicted = model.transform(assembler.transform(inputs))
+        if model is None:
+            predicted = inputs.withColumn("prediction", F.col("rolling_4"))
+        else:
+            predicted = model.transform(assembler.transform(inputs))
         clipped = F.greatest(F.lit(0.0), F.col("prediction"))
         done = [f"yhat_{i}" for i in range(step)]
         shifted = {LAG_COLUMNS[i]: F.col(LAG_COLUMNS[i - 1]) for i in range(1, LAGS)}

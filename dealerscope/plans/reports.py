@@ -60,6 +60,7 @@ def kpi_summary(
 
 def kpi_texts(kpis: DataFrame, currency: str = "\u20b9") -> DataFrame:
     """The four figures as they are shown: ``metric``, ``text``, with grouped thousands."""
+    # The names of the figures.
     texts = {
         "Total revenue": F.concat(F.lit(currency), F.format_number("revenue", 0)),
         "Total orders": F.format_number("orders", 0),

@@ -36,6 +36,7 @@ INPUT_DDL = {
     ),
 }
 
+# Columns of the stored results.
 RESULT_DDL = {
     "demand_forecast_results": (
         "product_id INT, model_used STRING, mape DECIMAL(10,4), rmse DECIMAL(12,4), seasonal_mape DECIMAL(10,4), "
@@ -46,6 +47,7 @@ RESULT_DDL = {
     ),
 }
 
+# Keys.
 PRIMARY_KEYS = {
     "dealers": ("dealer_id",),
     "products": ("product_id",),
@@ -58,7 +60,7 @@ PRIMARY_KEYS = {
     "payments": ("payment_id",),
 }
 
-# child table -> {foreign key column: parent table}
+# Child table -> {foreign key column: parent table}
 FOREIGN_KEYS = {
     "raw_materials": {"supplier_id": "suppliers"},
     "production_batches": {"product_id": "products"},
@@ -67,14 +69,14 @@ FOREIGN_KEYS = {
     "payments": {"order_id": "sales_orders"},
 }
 
-# (table, column) -> permitted values
+# Fixed values: (table, column) -> permitted values
 DOMAINS = {
     ("dealers", "dealer_type"): ("Distributor", "Retailer"),
     ("production_batches", "qc_status"): ("Passed", "Failed", "Pending"),
     ("sales_orders", "payment_status"): ("Paid", "Partial", "Overdue"),
 }
 
-# (table, column) -> inclusive range
+# Fixed values: (table, column) -> inclusive range
 RANGES = {
     ("crop_calendar", "sowing_month"): (1, 12),
     ("crop_calendar", "peak_demand_month"): (1, 12),

@@ -123,3 +123,15 @@ def test_forecast_checks_report_problems(spark):
     assert {r.check_name: r.failures for r in fc.forecast_checks(bad).collect()} == {
         "forecast: negative quantity": 1, "forecast: MAPE not finite": 2, "forecast: duplicate week": 1,
     }
+
+
+def test_series_too_short_to_train_on(make):
+    """Ten weeks leave two before the holdout, none of them with four lags."""
+    start = day("2024-03-04")
+    weeks = [(1, str(start + dt.timedelta(weeks=i)), 10 + i, 6) for i in range(10)]
+    features = ts.demand_features(
+        ts.mark_holdout(ts.with_days_to_peak(ts.fill_weeks(make.weekly(*weeks))))
+    )
+    assert fc.fit_boosted(features) is None
+    rows = fc.forecast_boosted(None, features).collect()
+    assert len(rows) == 8 and all(r.predicted_qty >= 0 for r in rows)

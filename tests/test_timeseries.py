@@ -48,13 +48,11 @@ def test_gap_of_three_weeks_is_filled_with_zeros(make):
 
 
 def test_sundays_are_anchored_to_their_monday(make):
-    start = day("2023-01-01")
-    weeks = [(p, str(start + dt.timedelta(weeks=i)), i + 1, 3) for p in (101, 102) for i in range(20)]
-    series = ts.mark_holdout(ts.with_days_to_peak(ts.fill_weeks(make.weekly(*weeks))))
-    assert {"product_id", "ds", "y", "days_to_peak_demand"} <= set(series.columns)
-    rows = series.collect()
-    assert len(rows) == 40 and all(r.ds.weekday() == 0 and r.y > 0 for r in rows)
-    for product in (101, 102):
+    start = day("2024-06-09")  # a Sunday
+    weeks = [(p, str(start + dt.timedelta(weeks=i)), 5 * i + p, 10) for p in (4, 9, 11) for i in range(13)]
+    rows = ts.mark_holdout(ts.with_days_to_peak(ts.fill_weeks(make.weekly(*weeks)))).collect()
+    assert len(rows) == 39 and all(r.ds.weekday() == 0 and r.y >= r.product_id for r in rows)
+    for product in (4, 9, 11):
         held = sorted(r.ds for r in rows if r.product_id == product and r.is_holdout)
         assert held == sorted(r.ds for r in rows if r.product_id == product)[-8:]
 
