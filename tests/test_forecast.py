@@ -134,4 +134,4 @@ def test_series_too_short_to_train_on(make):
     )
     assert fc.fit_boosted(features) is None
     rows = fc.forecast_boosted(None, features).collect()
-    assert len(rows) == 8 and all(r.predicted_qty >= 0 for r in rows)
+    assert len(rows) == 8 and all(r.yhat >= 0 for r in rows)
