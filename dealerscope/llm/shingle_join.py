@@ -29,7 +29,7 @@ GROUPS = 256  # coordinates of a point
 FREQUENT = 4000  # a shingle is frequent in over 1 / 4000 of the documents
 MOST_FREQUENT = 2_000_000  # the rarest of the frequent shingles beyond this count as rare
 BLOCK = 2048  # points of an R-tree
-_VERIFIED = 1_000_000  # shingles of a part of the sets that are verified together
+_VERIFIED = 4_000_000  # shingles of a part of the sets that are verified together
 _LEAF = 64  # points that are compared without a tree
 _TOGETHER = 4096  # points of the buckets that a task takes at a time, about
 _FANOUT = 16
