@@ -26,9 +26,9 @@ from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
 from dealerscope.sources.tables import load_table, refresh_status, row_counts  # noqa: E402
 
 try:  # the training-data operators may be left out of an installation
-    from dealerscope.llm import queries as llm_queries
+    import dealerscope.llm.queries as llm_queries
 except ModuleNotFoundError as missing:
-    if missing.name not in ("dealerscope.llm", "corpus_pipeline"):
+    if missing.name not in ("dealerscope.llm", "dealerscope.llm.queries", "corpus_pipeline"):
         raise
     llm_queries = None
 
