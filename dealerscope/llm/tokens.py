@@ -75,16 +75,19 @@ class Encoder:
     where white space only separates. A text of plain characters is cut at its blanks and newlines,
     where both kinds start a new pre-token, and the words are looked up; any other text, and any
     other kind of tokenizer, goes to the library whole. To the byte-level kind runs of white space
-    are no plain text either, but for two newlines inside the text.
+    are no plain text either, but for two newlines inside the text. Nor is a text that holds an
+    added token such as <|endoftext|>, which is one id, as the library has it by default.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.by_word = self.tokenizer.normalizer is not None
         self.words = _Words(self.tokenizer, self.by_word)
         sample = "It's a Wörd, 12 !!\nand|more.\n\nEnd"
-        self.cuts = self._cut(sample) == self._whole(sample)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [token.content for token in added]
+        folded = self.by_word and any(token.normalized for token in added)  # found in other spellings too
+        self.cuts = not folded and self._cut(sample) == self._whole(sample)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -94,7 +97,7 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words))
 
     def _plain(self, text: str) -> bool:
-        if _ODD.search(text):
+        if _ODD.search(text) or any(token in text for token in self.added):
             return False
         runs = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n")
         return self.by_word or not runs
