@@ -22,6 +22,7 @@ from dealerscope.llm.common import arrow_batch, in_blocks, materialise, shingle_
 
 SHINGLE = 5
 OVERLAP = 0.75  # of the question's shingles, and of the answer's words
+WHOLE = 0.75  # of the shingles of an item without a given answer
 THRESHOLD = 0.5  # of an item's own score
 FEWEST_WORDS = 5  # an item of fewer words has no shingle and names no passage
 K1, B = 1.2, 0.75
@@ -37,6 +38,12 @@ def _split(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words[:cut], words[cut:]
 
 
+def _held(part: np.ndarray, words: np.ndarray) -> float:
+    """Share of the shingles of a part of an item that the words have."""
+    n = min(SHINGLE, len(part))
+    return float(np.isin(np.unique(shingle_hashes(part, n)), shingle_hashes(words, n)).mean())
+
+
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["item_id", "term", "times", "length"]
     for batch in batches:
@@ -58,6 +65,7 @@ class Index:
     item_ids: np.ndarray
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    given: list[bool]  # the answer is not a part of the item's text
     longest: int
     terms: np.ndarray  # sorted hashes
     first: np.ndarray  # of each term's postings, one more for the end
@@ -147,18 +155,22 @@ class Index:
     def overlaps(self, words: np.ndarray, item: int) -> tuple[float, float]:
         """Shares of the question's shingles and of the answer's words that the passage has."""
         question, answer = self.questions[item], self.answers[item]
-        n = min(SHINGLE, len(question))
-        asked = np.unique(shingle_hashes(question, n))
-        return float(np.isin(asked, shingle_hashes(words, n)).mean()), float(np.isin(answer, words).mean())
+        return _held(question, words), float(np.isin(answer, words).mean())
+
+    def whole_overlap(self, words: np.ndarray, item: int) -> float:
+        """Share of the shingles of an item without a given answer that the passage has."""
+        return 0.0 if self.given[item] else _held(np.concatenate((self.questions[item], self.answers[item])), words)
 
 
 def _build(items: list[tuple[int, str, str | None]], postings: pa.Table, mean_length: float, many: int, threshold: float) -> Index:
     ids = np.array([i[0] for i in items], np.int64)
     words, starts = word_hashes([i[1] for i in items], plain=True)
     parts = [_split(words[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+    has_answer = [False] * len(items)
     for i, (_, text, answer) in enumerate(items):
         if answer is not None and len(given := word_hashes([answer], plain=True)[0]):
             parts[i] = (words[starts[i] : starts[i + 1]], given)
+            has_answer[i] = True
     column = {name: postings.column(name).to_numpy() for name in ("item_id", "term", "times", "length", "df")}
     item = np.searchsorted(ids, column["item_id"])
     idf = np.log(1 + (many - column["df"] + 0.5) / (column["df"] + 0.5))
@@ -175,7 +187,7 @@ def _build(items: list[tuple[int, str, str | None]], postings: pa.Table, mean_le
     order = np.lexsort((item, terms))
     unique, first = np.unique(terms[order], return_index=True)
     return Index(
-        ids, [p[0] for p in parts], [p[1] for p in parts], int(np.diff(starts).max(initial=1)), unique,
+        ids, [p[0] for p in parts], [p[1] for p in parts], has_answer, int(np.diff(starts).max(initial=1)), unique,
         np.concatenate((first, [len(order)])), item[order], impact[order], essential[order], threshold - (1 - held) - 1e-9,
     )
 
@@ -185,7 +197,7 @@ _FOUND = pa.schema(
 )
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], shared: Broadcast, threshold: float, overlap: float) -> Iterator[pa.RecordBatch]:
+def _leaks(batches: Iterator[pa.RecordBatch], shared: Broadcast, threshold: float, overlap: float, whole: float | None) -> Iterator[pa.RecordBatch]:
     index: Index = shared.value
     stride = max(64, index.longest)
     many = len(index.item_ids)
@@ -219,21 +231,26 @@ def _leaks(batches: Iterator[pa.RecordBatch], shared: Broadcast, threshold: floa
                 body = words[start : min(start + 2 * stride, int(starts[d + 1]))]
                 for item_at, score in index.search(body, threshold):
                     asked, answered = index.overlaps(body, item_at)
-                    if asked >= overlap and answered >= overlap:
+                    split = asked >= overlap and answered >= overlap
+                    if split or (whole is not None and index.whole_overlap(body, item_at) >= whole):
                         best[d, item_at] = max(best.get((d, item_at), (0, 0, 0)), (asked, answered, score))
             for (d, item_at), (asked, answered, score) in sorted(best.items()):
                 rows.append((ids[part.start + d], int(index.item_ids[item_at]), round(score, 6), round(asked, 6), round(answered, 6)))
         yield arrow_batch(_FOUND, *(map(list, zip(*rows)) if rows else [[]] * 5))
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def find_leaks(
+    documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, whole: float | None = None
+) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for every leaked item of every document.
 
     ``items`` has item_id and text, and may have an answer; without one the last third of the
     words is the answer. Words are runs of characters other than ASCII white space and punctuation,
     lower-cased. A passage that scores ``threshold`` of an item's own BM25 score, and holds
     ``overlap`` of the question's 5-word shingles and of the answer's words, leaks the item; the
-    best passage of a document is given. Null and empty texts leak nothing, nor do items of fewer
+    best passage of a document is given. With ``whole``, so does one that scores as much and holds
+    that share of all shingles of an item without a given answer, as a changed word breaks five
+    shingles and may be in the question. Null and empty texts leak nothing, nor do items of fewer
     than FEWEST_WORDS words; repeated items count once, repeated documents are searched each.
 
     The index is built from counts that Spark makes over all items, and sent to all tasks in parts
@@ -259,7 +276,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESH
         if rows:
             shared = spark.sparkContext.broadcast(_build(rows, part, mean_length, many, threshold))
             frame = documents.select(F.col("doc_id").cast("long"), "text")
-            search = lambda batches, shared=shared: _leaks(batches, shared, threshold, overlap)
+            search = lambda batches, shared=shared: _leaks(batches, shared, threshold, overlap, whole)
             leaks = frame.mapInArrow(search, found.schema)
             found = leaks if number == 0 else found.union(leaks)
     return found
@@ -268,5 +285,5 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = THRESH
 def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns. A document is known by its text, so null ids do no harm."""
     texts = documents.select(F.xxhash64("text").alias("doc_id"), "text")
-    leaks = materialise(find_leaks(texts, items).select(F.col("doc_id").alias("leaked_")).distinct())
+    leaks = materialise(find_leaks(texts, items, whole=WHOLE).select(F.col("doc_id").alias("leaked_")).distinct())
     return documents.join(leaks, F.xxhash64("text") == F.col("leaked_"), "left_anti")

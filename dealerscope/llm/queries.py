@@ -36,7 +36,8 @@ def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontamination.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    documents, items = read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")
+    return decontamination.find_leaks(documents, items, whole=decontamination.WHOLE)
 
 
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from dealerscope.llm import packing, queries, token_counts, token_files, tokens
+from dealerscope.llm import decontamination, packing, queries, token_counts, token_files, tokens
 from dealerscope.sources.durable import fresh_path
 
 # -- tokens -----------------------------------------------------------------------------
@@ -44,3 +45,40 @@ def test_added_tokens_in_the_operators(spark):
         masked = text.replace("one", "<|endoftext|>").replace("two", "<|endoftext|>")
         assert counts[i]["n_tokens"] == len(ids[queries.BYTE_BPE][i]) - 1
         assert counts[i]["n_tokens_masked"] == len(untouched.encode(masked, add_special_tokens=False).ids)
+
+
+# -- leaks ------------------------------------------------------------------------------
+
+
+def _shingles(text):
+    words = re.findall(r"[^\s!-/:-@\[-`{-~]+", text.lower())
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_edited_copies_at_every_position(spark, tmp_path):
+    """One word changed, at each place of items of 5 to 60 words: all that share 3/4 of the shingles leak."""
+    rng = random.Random(12)
+    items = {n: [f"w{int(rng.paretovariate(0.5))}" for _ in range(n)] for n in range(5, 61, 5)}
+    copies = [(n, [*words[:i], "changed", *words[i + 1 :]]) for n, words in items.items() for i in range(n)]
+    rows = [(d, " ".join(["before", *copy, "after"])) for d, (_, copy) in enumerate(copies)]
+    benchmark = [(n, " ".join(words)) for n, words in items.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wanted = set()
+    for d, text in rows:
+        for n, item in benchmark:
+            if len(_shingles(item) & _shingles(text)) >= 0.75 * len(_shingles(item)):
+                wanted.add((d, n))
+    found = {(r["doc_id"], r["item_id"]) for r in queries.op2_decontamination(spark, str(tmp_path)).collect()}
+    assert len(wanted) > 250 and wanted <= found
+    docs, table = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = {r["doc_id"] for r in decontamination.decontaminate(docs, table).collect()}
+    assert clean == set(range(len(rows))) - {d for d, _ in found}
+
+
+def test_a_given_answer_is_not_part_of_the_whole(spark):
+    item = "what is the name of the long river that runs through the old town"
+    docs = spark.createDataFrame([(1, item), (2, f"{item} silver water")], "doc_id long, text string")
+    table = spark.createDataFrame([(1, item, "silver water")], "item_id long, text string, answer string")
+    found = decontamination.find_leaks(docs, table, whole=decontamination.WHOLE).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(2, 1)]
