@@ -2,9 +2,10 @@
 
 A document of more than a window is cut into full windows and a rest. What matters of the rests is
 how many there are of each length, at most ``WINDOW - 1`` numbers. They are packed on the driver:
-a bitset of reachable sums finds the lengths that fill a window best beside the longest rest, and
-the pattern is used as often as the counts allow. Spark numbers the rests of each length and looks
-up the place of each number.
+a bitset of reachable sums finds the lengths that fill a window beside the longest rest, and the
+pattern is used as often as the counts allow. What no pattern fills is laid end to end, as one
+number for each length. Spark numbers the rests of each length and computes the place of each
+number, so the plan grows with the lengths and not with the rows.
 """
 
 from __future__ import annotations
@@ -65,66 +66,77 @@ def best_fill(counts: Mapping[int, int], lengths: Sequence[int], room: int, used
 
 @dataclass
 class Plan:
-    """Places of numbered rests: of ``length`` from ``first`` on, ``each`` to a sequence."""
+    """Places of numbered rests: patterns, and a tail of rests end to end.
 
-    sequences: int = 0
-    rows: list[tuple[int, ...]] = field(default_factory=list)
-
-    def add(self, length: int, first: int, each: int, sequence: int, offset: int, start: int, size: int) -> None:
-        self.rows.append((length, first, each, sequence, offset, start, size))
+    A pattern has rests of ``length`` from number ``first`` on, ``each`` to a sequence, from
+    ``sequence`` and ``offset`` on. ``tail`` gives the rests of a length from number ``first`` on,
+    the first of them ``base`` tokens after the start of sequence ``tail_at``; they are cut where
+    a sequence ends.
+    """
 
-    def arrays(self) -> np.ndarray:
-        return np.array(sorted(self.rows), dtype=np.int64).reshape(-1, 7)
+    window: int = WINDOW
+    sequences: int = 0
+    patterns: list[tuple[int, int, int, int, int]] = field(default_factory=list)  # length, first, each, sequence, offset
+    tail: dict[int, tuple[int, int, int]] = field(default_factory=dict)  # length: first, base, how many
+    tail_at: int = 0
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """The patterns in order, and (first, base) of the tail by length; without a tail ``first`` is beyond all numbers."""
+        ends = np.array([[1 << 47, 0]] * self.window, dtype=np.int64)
+        for length, (first, base, _) in self.tail.items():
+            ends[length] = first, base
+        return np.array(sorted(self.patterns), dtype=np.int64).reshape(-1, 5), ends
+
+    @property
+    def rows(self) -> list[tuple[int, ...]]:
+        """All places spelled out, a rest of the tail each: length, first, each, sequence, offset, start, size."""
+        out = [(*pattern, 0, pattern[0]) for pattern in self.patterns]
+        for length, (first, base, many) in self.tail.items():
+            for i in range(many):
+                out += [(length, first + i, 1, self.tail_at + s, *place) for s, *place in _parts(base + i * length, length, self.window)]
+        return out
+
+
+def _parts(at: int, length: int, window: int) -> list[tuple[int, int, int, int]]:
+    """(sequence, offset, start, size) of a rest that starts ``at`` tokens after the tail's start."""
+    sequence, offset = divmod(at, window)
+    size = min(length, window - offset)
+    parts = [(sequence, offset, 0, size)]
+    return parts if size == length else [*parts, (sequence + 1, 0, size, length - size)]
 
 
 def pack_lengths(histogram: Mapping[int, int], window: int = WINDOW) -> Plan:
     """Sequences for rests of the given counts by length, each under ``window``.
 
-    The longest rest left opens a sequence. Where no choice of the others fills it, one more rest
-    is cut, and its remainder opens the next sequence; so only the last sequence has padding.
+    The longest rest left opens a pattern. A length that no choice of the others fills any more
+    goes to the tail, whose rests are laid end to end; so only the last sequence has padding.
     """
     left = {a: c for a, c in histogram.items() if a > 0 and c > 0}
     lengths, number = sorted(left), dict.fromkeys(left, 0)
-    plan = Plan()
-    carried: tuple[int, int, int] | None = None  # length, number and start of a cut rest
-
-    def take(length: int, many: int) -> int:
-        first = number[length]
-        number[length] += many
-        left[length] -= many
-        if not left[length]:
-            del left[length]
-            del lengths[bisect_right(lengths, length) - 1]
-        return first
-
-    while left or carried:
-        offset, chosen = 0, {}
-        if carried:
-            length, rank, start = carried
-            offset = length - start
-            plan.add(length, rank, 1, plan.sequences, 0, start, offset)
-        else:
-            offset = lengths[-1]
-            chosen[offset] = 1
-        opening = next(iter(chosen), 0)
-        carried = None
-        for length, many in best_fill(left, lengths, window - offset, opening).items():
-            chosen[length] = chosen.get(length, 0) + many
-            offset += length * many
-        slack = window - offset
-        opened = plan.rows and plan.rows[-1][3] == plan.sequences
-        repeats = 1 if opened or slack else min(left[a] // m for a, m in chosen.items())
-        place = offset - sum(a * m for a, m in chosen.items())
+    plan = Plan(window)
+    base = 0
+    while lengths:
+        longest = lengths[-1]
+        chosen = best_fill(left, lengths, window - longest, longest)
+        chosen[longest] = chosen.get(longest, 0) + 1
+        if sum(a * m for a, m in chosen.items()) < window:
+            plan.tail[longest] = number[longest], base, left[longest]
+            base += longest * left.pop(longest)
+            lengths.pop()
+            continue
+        repeats = min(left[a] // m for a, m in chosen.items())
+        place = 0
         for length in sorted(chosen, reverse=True):
-            first = take(length, chosen[length] * repeats)
-            plan.add(length, first, chosen[length], plan.sequences, place, 0, length)
+            plan.patterns.append((length, number[length], chosen[length], plan.sequences, place))
             place += length * chosen[length]
-        if slack and lengths and lengths[-1] > slack:
-            length = lengths[bisect_right(lengths, slack)]
-            rank = take(length, 1)
-            plan.add(length, rank, 1, plan.sequences, offset, 0, slack)
-            carried = (length, rank, slack)
+            number[length] += chosen[length] * repeats
+            left[length] -= chosen[length] * repeats
+            if not left[length]:
+                del left[length]
+                del lengths[bisect_right(lengths, length) - 1]
         plan.sequences += repeats
+    plan.tail_at = plan.sequences
+    plan.sequences += -(-base // window)
     return plan
 
 
@@ -148,8 +160,11 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, window: int) -> Iter
             yield arrow_batch(_CUT, *map(list, zip(*rows)))
 
 
-def _place(batches: Iterator[pa.RecordBatch], places: np.ndarray, before: np.ndarray, first_full: int, window: int) -> Iterator[pa.RecordBatch]:
-    keys = places[:, 0] << 48 | places[:, 1]
+def _place(
+    batches: Iterator[pa.RecordBatch], patterns: np.ndarray, tail: np.ndarray, tail_at: int, before: np.ndarray, first_full: int, window: int
+) -> Iterator[pa.RecordBatch]:
+    keys = patterns[:, 0] << 48 | patterns[:, 1]
+    places, ends = patterns.tolist(), tail.tolist()
     for batch in batches:
         names = ("doc_id", "n", "full", "rest", "ids", "rank", "fulls")
         rows: list[tuple] = []
@@ -160,12 +175,16 @@ def _place(batches: Iterator[pa.RecordBatch], places: np.ndarray, before: np.nda
             if not rest:
                 continue
             wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * rest else "<u4").astype("<u4").tobytes()
-            end = int(np.searchsorted(keys, rest << 48 | rank, side="right"))
-            begin = int(np.searchsorted(keys, keys[end - 1], side="left"))  # two places if it was cut
-            for _, first, each, sequence, offset, start, size in places[begin:end].tolist():
+            first, at = ends[rest]
+            if rank >= first:
+                parts = [(tail_at + s, *place) for s, *place in _parts(at + (rank - first) * rest, rest, window)]
+            else:
+                _, first, each, sequence, offset = places[int(np.searchsorted(keys, rest << 48 | rank, side="right")) - 1]
                 more, slot = divmod(rank - first, each)
+                parts = [(sequence + more, offset + slot * rest, 0, rest)]
+            for sequence, offset, start, size in parts:
                 crc = zlib.crc32(wide[4 * start : 4 * (start + size)])
-                rows.append((doc_id, n - rest + start, size, crc, n, sequence + more, offset + slot * size))
+                rows.append((doc_id, n - rest + start, size, crc, n, sequence, offset))
         yield arrow_batch(_PIECE, *(map(list, zip(*rows)) if rows else [[]] * 7))
 
 
@@ -175,7 +194,8 @@ def pack_documents(documents: DataFrame, tokenizer: str, window: int = WINDOW) -
     All whole texts are encoded once (null text: empty) and end with END_ID. The rests are
     numbered by length: a length's rows are dealt to groups by a hash, numbered inside a group and
     moved on by the rows of the groups before, so a frequent length is spread over many tasks. At
-    most ``window`` rows of counts reach the driver. Repeated ids are separate documents, null ids
+    most ``window`` rows of counts reach the driver, and the plan that goes to the tasks does not grow
+    with them. Repeated ids are separate documents, null ids
     are kept; an empty table has no pieces. Sequences 0 to p - 1 hold rests, the later ones a full
     window each.
     """
@@ -203,5 +223,8 @@ def pack_documents(documents: DataFrame, tokenizer: str, window: int = WINDOW) -
         "doc_id", "n", "full", "rest", "ids", (F.col("inner") + F.col("docs_ahead")).alias("rank"),
         (F.col("inner_fulls") + F.col("fulls_ahead")).alias("fulls"),
     )
-    placing = partial(_place, places=plan.arrays(), before=before, first_full=plan.sequences, window=window)
+    patterns, tail = plan.arrays()
+    placing = partial(
+        _place, patterns=patterns, tail=tail, tail_at=plan.tail_at, before=before, first_full=plan.sequences, window=window
+    )
     return ranked.mapInArrow(placing, _PIECE_DDL)

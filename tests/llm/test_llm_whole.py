@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -82,3 +83,38 @@ def test_a_given_answer_is_not_part_of_the_whole(spark):
     table = spark.createDataFrame([(1, item, "silver water")], "item_id long, text string, answer string")
     found = decontamination.find_leaks(docs, table, whole=decontamination.WHOLE).collect()
     assert [(r["doc_id"], r["item_id"]) for r in found] == [(2, 1)]
+
+
+# -- packing ----------------------------------------------------------------------------
+
+
+def test_the_plan_does_not_grow_with_the_rows():
+    """A third of the rests are 3,000 long, for which the fillers run out."""
+    rng = np.random.default_rng(13)
+    lengths, counts = np.unique(np.clip(rng.lognormal(np.log(200), 0.7, 4000).astype(int), 1, 4095), return_counts=True)
+    sizes = []
+    for times in (10, 1000):
+        histogram = dict(zip(lengths.tolist(), (counts * times).tolist()))
+        histogram[3000] = histogram.get(3000, 0) + 2000 * times
+        plan = packing.pack_lengths(histogram)
+        sizes.append(sum(array.size for array in plan.arrays()))
+        assert plan.sequences == -(-sum(a * c for a, c in histogram.items()) // packing.WINDOW)
+    assert sizes[1] < 2 * sizes[0]
+
+
+def test_a_long_tail_is_placed_whole(spark):
+    """Rests of one length with nothing to fill beside them, in cut places too."""
+    words = [f"{'a ' * (59 + i % 2 * 11)}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    pieces = packing.pack_documents(docs, queries.WORD_BPE, 100).collect()
+    filled, held = {}, {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == filled.get(p["sequence_id"], 0)
+        filled[p["sequence_id"]] = p["offset"] + p["length"]
+        held.setdefault(p["doc_id"], []).append((p["start"], p["length"], p["ids_crc32"]))
+    assert sorted(filled) == list(range(len(filled))) and sum(100 - f for f in filled.values()) < 100
+    untouched = Tokenizer.from_file(queries.WORD_BPE)
+    for i, text in enumerate(words):
+        ids = np.array([*untouched.encode(text, add_special_tokens=False).ids, tokens.END_ID], "<u4")
+        assert sum(size for _, size, _ in held[i]) == len(ids)
+        assert all(crc == zlib.crc32(ids[start : start + size].tobytes()) for start, size, crc in held[i])
