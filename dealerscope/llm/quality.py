@@ -45,15 +45,16 @@ def _kinds() -> np.ndarray:
     return out
 
 
-def _passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _passages(texts: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A row of features for each passage, and the document it is of. A text without words is one empty passage.
 
+    Passages are PASSAGE words long; with ``most``, longer in a text that would have more of them.
     Shares of pairs of neighbouring kinds of characters; how many words differ, repeat the one
     before, are long; their mean length and its spread; the number of words; 1 for an empty passage.
     """
     hashes, starts = word_hashes(texts)
     words = np.diff(starts)
-    size = np.maximum(PASSAGE, -(-words // PASSAGES))
+    size = np.full(len(words), PASSAGE) if most is None else np.maximum(PASSAGE, -(-words // most))
     many = np.maximum(1, -(-words // size))
     base = np.cumsum(many) - many
     owner = np.repeat(np.arange(len(texts)), many)
@@ -106,7 +107,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, rows = texts_of(batch), []
         for part in in_blocks(texts):
-            features, owner = _passages(texts[part])
+            features, owner = _passages(texts[part], PASSAGES)
             cuts = np.searchsorted(owner, np.arange(part.stop - part.start + 1))
             rows += [features[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.binary())], names=["label", "passages"])
@@ -212,6 +213,6 @@ def _score(batches: Iterator[pa.RecordBatch], model: AttentionModel | float) ->
 
 
 def score_quality(documents: DataFrame, model: AttentionModel | float) -> DataFrame:
-    """(doc_id, score) of every row, from its whole text alone; a null text is scored as an empty one."""
+    """(doc_id, score) of every row, from all passages of its whole text; a null text is scored as an empty one."""
     frame = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return frame.mapInArrow(partial(_score, model=model), "doc_id long, score double")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from dealerscope.llm import decontamination, packing, queries, token_counts, token_files, tokens
+from dealerscope.llm import decontamination, packing, quality, queries, token_counts, token_files, tokens
 from dealerscope.sources.durable import fresh_path
 
 # -- tokens -----------------------------------------------------------------------------
@@ -118,3 +118,19 @@ def test_a_long_tail_is_placed_whole(spark):
         ids = np.array([*untouched.encode(text, add_special_tokens=False).ids, tokens.END_ID], "<u4")
         assert sum(size for _, size, _ in held[i]) == len(ids)
         assert all(crc == zlib.crc32(ids[start : start + size].tobytes()) for start, size, crc in held[i])
+
+
+# -- quality ----------------------------------------------------------------------------
+
+
+def test_every_passage_of_a_long_text_is_scored():
+    """A passage of a long text has the features that it has as a text of its own; the training sample is bounded."""
+    rng = random.Random(14)
+    words = [rng.choice(["a", "bb", "Ccc.", "12", "dddd,", "x" * 25]) for _ in range(quality.PASSAGE * (quality.PASSAGES * 2 + 5))]
+    parts = [" ".join(words[i : i + quality.PASSAGE]) for i in range(0, len(words), quality.PASSAGE)]
+    features, owner = quality._passages([" ".join(words), "short"])
+    alone, _ = quality._passages([f"{part} " for part in parts[:-1]])
+    assert np.bincount(owner).tolist() == [len(parts), 1]
+    counted = slice(quality._KINDS**2, None)  # the pairs of kinds differ by the line end alone
+    assert np.allclose(features[: len(parts) - 1, counted], alone[:, counted])
+    assert len(quality._passages([" ".join(words)], quality.PASSAGES)[0]) <= quality.PASSAGES
