@@ -15,9 +15,14 @@ LONG = 100
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the texts that have no letter or are like none of the languages that ``lang`` names."""
+    """Without the texts that have no letter or are like none of the languages that ``lang`` names.
+
+    Where ``lang`` names no language of any text with letters, every text that has a letter is kept.
+    """
     share_package(spark)
     profiles = language_id.learn_profiles(docs, F.lit(True))
+    if not profiles.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     scored = language_id.predict_language(docs, profiles)
     foreign = (F.col("score") < LEAST_COSINE) & (F.length("text") >= LONG)
     return scored.filter((F.col("lang_pred") != "und") & ~foreign).select(docs.columns)

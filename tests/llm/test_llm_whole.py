@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from dealerscope.llm import decontamination, packing, quality, queries, token_counts, token_files, tokens
 from dealerscope.sources.durable import fresh_path
 
@@ -134,3 +135,23 @@ def test_every_passage_of_a_long_text_is_scored():
     counted = slice(quality._KINDS**2, None)  # the pairs of kinds differ by the line end alone
     assert np.allclose(features[: len(parts) - 1, counted], alone[:, counted])
     assert len(quality._passages([" ".join(words)], quality.PASSAGES)[0]) <= quality.PASSAGES
+
+
+# -- pipeline ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_no_learned_language_keeps_texts_with_letters(spark, lang):
+    rows = [(1, "The cat sat on the mat.", None), (2, "Überall 12", None), (3, "日本語", None), (4, "12 !?", lang), (5, "", lang), (6, None, lang)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3]
+
+
+def test_a_long_text_in_a_foreign_script_goes(spark):
+    known = ["The cat sat on the mat and looked at the old dog of the house."] * 3
+    greek = "Η γάτα κάθισε στο χαλί και κοίταξε τον γέρικο σκύλο του σπιτιού. " * 4
+    docs = spark.createDataFrame([*((i, t, "en") for i, t in enumerate(known)), (8, known[0], None), (9, greek, None)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.known_language(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 8]
