@@ -12,7 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealerscope.llm import decontamination, language_id, line_dedup, nearest, packing, quality, shingle_join, token_counts, token_files, url_filters
+from dealerscope.llm import (
+    decontamination, hard_negatives, language_id, line_dedup, nearest, packing, quality, shingle_join, token_counts, token_files, url_filters, whitening,
+)
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
 
@@ -89,6 +91,16 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, folder, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, folder, "embeddings").withColumn("label", noisy)
+    return hard_negatives.mine_hard_negatives(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_nearest": op1_nearest,
@@ -101,6 +113,8 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
+        "op12_whitening": op12_whitening,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -206,5 +220,27 @@ FROM located l LEFT JOIN (SELECT * FROM matched WHERE place = 1) m USING (row_id
 """
 
 
+# Every anchor against all rows, in whole numbers.
+_NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard": _SIMILAR_SQL, "op7_line_dedup": _LINES_SQL, "op10_url_filters": _urls_sql()}
+    return {"op13_hard_negatives": _NEGATIVES_SQL, "op6_ngram_jaccard": _SIMILAR_SQL, "op7_line_dedup": _LINES_SQL, "op10_url_filters": _urls_sql()}
