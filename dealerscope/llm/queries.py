@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealerscope.llm import (
-    decontamination, hard_negatives, language_id, line_dedup, nearest, packing, quality, shingle_join, token_counts, token_files, url_filters, whitening,
+    decontamination, hard_negatives, language_id, line_dedup, minhash, nearest, packing, quality, shingle_join, token_counts, token_files, url_filters, whitening,
 )
 from dealerscope.llm.common import read_table, remainder
 from dealerscope.sources.durable import fresh_path
@@ -91,6 +91,11 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    members = minhash.near_duplicates(read_table(spark, folder, "documents"))
+    return members.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
+
+
 def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(read_table(spark, folder, "embeddings"))
 
@@ -113,20 +118,22 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_url_filters": op10_url_filters,
+        "op11_minhash": op11_minhash,
         "op12_whitening": op12_whitening,
         "op13_hard_negatives": op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
-# Two documents link at 100 * shared >= 75 * all; the least id reached by links is found by recursion.
-_SIMILAR_SQL = r"""
+def _similar_sql(words: int, least: int, more: str = "") -> str:
+    """Two documents link at 100 * shared >= least * all; the least id reached by links is found by recursion."""
+    return rf"""
 WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingled AS (
-  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE
-    list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM worded),
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [w] ELSE
+    list_transform(range(1, len(w) - {words - 2}), lambda i: w[i:i + {words - 1}]) END) AS s FROM worded),
 sets AS (SELECT DISTINCT doc_id, s FROM shingled),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 shared AS (
@@ -134,9 +141,9 @@ shared AS (
   GROUP BY 1, 2),
 links AS (
   SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * many >= 75 * (x.n + y.n - many)),
+  WHERE 100 * many >= {least} * (x.n + y.n - many)),
 reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(d.doc_id, m), d.doc_id) AS component_id
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(d.doc_id, m), d.doc_id) AS component_id{more}
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = d.doc_id
 """
 
@@ -243,4 +250,4 @@ QUALIFY rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_hard_negatives": _NEGATIVES_SQL, "op6_ngram_jaccard": _SIMILAR_SQL, "op7_line_dedup": _LINES_SQL, "op10_url_filters": _urls_sql()}
+    return {"op13_hard_negatives": _NEGATIVES_SQL, "op6_ngram_jaccard": _similar_sql(5, 75), "op11_minhash": _similar_sql(2, 80, ", d.doc_id = component_id AS kept"), "op7_line_dedup": _LINES_SQL, "op10_url_filters": _urls_sql()}
