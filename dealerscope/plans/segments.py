@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerscope.functions.money import total
+from dealerscope.operators.kmeans import Clustering, fit_many, nearest_centre, whole_points
 from dealerscope.operators.quality import count_between, duplicate_keys, row_checks, union_checks
 from dealerscope.operators.ranking import mean_rank_share
 from dealerscope.sources.durable import materialise
@@ -62,52 +60,33 @@ def standardise(table: DataFrame) -> DataFrame:
     return table.withColumns({f"z_{m}": z(m) for m in MEASURES})
 
 
-def vectors(standardised: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=list(Z_COLUMNS), outputCol="features").transform(standardised)
-
-
-def in_fixed_order(points: DataFrame, parts: int = 16) -> DataFrame:
-    """Id and vector only, dealt and sorted by id: the fits see one order however the input lies."""
-    return points.select("dealer_id", "features").repartition(parts, "dealer_id").sortWithinPartitions("dealer_id")
-
-
 def fit_restarts(
-    points: DataFrame,
-    ks: Iterable[int] = CLUSTER_COUNTS,
-    restarts: int = RESTARTS,
-    seed: int = SEED,
-    parallelism: int = 16,
-) -> dict[int, KMeansModel]:
-    """The model of least inertia for each k, out of ``restarts`` differently seeded fits.
+    points: DataFrame, ks: Iterable[int] = CLUSTER_COUNTS, restarts: int = RESTARTS, seed: int = SEED
+) -> dict[int, Clustering]:
+    """The clustering of least inertia for each k, out of ``restarts`` differently seeded ones; the first on a tie.
 
-    The fits are independent jobs on the same cached points; ``parallelism`` of them are
-    submitted at a time, so that the stages of one fill the gaps of another.
+    All of them are fitted in the same passes over the points.
     """
-    jobs = [(k, seed + i) for k in ks for i in range(restarts)]
-
-    def fit(job):
-        k, start = job
-        return KMeans(k=k, seed=start, maxIter=100, featuresCol="features", predictionCol="cluster_id").fit(points)
-
-    with ThreadPool(parallelism) as pool:
-        models = pool.map(inheritable_thread_target(points.sparkSession)(fit), jobs)
-    best: dict[int, KMeansModel] = {}
-    for (k, _), model in zip(jobs, models):
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
+    best: dict[int, Clustering] = {}
+    for found in fit_many(points, [(k, seed + i) for k in ks for i in range(restarts)]):
+        if found.k not in best or found.inertia < best[found.k].inertia:
+            best[found.k] = found
     return best
 
 
-def diagnose(points: DataFrame, models: dict[int, KMeansModel]) -> list[tuple[int, float, float]]:
-    """``(k, inertia, silhouette)`` per model, with squared Euclidean silhouette.
+def diagnose(table: DataFrame, clusterings: Mapping[int, Clustering]) -> list[tuple[int, float, float]]:
+    """``(k, inertia, silhouette)`` per clustering, with squared Euclidean silhouette.
 
-    That form needs only the sums of each cluster, not the distances of all pairs.
+    That form needs only the sums of each cluster, not the distances of all pairs. With a
+    single cluster there is none, and it counts as 0.
     """
+    features = VectorAssembler(inputCols=list(Z_COLUMNS), outputCol="features").transform(table)
     evaluator = ClusteringEvaluator(predictionCol="cluster_id", featuresCol="features", metricName="silhouette")
-    return [
-        (k, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(points))))
-        for k, model in sorted(models.items())
-    ]
+    out = []
+    for k, found in sorted(clusterings.items()):
+        assigned = features.withColumn("cluster_id", nearest_centre(Z_COLUMNS, found))
+        out.append((k, found.inertia, float(evaluator.evaluate(assigned)) if len(set(found.centres)) > 1 else 0.0))
+    return out
 
 
 def best_k(diagnostics: Iterable[tuple[int, float, float]]) -> int:
@@ -168,14 +147,11 @@ def segment_dealers(
 ) -> Segmentation:
     """Cluster the dealers for each k, keep the k that separates best, label its clusters."""
     table = materialise(standardise(rfm(dealers, orders)))
-    points = in_fixed_order(vectors(table)).persist()
-    try:
-        models = fit_restarts(points, ks, restarts, seed)
-        diagnostics = diagnose(points, models)
-        chosen = models[best_k(diagnostics)]
-        assigned = materialise(chosen.transform(vectors(table)).select("dealer_id", *MEASURES, "cluster_id"))
-    finally:
-        points.unpersist()
+    models = fit_restarts(whole_points(table, "dealer_id", Z_COLUMNS), ks, restarts, seed)
+    diagnostics = diagnose(table, models)
+    chosen = models[best_k(diagnostics)]
+    assigned = table.select("dealer_id", *MEASURES, nearest_centre(Z_COLUMNS, chosen).alias("cluster_id"))
+    assigned = materialise(assigned)
     centres = materialise(label_clusters(centroids(assigned)))
     labels = centres.select("cluster_id", "segment_label")
     by_k = dealers.sparkSession.createDataFrame(diagnostics, "k INT, inertia DOUBLE, silhouette DOUBLE")
