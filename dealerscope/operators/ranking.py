@@ -4,59 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bucket widths of the value axis, fine to coarse. Amounts have two decimals, so a fine
-# bucket holds at most 2**14 * 100 distinct values and a coarse one 2**20 fine buckets.
-_WIDTHS = (2**14, 2**34)
+# A value's range is one of STEPS to each factor of two, so a range spans 1/185 of its values.
+STEPS = 128
+# Doubles lie between 2**-1074 and 2**1024, which bounds the ranges of a group: 2 * STEPS * 2098 + 1.
+_FAR = 1100 * STEPS
 
 
-def _count_above(counts: DataFrame, group: Sequence[str], widths: Sequence[int]) -> DataFrame:
-    """Add ``_above``: how many rows of the group have a greater value.
+def value_range(value: Column) -> Column:
+    """A whole number that does not fall as the value grows; null stays null.
 
-    ``counts`` holds one row per group and distinct value, with ``_n`` rows each. The
-    running sum is taken inside one bucket of the value axis; the rows of all higher
-    buckets are added from the next, coarser level.
+    It hangs on the value alone, so it needs no look at the data and every reading gives the same.
     """
-    if not widths:
-        running = Window.partitionBy(*group).orderBy(F.desc("_value")).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("_above", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    bucketed = counts.withColumn("_bucket", F.floor(F.col("_value") / F.lit(widths[0])))
-    coarse = bucketed.groupBy(*group, F.col("_bucket").alias("_value")).agg(F.sum("_n").alias("_n"))
-    coarse = _count_above(coarse, group, [w // widths[0] for w in widths[1:]])
-    coarse = coarse.select(*group, F.col("_value").alias("_bucket"), F.col("_above").alias("_above_bucket"))
-    running = (
-        Window.partitionBy(*group, "_bucket").orderBy(F.desc("_value")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        bucketed.withColumn("_inside", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-        .join(coarse, [*group, "_bucket"])
-        .withColumn("_above", F.col("_inside") + F.col("_above_bucket"))
-        .drop("_bucket", "_inside", "_above_bucket")
-    )
+    x = value.cast("double")
+    place = F.floor(F.log2(F.abs(F.nullif(x, F.lit(0.0)))) * STEPS) + _FAR
+    return F.when(value.isNotNull(), F.coalesce(F.signum(x).cast("bigint") * place, F.lit(0).cast("bigint")))
 
 
 def rank_descending(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """``RANK() OVER (PARTITION BY group ORDER BY value DESC NULLS FIRST)``, ties included.
 
-    No task sorts a whole group: each is split along the value axis, at every size. ``df`` is
-    read for the counts and for the rows; its shuffles are shared by both. The group is kept
-    as one struct, which equals itself even where a column of it is null.
+    No task sorts a whole group. Equal values are counted first, so a tie is one row however
+    many rows have it. A group is cut into value ranges, sorted inside each, and the rows of
+    higher ranges are added: a group has at most half a million ranges whatever its rows, most
+    have a few hundred. ``df`` is read for the counts and for the rows. Group and value are
+    kept as structs, which equal themselves even where they hold a null.
     """
-    rows = df.withColumn("_group", F.struct(*group))
-    nulls = rows.filter(F.col(value).isNull())
-    known = rows.filter(F.col(value).isNotNull()).withColumn("_value", F.col(value))
-    counts = known.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    missing = nulls.groupBy("_group").agg(F.count(F.lit(1)).alias("_missing"))
-    above = F.col("_above") + F.coalesce("_missing", F.lit(0))
-    ranks = (
-        _count_above(counts, ["_group"], _WIDTHS)
-        .join(missing, "_group", "left")
-        .select("_group", "_value", (above + 1).alias(out))
+    rows = df.withColumns({"_group": F.struct(*group), "_at": F.struct(F.col(value).alias("v")), "_range": value_range(F.col(value))})
+    counts = rows.groupBy("_group", "_range", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_group").orderBy(F.desc_nulls_first("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("_group", F.struct("_range").alias("_in")).agg(F.first("_range").alias("_range"), F.sum("_n").alias("_n"))
+    ranges = ranges.select("_group", "_in", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
+    inside = Window.partitionBy("_group", "_in").orderBy(F.desc("_at.v")).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (
+        counts.withColumn("_in", F.struct("_range"))
+        .join(ranges, ["_group", "_in"])
+        .select("_group", "_at", (F.col("_above") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1).alias(out))
     )
-    ranked = known.join(ranks, ["_group", "_value"]).select(*df.columns, out)
-    return ranked.unionByName(nulls.withColumn(out, F.lit(1).cast("bigint")).select(*df.columns, out))
+    return rows.join(ranked, ["_group", "_at"]).select(*df.columns, out)
 
 
 def mean_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:
