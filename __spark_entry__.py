@@ -23,6 +23,7 @@ from dealerscope.operators import quality  # noqa: E402
 from dealerscope.plans import adhoc, alerts, forecast, reports, segments, timeseries, views  # noqa: E402
 from dealerscope.sources.durable import fresh_path  # noqa: E402
 from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
+from dealerscope.sources.stored import StoredRoles  # noqa: E402
 from dealerscope.sources.tables import load_table, refresh_status, row_counts  # noqa: E402
 
 try:  # the training-data operators may be left out of an installation
@@ -74,12 +75,8 @@ def _query(plan: Callable[[Roles], DataFrame]) -> Query:
     return lambda spark, folder: _portable(plan(roles_from_star(spark, folder)))
 
 
-def _scorecard(r: Roles) -> DataFrame:
-    return views.dealer_scorecard(r.dealers, r.orders, r.payments)
-
-
 def _aging(r: Roles) -> DataFrame:
-    return views.dealer_aging_report(r.dealers, r.orders, r.payments, AS_OF)
+    return views.aging_from_balance(r.dealers, r.balance, AS_OF)
 
 
 def _stock(r: Roles) -> DataFrame:
@@ -201,15 +198,27 @@ def _reload(spark: SparkSession, folder: str) -> DataFrame:
     return _portable(by_month)
 
 
+_stored: dict[tuple[str, str, str], object] = {}
+
+
+def _loaded(spark: SparkSession, folder: str) -> StoredRoles:
+    """The star of a folder with its stored facts and balance, each written once per Spark application."""
+    key = ("facts", spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        _stored[key] = StoredRoles(roles_from_star(spark, folder), spark)
+    return _stored[key]
+
+
+def _stored_query(plan: Callable[[StoredRoles], DataFrame]) -> Query:
+    return lambda spark, folder: _portable(plan(_loaded(spark, folder)))
+
+
 def _adhoc(statement: str, **parameters: object) -> Query:
     return lambda spark, folder: _portable(
-        adhoc.ask(spark, roles_from_star(spark, folder), AS_OF, statement, parameters=parameters)
+        adhoc.ask(spark, _loaded(spark, folder), AS_OF, statement, parameters=parameters)
     )
 
 
-_stored: dict[tuple[str, str, str], object] = {}
-
-
 def _stored_run(kind: str, spark: SparkSession, folder: str):
     """The forecast or segmentation of a folder, fitted once per Spark application.
 
@@ -217,7 +226,7 @@ def _stored_run(kind: str, spark: SparkSession, folder: str):
     """
     key = (kind, spark.sparkContext.applicationId, folder)
     if key not in _stored:
-        r = roles_from_star(spark, folder)
+        r = _loaded(spark, folder)
         if kind == "forecast":
             _stored[key] = forecast.run_forecast(r.lines_of(_top_skus(r)), r.products, r.calendar)
         else:
@@ -254,8 +263,8 @@ def core_queries() -> dict[str, Query]:
     return {
         # reporting views
         "monthly_sales_summary": _query(_monthly),
-        "dealer_scorecard": _query(_scorecard),
-        "dealer_aging_report": _query(_aging),
+        "dealer_scorecard": _stored_query(lambda r: views.scorecard_from_balance(r.dealers, r.balance)),
+        "dealer_aging_report": _stored_query(_aging),
         "product_crop_performance": _query(lambda r: views.product_crop_performance(r.products, r.product_lines)),
         "inventory_status": _query(_stock),
         "regional_performance": _query(lambda r: views.regional_performance(r.dealers, r.orders)),
@@ -266,8 +275,8 @@ def core_queries() -> dict[str, Query]:
         "dq_null_keys": _query(_null_keys),
         "dq_orphans": _query(_orphans),
         "dq_negatives": _query(_negatives),
-        "dq_payment_reconciliation": _query(
-            lambda r: quality.reconciliation(r.orders, r.payments, "status contradicts receipts")
+        "dq_payment_reconciliation": _stored_query(
+            lambda r: quality.balance_reconciliation(r.balance, "status contradicts receipts")
         ),
         "dq_domain": _query(_domain),
         "dq_row_bounds": _query(_row_bounds),
@@ -285,8 +294,8 @@ def core_queries() -> dict[str, Query]:
         "monthly_revenue": _query(lambda r: reports.monthly_revenue(r.orders, r.dealers, REGIONS, LO, HI)),
         "top_regions": _query(lambda r: reports.top_regions(r.orders, r.dealers, REGIONS, LO, HI)),
         "top_dealers": _query(lambda r: reports.top_dealers(r.orders, r.dealers, REGIONS, LO, HI)),
-        "dealer_performance": _query(
-            lambda r: reports.dealer_performance(r.dealers, r.orders, r.payments, REGIONS, DEALER_TYPES)
+        "dealer_performance": _stored_query(
+            lambda r: reports.performance_from_balance(r.dealers, r.balance, REGIONS, DEALER_TYPES)
         ),
         "top_products": _query(lambda r: reports.top_products(_product_revenue(r))),
         "bottom_products": _query(lambda r: reports.bottom_products(_product_revenue(r))),
@@ -297,8 +306,8 @@ def core_queries() -> dict[str, Query]:
         "stock_overview": _query(lambda r: reports.stock_overview(_stock(r))),
         "low_stock": _query(lambda r: reports.low_stock(_stock(r))),
         "near_expiry": _query(lambda r: reports.near_expiry(r.inventory, r.products, AS_OF)),
-        "aging_totals": _query(lambda r: reports.aging_totals(_aging(r))),
-        "aging_search": _query(lambda r: reports.aging_search(r.dealers, r.orders, r.payments, AS_OF, TERM)),
+        "aging_totals": _stored_query(lambda r: reports.aging_totals(_aging(r))),
+        "aging_search": _stored_query(lambda r: reports.aging_search_from_balance(r.dealers, r.balance, AS_OF, TERM)),
         # scheduled reports
         "weekly_summary_recent": _query(lambda r: alerts.weekly_summary_recent(r.orders, r.dealers, AS_OF)),
         "weekly_summary_json": _query(
@@ -314,16 +323,16 @@ def core_queries() -> dict[str, Query]:
             )
         ),
         "low_stock_message": _query(lambda r: alerts.low_stock_message(_stock(r))),
-        "overdue_reminders": _query(lambda r: alerts.overdue_reminders(_aging(r))),
-        "overdue_message": _query(lambda r: alerts.overdue_message(_aging(r))),
+        "overdue_reminders": _stored_query(lambda r: alerts.overdue_reminders(_aging(r))),
+        "overdue_message": _stored_query(lambda r: alerts.overdue_message(_aging(r))),
         # demand series
         "top_skus": _query(_top_skus),
-        "weekly_demand": _query(
+        "weekly_demand": _stored_query(
             lambda r: timeseries.weekly_demand(r.lines_of(_top_skus(r)), r.products, r.calendar)
         ),
-        "weekly_demand_filled": _query(_series),
-        "demand_features": _query(lambda r: timeseries.demand_features(_series(r))),
-        "sales_by_season_window": _query(
+        "weekly_demand_filled": _stored_query(_series),
+        "demand_features": _stored_query(lambda r: timeseries.demand_features(_series(r))),
+        "sales_by_season_window": _stored_query(
             lambda r: timeseries.sales_by_season_window(r.lines, r.products, r.calendar)
         ),
         # dealer segments

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.operators.rollups import receipts_by_order
+from dealerscope.operators.rollups import contradicts_receipts, receipts_by_order
 from dealerscope.sources import schemas
 
 
@@ -58,19 +58,21 @@ def orphans(child: DataFrame, parents: Mapping[str, DataFrame], name: str) -> Da
 
 
 def reconciliation(orders: DataFrame, payments: DataFrame, name: str) -> DataFrame:
-    """Orders whose status contradicts their receipts.
-
-    Paid orders must have received exactly their total; part-paid and overdue ones less.
-    """
+    """Orders whose status contradicts their receipts, see :func:`contradicts_receipts`."""
     received = F.coalesce(F.col("received"), F.lit(0).cast("decimal(38,2)"))
-    status, due = F.col("payment_status"), F.col("total_amount")
-    wrong = ((status == "Paid") & (received != due)) | (status.isin("Partial", "Overdue") & (received >= due))
+    wrong = contradicts_receipts(F.col("payment_status"), F.col("total_amount"), received)
     joined = orders.select("order_id", "payment_status", "total_amount").join(
         receipts_by_order(payments), "order_id", "left"
     )
     return row_checks(joined, {name: wrong})
 
 
+def balance_reconciliation(balance: DataFrame, name: str) -> DataFrame:
+    """:func:`reconciliation` from a stored order balance."""
+    failures = F.coalesce(F.sum("contradictions"), F.lit(0)).alias("failures")
+    return balance.agg(failures).select(F.lit(name).alias("check_name"), "failures")
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Key values that occur more than once."""
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)

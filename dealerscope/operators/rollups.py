@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerscope.functions.money import total
@@ -37,6 +37,32 @@ def with_outstanding(orders: DataFrame, payments: DataFrame) -> DataFrame:
     )
 
 
+def contradicts_receipts(status: Column, due: Column, received: Column) -> Column:
+    """Paid orders must have received exactly their total; part-paid and overdue ones less."""
+    return ((status == "Paid") & (received != due)) | (status.isin("Partial", "Overdue") & (received >= due))
+
+
+def order_balance(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """(dealer_id, order_date, orders, revenue, outstanding, contradictions), one row per dealer and order date.
+
+    Meant to be stored at load, when orders and receipts are joined once; every receivables
+    report is a sum of it. The sums add up over dealers and dates. What is outstanding does not
+    add up over reporting dates: its age is taken from ``order_date`` for each of them.
+    ``contradictions`` counts the orders whose status contradicts their receipts.
+    """
+    received = F.coalesce(F.col("received"), F.lit(0).cast("decimal(20,2)"))
+    wrong = contradicts_receipts(F.col("payment_status"), F.col("total_amount"), received)
+    joined = orders.select("order_id", "order_date", "dealer_id", "total_amount", "payment_status").join(
+        receipts_by_order(payments), "order_id", "left"
+    )
+    return joined.groupBy("dealer_id", "order_date").agg(
+        F.count("order_id").alias("orders"),
+        total("total_amount").alias("revenue"),
+        total((F.col("total_amount") - received).cast("decimal(20,2)")).alias("outstanding"),
+        F.count_if(F.coalesce(wrong, F.lit(False))).alias("contradictions"),
+    )
+
+
 def dealer_totals(orders: DataFrame) -> DataFrame:
     """Revenue and number of orders per dealer."""
     return orders.groupBy("dealer_id").agg(

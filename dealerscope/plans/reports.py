@@ -13,7 +13,13 @@ from dealerscope.functions.money import TOTAL, ratio, total
 from dealerscope.operators.filters import in_date_range, in_regions, region_date_filter, search
 from dealerscope.operators.joins import rollup_through
 from dealerscope.operators.rollups import dealer_totals
-from dealerscope.plans.views import AGE_BUCKETS, dealer_aging_report, dealer_scorecard
+from dealerscope.plans.views import (
+    AGE_BUCKETS,
+    aging_from_balance,
+    dealer_aging_report,
+    dealer_scorecard,
+    scorecard_from_balance,
+)
 
 Day = dt.date | str | None
 Regions = Iterable[str] | None
@@ -124,13 +130,25 @@ def dealer_performance(
     types: Iterable[str] | None = None,
 ) -> DataFrame:
     """Scorecard with dealer type for the chosen regions and types, best revenue first."""
-    chosen = in_regions(dealers, regions)
-    if types is not None:
-        chosen = chosen.filter(F.col("dealer_type").isin(list(types)))
+    chosen = _in_types(in_regions(dealers, regions), types)
     score = dealer_scorecard(chosen, *of_dealers(chosen, orders, payments), carry=["dealer_type"])
     return score.orderBy(F.desc_nulls_last("total_revenue"), "dealer_id")
 
 
+def _in_types(dealers: DataFrame, types: Iterable[str] | None) -> DataFrame:
+    return dealers if types is None else dealers.filter(F.col("dealer_type").isin(list(types)))
+
+
+def performance_from_balance(
+    dealers: DataFrame, balance: DataFrame, regions: Regions = None, types: Iterable[str] | None = None
+) -> DataFrame:
+    """:func:`dealer_performance` from a stored order balance, cut to the dealers before it is summed."""
+    chosen = _in_types(in_regions(dealers, regions), types)
+    kept = balance.join(chosen.select("dealer_id"), "dealer_id", "left_semi")
+    score = scorecard_from_balance(chosen, kept, carry=["dealer_type"])
+    return score.orderBy(F.desc_nulls_last("total_revenue"), "dealer_id")
+
+
 def product_revenue(
     lines: DataFrame,
     dealers: DataFrame,
@@ -222,6 +240,13 @@ def aging_search(
     return dealer_aging_report(chosen, *of_dealers(chosen, orders, payments), as_of)
 
 
+def aging_search_from_balance(dealers: DataFrame, balance: DataFrame, as_of: dt.date | str, term: str) -> DataFrame:
+    """:func:`aging_search` from a stored order balance."""
+    chosen = search(dealers, "dealer_name", term)
+    kept = balance.join(chosen.select("dealer_id"), "dealer_id", "left_semi")
+    return aging_from_balance(chosen, kept, as_of)
+
+
 def forecast_overview(results: DataFrame, products: DataFrame) -> DataFrame:
     """Stored forecast rows with the product name, by week."""
     return results.join(products.select("product_id", "product_name"), "product_id").orderBy(

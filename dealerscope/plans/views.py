@@ -43,6 +43,20 @@ def dealer_scorecard(
         F.count("order_id").alias("order_count"),
         total("outstanding").alias("current_outstanding"),
     )
+    return _scorecard(dealers, per_dealer, carry)
+
+
+def scorecard_from_balance(dealers: DataFrame, balance: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """:func:`dealer_scorecard` from a stored order balance."""
+    per_dealer = balance.groupBy("dealer_id").agg(
+        total("revenue").alias("total_revenue"),
+        F.sum("orders").alias("order_count"),
+        total("outstanding").alias("current_outstanding"),
+    )
+    return _scorecard(dealers, per_dealer, carry)
+
+
+def _scorecard(dealers: DataFrame, per_dealer: DataFrame, carry: Sequence[str]) -> DataFrame:
     return dealers.join(per_dealer, "dealer_id", "left").select(
         "dealer_id",
         "dealer_name",
@@ -72,16 +86,19 @@ def dealer_aging_report(
 
     Orders dated after ``as_of`` fall in no bucket.
     """
+    return aging_from_balance(dealers, with_outstanding(orders, payments), as_of)
+
+
+def aging_from_balance(dealers: DataFrame, balance: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """:func:`dealer_aging_report` from rows of dealer, order date and outstanding, such as a stored balance."""
     age = F.datediff(as_date(as_of), F.col("order_date"))
-    nothing = F.lit(0).cast("decimal(20,2)")
+    nothing = F.lit(0).cast("decimal(38,2)")
 
     def bucket(lo, hi):
         inside = age >= lo if hi is None else age.between(lo, hi)
-        return total(F.when(inside, F.col("outstanding")).otherwise(nothing))
+        return total(F.when(inside, F.col("outstanding").cast("decimal(38,2)")).otherwise(nothing))
 
-    per_dealer = with_outstanding(orders, payments).groupBy("dealer_id").agg(
-        *(bucket(lo, hi).alias(name) for name, (lo, hi) in AGE_BUCKETS.items())
-    )
+    per_dealer = balance.groupBy("dealer_id").agg(*(bucket(lo, hi).alias(name) for name, (lo, hi) in AGE_BUCKETS.items()))
     return dealers.select("dealer_id", "dealer_name").join(per_dealer, "dealer_id")
 
 
@@ -171,8 +188,8 @@ def register_views(
         "inventory": lambda: r.inventory,
         "crop_calendar": lambda: r.calendar,
         "monthly_sales_summary": lambda: monthly_sales_summary(r.orders, r.dealers),
-        "dealer_scorecard": lambda: dealer_scorecard(r.dealers, r.orders, r.payments),
-        "dealer_aging_report": lambda: dealer_aging_report(r.dealers, r.orders, r.payments, as_of),
+        "dealer_scorecard": lambda: scorecard_from_balance(r.dealers, r.balance),
+        "dealer_aging_report": lambda: aging_from_balance(r.dealers, r.balance, as_of),
         "product_crop_performance": lambda: product_crop_performance(r.products, r.product_lines),
         "inventory_status": lambda: inventory_status(r.products, r.inventory, as_of),
         "regional_performance": lambda: regional_performance(r.dealers, r.orders),

@@ -15,6 +15,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dealerscope.operators.rollups import order_balance
 
 
 class Roles(Protocol):
@@ -27,6 +28,7 @@ class Roles(Protocol):
     payments: DataFrame
     inventory: DataFrame
     calendar: DataFrame
+    balance: DataFrame  # per dealer and order date, see order_balance; stored where the source was loaded
 
     def lines_of(self, products: DataFrame) -> DataFrame:
         """Order lines of a few products: order_id, order_date, product_id, quantity."""
@@ -43,6 +45,7 @@ class TableRoles:
     payments: DataFrame
     inventory: DataFrame
     calendar: DataFrame
+    balance: DataFrame
 
     def lines_of(self, products: DataFrame) -> DataFrame:
         chosen = self.lines.join(products.select("product_id"), "product_id", "left_semi")
@@ -52,6 +55,7 @@ class TableRoles:
 def roles_from_tables(tables: Mapping[str, DataFrame]) -> Roles:
     """Roles of the nine loaded tables; header and line are the same row there."""
     orders = tables["sales_orders"]
+    balance = tables["order_balance"] if "order_balance" in tables else order_balance(orders, tables["payments"])
     return TableRoles(
         dealers=tables["dealers"],
         products=tables["products"],
@@ -62,6 +66,7 @@ def roles_from_tables(tables: Mapping[str, DataFrame]) -> Roles:
         payments=tables["payments"],
         inventory=tables["inventory"],
         calendar=tables["crop_calendar"],
+        balance=balance,
     )
 
 
@@ -187,6 +192,10 @@ class StarRoles:
             F.col("l_shipdate").cast("date").alias("payment_date"),
         )
 
+    @cached_property
+    def balance(self) -> DataFrame:
+        return order_balance(self.orders, self.payments)
+
     @cached_property
     def inventory(self) -> DataFrame:
         return self.table("lineitem").filter(F.col("l_linestatus") == "O").select(

@@ -11,8 +11,16 @@ from dealerscope.operators import quality
 from dealerscope.operators.filters import region_date_filter
 from dealerscope.plans import alerts, reports, views
 from dealerscope.sources.roles import roles_from_star
+from dealerscope.sources.stored import StoredRoles
 
 FITTED = ("segment", "forecast", "dealer_segments", "demand_forecast", "dq_result_sanity")
+# These read facts that the first of them has stored.
+OF_BALANCE = (
+    "dealer_scorecard", "dealer_aging_report", "dq_payment_reconciliation", "dealer_performance", "aging_totals",
+    "aging_search", "overdue_reminders", "overdue_message",
+)
+OF_BUCKETS = ("weekly_demand", "weekly_demand_filled", "demand_features", "sales_by_season_window")
+STORED = (*OF_BALANCE, *OF_BUCKETS, "adhoc")
 
 
 def plan_of(df):
@@ -131,7 +139,7 @@ def test_orphan_check_joins_keys_not_rows(spark, large_everywhere):
     assert plan.count("Range (0, 60000") == 1
 
 
-@pytest.mark.parametrize("name", [n for n in entry.core_queries() if not n.startswith((*FITTED, "reload_from_csv"))])
+@pytest.mark.parametrize("name", [n for n in entry.core_queries() if not n.startswith((*FITTED, *STORED, "reload_from_csv"))])
 def test_composing_a_plain_query_starts_no_job(spark, name):
     tracker = spark.sparkContext.statusTracker()
     group = f"compose {name}"
@@ -155,3 +163,60 @@ def test_calendar_follows_the_region_table(spark, tmp_path):
     spark.createDataFrame([("Brand#11",), ("Brand#25",)], "p_brand STRING").write.parquet(f"{tmp_path}/part.parquet")
     rows = roles_from_star(spark, str(tmp_path)).calendar.collect()
     assert {(r.crop, r.region) for r in rows} == {(b, f"R{k}") for b in ("Brand#11", "Brand#25") for k in (0, 7, 10, 11, 12, 40)}
+
+
+@pytest.mark.parametrize("name", OF_BALANCE)
+def test_receivables_read_the_stored_balance_only(spark, name):
+    """Orders and receipts are joined once, when the balance is stored; no report reads a fact again."""
+    plan = plan_of(entry.queries()[name](spark, SMALL))
+    assert "lineitem" not in plan and "orders.parquet" not in plan and "order_id" not in plan
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "order_date" in line or "outstanding#" in line and "FileScan" in line]
+    assert "FileScan parquet" in plan and len(scans) <= 1
+
+
+def test_the_balance_is_written_once(spark):
+    first = entry._loaded(spark, SMALL).balance
+    for name in OF_BALANCE:
+        entry.queries()[name](spark, SMALL)
+    assert entry._loaded(spark, SMALL).balance is first
+
+
+@pytest.fixture
+def only_a_few_rows_are_small(spark):
+    """The dozen best sellers may be broadcast, no table may."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1024")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", OF_BUCKETS)
+def test_lines_meet_their_headers_without_an_exchange(spark, only_a_few_rows_are_small, name):
+    plan = plan_of(entry.queries()[name](spark, SMALL))
+    assert "SelectedBucketsCount" in plan
+    assert not re.search(r"Exchange hashpartitioning\(order_id", plan)
+
+
+def test_a_hot_order_meets_its_header_by_broadcast(spark, roles):
+    """A third of the lines lies in one order: they are in no bucket, and the rows are those of the plain join."""
+    lines = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 4000).alias("order_id"),
+        (F.col("id") % 11).alias("product_id"), F.lit(1).alias("quantity"), F.lit(2).cast("decimal(12,2)").alias("total_amount"),
+    )
+    orders = spark.range(3500).select(
+        F.col("id").alias("order_id"), F.lit("2024-01-01").cast("date").alias("order_date"), (F.col("id") % 5).alias("dealer_id"),
+        F.lit(3).cast("decimal(12,2)").alias("total_amount"), F.lit("Paid").alias("payment_status"),
+    )
+
+    class Plain:
+        dealers = products = suppliers = payments = inventory = calendar = None
+
+    source = Plain()
+    source.orders, source.product_lines = orders, lines
+    stored = StoredRoles(source, spark, buckets=5)
+    assert [r.order_id for r in stored._hot_orders.collect()] == [7]
+    assert stored._usual_lines.filter("order_id = 7").count() == 0
+    assert stored.product_lines.exceptAll(lines).isEmpty() and lines.exceptAll(stored.product_lines).isEmpty()
+    plain = lines.join(orders.select("order_id", "order_date", "dealer_id"), "order_id").select(stored.lines.columns)
+    assert plain.exceptAll(stored.lines).isEmpty() and stored.lines.exceptAll(plain).isEmpty()
+    few = spark.createDataFrame([(3,)], "product_id LONG")
+    assert stored.lines_of(few).count() == plain.filter("product_id = 3").count()
