@@ -24,7 +24,8 @@ from dealerscope.plans import adhoc, alerts, forecast, reports, segments, timese
 from dealerscope.sources.durable import fresh_path  # noqa: E402
 from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
 from dealerscope.sources.stored import StoredRoles  # noqa: E402
-from dealerscope.sources.tables import load_table, refresh_status, row_counts  # noqa: E402
+from dealerscope.sources.schemas import STAR  # noqa: E402
+from dealerscope.sources.tables import Loaded, load_tables, refresh_status, row_counts  # noqa: E402
 
 try:  # the training-data operators may be left out of an installation
     import dealerscope.llm.queries as llm_queries
@@ -183,21 +184,6 @@ def _row_counts(r: Roles) -> DataFrame:
     )
 
 
-def _reload(spark: SparkSession, folder: str) -> DataFrame:
-    """The payments written as CSV, loaded with their schema, and summed from the loaded table."""
-    nothing = F.lit(None).cast("string")
-    rows = roles_from_star(spark, folder).payments.select(
-        nothing.alias("payment_id"), "order_id", "amount_received", "payment_date", nothing.alias("payment_mode")
-    )
-    path = fresh_path(spark)
-    rows.write.option("header", True).csv(f"{path}/payments.csv")
-    loaded = load_table(spark, "payments", path, path)
-    by_month = loaded.groupBy(month_start("payment_date").alias("month")).agg(
-        F.count(F.lit(1)).alias("receipts"), total("amount_received").alias("amount")
-    )
-    return _portable(by_month)
-
-
 _stored: dict[tuple[str, str, str], object] = {}
 
 
@@ -209,6 +195,37 @@ def _loaded(spark: SparkSession, folder: str) -> StoredRoles:
     return _stored[key]
 
 
+def _reloaded(spark: SparkSession, folder: str) -> tuple[Loaded, Roles]:
+    """All star tables written as CSV, loaded from there with their declared types and checked on the way."""
+    key = ("reload", spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        csvs, out = fresh_path(spark), fresh_path(spark)
+        for name, ddl in STAR.ddl.items():
+            rows = spark.read.schema(ddl).parquet(f"{folder}/{name}.parquet")
+            rows.write.option("header", True).csv(f"{csvs}/{name}.csv")
+        loaded = load_tables(spark, csvs, out, lambda table, columns: quality.row_rules(table, columns, STAR), STAR)
+        _stored[key] = loaded, roles_from_star(spark, out, ending="")
+    return _stored[key]
+
+
+def _reload(spark: SparkSession, folder: str) -> DataFrame:
+    """The receipts by month of the loaded tables."""
+    payments = _reloaded(spark, folder)[1].payments
+    by_month = payments.groupBy(month_start("payment_date").alias("month")).agg(
+        F.count(F.lit(1)).alias("receipts"), total("amount_received").alias("amount")
+    )
+    return _portable(by_month)
+
+
+def _reload_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = _reloaded(spark, folder)[0].counts
+    return spark.createDataFrame(list(counts.items()), "table_name STRING, row_count BIGINT")
+
+
+def _reload_suite(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.suite_after_load(_reloaded(spark, folder)[0], source=STAR)
+
+
 def _stored_query(plan: Callable[[StoredRoles], DataFrame]) -> Query:
     return lambda spark, folder: _portable(plan(_loaded(spark, folder)))
 
@@ -271,6 +288,8 @@ def core_queries() -> dict[str, Query]:
         # load and quality
         "load_row_counts": _query(_row_counts),
         "reload_from_csv": _reload,
+        "reload_row_counts": _reload_counts,
+        "reload_suite": _reload_suite,
         "refresh_status": _query(lambda r: refresh_status(r.orders)),
         "dq_null_keys": _query(_null_keys),
         "dq_orphans": _query(_orphans),
@@ -560,6 +579,33 @@ def _money(*columns: str) -> str:
     return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
 
 
+def _suite_sql() -> str:
+    """Every rule of the star tables as a count of failing rows."""
+
+    def count(name: str, table: str, wrong: str) -> str:
+        return f"SELECT '{name}' AS check_name, count(*) AS failures FROM {table} WHERE {wrong}"
+
+    checks = []
+    for table, ddl in STAR.ddl.items():
+        columns = [c.split()[0] for c in ddl.split(", ")]
+        checks.append(count(f"{table}: missing required value", table, " OR ".join(f"{c} IS NULL" for c in columns)))
+        if table in STAR.strict:
+            checks.append(count(f"{table}: missing relationship key", table, " OR ".join(f"{c} IS NULL" for c in STAR.foreign_keys[table])))
+        if table in STAR.amounts:
+            checks.append(count(f"{table}: negative amount", table, " OR ".join(f"{c} < 0" for c in STAR.amounts[table])))
+    for (table, column), allowed in STAR.domains.items():
+        checks.append(count(f"{table}.{column}: unknown value", table, f"{column} NOT IN {allowed!r}"))
+    for (table, column), (lo, hi) in STAR.ranges.items():
+        checks.append(count(f"{table}.{column}: out of range", table, f"{column} NOT BETWEEN {lo} AND {hi}"))
+    for table, keys in STAR.primary_keys.items():
+        repeated = f"(SELECT 1 FROM {table} GROUP BY {', '.join(keys)} HAVING count(*) > 1)"
+        checks.append(count(f"{table}: duplicate key", repeated, "true"))
+    for table, references in STAR.foreign_keys.items():
+        missing = [f"NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{STAR.primary_keys[parent][0]} = {table}.{key})" for key, parent in references.items()]
+        checks.append(count(f"{table}: orphan foreign key", table, " OR ".join(missing)))
+    return " UNION ALL ".join(checks)
+
+
 def core_sql() -> dict[str, str]:
     aging_columns = _money("outstanding_0_30", "outstanding_31_60", "outstanding_61_90", "outstanding_90_plus")
     score_columns = (
@@ -609,6 +655,8 @@ def core_sql() -> dict[str, str]:
             "l_extendedprice AS DECIMAL(12,2)) * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2))), 2) AS "
             "DECIMAL(12,2))) AS DOUBLE) AS amount FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1"
         ),
+        "reload_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in STAR.ddl),
+        "reload_suite": _suite_sql(),
         "refresh_status": (
             "SELECT 'ETL completed; standard views require no refresh' AS status, count(*) AS order_count FROM orders"
         ),

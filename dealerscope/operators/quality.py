@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealerscope.operators.rollups import contradicts_receipts, receipts_by_order
-from dealerscope.sources import schemas
+from dealerscope.sources.schemas import INPUT, TableSet
+from dealerscope.sources.tables import Loaded
 
 
 class QualityError(ValueError):
@@ -106,51 +107,61 @@ def union_checks(checks: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-# Columns whose values may not be negative, per table.
-AMOUNTS = {
-    "sales_orders": ("quantity", "unit_price", "total_amount"),
-    "inventory": ("quantity_available", "reorder_level"),
-    "payments": ("amount_received",),
-}
-
-
-def row_rules(table: str, columns: Sequence[str]) -> dict[str, Column]:
+def row_rules(table: str, columns: Sequence[str], source: TableSet = INPUT) -> dict[str, Column]:
     """What every row of an input table must not be, by name of the check."""
-    optional = schemas.NULLABLE.get(table, ())
+    optional = source.nullable.get(table, ())
     rules = {f"{table}: missing required value": is_missing([c for c in columns if c not in optional])}
-    if table in ("sales_orders", "payments"):
-        rules[f"{table}: missing relationship key"] = is_missing(schemas.FOREIGN_KEYS[table])
-    if table in AMOUNTS:
-        rules[f"{table}: negative amount"] = is_negative(AMOUNTS[table])
-    for (owner, column), allowed in schemas.DOMAINS.items():
+    if table in source.strict:
+        rules[f"{table}: missing relationship key"] = is_missing(source.foreign_keys[table])
+    if table in source.amounts:
+        rules[f"{table}: negative amount"] = is_negative(source.amounts[table])
+    for (owner, column), allowed in source.domains.items():
         if owner == table:
             rules[f"{table}.{column}: unknown value"] = outside_domain(column, allowed)
-    for (owner, column), (lo, hi) in schemas.RANGES.items():
+    for (owner, column), (lo, hi) in source.ranges.items():
         if owner == table:
             rules[f"{table}.{column}: out of range"] = outside_range(column, lo, hi)
     return rules
 
 
-def reference_check(tables: Mapping[str, DataFrame], table: str) -> DataFrame:
-    """Orphans of one table. Orders and payments need their references; stock may lack them."""
-    references = schemas.FOREIGN_KEYS[table]
+def reference_check(tables: Mapping[str, DataFrame], table: str, source: TableSet = INPUT) -> DataFrame:
+    """Orphans of one table. Strict tables need their references; others may lack them."""
+    references = source.foreign_keys[table]
     rows = tables[table]
-    if table not in ("sales_orders", "payments"):
+    if table not in source.strict:
         rows = rows.filter(~is_missing(references))
-    return orphans(rows, {key: tables[parent] for key, parent in references.items()}, f"{table}: orphan foreign key")
+    parents = {key: tables[parent].select(F.col(source.primary_keys[parent][0]).alias(key)) for key, parent in references.items()}
+    return orphans(rows, parents, f"{table}: orphan foreign key")
+
+
+def key_checks(tables: Mapping[str, DataFrame], source: TableSet = INPUT) -> list[DataFrame]:
+    """Duplicate keys and orphans: the checks that compare rows with other rows."""
+    checks = [duplicate_keys(tables[n], keys, f"{n}: duplicate key") for n, keys in source.primary_keys.items()]
+    return checks + [reference_check(tables, name, source) for name in source.foreign_keys]
+
+
+_CONTRADICTION = "sales_orders: status contradicts receipts"
 
 
 def run_suite(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Every check on the nine loaded tables; the load passes if all failures are zero.
+    """Every check on the nine tables; they are clean if all failures are zero.
 
     All row rules of a table share one scan.
     """
     checks = [row_checks(df, row_rules(name, df.columns)) for name, df in tables.items()]
-    checks += [duplicate_keys(df, schemas.PRIMARY_KEYS[n], f"{n}: duplicate key") for n, df in tables.items()]
-    checks += [reference_check(tables, name) for name in schemas.FOREIGN_KEYS]
-    checks.append(
-        reconciliation(tables["sales_orders"], tables["payments"], "sales_orders: status contradicts receipts")
-    )
+    checks += key_checks(tables)
+    checks.append(reconciliation(tables["sales_orders"], tables["payments"], _CONTRADICTION))
+    return union_checks(checks)
+
+
+def suite_after_load(loaded: Loaded, balance: DataFrame | None = None, source: TableSet = INPUT) -> DataFrame:
+    """The checks of a load: the row rules as counted while it wrote, keys and references from
+    the stored tables, and the reconciliation from the stored balance, if there is one."""
+    spark = next(iter(loaded.tables.values())).sparkSession
+    counted = spark.createDataFrame(list(loaded.failures.items()), "check_name STRING, failures BIGINT")
+    checks = [counted, *key_checks(loaded.tables, source)]
+    if balance is not None:
+        checks.append(balance_reconciliation(balance, _CONTRADICTION))
     return union_checks(checks)
 
 

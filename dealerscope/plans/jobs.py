@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from dealerscope.operators import quality
+from dealerscope.operators.rollups import order_balance
 from dealerscope.plans import adhoc
 from dealerscope.plans.forecast import ForecastRun, run_forecast
 from dealerscope.plans.segments import Segmentation, segment_dealers
@@ -17,21 +18,26 @@ from dealerscope.plans.timeseries import top_skus
 from dealerscope.plans.views import product_sales
 from dealerscope.sources.roles import Roles, roles_from_tables
 from dealerscope.sources.schemas import INPUT_DDL, RESULT_DDL
-from dealerscope.sources.tables import load_tables, read_table, row_counts, write_result
+from dealerscope.sources.tables import load_tables, read_table, write_replace, write_result
+
+
+BALANCE = "order_balance"
 
 
 def load(spark: SparkSession, csv_folder: str, folder: str) -> DataFrame:
-    """Refresh all tables from CSV, check them, return the row counts.
+    """Refresh all tables from CSV, store the order balance, check everything, return the row counts.
 
-    The tables stay in place if a check fails, so that they can be inspected.
+    Orders and receipts are joined once, for the balance. The tables stay in place if a check
+    fails, so that they can be inspected.
     """
-    tables = load_tables(spark, csv_folder, folder)
-    quality.require_clean(quality.run_suite(tables))
-    return row_counts(tables)
+    loaded = load_tables(spark, csv_folder, folder, quality.row_rules)
+    write_replace(order_balance(loaded.tables["sales_orders"], loaded.tables["payments"]), os.path.join(folder, BALANCE), ["order_date", "dealer_id"])
+    quality.require_clean(quality.suite_after_load(loaded, read_table(spark, BALANCE, folder)))
+    return spark.createDataFrame(list(loaded.counts.items()), "table_name STRING, row_count BIGINT")
 
 
 def open_roles(spark: SparkSession, folder: str) -> Roles:
-    return roles_from_tables({name: read_table(spark, name, folder) for name in INPUT_DDL})
+    return roles_from_tables({name: read_table(spark, name, folder) for name in (*INPUT_DDL, BALANCE)})
 
 
 def forecast(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealerscope.operators.rollups import order_balance
+from dealerscope.sources.schemas import STAR_DDL
 
 
 class Roles(Protocol):
@@ -70,27 +71,6 @@ def roles_from_tables(tables: Mapping[str, DataFrame]) -> Roles:
     )
 
 
-# Column types of the star tables, declared so that no read infers them.
-_STAR_DDL = {
-    "region": "r_regionkey INT, r_name STRING",
-    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
-    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
-    "part": (
-        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
-    ),
-    "orders": (
-        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
-        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
-    ),
-    "lineitem": (
-        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
-        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
-        "l_shipdate TIMESTAMP_NTZ"
-    ),
-}
-
-
 def _net() -> Column:
     """Line amount after discount; the factors are decimals before they are multiplied."""
     gross = F.col("l_extendedprice").cast("decimal(12,2)")
@@ -104,11 +84,11 @@ class StarRoles:
     A role is composed when it is first asked for, so a query pays for its own roles only.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self._spark, self._folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, ending: str = ".parquet"):
+        self._spark, self._folder, self._ending = spark, folder.rstrip("/"), ending
 
     def table(self, name: str) -> DataFrame:
-        return self._spark.read.schema(_STAR_DDL[name]).parquet(f"{self._folder}/{name}.parquet")
+        return self._spark.read.schema(STAR_DDL[name]).parquet(f"{self._folder}/{name}{self._ending}")
 
     @cached_property
     def _geography(self) -> DataFrame:
@@ -222,5 +202,6 @@ class StarRoles:
         )
 
 
-def roles_from_star(spark: SparkSession, folder: str) -> Roles:
-    return StarRoles(spark, folder)
+def roles_from_star(spark: SparkSession, folder: str, ending: str = ".parquet") -> Roles:
+    """Roles of the star's Parquet tables ``{folder}/{name}{ending}``; loaded ones have no ending."""
+    return StarRoles(spark, folder, ending)

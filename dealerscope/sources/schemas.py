@@ -1,7 +1,10 @@
-"""Column types of the nine input tables and the two result tables."""
+"""Column types, keys and rules of the nine input tables, the star tables and the two result tables."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql.types import StructType
 
 # Names, order and types of the input columns.
@@ -92,6 +95,103 @@ NULLABLE = {
 }
 
 
+# Column types of the star tables, declared so that no read infers them.
+STAR_DDL = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+        "l_shipdate TIMESTAMP_NTZ"
+    ),
+}
+
+
+@dataclass(frozen=True)
+class TableSet:
+    """The tables of one source and what their rows must be. Columns that are not nullable are required."""
+
+    ddl: Mapping[str, str]
+    primary_keys: Mapping[str, tuple[str, ...]]
+    foreign_keys: Mapping[str, Mapping[str, str]]
+    domains: Mapping[tuple[str, str], tuple[str, ...]] = field(default_factory=dict)
+    ranges: Mapping[tuple[str, str], tuple[int, int]] = field(default_factory=dict)
+    nullable: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    amounts: Mapping[str, tuple[str, ...]] = field(default_factory=dict)  # columns that may not be negative
+    strict: tuple[str, ...] = ()  # tables whose foreign keys may not be missing
+    clustering: Mapping[str, tuple[str, ...]] = field(default_factory=dict)  # sort order of the stored rows
+
+    def schema(self, table: str) -> StructType:
+        return StructType.fromDDL(self.ddl[table])
+
+
+# Orders and stock are clustered by the date that panels filter on. Payments are clustered
+# by order, so that the receipts of an order are summed before the shuffle.
+INPUT = TableSet(
+    INPUT_DDL,
+    PRIMARY_KEYS,
+    FOREIGN_KEYS,
+    DOMAINS,
+    RANGES,
+    NULLABLE,
+    amounts={
+        "sales_orders": ("quantity", "unit_price", "total_amount"),
+        "inventory": ("quantity_available", "reorder_level"),
+        "payments": ("amount_received",),
+    },
+    strict=("sales_orders", "payments"),
+    clustering={
+        "sales_orders": ("order_date", "order_id"),
+        "inventory": ("expiry_date", "inventory_id"),
+        "payments": ("order_id", "payment_id"),
+    },
+)
+
+# Keys and domains of the star tables.
+STAR = TableSet(
+    STAR_DDL,
+    primary_keys={
+        "region": ("r_regionkey",),
+        "nation": ("n_nationkey",),
+        "customer": ("c_custkey",),
+        "supplier": ("s_suppkey",),
+        "part": ("p_partkey",),
+        "orders": ("o_orderkey",),
+        "lineitem": ("l_orderkey", "l_linenumber"),
+    },
+    foreign_keys={
+        "nation": {"n_regionkey": "region"},
+        "customer": {"c_nationkey": "nation"},
+        "supplier": {"s_nationkey": "nation"},
+        "orders": {"o_custkey": "customer"},
+        "lineitem": {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"},
+    },
+    domains={
+        ("orders", "o_orderstatus"): ("F", "O", "P"),
+        ("lineitem", "l_linestatus"): ("F", "O"),
+        ("customer", "c_mktsegment"): ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
+    },
+    ranges={("part", "p_size"): (1, 50)},
+    amounts={
+        "orders": ("o_totalprice",),
+        "lineitem": ("l_quantity", "l_extendedprice", "l_discount", "l_tax"),
+        "part": ("p_retailprice",),
+        "customer": ("c_acctbal",),
+    },
+    strict=("orders", "lineitem"),
+    clustering={"orders": ("o_orderdate", "o_orderkey")},
+)
+
+
 def input_schema(table: str) -> StructType:
     return StructType.fromDDL(INPUT_DDL[table])
 

@@ -139,7 +139,7 @@ def test_orphan_check_joins_keys_not_rows(spark, large_everywhere):
     assert plan.count("Range (0, 60000") == 1
 
 
-@pytest.mark.parametrize("name", [n for n in entry.core_queries() if not n.startswith((*FITTED, *STORED, "reload_from_csv"))])
+@pytest.mark.parametrize("name", [n for n in entry.core_queries() if not n.startswith((*FITTED, *STORED, "reload_"))])
 def test_composing_a_plain_query_starts_no_job(spark, name):
     tracker = spark.sparkContext.statusTracker()
     group = f"compose {name}"
