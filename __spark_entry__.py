@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,19 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))  # when loaded by path
 from dealerscope.functions.dates import as_date, month_start  # noqa: E402
 from dealerscope.functions.money import total  # noqa: E402
 from dealerscope.operators import quality  # noqa: E402
-from dealerscope.plans import adhoc, alerts, forecast, reports, segments, timeseries, views  # noqa: E402
-from dealerscope.sources.durable import fresh_path  # noqa: E402
+from dealerscope.plans import adhoc, alerts, backtest, forecast, reports, segments, timeseries, views  # noqa: E402
+from dealerscope.sources.durable import fresh_path, materialise  # noqa: E402
 from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
 from dealerscope.sources.stored import StoredRoles  # noqa: E402
-from dealerscope.sources.schemas import STAR  # noqa: E402
-from dealerscope.sources.tables import Loaded, load_tables, refresh_status, row_counts  # noqa: E402
+from dealerscope.sources.schemas import RESULT_DDL, STAR  # noqa: E402
+from dealerscope.sources.tables import (  # noqa: E402
+    Loaded,
+    load_tables,
+    read_table,
+    refresh_status,
+    row_counts,
+    write_result,
+)
 
 try:  # the training-data operators may be left out of an installation
     import dealerscope.llm.queries as llm_queries
@@ -236,21 +244,54 @@ def _adhoc(statement: str, **parameters: object) -> Query:
     )
 
 
+def _result_table(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """Rows written as the declared result table, as a job would, and that table."""
+    folder = fresh_path(spark)
+    write_result(rows, RESULT_DDL[name], f"{folder}/{name}")
+    return read_table(spark, name, folder)
+
+
 def _stored_run(kind: str, spark: SparkSession, folder: str):
-    """The forecast or segmentation of a folder, fitted once per Spark application.
+    """The forecast, backtest or segmentation of a folder, made once per Spark application.
 
-    Its tables are written when it is fitted, and the panels that show them read those.
+    Its result table is written when it is made, and the panels that show it read that.
     """
     key = (kind, spark.sparkContext.applicationId, folder)
     if key not in _stored:
         r = _loaded(spark, folder)
         if kind == "forecast":
-            _stored[key] = forecast.run_forecast(r.lines_of(_top_skus(r)), r.products, r.calendar)
+            run = forecast.run_forecast(r.lines_of(_top_skus(r)), r.products, r.calendar)
+            run = replace(run, results=_result_table(spark, "demand_forecast_results", run.results))
+        elif kind == "backtest":
+            run = backtest.run_backtest(_series_of(spark, folder))
+            run = replace(run, results=_result_table(spark, "backtest_results", run.results))
+        elif kind == "bands":
+            run = segments.label_dealers(segments.quantile_bands(segments.rfm(r.dealers, r.orders)))
+            run = replace(run, segments=_result_table(spark, "dealer_segments", run.segments))
         else:
-            _stored[key] = segments.segment_dealers(r.dealers, r.orders)
+            run = segments.segment_dealers(r.dealers, r.orders)
+            run = replace(run, segments=_result_table(spark, "dealer_segments", run.segments))
+        _stored[key] = run
+    return _stored[key]
+
+
+def _series_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The weekly series of the best sellers, written once per Spark application."""
+    key = ("series", spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        _stored[key] = materialise(_series(_loaded(spark, folder)))
     return _stored[key]
 
 
+def _run_query(kind: str, plan) -> Query:
+    return lambda spark, folder: _portable(plan(_stored_run(kind, spark, folder), _loaded(spark, folder)))
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Means of doubles to six places: their last bits hang on the order of the sum."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def _forecast_query(plan) -> Query:
     return lambda spark, folder: _portable(
         plan(_stored_run("forecast", spark, folder), roles_from_star(spark, folder))
@@ -380,6 +421,30 @@ def core_queries() -> dict[str, Query]:
                 ]
             )
         ),
+        # plain forecasts over several origins, and segments by exact quantiles
+        "backtest_forecasts": _run_query("backtest", lambda run, r: run.forecasts),
+        "backtest_scores": _run_query("backtest", lambda run, r: run.scores),
+        "backtest_results": _run_query("backtest", lambda run, r: run.results),
+        "backtest_league": _run_query("backtest", lambda run, r: _rounded(backtest.league(run), "mean_mape")),
+        "backtest_overview": _run_query("backtest", lambda run, r: reports.forecast_overview(run.results, r.products)),
+        "backtest_series": _run_query(
+            "backtest",
+            lambda run, r: reports.forecast_series(reports.forecast_overview(run.results.filter("fold = 0"), r.products)),
+        ),
+        "linear_forecast": lambda spark, folder: _portable(backtest.forecast_linear(_series_of(spark, folder))),
+        "band_segments": _run_query("bands", lambda run, r: run.segments),
+        "band_centres": _run_query("bands", lambda run, r: _rounded(run.centres, *segments.MEASURES)),
+        "band_profile": _run_query(
+            "bands",
+            lambda run, r: _rounded(segments.segment_profile(run.segments), *(f"mean_{m}" for m in segments.MEASURES)),
+        ),
+        "band_overview": _run_query("bands", lambda run, r: reports.segment_overview(run.segments, r.dealers)),
+        "dq_plain_results": lambda spark, folder: quality.union_checks(
+            [
+                forecast.forecast_checks(_stored_run("backtest", spark, folder).results.filter("fold = 0")),
+                segments.segment_checks(_stored_run("bands", spark, folder).segments, _loaded(spark, folder).orders),
+            ]
+        ),
         # bounded SQL
         "adhoc_bounded": _adhoc(ADHOC),
         "adhoc_parameters": _adhoc(ADHOC_BOUND, crop=CROP, floor=100),
@@ -519,6 +584,82 @@ _VIEW_SQL = {
         "count(*) FILTER (recent) AS frequency, sum(if(recent, total_amount, 0)) AS monetary "
         "FROM dated_orders SEMI JOIN dealers USING (dealer_id) GROUP BY dealer_id"
     ),
+    "features": (
+        "SELECT *, lag(y, 1) OVER w AS lag_1, lag(y, 2) OVER w AS lag_2, lag(y, 3) OVER w AS lag_3, lag(y, 4) OVER w AS "
+        "lag_4 FROM series WINDOW w AS (PARTITION BY product_id ORDER BY ds)"
+    ),
+    # every week for each of six folds, eight weeks apart; the last known week has before = 1
+    "folds": (
+        "SELECT product_id, ds, y, CAST(fold AS INTEGER) AS fold, place - (fold + 1) * 8 AS before FROM (SELECT product_id, "
+        "ds, y, row_number() OVER (PARTITION BY product_id ORDER BY ds DESC) AS place FROM series), "
+        "(SELECT unnest(range(6)) AS fold) WHERE place - (fold + 1) * 8 > -8"
+    ),
+    "fold_known": (
+        "SELECT product_id, fold, max(y) FILTER (before = 1) AS last, avg(y) AS mean FROM folds WHERE before BETWEEN 1 AND 4 "
+        "GROUP BY product_id, fold HAVING count(*) = 4"
+    ),
+    "plain": (
+        "SELECT product_id, fold, ds, y, greatest(last, 0) AS last, greatest(mean, 0) AS mean FROM folds JOIN fold_known "
+        "USING (product_id, fold) WHERE before <= 0"
+    ),
+    "plain_scores": (
+        "SELECT *, CASE WHEN last_mape <= mean_mape THEN 'last_week' ELSE 'mean_of_four' END AS model_used FROM (SELECT "
+        "product_id, fold, "
+        + ", ".join(
+            f"round(avg(abs(y - {m}) / greatest(y, 1)) * 100, 9) AS {m}_mape, round(sqrt(avg((y - {m}) * (y - {m}))), 9) "
+            f"AS {m}_rmse"
+            for m in ("mean", "last")
+        )
+        + " FROM plain GROUP BY product_id, fold)"
+    ),
+    "plain_results": (
+        "SELECT product_id, fold, model_used, CAST(CASE model_used WHEN 'last_week' THEN last_mape ELSE mean_mape END AS "
+        "DECIMAL(10,4)) AS mape, CAST(CASE model_used WHEN 'last_week' THEN last_rmse ELSE mean_rmse END AS DECIMAL(12,4)) "
+        "AS rmse, CAST(last_mape AS DECIMAL(10,4)) AS last_mape, CAST(mean_mape AS DECIMAL(10,4)) AS mean_mape, ds AS "
+        "forecast_week, CAST(CASE model_used WHEN 'last_week' THEN last ELSE mean END AS DECIMAL(12,2)) AS predicted_qty, "
+        "CAST(y AS DECIMAL(12,2)) AS actual_qty FROM plain JOIN plain_scores USING (product_id, fold)"
+    ),
+    "linear_start": (
+        "SELECT product_id, "
+        + ", ".join(f"coalesce(arg_min_null(lag_{i}, ds), 0) AS lag_{i}" for i in range(1, 5))
+        + " FROM features WHERE is_holdout GROUP BY product_id"
+    ),
+    "linear_steps": (
+        "SELECT product_id, 0 AS step, lag_1, lag_2, lag_3, lag_4 FROM linear_start UNION ALL SELECT product_id, step + 1, "
+        "greatest(0, 0.75::DOUBLE * lag_1 + 0.5::DOUBLE * lag_2 - 0.25::DOUBLE * lag_3 - 0.125::DOUBLE * lag_4 - 3), lag_1, "
+        "lag_2, lag_3 FROM linear_steps WHERE step < 8"
+    ),
+    # the exact quarter of each measure, then the sum of the three in five bands
+    "quarters": (
+        "SELECT *, "
+        + ", ".join(
+            f"3 - ((rank() OVER (ORDER BY {order} DESC) - 1) * 4) // count(*) OVER () AS q_{m}"
+            for m, order in (("recency", "-recency"), ("frequency", "frequency"), ("monetary", "monetary"))
+        )
+        + " FROM rfm"
+    ),
+    "banded": (
+        "SELECT dealer_id, recency, CAST(frequency AS INTEGER) AS frequency, CAST(monetary AS DECIMAL(14,2)) AS monetary, "
+        "CAST(((q_recency + q_frequency + q_monetary) * 5) // 10 AS INTEGER) AS cluster_id FROM quarters"
+    ),
+    "band_means": (
+        "SELECT cluster_id, avg(recency) AS recency, avg(frequency) AS frequency, avg(CAST(monetary AS DOUBLE)) AS monetary "
+        "FROM banded GROUP BY cluster_id"
+    ),
+    "band_shares": (
+        "SELECT *, "
+        + ", ".join(
+            f"(rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0) / count(*) OVER () AS s_{m}"
+            for m in ("recency", "frequency", "monetary")
+        )
+        + " FROM band_means"
+    ),
+    "band_labels": (
+        "SELECT cluster_id, recency, frequency, monetary, CASE WHEN s_recency < 0.4 AND s_frequency > 0.6 AND s_monetary > "
+        "0.6 THEN 'Champions' WHEN s_recency > 0.65 AND s_frequency < 0.5 THEN 'At Risk' WHEN s_frequency > 0.6 THEN "
+        "'Loyal' WHEN s_recency < 0.5 THEN 'Potential' ELSE 'Needs Attention' END AS segment_label FROM band_shares"
+    ),
+    "band_dealers": "SELECT * FROM banded JOIN (SELECT cluster_id, segment_label FROM band_labels) USING (cluster_id)",
 }
 
 
@@ -556,6 +697,20 @@ _NEEDS = {
     "series": ["weeks", "weekly"],
     "dated_orders": ["sales_orders"],
     "rfm": ["dealers", "dated_orders"],
+    "features": ["series"],
+    "folds": ["series"],
+    "fold_known": ["folds"],
+    "plain": ["folds", "fold_known"],
+    "plain_scores": ["plain"],
+    "plain_results": ["plain", "plain_scores"],
+    "linear_start": ["features"],
+    "linear_steps": ["linear_start"],
+    "quarters": ["rfm"],
+    "banded": ["quarters"],
+    "band_means": ["banded"],
+    "band_shares": ["band_means"],
+    "band_labels": ["band_shares"],
+    "band_dealers": ["banded", "band_labels"],
 }
 
 
@@ -572,7 +727,7 @@ def _with(names: list[str], select: str) -> str:
     for name in names:
         add(name)
     items = ", ".join(f"{n} AS ({_ROLE_SQL.get(n) or _VIEW_SQL[n]})" for n in order)
-    return f"WITH {items} {select}"
+    return f"WITH {'RECURSIVE ' if 'linear_steps' in order else ''}{items} {select}"
 
 
 def _money(*columns: str) -> str:
@@ -625,6 +780,9 @@ def core_sql() -> dict[str, str]:
         "CAST(CAST(outstanding_90_plus AS DECIMAL(38,2)) AS VARCHAR)"
     )
     season = _nearest_sql("order_date", "peak_month")
+    result_columns = "product_id, fold, model_used, CAST(forecast_week AS VARCHAR) AS forecast_week, " + _money(
+        "mape", "rmse", "last_mape", "mean_mape", "predicted_qty", "actual_qty"
+    )
     return {
         "monthly_sales_summary": _with(["monthly"], f"SELECT {monthly_columns} FROM monthly"),
         "dealer_scorecard": _with(["scorecard"], f"SELECT {score_columns} FROM scorecard"),
@@ -858,6 +1016,69 @@ def core_sql() -> dict[str, str]:
             )
             + " FROM rfm",
         ),
+        "backtest_forecasts": _with(
+            ["plain"],
+            "SELECT product_id, fold, CAST(ds AS VARCHAR) AS ds, y, last AS yhat, 'last_week' AS model FROM plain UNION ALL "
+            "SELECT product_id, fold, CAST(ds AS VARCHAR), y, mean, 'mean_of_four' FROM plain",
+        ),
+        "backtest_scores": _with(["plain_scores"], "SELECT * FROM plain_scores"),
+        "backtest_results": _with(["plain_results"], f"SELECT {result_columns} FROM plain_results"),
+        "backtest_league": _with(
+            ["plain_scores"],
+            "SELECT 'last_week' AS model, count(*) FILTER (model_used = 'last_week') AS wins, round(avg(last_mape), 6) AS "
+            "mean_mape FROM plain_scores UNION ALL SELECT 'mean_of_four', count(*) FILTER (model_used = 'mean_of_four'), "
+            "round(avg(mean_mape), 6) FROM plain_scores",
+        ),
+        "backtest_overview": _with(
+            ["plain_results", "products"],
+            f"SELECT {result_columns}, product_name FROM plain_results JOIN products USING (product_id)",
+        ),
+        "backtest_series": _with(
+            ["plain_results", "products"],
+            " UNION ALL ".join(
+                f"SELECT product_id, product_name, CAST(forecast_week AS VARCHAR) AS forecast_week, '{c}' AS measure, "
+                f"CAST({c} AS DOUBLE) AS quantity FROM plain_results JOIN products USING (product_id) WHERE fold = 0"
+                for c in ("actual_qty", "predicted_qty")
+            ),
+        ),
+        "linear_forecast": _with(
+            ["features", "linear_steps"],
+            "SELECT product_id, CAST(ds AS VARCHAR) AS ds, y, s.lag_1 AS yhat FROM (SELECT product_id, ds, y, row_number() OVER "
+            "(PARTITION BY product_id ORDER BY ds) AS step FROM features WHERE is_holdout) JOIN linear_steps s "
+            "USING (product_id, step)",
+        ),
+        "band_segments": _with(
+            ["band_dealers"],
+            "SELECT CAST(dealer_id AS INTEGER) AS dealer_id, recency, frequency, CAST(monetary AS DOUBLE) AS monetary, "
+            "cluster_id, segment_label FROM band_dealers",
+        ),
+        "band_centres": _with(
+            ["band_labels"],
+            "SELECT cluster_id, round(recency, 6) AS recency, round(frequency, 6) AS frequency, round(monetary, 6) AS "
+            "monetary, segment_label FROM band_labels",
+        ),
+        "band_profile": _with(
+            ["band_dealers"],
+            "SELECT segment_label, count(*) AS dealers, round(avg(recency), 6) AS mean_recency, round(avg(frequency), 6) AS "
+            "mean_frequency, round(avg(CAST(monetary AS DOUBLE)), 6) AS mean_monetary FROM band_dealers GROUP BY segment_label",
+        ),
+        "band_overview": _with(
+            ["band_dealers", "dealers"],
+            "SELECT CAST(dealer_id AS INTEGER) AS dealer_id, recency, frequency, CAST(monetary AS DOUBLE) AS monetary, "
+            "cluster_id, segment_label, dealer_name FROM band_dealers JOIN dealers USING (dealer_id)",
+        ),
+        "dq_plain_results": _with(
+            ["plain_results", "band_dealers", "sales_orders"],
+            "SELECT 'forecast: negative quantity' AS check_name, count(*) FILTER (predicted_qty IS NULL OR predicted_qty < 0) "
+            "AS failures FROM plain_results WHERE fold = 0 UNION ALL SELECT 'forecast: MAPE not finite', count(*) FILTER "
+            "(mape IS NULL) FROM plain_results WHERE fold = 0 UNION ALL SELECT 'forecast: duplicate week', count(*) FROM "
+            "(SELECT 1 FROM plain_results WHERE fold = 0 GROUP BY product_id, forecast_week HAVING count(*) > 1) UNION ALL "
+            "SELECT 'segments: no label', count(*) FILTER (coalesce(segment_label, '') = '') FROM band_dealers UNION ALL "
+            "SELECT 'segments: duplicate dealer', count(*) FROM (SELECT 1 FROM band_dealers GROUP BY dealer_id HAVING "
+            "count(*) > 1) UNION ALL SELECT 'segments: dealer left out', count(*) FROM (SELECT DISTINCT dealer_id FROM "
+            "sales_orders) o ANTI JOIN band_dealers USING (dealer_id) UNION ALL SELECT 'segments: number of clusters', "
+            "CAST(CASE WHEN count(DISTINCT cluster_id) BETWEEN 3 AND 5 THEN 0 ELSE 1 END AS BIGINT) FROM band_dealers",
+        ),
         "adhoc_parameters": _with(
             ["product_sales"],
             "SELECT product_id, product_name, CAST(total_quantity_sold AS BIGINT) AS total_quantity_sold, "

@@ -46,6 +46,17 @@ def rank_descending(df: DataFrame, group: Sequence[str], value: str, out: str) -
     return rows.join(ranked, ["_group", "_at"]).select(*df.columns, out)
 
 
+def tiles(df: DataFrame, value: str, n: int, out: str) -> DataFrame:
+    """Add the exact n-tile of ``value``, 0 for the smallest; equal values share one, null is the largest.
+
+    It is taken from the rank among all rows, which no task sorts as a whole.
+    """
+    count = df.agg(F.count(F.lit(1))).scalar()
+    ranked = rank_descending(df.withColumn("_everything", F.lit(0)), ["_everything"], value, "_rank")
+    tile = n - 1 - F.floor((F.col("_rank") - 1) * n / count).cast("int")
+    return ranked.withColumn(out, tile).drop("_everything", "_rank")
+
+
 def mean_rank_share(df: DataFrame, column: str, out: str) -> DataFrame:
     """Ascending rank divided by the row count, ties sharing their mean rank.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,23 @@ LAG_COLUMNS = tuple(f"lag_{i}" for i in range(1, LAGS + 1))
 FEATURES = (*LAG_COLUMNS, "rolling_4", "month", "days_to_peak_demand")
 BOOSTED, SEASONAL = "boosted_trees", "seasonal_regression"
 
+
+@dataclass(frozen=True)
+class Model:
+    """A model as results name it, and the prefix of its score columns."""
+
+    name: str
+    prefix: str
+
+
+MODELS = (Model(BOOSTED, "boosted"), Model(SEASONAL, "seasonal"))
+
+
+def lag_shift(prediction: str) -> list[str]:
+    """The lags of the next step as SQL, latest first: the prediction, then each lag but the oldest."""
+    return [prediction, *LAG_COLUMNS[:-1]]
+
+
 # Size of the boosted model.
 BOOSTED_PARAMS = {"maxIter": 180, "maxDepth": 3, "stepSize": 0.05, "lossType": "squared", "seed": 42}
 
@@ -86,15 +103,9 @@ def forecast_boosted(
             predicted = model.transform(assembler.transform(inputs))
         clipped = F.greatest(F.lit(0.0), F.col("prediction"))
         done = [f"yhat_{i}" for i in range(step)]
-        shifted = {LAG_COLUMNS[i]: F.col(LAG_COLUMNS[i - 1]) for i in range(1, LAGS)}
-        state = predicted.select(
-            "product_id",
-            "weeks",
-            *done,
-            clipped.alias(f"yhat_{step}"),
-            clipped.alias(LAG_COLUMNS[0]),
-            *(column.alias(name) for name, column in shifted.items()),
-        )
+        guessed = predicted.withColumn(f"yhat_{step}", clipped)
+        shifted = (F.expr(source).alias(name) for name, source in zip(LAG_COLUMNS, lag_shift(f"yhat_{step}")))
+        state = guessed.select("product_id", "weeks", *done, f"yhat_{step}", *shifted)
     rows = F.arrays_zip("weeks", F.array(*(f"yhat_{i}" for i in range(holdout))).alias("yhat"))
     return state.select("product_id", F.explode(rows).alias("r")).select(
         "product_id", F.col("r.weeks.ds").alias("ds"), F.col("r.weeks.y").alias("y"), F.col("r.yhat").alias("yhat")
@@ -159,53 +170,65 @@ def forecast_seasonal(series: DataFrame) -> DataFrame:
 # -- comparison ------------------------------------------------------------------------
 
 
-def score(forecast: DataFrame) -> DataFrame:
-    """MAPE (actuals below one count as one) and RMSE per product."""
-    error = F.col("y") - F.col("yhat")
-    return forecast.groupBy("product_id").agg(
-        (F.avg(F.abs(error) / F.greatest("y", F.lit(1.0))) * 100).alias("mape"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
-    )
+SCORE_DIGITS = 9  # scores are rounded, so that sums taken in another order decide alike
 
 
-def compare(boosted: DataFrame, seasonal: DataFrame) -> DataFrame:
-    """Both models' scores per product and the model of lower MAPE (seasonal on a tie)."""
-    b = score(boosted).select("product_id", F.col("mape").alias("boosted_mape"), F.col("rmse").alias("boosted_rmse"))
-    s = score(seasonal).select(
-        "product_id", F.col("mape").alias("seasonal_mape"), F.col("rmse").alias("seasonal_rmse")
+def score(forecast: DataFrame, keys: Sequence[str] = ("product_id",)) -> DataFrame:
+    """MAPE (actuals below one count as one) and RMSE per product."""
+    error = F.col("y") - F.col("yhat")
+    return forecast.groupBy(*keys).agg(
+        F.round(F.avg(F.abs(error) / F.greatest("y", F.lit(1.0))) * 100, SCORE_DIGITS).alias("mape"),
+        F.round(F.sqrt(F.avg(error * error)), SCORE_DIGITS).alias("rmse"),
     )
-    winner = F.when(F.col("seasonal_mape") <= F.col("boosted_mape"), SEASONAL).otherwise(BOOSTED)
-    return b.join(s, "product_id").withColumn("model_used", winner)
 
 
-def select_winner(boosted: DataFrame, seasonal: DataFrame, scores: DataFrame) -> DataFrame:
+def compare(
+    first: DataFrame, second: DataFrame, models: tuple[Model, Model] = MODELS, keys: Sequence[str] = ("product_id",)
+) -> DataFrame:
+    """Both models' scores per product and the model of lower MAPE (the second on a tie)."""
+    scored = [
+        score(forecast, keys).withColumnsRenamed({"mape": f"{m.prefix}_mape", "rmse": f"{m.prefix}_rmse"})
+        for forecast, m in zip((first, second), models)
+    ]
+    a, b = models
+    winner = F.when(F.col(f"{b.prefix}_mape") <= F.col(f"{a.prefix}_mape"), b.name).otherwise(a.name)
+    return scored[0].join(scored[1], list(keys)).withColumn("model_used", winner)
+
+
+def select_winner(
+    first: DataFrame,
+    second: DataFrame,
+    scores: DataFrame,
+    models: tuple[Model, Model] = MODELS,
+    keys: Sequence[str] = ("product_id",),
+) -> DataFrame:
     """The winning model's predictions and scores, one row per product and week."""
-    seasonal_won = F.col("model_used") == SEASONAL
-    candidates = boosted.withColumn("model", F.lit(BOOSTED)).unionByName(seasonal.withColumn("model", F.lit(SEASONAL)))
-    won = candidates.join(scores, "product_id").filter(F.col("model") == F.col("model_used"))
+    a, b = models
+    second_won = F.col("model_used") == b.name
+    candidates = first.withColumn("model", F.lit(a.name)).unionByName(second.withColumn("model", F.lit(b.name)))
+    won = candidates.join(scores, list(keys)).filter(F.col("model") == F.col("model_used"))
     return won.select(
-        "product_id",
+        *keys,
         "model_used",
-        F.when(seasonal_won, F.col("seasonal_mape")).otherwise(F.col("boosted_mape")).alias("mape"),
-        F.when(seasonal_won, F.col("seasonal_rmse")).otherwise(F.col("boosted_rmse")).alias("rmse"),
-        "seasonal_mape",
-        "boosted_mape",
+        *(F.when(second_won, F.col(f"{b.prefix}_{c}")).otherwise(F.col(f"{a.prefix}_{c}")).alias(c) for c in ("mape", "rmse")),
+        f"{b.prefix}_mape",
+        f"{a.prefix}_mape",
         F.col("ds").alias("forecast_week"),
         F.col("yhat").alias("predicted_qty"),
         F.col("y").alias("actual_qty"),
     )
 
 
-def model_summary(scores: DataFrame) -> DataFrame:
+def model_summary(scores: DataFrame, models: tuple[Model, Model] = MODELS) -> DataFrame:
     """Products won and mean MAPE per model."""
-    models = F.array(
+    rows = F.array(
         *(
-            F.struct(F.lit(m).alias("model"), (F.col("model_used") == m).alias("won"), F.col(c).alias("mape"))
-            for m, c in ((SEASONAL, "seasonal_mape"), (BOOSTED, "boosted_mape"))
+            F.struct(F.lit(m.name).alias("model"), (F.col("model_used") == m.name).alias("won"), F.col(f"{m.prefix}_mape").alias("mape"))
+            for m in models
         )
     )
     return (
-        scores.select(F.inline(models))
+        scores.select(F.inline(rows))
         .groupBy("model")
         .agg(F.count_if("won").alias("wins"), F.avg("mape").alias("mean_mape"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dealerscope.functions.money import total
 from dealerscope.operators.kmeans import Clustering, fit_many, nearest_centre, whole_points
 from dealerscope.operators.quality import count_between, duplicate_keys, row_checks, union_checks
-from dealerscope.operators.ranking import mean_rank_share
+from dealerscope.operators.ranking import mean_rank_share, tiles
 from dealerscope.sources.durable import materialise
 
 MEASURES = ("recency", "frequency", "monetary")
@@ -131,6 +131,34 @@ def label_clusters(centres: DataFrame) -> DataFrame:
     return ranked.select("cluster_id", *MEASURES, label.alias("segment_label"))
 
 
+TILES = 4
+BANDS = 5
+
+
+def quantile_bands(table: DataFrame, tile_count: int = TILES, bands: int = BANDS) -> DataFrame:
+    """Clusters by rule instead of by fit: ``table`` with ``cluster_id`` from 0 (worst) to ``bands`` - 1.
+
+    Each measure gives its exact quantile, the shorter recency the higher, and the sum of the
+    three is cut into bands of equal width. Dealers with equal measures share a band.
+    """
+    scored = table.withColumn("_fresh", -F.col("recency"))
+    for measure in ("_fresh", *MEASURES[1:]):
+        scored = tiles(scored, measure, tile_count, f"_tile_{measure}")
+    total_tiles = sum((F.col(f"_tile_{m}") for m in MEASURES[1:]), F.col("_tile__fresh"))
+    widest = 3 * (tile_count - 1) + 1
+    return scored.select("dealer_id", *MEASURES, F.floor(total_tiles * bands / widest).cast("int").alias("cluster_id"))
+
+
+def label_dealers(assigned: DataFrame) -> Segmentation:
+    """The segmentation that given clusters make: their centres, labels and labelled dealers."""
+    assigned = materialise(assigned)
+    centres = materialise(label_clusters(centroids(assigned)))
+    labels = centres.select("cluster_id", "segment_label")
+    labelled = assigned.join(labels, "cluster_id").select("dealer_id", *MEASURES, "cluster_id", "segment_label")
+    none = assigned.sparkSession.createDataFrame([], "k INT, inertia DOUBLE, silhouette DOUBLE")
+    return Segmentation(labelled, none, centres)
+
+
 @dataclass(frozen=True)
 class Segmentation:
     segments: DataFrame  # one row per dealer

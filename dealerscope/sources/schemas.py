@@ -39,12 +39,16 @@ INPUT_DDL = {
     ),
 }
 
-# Columns of the stored results.
+# Columns of the stored results; the backtest's are our own.
 RESULT_DDL = {
     "demand_forecast_results": (
         "product_id INT, model_used STRING, mape DECIMAL(10,4), rmse DECIMAL(12,4), seasonal_mape DECIMAL(10,4), "
         "boosted_mape DECIMAL(10,4), forecast_week DATE, predicted_qty DECIMAL(12,2), actual_qty DECIMAL(12,2)"
     ),
+    "backtest_results": (
+        "product_id BIGINT, fold INT, model_used STRING, mape DECIMAL(10,4), rmse DECIMAL(12,4), last_mape DECIMAL(10,4), "
+        "mean_mape DECIMAL(10,4), forecast_week DATE, predicted_qty DECIMAL(12,2), actual_qty DECIMAL(12,2)"
+    ),
     "dealer_segments": (
         "dealer_id INT, recency INT, frequency INT, monetary DECIMAL(14,2), cluster_id INT, segment_label STRING"
     ),
