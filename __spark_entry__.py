@@ -21,7 +21,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))  # when loaded by path
 from dealerscope.functions.dates import as_date, month_start  # noqa: E402
 from dealerscope.functions.money import total  # noqa: E402
 from dealerscope.operators import quality  # noqa: E402
-from dealerscope.plans import adhoc, alerts, backtest, forecast, reports, segments, timeseries, views  # noqa: E402
+from dealerscope.plans import adhoc, alerts, backtest, cube, forecast, reports, segments, timeseries, views  # noqa: E402
 from dealerscope.sources.durable import fresh_path, materialise  # noqa: E402
 from dealerscope.sources.roles import Roles, roles_from_star  # noqa: E402
 from dealerscope.sources.stored import StoredRoles  # noqa: E402
@@ -35,11 +35,9 @@ from dealerscope.sources.tables import (  # noqa: E402
     write_result,
 )
 
-try:  # the training-data operators may be left out of an installation
+try:  # the training-data operators, or a library that they need, may be left out of an installation
     import dealerscope.llm.queries as llm_queries
-except ModuleNotFoundError as missing:
-    if missing.name not in ("dealerscope.llm", "dealerscope.llm.queries", "corpus_pipeline"):
-        raise
+except ModuleNotFoundError:
     llm_queries = None
 
 AS_OF = "2001-08-01"  # the latest order date of the test tables
@@ -96,8 +94,7 @@ def _monthly(r: Roles) -> DataFrame:
     return views.monthly_sales_summary(r.orders, r.dealers)
 
 
-def _product_revenue(r: Roles) -> DataFrame:
-    return reports.product_revenue(r.lines, r.dealers, r.products, REGIONS, LO, HI)
+GLOBAL = (REGIONS, LO, HI)  # the choice of regions and dates above all sales panels
 
 
 def _top_skus(r: Roles) -> DataFrame:
@@ -238,6 +235,18 @@ def _stored_query(plan: Callable[[StoredRoles], DataFrame]) -> Query:
     return lambda spark, folder: _portable(plan(_loaded(spark, folder)))
 
 
+def _cube_query(plan: Callable[[DataFrame, Roles], DataFrame]) -> Query:
+    """A panel of the sales cube of a folder, which is written once per Spark application."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        key = ("cube", spark.sparkContext.applicationId, folder)
+        if key not in _stored:
+            _stored[key] = cube.store_cube(_loaded(spark, folder))
+        return _portable(plan(_stored[key], _loaded(spark, folder)))
+
+    return run
+
+
 def _adhoc(statement: str, **parameters: object) -> Query:
     return lambda spark, folder: _portable(
         adhoc.ask(spark, _loaded(spark, folder), AS_OF, statement, parameters=parameters)
@@ -345,23 +354,23 @@ def core_queries() -> dict[str, Query]:
         # panels
         "region_list": _query(lambda r: reports.region_list(r.dealers)),
         "dealer_type_list": _query(lambda r: reports.dealer_type_list(r.dealers)),
-        "crop_list": _query(lambda r: reports.crop_list(_product_revenue(r))),
+        "crop_list": _cube_query(lambda c, r: cube.crop_list(c, *GLOBAL)),
         "order_date_bounds": _query(lambda r: reports.order_date_bounds(r.orders)),
-        "kpi_summary": _query(lambda r: reports.kpi_summary(r.orders, r.dealers, REGIONS, LO, HI)),
-        "kpi_texts": _query(
-            lambda r: reports.kpi_texts(reports.kpi_summary(r.orders, r.dealers, REGIONS, LO, HI))
-        ),
-        "monthly_revenue": _query(lambda r: reports.monthly_revenue(r.orders, r.dealers, REGIONS, LO, HI)),
-        "top_regions": _query(lambda r: reports.top_regions(r.orders, r.dealers, REGIONS, LO, HI)),
-        "top_dealers": _query(lambda r: reports.top_dealers(r.orders, r.dealers, REGIONS, LO, HI)),
+        "kpi_summary": _cube_query(lambda c, r: cube.kpi_summary(c, *GLOBAL)),
+        "kpi_texts": _cube_query(lambda c, r: reports.kpi_texts(cube.kpi_summary(c, *GLOBAL))),
+        "monthly_revenue": _cube_query(lambda c, r: cube.monthly_revenue(c, *GLOBAL)),
+        "top_regions": _cube_query(lambda c, r: cube.top_regions(c, *GLOBAL)),
+        "top_dealers": _cube_query(lambda c, r: cube.top_dealers(c, r.dealers, *GLOBAL)),
         "dealer_performance": _stored_query(
             lambda r: reports.performance_from_balance(r.dealers, r.balance, REGIONS, DEALER_TYPES)
         ),
-        "top_products": _query(lambda r: reports.top_products(_product_revenue(r))),
-        "bottom_products": _query(lambda r: reports.bottom_products(_product_revenue(r))),
-        "crop_demand_curve": _query(
-            lambda r: reports.crop_demand_curve(r.lines, r.dealers, r.products, CROP, REGIONS, LO, HI)
+        "top_products": _cube_query(
+            lambda c, r: reports.top_products(cube.product_revenue(c, r.products, *GLOBAL))
+        ),
+        "bottom_products": _cube_query(
+            lambda c, r: reports.bottom_products(cube.product_revenue(c, r.products, *GLOBAL))
         ),
+        "crop_demand_curve": _cube_query(lambda c, r: cube.crop_demand_curve(c, CROP, *GLOBAL)),
         "crop_peak_month": _query(lambda r: reports.crop_peak_month(r.calendar)),
         "stock_overview": _query(lambda r: reports.stock_overview(_stock(r))),
         "low_stock": _query(lambda r: reports.low_stock(_stock(r))),

@@ -45,6 +45,8 @@ def lag_shift(prediction: str) -> list[str]:
 # Size of the boosted model.
 BOOSTED_PARAMS = {"maxIter": 180, "maxDepth": 3, "stepSize": 0.05, "lossType": "squared", "seed": 42}
 
+ROWS_PER_TASK = 50_000  # of the training rows
+
 
 def long_enough(series: DataFrame, holdout: int = HOLDOUT_WEEKS) -> DataFrame:
     """Products with at least one week before the holdout; shorter series cannot be trained."""
@@ -65,9 +67,13 @@ def fit_boosted(features: DataFrame, params: Mapping[str, object] | None = None)
     None if no product has a week with all its lags before the holdout.
     """
     known = features.filter(~F.col("is_holdout")).dropna(subset=[*FEATURES, "y"])
-    if known.isEmpty():
+    known = materialise(known.select(*FEATURES, F.col("y").alias("label")))
+    rows = known.count()
+    if not rows:
         return None
-    train = _assembler().transform(known).select("features", F.col("y").alias("label"))
+    # hundreds of short jobs read it: no more partitions than its rows are worth
+    known = known.coalesce(-(-rows // ROWS_PER_TASK))
+    train = _assembler().transform(known).select("features", "label")
     return GBTRegressor(**{**BOOSTED_PARAMS, **(params or {})}).fit(train)
 
 

@@ -91,7 +91,7 @@ def monthly_revenue(
     ).orderBy("month_start")
 
 
-def _extreme(df: DataFrame, value: str, key: str, n: int, smallest: bool = False) -> DataFrame:
+def extreme(df: DataFrame, value: str, key: str, n: int, smallest: bool = False) -> DataFrame:
     """The n rows with the largest (or smallest) value; the key settles ties."""
     order: Column = F.asc_nulls_last(value) if smallest else F.desc_nulls_last(value)
     return df.orderBy(order, key).limit(n)
@@ -105,7 +105,7 @@ def top_regions(
         .groupBy("region")
         .agg(total("revenue").alias("revenue"))
     )
-    return _extreme(per_region, "revenue", "region", n)
+    return extreme(per_region, "revenue", "region", n)
 
 
 def top_dealers(
@@ -113,7 +113,7 @@ def top_dealers(
 ) -> DataFrame:
     """Dealers by revenue; namesakes stay apart because the sum is per dealer id."""
     per_dealer = _filtered_dealer_totals(orders, dealers, regions, lo, hi, "dealer_name")
-    return _extreme(per_dealer, "revenue", "dealer_id", n).select("dealer_id", "dealer_name", "revenue")
+    return extreme(per_dealer, "revenue", "dealer_id", n).select("dealer_id", "dealer_name", "revenue")
 
 
 def of_dealers(dealers: DataFrame, orders: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,11 +167,11 @@ def product_revenue(
 
 
 def top_products(revenue: DataFrame, n: int = 10) -> DataFrame:
-    return _extreme(revenue, "revenue", "product_id", n)
+    return extreme(revenue, "revenue", "product_id", n)
 
 
 def bottom_products(revenue: DataFrame, n: int = 10) -> DataFrame:
-    return _extreme(revenue, "revenue", "product_id", n, smallest=True)
+    return extreme(revenue, "revenue", "product_id", n, smallest=True)
 
 
 def crop_demand_curve(

@@ -1,6 +1,9 @@
 """Every registered query against its SQL in another engine, on the smallest tables."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -49,3 +52,22 @@ def test_same_rows(spark, other, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 150
+
+
+BLOCKED = """
+import importlib.abc, sys
+sys.path.insert(0, {root!r})
+class Missing(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name.split(".")[0] == {library!r}:
+            raise ModuleNotFoundError(f"No module named {{name!r}}", name=name)
+sys.meta_path.insert(0, Missing())
+import __spark_entry__ as entry
+assert entry.llm_queries is None and set(entry.queries()) == set(entry.core_queries())
+"""
+
+
+@pytest.mark.parametrize("library", ["tokenizers", "regex", "public_tokenizers", "corpus_pipeline"])
+def test_a_missing_library_leaves_the_core(library):
+    root = str(Path(entry.__file__).resolve().parent)
+    subprocess.run([sys.executable, "-c", BLOCKED.format(root=root, library=library)], check=True, timeout=120)

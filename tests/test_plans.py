@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from dealerscope.operators import quality
 from dealerscope.operators.filters import region_date_filter
-from dealerscope.plans import alerts, reports, views
+from dealerscope.plans import alerts, cube, reports, views
 from dealerscope.sources.roles import roles_from_star
 from dealerscope.sources.stored import StoredRoles
 
@@ -21,7 +21,11 @@ OF_BALANCE = (
     "aging_search", "overdue_reminders", "overdue_message",
 )
 OF_BUCKETS = ("weekly_demand", "weekly_demand_filled", "demand_features", "sales_by_season_window")
-STORED = (*OF_BALANCE, *OF_BUCKETS, "adhoc")
+OF_CUBE = (
+    "kpi_summary", "kpi_texts", "monthly_revenue", "top_regions", "top_dealers", "crop_list", "top_products",
+    "bottom_products", "crop_demand_curve",
+)
+STORED = (*OF_BALANCE, *OF_BUCKETS, *OF_CUBE, "adhoc")
 
 
 def plan_of(df):
@@ -221,3 +225,33 @@ def test_a_hot_order_meets_its_header_by_broadcast(spark, roles):
     assert plain.exceptAll(stored.lines).isEmpty() and stored.lines.exceptAll(plain).isEmpty()
     few = spark.createDataFrame([(3,)], "product_id LONG")
     assert stored.lines_of(few).count() == plain.filter("product_id = 3").count()
+
+
+@pytest.mark.parametrize("name", OF_CUBE)
+def test_sales_panels_read_their_cells_only(spark, name):
+    plan = plan_of(entry.queries()[name](spark, SMALL))
+    assert "lineitem" not in plan and "orders.parquet" not in plan and "order_id" not in plan
+    cells = [line for line in plan.splitlines() if "FileScan parquet" in line and "grain" in line]
+    assert len(cells) == 1
+    assert re.search(r"PartitionFilters: \[[^]]*grain#\d+ = ", cells[0])
+    assert "GreaterThanOrEqual(or" in cells[0]  # the plan text is cut
+
+
+def test_cube_panels_equal_the_panels_of_the_facts(spark, roles):
+    cells = cube.store_cube(roles)
+    for choice in ((None, None, None), (["ASIA"], "1996-01-01", None), (["EUROPE", "AFRICA"], None, "1999-06-30"), (["NOWHERE"], None, None)):
+        plain = reports.product_revenue(roles.lines, roles.dealers, roles.products, *choice)
+        pairs = [
+            (cube.kpi_summary(cells, *choice), reports.kpi_summary(roles.orders, roles.dealers, *choice)),
+            (cube.monthly_revenue(cells, *choice), reports.monthly_revenue(roles.orders, roles.dealers, *choice)),
+            (cube.top_regions(cells, *choice), reports.top_regions(roles.orders, roles.dealers, *choice)),
+            (cube.top_dealers(cells, roles.dealers, *choice), reports.top_dealers(roles.orders, roles.dealers, *choice)),
+            (cube.product_revenue(cells, roles.products, *choice).orderBy("product_id"), plain.orderBy("product_id")),
+            (cube.crop_list(cells, *choice), reports.crop_list(plain)),
+            (cube.crop_demand_curve(cells, "Brand#12", *choice), reports.crop_demand_curve(roles.lines, roles.dealers, roles.products, "Brand#12", *choice)),
+        ]
+        for ours, theirs in pairs:
+            assert ours.collect() == theirs.select(ours.columns).collect()
+    types = ["BUILDING", "MACHINERY"]
+    some = roles.dealers.filter(F.col("dealer_type").isin(types))
+    assert cube.kpi_summary(cells, ["ASIA"], types=types).collect() == reports.kpi_summary(roles.orders, some, ["ASIA"]).collect()
