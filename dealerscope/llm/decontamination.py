@@ -7,6 +7,7 @@ leaked item lies in one of them whole.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +25,6 @@ SHINGLE = 5
 OVERLAP = 0.75  # of the question's shingles, and of the answer's words
 WHOLE = 0.75  # of the shingles of an item without a given answer
 THRESHOLD = 0.5  # of an item's own score
-FEWEST_WORDS = 5  # an item of fewer words has no shingle and names no passage
 K1, B = 1.2, 0.75
 POSTINGS = 2_000_000  # of one index; more items make more indexes, each queried by all passages
 _BLOCK = 64  # postings under one maximum
@@ -33,7 +33,9 @@ _ESSENTIAL = 0.8  # of an item's score lies in its essential words
 
 
 def _split(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without a given answer, an item's last third is its answer."""
+    """Without a given answer, an item's last third is its answer; an item without a whole shingle is both."""
+    if len(words) < SHINGLE:
+        return words, words
     cut = len(words) - -(-len(words) // 3)
     return words[:cut], words[cut:]
 
@@ -50,7 +52,7 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [[], [], [], []]
         words, starts = word_hashes(texts_of(batch), plain=True)
         for item, a, b in zip(batch.column("item_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
-            if b - a >= FEWEST_WORDS:
+            if b > a:
                 terms, times = np.unique(words[a:b], return_counts=True)
                 for row, values in zip(rows, ([item] * len(terms), terms.view(np.int64), times, [b - a] * len(terms))):
                     row.append(pa.array(values, pa.int64()))
@@ -65,6 +67,7 @@ class Index:
     item_ids: np.ndarray
     questions: list[np.ndarray]
     answers: list[np.ndarray]
+    wholes: list[np.ndarray]
     given: list[bool]  # the answer is not a part of the item's text
     longest: int
     terms: np.ndarray  # sorted hashes
@@ -159,7 +162,7 @@ class Index:
 
     def whole_overlap(self, words: np.ndarray, item: int) -> float:
         """Share of the shingles of an item without a given answer that the passage has."""
-        return 0.0 if self.given[item] else _held(np.concatenate((self.questions[item], self.answers[item])), words)
+        return 0.0 if self.given[item] else _held(self.wholes[item], words)
 
 
 def _build(items: list[tuple[int, str, str | None]], postings: pa.Table, mean_length: float, many: int, threshold: float) -> Index:
@@ -187,7 +190,7 @@ def _build(items: list[tuple[int, str, str | None]], postings: pa.Table, mean_le
     order = np.lexsort((item, terms))
     unique, first = np.unique(terms[order], return_index=True)
     return Index(
-        ids, [p[0] for p in parts], [p[1] for p in parts], has_answer, int(np.diff(starts).max(initial=1)), unique,
+        ids, [p[0] for p in parts], [p[1] for p in parts], [words[a:b] for a, b in zip(starts[:-1], starts[1:])], has_answer, int(np.diff(starts).max(initial=1)), unique,
         np.concatenate((first, [len(order)])), item[order], impact[order], essential[order], threshold - (1 - held) - 1e-9,
     )
 
@@ -250,8 +253,9 @@ def find_leaks(
     ``overlap`` of the question's 5-word shingles and of the answer's words, leaks the item; the
     best passage of a document is given. With ``whole``, so does one that scores as much and holds
     that share of all shingles of an item without a given answer, as a changed word breaks five
-    shingles and may be in the question. Null and empty texts leak nothing, nor do items of fewer
-    than FEWEST_WORDS words; repeated items count once, repeated documents are searched each.
+    shingles and may be in the question. An item of one to four words is one shingle, question and
+    answer alike: a passage that holds it whole leaks it. Null texts and texts without words leak
+    nothing; repeated items count once, repeated documents are searched each.
 
     The index is built from counts that Spark makes over all items, and sent to all tasks in parts
     of about POSTINGS postings; a larger item set is searched part by part, each by all documents.
@@ -283,7 +287,12 @@ def find_leaks(
 
 
 def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that leak no item, with all their columns. A document is known by its text, so null ids do no harm."""
+    """The documents that leak no item, with all their columns, whatever their names.
+
+    A document is known by its text, so null ids do no harm and repeated rows end alike; null and
+    empty texts stay, and without items all documents do.
+    """
     texts = documents.select(F.xxhash64("text").alias("doc_id"), "text")
-    leaks = materialise(find_leaks(texts, items, whole=WHOLE).select(F.col("doc_id").alias("leaked_")).distinct())
-    return documents.join(leaks, F.xxhash64("text") == F.col("leaked_"), "left_anti")
+    leaked = f"leaked_{uuid.uuid4().hex}"  # no column of the documents has such a name
+    leaks = materialise(find_leaks(texts, items, whole=WHOLE).select(F.col("doc_id").alias(leaked)).distinct())
+    return documents.join(leaks, F.xxhash64("text") == F.col(leaked), "left_anti")

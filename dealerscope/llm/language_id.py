@@ -21,6 +21,7 @@ from dealerscope.llm.common import arrow_batch, in_blocks, mix64, texts_of
 
 DIMENSIONS = 1024
 _SCALE = float(1 << 20)  # profiles are summed as whole numbers, in any order alike
+_BLOCK = 1 << 18  # characters whose trigrams are counted together
 _KEPT = 16_384  # trigram vectors that a Python worker keeps
 
 
@@ -47,16 +48,16 @@ def _letter_vectors(codes: np.ndarray) -> np.ndarray:
 
 def _gram_vectors(grams: np.ndarray) -> np.ndarray:
     first, second, third = (_letter_vectors((grams >> np.uint64(s)) & np.uint64(0x1FFFFF)) for s in (42, 21, 0))
-    return (np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third).astype(np.float32)
+    return np.roll(first, 2, axis=1) * np.roll(second, 1, axis=1) * third
 
 
 class _Table:
-    """Vectors of the trigrams that a worker met first; others are made when needed."""
+    """Vectors of the trigrams that a worker met first, a byte an entry; others are made when needed."""
 
     def __init__(self) -> None:
         self.grams = np.zeros(0, np.uint64)
         self.rows = np.zeros(0, np.int64)
-        self.vectors = np.zeros((0, DIMENSIONS), np.float32)
+        self.vectors = np.empty((_KEPT, DIMENSIONS), np.int8)
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         """``grams`` sorted and distinct."""
@@ -73,8 +74,9 @@ class _Table:
             room = _KEPT - len(self.grams)
             if room > 0:
                 merged = np.concatenate((self.grams, fresh[:room]))
-                rows = np.concatenate((self.rows, len(self.vectors) + np.arange(len(fresh[:room]))))
-                self.vectors = np.concatenate((self.vectors, made[:room]))
+                rows = len(self.grams) + np.arange(len(fresh[:room]))
+                self.vectors[rows] = made[:room]
+                rows = np.concatenate((self.rows, rows))
                 order = np.argsort(merged)
                 self.grams, self.rows = merged[order], rows[order]
         return out
@@ -85,8 +87,49 @@ def _table() -> _Table:
     return _Table()
 
 
+def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(text number, text or part of it), in lists of about _BLOCK characters; parts end at white space."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for number, text in enumerate(texts):
+        begin = 0
+        while begin < len(text) or not begin:
+            end = begin + _BLOCK
+            if end < len(text):
+                cut = max(text.rfind(" ", begin, end), text.rfind("\n", begin, end))
+                ends = [e for e in (text.find(" ", end), text.find("\n", end)) if e >= 0]
+                end = cut if cut > begin else min(ends, default=len(text))
+            part = text[begin:end]
+            if held and size + len(part) > _BLOCK:
+                yield held
+                held, size = [], 0
+            held.append((number, part))
+            size += len(part)
+            begin = end + 1
+    if held:
+        yield held
+
+
 def _gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, trigram, count) of lower-cased letters, words set off by one blank; sorted by text and trigram."""
+    """(text, trigram, count) of lower-cased letters, words set off by one blank; sorted by text and trigram.
+
+    A trigram has a letter in the middle, so it lies in one word and a text may be cut between words.
+    """
+    found = []
+    for pieces in _pieces(texts):
+        numbers, parts = zip(*pieces)
+        owner, grams, counts = _counts_of(list(parts))
+        found.append((np.array(numbers)[owner], grams, counts))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    owner, grams, counts = map(np.concatenate, zip(*found))
+    order = np.lexsort((grams, owner))
+    owner, grams, counts = owner[order], grams[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (grams[1:] != grams[:-1])))) if len(owner) else order
+    return owner[first], grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _counts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded = [f" {text.lower()} " for text in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.array([len(text) for text in padded])
@@ -170,7 +213,7 @@ def _cosines(texts: list[str], profiles: Profiles) -> np.ndarray:
     return out
 
 
-def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, names: list[str], into: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = texts_of(batch)
         langs: list[str] = []
@@ -183,20 +226,23 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, names: list[
             scores += np.where(known, np.clip(filled.max(axis=1), 0, 1), 0.0).round(6).tolist()
         kept = [batch.column(name) for name in names]
         yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"]
+            [*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, *into]
         )
 
 
-def predict_language(documents: DataFrame, profiles: Profiles, columns: list[str] | None = None) -> DataFrame:
-    """Every row with ``columns`` (all by default, but any old prediction), lang_pred and score.
+def predict_language(
+    documents: DataFrame, profiles: Profiles, columns: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Every row with ``columns`` (all by default), and the prediction and its score in two columns named ``into``.
 
-    ``score`` is the cosine with the language's profile, 0 where it is negative. A text that is
-    null or has no letter, and any text if no language was learned, gets ``und`` and 0. Ties go
-    to the first language by name. Repeated rows are scored each; the whole text is read.
+    Columns of those two names are replaced. The score is the cosine with the language's profile, 0
+    where it is negative. A text that is null or has no letter, and any text if no language was
+    learned, gets ``und`` and 0. Ties go to the first language by name. Repeated rows are scored
+    each; the whole text is read.
     """
     names = documents.columns if columns is None else columns
-    names = [name for name in names if name not in ("lang_pred", "score")]
-    frame = documents.select(*dict.fromkeys([*names, "text"]))
+    names = [name for name in names if name not in into]
+    frame = documents.select(*(F.col(f"`{name}`") for name in dict.fromkeys([*names, "text"])))
     schema = StructType([frame.schema[name] for name in names])
-    schema = schema.add("lang_pred", "string").add("score", "double")
-    return frame.mapInArrow(partial(_predict, profiles=profiles, names=names), schema)
+    schema = schema.add(into[0], "string").add(into[1], "double")
+    return frame.mapInArrow(partial(_predict, profiles=profiles, names=names, into=into), schema)

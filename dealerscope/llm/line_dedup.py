@@ -3,12 +3,14 @@
 A run counts if its lines hold ``min_words`` words. From every line the shortest such run on, and
 to every line the shortest one back, is a window; its fingerprint is the least hash of its lines.
 Equal windows have equal fingerprints, so a run that occurs twice shares a fingerprint in two
-places. Only windows around such fingerprints are compared whole. The windows forward and back
+places. Only windows around such fingerprints are compared, by all their line hashes. The windows forward and back
 reach both ends of a repeated run, so together they are the match extended both ways.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def line_windows(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Lines end at a newline and are compared without blanks around them; empty lines are skipped.
     ``at`` is the number of the window's first line that is not empty, ``first`` and ``last`` are
-    places of lines in the text.
+    places of lines in the text. ``content`` is a hash of 128 bits over the hashes of the window's lines.
     """
     lines = _keyed(documents.select("doc_id", "text")).filter("text IS NOT NULL").withColumn(
         "item", F.expr(r"filter(transform(split(text, '\n'), (x, i) -> struct(i AS at, trim(BOTH ' \t\r' FROM x) AS line)), x -> x.line <> '')")
@@ -57,7 +59,7 @@ def line_windows(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return spans.select(
         "doc_id", "text_hash_", "back", F.col("from").alias("window"),
         F.expr("at[from - 1]").alias("first"), F.expr("at[from + many - 2]").alias("last"),
-        F.xxhash64("inside").alias("content"), "mark",
+        F.struct(F.xxhash64("inside"), F.xxhash64(F.lit(1), "inside")).alias("content"), "mark",
         (F.col("from") + F.array_position("inside", F.col("mark"))).cast("int").alias("mark_at"),
     )
 
@@ -79,21 +81,23 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     return later.groupBy("doc_id", "text_hash_").agg(F.collect_set("line").alias("lines"))
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of ``documents``, the text without later repeated runs, and lines_removed.
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, removed: str = "lines_removed") -> DataFrame:
+    """All rows and columns of ``documents``, the text without later repeated runs, and how many lines went.
 
     A line goes if it lies in a run of lines with ``min_words`` words or more that occurs earlier,
     in a document before or further up (it may overlap itself: of one line again and again, the
     first stays); an empty line goes with the run around it. What is left
     keeps its order and newlines, a text may become empty, null stays null. Rows with the same id
-    and text are one document and end alike. Columns of those names in the input are replaced.
+    and text are one document and end alike. ``removed`` names the column of the count; a column of
+    that name is replaced, all others are kept whatever their names.
     """
-    keyed = _keyed(documents.drop("lines_removed"))
-    gone = repeated_lines(documents, min_words).toDF("gone_id_", "gone_hash_", "gone_")
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id_")) & (F.col("text_hash_") == F.col("gone_hash_"))
-    joined = keyed.join(gone, same, "left")
-    joined = joined.withColumn("lines_", F.when(F.col("gone_").isNotNull(), F.split("text", "\n")))
-    kept = F.expr(r"concat_ws('\n', transform(array_except(sequence(0, size(lines_) - 1), gone_), i -> lines_[i]))")
-    text = F.when(F.col("gone_").isNull(), F.col("text")).otherwise(kept)
-    columns = [text.alias("text") if name == "text" else F.col(name) for name in documents.columns if name != "lines_removed"]
-    return joined.select(*columns, F.coalesce(F.size("gone_"), F.lit(0)).alias("lines_removed"))
+    own = uuid.uuid4().hex  # no column of the documents has such a name
+    hashed, lines, gone_id, gone_hash, gone = (f"{name}_{own}" for name in ("hash", "lines", "gone_id", "gone_hash", "gone"))
+    keyed = documents.drop(removed).withColumn(hashed, F.xxhash64("text"))
+    deleted = repeated_lines(documents, min_words).toDF(gone_id, gone_hash, gone)
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(hashed) == F.col(gone_hash))
+    joined = keyed.join(deleted, same, "left").withColumn(lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
+    kept = F.expr(rf"concat_ws('\n', transform(array_except(sequence(0, size({lines}) - 1), {gone}), i -> {lines}[i]))")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    columns = [text.alias("text") if name == "text" else F.col(f"`{name}`") for name in documents.columns if name != removed]
+    return joined.select(*columns, F.coalesce(F.size(gone), F.lit(0)).alias(removed))

@@ -172,14 +172,16 @@ def apply_edits(documents: DataFrame, trees: DataFrame, edits: DataFrame, tokeni
 
     ``edits`` has doc_id, start, stop and replacement (null: deletion), in places of the text that
     ``documents`` has, and may name the text's version. A document's edits are gathered; those of
-    an unknown or null id, or without places, do nothing. ``version`` is still that of the text
-    before. Repeated rows give one.
+    an unknown id, or without places, do nothing. A null id is an id like others. ``version`` is
+    still that of the text before. Repeated rows give one.
     """
-    keys = ["doc_id", "version"] if "version" in edits.columns else ["doc_id"]
+    names = ["doc_id", "version"] if "version" in edits.columns else ["doc_id"]
     known = edits.filter("start IS NOT NULL AND stop IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    changes = known.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop", "replacement")).alias("edits"))
-    frame = _versioned(documents).dropDuplicates()
-    joined = frame.join(changes, keys).join(trees.dropDuplicates(["doc_id", "version"]), ["doc_id", "version"])
+    # as a struct a key equals itself even where the id is null
+    changes = known.groupBy(F.struct(*names).alias("of")).agg(F.collect_list(F.struct("start", "stop", "replacement")).alias("edits"))
+    frame = _versioned(documents).dropDuplicates().withColumns({"of": F.struct(*names), "key": F.struct("doc_id", "version")})
+    once = trees.select(F.struct("doc_id", "version").alias("key"), "tokens", "chars").dropDuplicates(["key"])
+    joined = frame.join(changes, "of").join(once, "key").drop("of", "key")
     schema = "doc_id long, version long, text string, tokens array<long>, chars array<long>, n_edits long, n_encoded long"
     return joined.mapInArrow(partial(_edited, tokenizer=tokenizer), schema)
 
@@ -205,14 +207,15 @@ def recount_masked(documents: DataFrame, tokenizer: str, pattern: str, replaceme
 
     All texts are counted once and their trees written. Then what ``pattern`` matches (a regular
     expression that Java and Python read alike) is masked, and only the regions around the matches
-    are encoded again. Rows of one id and different texts are told apart by the text; rows with a
-    null id are counted and not edited.
+    are encoded again. Rows of one id and different texts are told apart by the text; a null id is
+    an id like others.
     """
     trees = materialise(count_trees(documents, tokenizer))
-    touched = documents.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(pattern))
+    touched = documents.filter(F.col("text").rlike(pattern))
     after = apply_edits(touched, trees, masking_edits(touched, pattern, replacement), tokenizer)
-    after = after.select("doc_id", "version", F.col("tokens")[1].alias("masked"), "n_edits", "n_encoded")
-    counted = trees.select("doc_id", "version", F.col("tokens")[1].alias("n_tokens")).join(after, ["doc_id", "version"], "left")
+    key = F.struct("doc_id", "version").alias("key")
+    after = after.select(key, F.col("tokens")[1].alias("masked"), "n_edits", "n_encoded")
+    counted = trees.select("doc_id", key, F.col("tokens")[1].alias("n_tokens")).join(after, "key", "left")
     return counted.select(
         "doc_id", "n_tokens", F.coalesce("masked", "n_tokens").alias("n_tokens_masked"),
         F.coalesce("n_edits", F.lit(0)).alias("n_edits"), F.coalesce("n_encoded", F.lit(0)).alias("n_encoded"),

@@ -27,7 +27,7 @@ ROWS = [
     (1, "Another text under the same id", "en"),
 ]
 # columns that operators make themselves
-EXTRA = ["score", "class", "key", "version", "tokens", "rank", "start", "bucket", "lines_removed", "kept_", "text_hash_", "n"]
+EXTRA = ["score", "class", "key", "version", "tokens", "rank", "start", "bucket", "lines_removed", "kept_", "text_hash_", "n", "gone_", "gone_id_", "gone_hash_", "lines_", "leaked_", "kept_id_", "version_", "lang_pred", "group", "unit", "member", "component"]
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +49,7 @@ def test_languages(docs, none):
     profiles = language_id.learn_profiles(docs, F.lit(True))
     assert profiles.languages == ("de", "en")
     out = language_id.predict_language(docs, profiles)
-    assert out.columns == [c for c in docs.columns if c != "score"] + ["lang_pred", "score"]
+    assert out.columns == [c for c in docs.columns if c not in ("score", "lang_pred")] + ["lang_pred", "score"]
     found = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in out.collect()}
     assert len(found) == len(set((i, t) for i, t, _ in ROWS))
     assert all(found[k] == ("und", 0.0) for k in found if k[0] in (2, 3, 4, 5))
@@ -111,6 +111,32 @@ def test_leaks(spark, docs, none):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == ["1", "2", "3", "4", "5", "7"]
 
 
+def test_short_items_are_one_shingle(spark, docs):
+    items = spark.createDataFrame([(1, "word101 OF101 word102 of102"), (2, "the DOG."), (3, "dog the"), (4, "bären")], "item_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["item_id"]) for r in decontamination.find_leaks(docs, items).collect())
+    assert found == [(0, 2), (1, 2), (1, 2), (6, 1), (7, 4)]
+    assert sorted(str(r["doc_id"]) for r in decontamination.decontaminate(docs, items).collect()) == ["1", "2", "3", "4", "5"]
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, docs):
+    """Every stage that gives documents back leaves their own columns alone."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        assert all(r[c] == "mine" for r in out.collect() for c in EXTRA), name
+
+
+def test_foreign_texts_by_letters_and_cosine(spark):
+    import corpus_pipeline
+
+    cases = [(0.0, 5, False), (0.0, 41, False), (0.0, 60, True), (0.05, 100, True), (0.06, 100, False), (0.09, 10_000, True), (0.1, 10_000, False)]
+    rows = spark.createDataFrame([(s, float(n), w) for s, n, w in cases], "score double, letters double, wanted boolean")
+    found = rows.withColumn("found", corpus_pipeline._foreign(F.col("score"), F.col("letters"))).collect()
+    assert all(r["found"] == r["wanted"] for r in found)
+
+
 def test_packing(docs, none):
     pieces = packing.pack_documents(docs, WORD_BPE).collect()
     assert {p["doc_id"] for p in pieces} == {r[0] for r in ROWS}
@@ -139,11 +165,13 @@ def test_counts(spark, docs, none):
     out = token_counts.recount_masked(docs, BYTE_BPE, "cat|[0-9]{3,}", "dog")
     found = _by_id(out, "n_edits")
     assert len(found) == len(ROWS)
-    assert (1, 1) in found and (1, 0) in found and (None, 0) in found and (2, 0) in found and (5, 1) in found
+    assert (1, 1) in found and (1, 0) in found and (None, 1) in found and (2, 0) in found and (5, 1) in found
     assert token_counts.recount_masked(none, BYTE_BPE, "a", "b").count() == 0
+    by_id = {r["doc_id"]: r for r in out.filter("doc_id IS NULL OR n_edits = 1 AND doc_id = 1").collect()}
+    assert by_id[None]["n_tokens_masked"] == by_id[1]["n_tokens_masked"]  # the same text under no id
     edits = spark.createDataFrame([(1, 0, 3, None), (1, 2, 9, "A"), (99, 0, 1, "x"), (None, 0, 1, "x"), (3, None, 1, "x"), (7, 500, 900, " end")], "doc_id long, start long, stop long, replacement string")
     after = token_counts.apply_edits(docs, token_counts.count_trees(docs, BYTE_BPE), edits, BYTE_BPE)
-    assert sorted(r["text"] for r in after.collect()) == sorted(["A" + ROWS[0][1][9:], "A" + ROWS[9][1][9:], ROWS[8][1] + " end"])
+    assert sorted(r["text"] for r in after.collect()) == sorted(["A" + ROWS[0][1][9:], "A" + ROWS[9][1][9:], ROWS[8][1] + " end", "x" + ROWS[0][1][1:]])
 
 
 def test_nearest(spark):

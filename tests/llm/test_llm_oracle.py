@@ -6,7 +6,8 @@ from conftest import SMALL
 
 from dealerscope.llm import queries
 
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "embeddings")
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
 
 
 def _rows(columns, rows):
@@ -21,7 +22,7 @@ def _same(spark, folder, name):
     wanted = connection.sql(queries.oracle_sql()[name])
     found = queries.queries()[name](spark, folder)
     assert sorted(found.columns) == sorted(wanted.columns)
-    assert dict(found.dtypes) == {c: {"BIGINT": "bigint", "VARCHAR": "string"}[str(t)] for c, t in zip(wanted.columns, wanted.types)}
+    assert dict(found.dtypes) == {c: TYPES[str(t)] for c, t in zip(wanted.columns, wanted.types)}
     got = _rows(found.columns, found.collect())
     assert got == _rows(wanted.columns, wanted.fetchall())
     return got
@@ -47,6 +48,8 @@ def made(spark, tmp_path_factory):
         "",
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    vectors = [(i * 10, i % 3, [float((i * k) % 7) / 4 for k in range(1, 5)]) for i in range(90)] + [(5, 1, None), (6, None, [1.0] * 4), (200, 2, [0.0] * 4)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     canonical = '<html><head><LINK rel="canonical" HREF="{}"></head>'
     refresh = "<meta http-equiv='refresh' content='0; url={}'>"
     pages = [
