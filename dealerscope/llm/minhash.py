@@ -3,10 +3,8 @@
 Documents with one set of shingles form a class. A class has MINIMA minima; BANDS bands of ROWS of
 them name its buckets, and of all minima the low BITS are packed into its signature. Two classes of
 a bucket are candidates if their sizes allow the similarity and so does the estimate from the
-signatures: equal places less those that are equal by chance. Candidates are confirmed on the full
-sets, taken from the texts again. Since only components are asked for, classes that are already
-joined are not compared: first each class meets the least class of its buckets, then its best
-candidate of another component, and then every candidate pair that still lies in two components.
+signatures: equal places less those that are equal by chance. :mod:`linking` confirms candidates on
+the full sets and passes over what is already joined.
 """
 
 from __future__ import annotations
@@ -20,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.llm.common import arrow_batch, in_blocks, materialise, mix64, shingles_of_each, texts_of, word_hashes
+from dealerscope.llm.common import arrow_batch, materialise, mix64, texts_of
 from dealerscope.llm.components import connected_components
+from dealerscope.llm.linking import Test, link_classes, looked_up, sets_of
 
 WORDS = 2
 LEAST = 80  # least similarity, in hundredths
@@ -29,23 +28,12 @@ MINIMA = 256
 BITS = 2
 BANDS, ROWS = 32, 4  # a pair at the least similarity meets in no bucket with a chance of (1 - 0.8^4)^32, 5 in 10^8
 SIGMAS = 6  # a candidate's estimate may be this many deviations below the least similarity
-_HOT = 1000  # a key is hot if over 1 / _HOT of the rows have it, so there are at most _HOT such keys
-_SLICE = 4096  # classes of a bucket that a task compares at a time
-_UNIT = 256  # members that are confirmed against one hub together
-_CHUNK = 64  # hubs of a unit of the last round
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(0, 2**64, MINIMA, dtype=np.uint64) | np.uint64(1)
 _TURNS = _RNG.integers(0, 2**64, MINIMA, dtype=np.uint64)
 
 
-def _sets(texts: list[str], words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each text, as unsigned 64-bit hashes."""
-    for part in in_blocks(texts):
-        for shingles in shingles_of_each(*word_hashes(texts[part]), words):
-            yield np.unique(shingles)
-
-
 def _class_of(shingles: np.ndarray) -> bytes:
     """128 bits that name a set: sums of two mixes of its hashes."""
     sums = (int(shingles.sum(dtype=np.uint64)), int(mix64(shingles).sum(dtype=np.uint64)))
@@ -116,7 +104,7 @@ def _survey(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
     seen: set[bytes] = set()
     for batch in batches:
         sizes, classes, bands, signatures = [], [], [], []
-        for shingles_of_block in _in_lists(_sets(texts_of(batch), words)):
+        for shingles_of_block in _in_lists(sets_of(texts_of(batch), words)):
             fresh = []
             for shingles in shingles_of_block:
                 sizes.append(len(shingles))
@@ -149,246 +137,41 @@ def _in_lists(sets: Iterator[np.ndarray], most: int = 1 << 18) -> Iterator[list[
         yield held
 
 
-def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """(key, many) of the keys that over 1 / _HOT of the rows have: at most _HOT, so they may be broadcast."""
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("many"))
-    return F.broadcast(materialise(counts.filter(F.col("many") > total // _HOT)))
-
-
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of written ``rows`` to one row for each key: hot keys are broadcast, so none fills a task."""
-    hot = _hot(rows, key, total).select(key)
-    few = materialise(table.join(hot, key, "left_semi"))
-    rest = rows.join(hot, key, "left_anti").join(table, key)
-    return rows.join(F.broadcast(few), key).unionByName(rest)
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-def _sizes_allow(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    return 100 * np.minimum(a, b).astype(np.int64) >= least * np.maximum(a, b).astype(np.int64)
-
-
-def _estimated(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, places) of the pairs that their sizes and signatures allow."""
-    enough = least_places(least)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        places = equal_places(_matrix(batch.column("signature_a")), _matrix(batch.column("signature")))
-        keep = (places >= enough) & _sizes_allow(batch.column("n_a").to_numpy(), batch.column("n").to_numpy(), least)
-        columns = [batch.column("a"), batch.column("class"), pa.array(places.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "places"]).filter(pa.array(keep))
-
-
-# -- confirmation on full sets ------------------------------------------------------------
+class Signatures(Test):
+    """Points are signatures; a pair may be linked if its sizes and its estimate allow it."""
 
+    columns = ("signature",)
 
-def enough(a: np.ndarray, b: np.ndarray, least: int) -> bool:
-    """Whether two sorted sets have the similarity."""
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    shared = int((a[at] == b).sum())
-    return 100 * shared >= least * (len(a) + len(b) - shared)
+    def points(self, rows, ending: str = "") -> np.ndarray:
+        return _matrix(rows.column(f"signature{ending}"))
 
+    def pairwise(self, a, b, n_a, n_b):
+        places = equal_places(a, b)
+        return (places >= least_places(self.least)) & self.sizes_allow(n_a, n_b), places
 
-def _confirmed(batches: Iterator[pa.RecordBatch], words: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Links between the hubs and the members of units; rows come by unit, its hubs first.
+    def one_with(self, hubs, n_hubs, points, at, n):
+        return self.pairwise(hubs, points[at], n_hubs, n)[0]
 
-    A unit's hubs are held, its members pass by.
-    """
-    unit, places = None, least_places(least)
-    names: list[bytes] = []
-    homes: list[bytes] = []
-    sets: list[np.ndarray] = []
-    signatures: list[np.ndarray] = []
-    for batch in batches:
-        found = []
-        units, members, signs = batch.column("unit").to_pylist(), batch.column("member").to_pylist(), batch.column("signature").to_pylist()
-        classes, components = batch.column("class").to_pylist(), batch.column("component").to_pylist()
-        for i, shingles in enumerate(_sets(texts_of(batch), words)):
-            if units[i] != unit:
-                unit, names, homes, sets, signatures = units[i], [], [], [], []
-            signature = np.frombuffer(signs[i], np.uint64)
-            if not members[i]:
-                names.append(classes[i])
-                homes.append(components[i])
-                sets.append(shingles)
-                signatures.append(signature)
-                continue
-            if not names:
-                continue
-            near = equal_places(np.array(signatures), signature) >= places
-            for k in np.flatnonzero(near).tolist():
-                if names[k] != classes[i] and homes[k] != components[i] and enough(sets[k], shingles, least):
-                    found.append((names[k], classes[i]))
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
-def _confirm(units: DataFrame, known: DataFrame, words: int, least: int) -> DataFrame:
-    """Links among the rows (unit, member, class); ``known`` has component, signature and text of each class."""
-    rows = units.join(known.select("class", "component", "signature", "text"), "class")
-    placed = rows.repartition("unit").sortWithinPartitions("unit", "member", "class")
-    placed = placed.select("unit", "member", "class", "component", "signature", "text")
-    return materialise(placed.mapInArrow(partial(_confirmed, words=words, least=least), "a binary, b binary"))
-
-
-def _units(pairs: DataFrame) -> DataFrame:
-    """(unit, member, class) for pairs (hub a, member b): the hub once for each _UNIT members, about."""
-    hot = _hot(pairs, "a", pairs.count())
-    salt = F.when(F.col("many").isNotNull(), F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / _UNIT))).otherwise(0)
-    dealt = pairs.join(hot, "a", "left").select("a", "b", F.xxhash64("a", salt.cast("int")).alias("unit"))
-    hubs = dealt.select("unit", F.lit(False).alias("member"), F.col("a").alias("class")).distinct()
-    return hubs.union(dealt.select("unit", F.lit(True), "b"))
-
-
-# -- candidates of the buckets ----------------------------------------------------------
-
-
-def _open(buckets: DataFrame, known: DataFrame, total: int) -> DataFrame:
-    """The buckets whose classes are in several components, sliced.
-
-    Rows (unit, stray, class, component, n, signature, chunk). Of a bucket's components the one with
-    the most classes (then the greatest) is its main one, classes of others are strays. A pair of
-    two components has a stray, so a bucket of many classes is cut into slices, and the strays of it go
-    to each slice as well (``stray`` is then true, and the row is no member of that slice).
-    """
-    placed = materialise(_looked_up(buckets, known.select("class", "component", "many"), "class", total))
-    kinds = placed.groupBy("key").agg(
-        F.max(F.struct("many", "component")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"),
-    )
-    mixed = kinds.filter("low <> high").groupBy("size", "sum").agg(F.min(F.struct("key", F.col("main.component").alias("main"))).alias("of"))
-    mixed = materialise(mixed.select("of.key", "of.main", F.ceil(F.col("size") / _SLICE).cast("int").alias("slices")))
-    rows = _looked_up(placed.select("key", "class", "component"), mixed, "key", total)
-    rows = materialise(rows.withColumn("slice", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")))
-    strays = rows.filter("component <> main AND slices > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    strays = strays.filter("other <> slice").withColumn("slice", F.col("other")).drop("other").withColumn("member", F.lit(False))
-    every = rows.withColumn("member", F.lit(True)).unionByName(strays)
-    every = every.select(
-        F.xxhash64("key", "slice").alias("unit"), (F.col("component") != F.col("main")).alias("stray"), "member", "class"
-    )
-    columns = known.select("class", "component", "n", "signature", "chunk")
-    return every.join(columns, "class").repartition("unit").sortWithinPartitions("unit")
-
-
-def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of some whole units at a time; they come sorted by unit."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        unit = batch.column("unit").to_numpy()
-        first = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
-        if first or (held and held[-1].column("unit")[-1].as_py() != unit[0]):
-            whole = [*held, batch.slice(0, first)]
-            yield pa.Table.from_batches(whole).combine_chunks()
-            held = []
-        held.append(batch.slice(first))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], least: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of two components in the units.
-
-    The best one of each stray (class, partner, places), or all of them as (chunk of the stray, partner).
-    """
-    places = least_places(least)
-    for table in _units_of(batches):
-        unit = table.column("unit").to_numpy()
-        stray, member = (np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("stray", "member"))
-        sizes = table.column("n").to_numpy()
-        signatures = _matrix(table.column("signature").combine_chunks())
-        home = np.unique(np.array(table.column("component").to_pylist(), dtype="S16"), return_inverse=True)[1]
-        name = np.unique(np.array(table.column("class").to_pylist(), dtype="S16"), return_inverse=True)[1]
-        chunk = table.column("chunk").to_numpy()
-        starts = np.append(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))), len(unit))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            odd = start + np.flatnonzero(stray[start:end])
-            here = start + np.flatnonzero(member[start:end])
-            for part in np.array_split(odd, 1 + len(odd) * len(here) // 1_000_000) if len(odd) and len(here) else []:
-                same = equal_places(signatures[part][:, None], signatures[here][None])
-                fits = (same >= places) & (home[part][:, None] != home[here][None]) & _sizes_allow(sizes[part][:, None], sizes[here][None], least)
-                if best:
-                    same = np.where(fits, same, -1)
-                    top = np.lexsort((np.broadcast_to(name[here], same.shape), -same), axis=1)[:, 0]
-                    some = same[np.arange(len(part)), top] >= 0
-                    found.append((part[some], here[top[some]], same[np.arange(len(part)), top][some]))
-                else:
-                    at, to = np.nonzero(fits)
-                    if len(at):
-                        pairs = np.unique(np.stack((chunk[part[at]], here[to])), axis=1)
-                        found.append((pairs[0], pairs[1], pairs[1]))
-        first, second, third = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64),) * 3
-        partner = table.column("class").take(pa.array(second)).combine_chunks()
-        if best:
-            columns = [table.column("class").take(pa.array(first)).combine_chunks(), partner, pa.array(third.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["class", "partner", "places"])
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array(first), partner], names=["chunk", "partner"])
-
-
-def _placed(known: DataFrame, links: DataFrame) -> DataFrame:
-    """``known`` with each class's component by the links, and how many classes the component has."""
-    joined = connected_components(links)
-    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
-    home = _looked_up(materialise(joined), sizes, "component", joined.count())
-    kept = known.drop("component", "many").join(home.withColumnRenamed("node", "class"), "class", "left")
-    return materialise(kept.withColumns({"component": F.coalesce("component", "class"), "many": F.coalesce("many", F.lit(1))}))
+    def search(self, units, points):
+        for start, end in zip(units.starts[:-1].tolist(), units.starts[1:].tolist()):
+            strays, members = start + np.flatnonzero(units.stray[start:end]), start + np.flatnonzero(units.member[start:end])
+            for part in np.array_split(strays, 1 + len(strays) * len(members) // 1_000_000):
+                fits, places = self.pairwise(points[part][:, None], points[members][None], units.n[part][:, None], units.n[members][None])
+                at, to = np.nonzero(fits & (units.home[part][:, None] != units.home[members][None]))
+                if len(at):
+                    yield part[at], members[to], places[at, to]
 
 
 def _links(classes: DataFrame, documents: DataFrame, words: int, least: int) -> DataFrame:
     """Links between classes that join every pair of similar ones by a path."""
     bands = materialise(classes.select("class", F.explode("bands").alias("key")))
-    total = bands.count()
-    pivots = bands.groupBy("key").agg(F.min("class").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    pivots = materialise(pivots.select("key", "a"))
-    buckets = materialise(_looked_up(bands, pivots, "key", total))
-    total = buckets.count()
-
-    needed = classes.join(buckets.select("class").distinct(), "class", "left_semi")
-    home = needed.select("class", "n", "signature", F.col("least.*"))
-    version = F.xxhash64("text")
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("version") == F.col("of_version"))
-    texts = documents.withColumn("version", version).join(home.withColumnsRenamed({"doc_id": "of_id", "version": "of_version"}), same)
-    texts = texts.groupBy("class").agg(*(F.first(c).alias(c) for c in ("n", "signature", "text")))  # repeated rows are one
-    known = texts.withColumns({"component": F.col("class"), "many": F.lit(1).cast("long"), "chunk": F.lit(0).cast("long")})
-    known = materialise(known)
-
-    # each class with the likeliest of the least classes of its buckets
-    met = materialise(buckets.filter("a <> class").select("a", "class").distinct())
-    pivot = known.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("signature_a"))
-    sided = _looked_up(met, pivot, "a", met.count()).join(known.select("class", "n", "signature"), "class")
-    likely = sided.mapInArrow(partial(_estimated, least=least), "a binary, b binary, places int")
-    pairs = likely.groupBy("b").agg(F.max(F.struct("places", "a")).alias("best")).select("best.a", "b")
-    links = _confirm(_units(materialise(pairs)), known, words, least)
-
-    # each class of a bucket's smaller components with its likeliest partner in another one
-    known = _placed(known, links)
-    search = partial(_candidates, least=least, best=True)
-    likely = _open(buckets.select("key", "class"), known, total).mapInArrow(search, "class binary, partner binary, places int")
-    best = materialise(likely.groupBy("class").agg(F.max(F.struct("places", "partner")).alias("best")).select("class", "best.partner"))
-    links = materialise(links.union(_confirm(_units(best.select(F.col("partner").alias("a"), F.col("class").alias("b"))), known, words, least)))
-
-    # every candidate pair that still is in two components: strays near one component share their partners' texts
-    known = _placed(known, links)
-    main = known.select(F.col("class").alias("partner"), F.col("component").alias("near"))
-    near = _looked_up(best, main, "partner", best.count()).select("class", "near")
-    known = known.join(near, "class", "left").withColumn("near", F.coalesce("near", "component"))
-    crowd = materialise(known.select("class", "near"))
-    hot = _hot(crowd, "near", crowd.count()).withColumnRenamed("many", "crowd")
-    salt = F.pmod(F.xxhash64("class"), F.ceil(F.coalesce("crowd", F.lit(1)) / _CHUNK)).cast("int")
-    known = materialise(known.join(hot, "near", "left").withColumn("chunk", F.xxhash64("near", salt)).drop("near", "crowd"))
-    search = partial(_candidates, least=least, best=False)
-    asked = _open(buckets.select("key", "class"), known, total).mapInArrow(search, "chunk long, partner binary")
-    members = materialise(asked.distinct())
-    hubs = known.join(members.select("chunk").distinct(), "chunk", "left_semi").select("chunk", F.lit(False), "class")
-    units = hubs.union(members.select("chunk", F.lit(True), "partner")).toDF("unit", "member", "class")
-    return materialise(links.union(_confirm(units, known, words, least)))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
+    buckets = materialise(looked_up(bands, materialise(shared), "key", bands.count()))
+    return link_classes(classes, buckets, documents, Signatures(words, least))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -418,8 +201,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, least: int = LEAST
     home = classes.select("class", F.col("least.doc_id").alias("least_id")).join(joined, "class", "left")
     home = materialise(home.withColumn("group", F.coalesce("group", "class")))
     ids = home.groupBy("group").agg(F.min("least_id").alias("component_id"))
-    home = materialise(_looked_up(home.select("class", "group"), ids, "group", home.count()))
-    found = _looked_up(rows, home, "class", rows.count()).select("doc_id", "version", F.col("n").alias("n_shingles"), "class", "group", "component_id")
+    home = materialise(looked_up(home.select("class", "group"), ids, "group", home.count()))
+    found = looked_up(rows, home, "class", rows.count()).select("doc_id", "version", F.col("n").alias("n_shingles"), "class", "group", "component_id")
     empty = survey.filter("class IS NULL").select("doc_id", "version", F.lit(0), F.lit(None).cast("binary"), F.lit(None).cast("binary"), "doc_id")
     members = found.union(empty.toDF(*found.columns))
     return members.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

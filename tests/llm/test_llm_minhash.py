@@ -9,7 +9,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from dealerscope.llm import minhash, queries
+from dealerscope.llm import linking, minhash, queries
 
 EXTRA = ["version", "class", "n", "group", "kept", "bands", "signature", "component", "many", "unit", "key", "doc", "least"]
 
@@ -76,7 +76,8 @@ def test_given_documents(spark):
 
 def test_large_group_whose_members_are_linked_in_part(spark, monkeypatch):
     """Copies of copies at every distance, chains across the least similarity, and slices of a hot bucket."""
-    monkeypatch.setattr(minhash, "_SLICE", 40)
+    monkeypatch.setattr(linking, "SLICE", 40)
+    monkeypatch.setattr(linking, "HOT", 20)
     rng = random.Random(4)
     base = _text(rng, 120)
     texts = [_edited(rng, base, rng.randrange(0, 14)) for _ in range(260)]
