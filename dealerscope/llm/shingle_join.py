@@ -1,15 +1,18 @@
 """Similarity join of documents on word shingles, with R-trees over count vectors.
 
-Documents with one set of shingles form a class. Two classes of similarity t or more share one of
-their first shingles in any fixed order (the first ``n - ceil(t n) + 1`` of n), so classes meet in
-buckets, one for each such shingle; frequent shingles are last in the order. In a bucket the
-classes are points of a space whose coordinates count their shingles by group. The sum of the
-smaller coordinates of two points, or of two boxes of an R-tree, bounds their overlap. Pairs that
-survive are verified on the shingles themselves.
+Documents with one set of shingles form a class, a point of a space whose coordinates count its
+shingles by group. The sum of the smaller coordinates of two points bounds their overlap, and so does
+that of a point and the upper corner of a box of an R-tree. Random texts fill such a space evenly,
+so one tree over all points could not prune; trees are built where points are near each other. Two
+classes of similarity t or more share one of their first shingles in any fixed order (the first
+``n - ceil(t n) + 1`` of n), so classes meet in buckets, one for each such shingle, frequent shingles
+last, and each bucket has its R-tree. Pairs that its search leaves are tested on finer counts, if
+the texts are long, and verified on the shingles themselves (:mod:`linking`).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -17,30 +20,21 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.llm.common import in_blocks, materialise, mix64, shingles_of_each, texts_of, word_hashes
+from dealerscope.llm.common import materialise, texts_of
 from dealerscope.llm.components import connected_components
+from dealerscope.llm.linking import Test, Units, link_classes, looked_up, sets_of
 
 WORDS = 5
-NEED, OF = 3, 7  # overlap * 7 >= 3 * (sum of the sizes) is a Jaccard similarity of at least 3/4
+LEAST = 75  # least similarity, in hundredths
 GROUPS = 256  # coordinates of a point
+FINE = {2048: 12, 1 << 17: 16}  # sets of more shingles also have counts by this many bits of the hash
 FREQUENT = 4000  # a shingle is frequent in over 1 / 4000 of the documents
 MOST_FREQUENT = 2_000_000  # the rarest of the frequent shingles beyond this count as rare
-BLOCK = 2048  # points of an R-tree
-_VERIFIED = 4_000_000  # shingles of a part of the sets that are verified together
-_LEAF = 64  # points that are compared without a tree
-_TOGETHER = 4096  # points of the buckets that a task takes at a time, about
-_FANOUT = 16
-_COUNTED = 1 << 23  # shingles counted together in a task
-
-
-def _sets(texts: list[str], words: int = WORDS) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each text, as unsigned 64-bit hashes."""
-    for part in in_blocks(texts):
-        for shingles in shingles_of_each(*word_hashes(texts[part]), words):
-            yield np.unique(shingles)
+_FANOUT = 8
+_COUNTED = 1 << 22  # shingles counted together in a task
 
 
 def _class_of(shingles: np.ndarray) -> bytes:
@@ -58,9 +52,41 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A point in one, two or four bytes a coordinate, as its largest one needs."""
+    return counts.astype("<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(points: list[bytes]) -> np.ndarray:
+    """Points of all widths as one matrix."""
+    sizes = np.fromiter(map(len, points), np.int64, len(points)) // GROUPS
+    kind = np.uint32 if (sizes == 4).any() else np.uint16
+    out = np.empty((len(points), GROUPS), kind)
+    for size in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == size)
+        out[mine] = np.frombuffer(b"".join(points[i] for i in mine.tolist()), f"<u{size}").reshape(len(mine), GROUPS)
+    return out
+
+
+def _fine_counts(shingles: np.ndarray) -> bytes | None:
+    """Counts by more groups, for a set of many shingles; none where one would not fit 16 bits."""
+    bits = max((b for n, b in FINE.items() if len(shingles) > n), default=None)
+    if bits is None:
+        return None
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return _packed(counts) if counts.max() < 1 << 16 else None
+
+
+def _spread(fine: bytes) -> np.ndarray:
+    """Fine counts as numbers: one or two bytes each, by the number of groups that FINE has."""
+    groups = {1 << bits for bits in FINE.values()}
+    return np.frombuffer(fine, "<u1" if len(fine) in groups else "<u2").astype(np.int64)
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document; rows (frequent, times) for shingles met often in a task."""
-    names = ["doc_id", "version", "n", "class", "key", "counts", "frequent", "times"]
+    """A row for each document, its counts where its class is met first in the task; rows
+    (frequent, times) for shingles met often in a task."""
+    names = ["doc_id", "version", "n", "class", "key", "counts", "fine", "frequent", "times"]
     seen: set[bytes] = set()
     kept: list[np.ndarray] = []
     size = 0
@@ -69,17 +95,21 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = np.unique(np.concatenate(kept), return_counts=True)
         often = times > 2
         n, nulls = int(often.sum()), pa.nulls
-        columns = [nulls(n, pa.int64()), nulls(n, pa.int64()), nulls(n, pa.int32()), nulls(n, pa.binary()), nulls(n, pa.int64()), nulls(n, pa.binary())]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+        columns = [nulls(n, kind) for kind in kinds]
         return pa.RecordBatch.from_arrays([*columns, _signed(values[often]), pa.array(times[often])], names=names)
 
     for batch in batches:
-        sizes, classes, counts = [], [], []
-        for shingles in _sets(texts_of(batch)):
+        sizes, classes, counts, fine = [], [], [], []
+        for shingles in sets_of(texts_of(batch), WORDS):
             sizes.append(len(shingles))
             classes.append(_class_of(shingles))
-            counts.append(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+            counts.append(None)
+            fine.append(None)
             if classes[-1] not in seen:
                 seen.add(classes[-1])
+                counts[-1] = _packed(np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=GROUPS))
+                fine[-1] = _fine_counts(shingles)
                 kept.append(shingles)
                 size += len(shingles)
             if size > _COUNTED:
@@ -89,7 +119,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(sizes)
         keys = np.array([_key(name) for name in classes], np.int64)
         columns = [batch.column("doc_id"), batch.column("version"), pa.array(sizes, pa.int32()), pa.array(classes, pa.binary())]
-        columns += [pa.array(keys), pa.array(counts, pa.binary())]
+        columns += [pa.array(keys), pa.array(counts, pa.binary()), pa.array(fine, pa.binary())]
         yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
     if kept:
         yield counted()
@@ -101,7 +131,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterato
     seen: set[bytes] = set()
     for batch in batches:
         firsts, keys = [], []
-        for shingles in _sets(texts_of(batch)):
+        for shingles in sets_of(texts_of(batch), WORDS):
             n = len(shingles)
             name = _class_of(shingles)
             if not n or name in seen:
@@ -144,138 +174,127 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(key[out])], names=["shingle", "key"])
 
 
-_BITS = 27  # of the filter, 16 MB
-
-
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids, of fixed size: most documents that are not needed fail it."""
-    bits = ids.filter("id IS NOT NULL").select(F.explode(F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1)))).alias("bit"))
-    bit = F.pmod("bit", F.lit(1 << _BITS))
-    words = bits.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(bit, {1 << _BITS}) & 63 as int))")).alias("bits"))
-    found = words.toArrow()
-    out = np.zeros(1 << (_BITS - 6), np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out
-
-
-def _needed_sets(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(class, shingles) of the documents that pass the filter, a class once for each task."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        passed = np.ones(batch.num_rows, dtype=bool)
-        for name in ("hash_a", "hash_b"):
-            bit = batch.column(name).to_numpy(zero_copy_only=False) & ((1 << _BITS) - 1)
-            passed &= (bits.value[bit >> 6] >> (bit & 63)) & 1 == 1
-        passed |= np.asarray(batch.column("doc_id").is_null())
-        texts = texts_of(batch.filter(pa.array(passed)))
-        classes, sets = [], []
-        for shingles in _sets(texts):
-            name = _class_of(shingles)
-            if name not in seen:
-                seen.add(name)
-                classes.append(name)
-                sets.append(np.sort(shingles.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["class", "shingles"])
-
-
 @dataclass
-class RTree:
-    """Points packed in order into leaves, leaves into nodes: boxes, least and largest sizes, components.
+class RTrees:
+    """R-trees of many units, packed level by level: level 0 holds the points, the last one a root for each unit.
 
-    ``component`` of a node is -1 if its points are of several.
+    A box is its upper corner, its least and largest set and its component (-1 for several).
+    ``first`` and ``many`` name a node's children on the level below.
     """
 
-    highest: list[np.ndarray]
+    corner: list[np.ndarray]
     least: list[np.ndarray]
     largest: list[np.ndarray]
     component: list[np.ndarray]
+    first: list[np.ndarray]
+    many: list[np.ndarray]
+    unit: np.ndarray  # of each root, rising
 
     @classmethod
-    def pack(cls, points: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> RTree:
-        """Points must be in packing order: near ones together."""
-        tree = cls([points], [sizes], [sizes], [components])
-        while len(tree.least[-1]) > 1:
-            starts = np.arange(0, len(tree.least[-1]), _FANOUT)
-            tree.highest.append(np.maximum.reduceat(tree.highest[-1], starts))
-            tree.least.append(np.minimum.reduceat(tree.least[-1], starts))
-            tree.largest.append(np.maximum.reduceat(tree.largest[-1], starts))
-            low = np.minimum.reduceat(tree.component[-1], starts)
-            tree.component.append(np.where(low == np.maximum.reduceat(tree.component[-1], starts), low, -1))
-        return tree
-
-    def survivors(self, at: int, level: int, mine: np.ndarray) -> np.ndarray:
-        """Of the nodes ``mine`` on a level those that may hold a partner of the point ``at``."""
-        size, component = self.least[0][at], self.component[0][at]
-        mine = mine[self.component[level][mine] != component]
-        mine = mine[(4 * self.largest[level][mine] >= 3 * size) & (4 * size >= 3 * self.least[level][mine])]
-        overlap = np.minimum(self.highest[level][mine], self.highest[0][at]).sum(axis=1)
-        return mine[OF * overlap >= NEED * (self.least[level][mine] + size)]
-
-    def partners(self, at: int) -> np.ndarray:
-        """The points of other components that the bound leaves for the point ``at``."""
-        mine = np.arange(len(self.least[-1]))
-        for level in range(len(self.least) - 1, -1, -1):
-            mine = self.survivors(at, level, mine)
-            if not len(mine):
-                return mine
+    def pack(cls, points: np.ndarray, sizes: np.ndarray, components: np.ndarray, unit: np.ndarray) -> RTrees:
+        """Points must come by unit, near ones together."""
+        none = np.zeros(0, np.int64)
+        trees = cls([points], [sizes], [sizes], [components], [none], [none], unit)
+        while (trees.unit[1:] == trees.unit[:-1]).any():
+            new = np.concatenate(([True], trees.unit[1:] != trees.unit[:-1]))
+            begin = np.flatnonzero(new)
+            place = np.arange(len(new)) - np.repeat(begin, np.diff(np.append(begin, len(new))))
+            starts = np.flatnonzero(place % _FANOUT == 0)
+            low = np.minimum.reduceat(trees.component[-1], starts)
+            high = np.maximum.reduceat(trees.component[-1], starts)
+            trees.corner.append(np.maximum.reduceat(trees.corner[-1], starts))
+            trees.least.append(np.minimum.reduceat(trees.least[-1], starts))
+            trees.largest.append(np.maximum.reduceat(trees.largest[-1], starts))
+            trees.component.append(np.where(low == high, low, -1))
+            trees.first.append(starts)
+            trees.many.append(np.diff(np.append(starts, len(new))))
+            trees.unit = trees.unit[starts]
+        return trees
+
+    def search(self, points: np.ndarray, sizes: np.ndarray, components: np.ndarray, unit: np.ndarray, test: Counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point, overlap bound) for what the trees of the queries' units cannot rule out."""
+        at = np.minimum(np.searchsorted(self.unit, unit), len(self.unit) - 1)
+        query = np.flatnonzero(self.unit[at] == unit)
+        node = at[query]
+        for level in range(len(self.corner) - 1, -1, -1):
+            small, large, mine = self.least[level][node], self.largest[level][node], sizes[query]
+            keep = (self.component[level][node] != components[query]) & (100 * large >= test.least * mine) & (100 * mine >= test.least * small)
+            query, node = query[keep], node[keep]
+            overlap = _overlaps(self.corner[level], node, points, query)
+            keep = test.bound_allows(overlap, self.least[level][node], sizes[query])
+            query, node, overlap = query[keep], node[keep], overlap[keep]
             if level:
-                mine = (mine[:, None] * _FANOUT + np.arange(_FANOUT)).ravel()
-                mine = mine[mine < len(self.least[level - 1])]
-        return mine
-
-
-def _tree_pairs(points: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of points of one unit that its R-tree cannot rule out."""
-    order = np.lexsort((points.argmax(axis=1), points[:, 0], sizes))
-    tree = RTree.pack(points[order].astype(np.int64), sizes[order], components[order])
-    found = [tree.partners(at) for at in range(len(order))]
-    first = np.repeat(np.arange(len(order)), [len(f) for f in found])
-    second = np.concatenate(found) if found else first
-    keep = second > first
-    return order[first[keep]], order[second[keep]]
-
-
-def _leaf_pairs(unit: np.ndarray, points: np.ndarray, sizes: np.ndarray, components: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many small units at once, sorted by unit: a unit is a single leaf."""
-    firsts, seconds = [], []
-    for apart in range(1, _LEAF):
-        if apart >= len(unit):
-            break
-        near = (unit[apart:] == unit[:-apart]) & (components[apart:] != components[:-apart])
-        near &= (4 * sizes[apart:] >= 3 * sizes[:-apart]) & (4 * sizes[:-apart] >= 3 * sizes[apart:])
-        at = np.flatnonzero(near)
-        for part in np.array_split(at, 1 + len(at) // 4096):
-            overlap = np.minimum(points[part], points[part + apart]).sum(axis=1)
-            kept = part[_within_bound(overlap, sizes[part], sizes[part + apart])]
-            firsts.append(kept)
-            seconds.append(kept + apart)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *firsts]), np.concatenate([none, *seconds])
-
-
-def _units_pairs(table: pa.Table) -> pa.Table:
-    """The pairs of the buckets, or pairs of blocks, that came to one task."""
-    table = table.combine_chunks().sort_by("unit")
-    unit, block = table.column("unit").to_numpy(), table.column("block").to_numpy()
-    names = table.column("class").to_pylist()
-    points = _counts(table.column("counts").combine_chunks())
-    sizes = table.column("n").to_numpy().astype(np.int64)
-    components = np.unique(table.column("component").to_numpy(), return_inverse=True)[1]
-    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-    many = np.diff(np.concatenate((starts, [len(unit)])))
-    small = np.flatnonzero(np.repeat(many <= _LEAF, many))
-    first, second = _leaf_pairs(unit[small], points[small], sizes[small], components[small])
-    firsts, seconds = [small[first]], [small[second]]
-    for start, n in zip(starts[many > _LEAF].tolist(), many[many > _LEAF].tolist()):
-        rows = slice(start, start + n)
-        first, second = _tree_pairs(points[rows], sizes[rows], components[rows])
-        blocks = block[rows]
-        keep = (blocks[first] != blocks[second]) | (blocks.min() == blocks.max())  # others meet in their own block
-        firsts.append(start + first[keep])
-        seconds.append(start + second[keep])
-    pairs = {(min(names[i], names[j]), max(names[i], names[j])) for i, j in zip(np.concatenate(firsts).tolist(), np.concatenate(seconds).tolist())}
-    a, b = zip(*sorted(pairs)) if pairs else ((), ())
-    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                many = self.many[level][node]
+                query = np.repeat(query, many)
+                node = np.repeat(self.first[level][node] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return query, node, overlap
+
+
+def _overlaps(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Sums of the smaller coordinates, row by row."""
+    out = np.empty(len(at_a), np.int64)
+    for start in range(0, len(out), 8192):
+        part = slice(start, start + 8192)
+        out[part] = np.minimum(a[at_a[part]], b[at_b[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+class Counts(Test):
+    """Points are counts by group; the bound on the overlap, coarse then fine, says what may be linked."""
+
+    columns = ("counts", "fine")
+
+    def points(self, rows, ending: str = ""):
+        return _unpacked(rows.column(f"counts{ending}").to_pylist()), rows.column(f"fine{ending}").to_pylist()
+
+    def bound_allows(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """overlap / (a + b - overlap) can reach the least similarity."""
+        return (100 + self.least) * overlap >= self.least * (a.astype(np.int64) + b)
+
+    def _fine_allows(self, a: bytes | None, b: bytes | None, n: int) -> bool:
+        if a is None or b is None:
+            return True
+        x, y = map(_spread, (a, b))
+        few = min(len(x), len(y))
+        x, y = (v.reshape(few, -1).sum(axis=1) for v in (x, y))
+        return (100 + self.least) * int(np.minimum(x, y).sum()) >= self.least * n
+
+    def _with_fine(self, keep: np.ndarray, a: list, b: list, n: np.ndarray) -> np.ndarray:
+        keep = keep.copy()
+        for i in np.flatnonzero(keep).tolist():
+            keep[i] = self._fine_allows(a[i], b[i], int(n[i]))
+        return keep
+
+    def pairwise(self, a, b, n_a, n_b):
+        every = np.arange(len(n_a))
+        overlap = _overlaps(a[0], every, b[0], every)
+        keep = self.bound_allows(overlap, n_a, n_b) & self.sizes_allow(n_a, n_b)
+        together = n_a.astype(np.int64) + n_b
+        return self._with_fine(keep, a[1], b[1], together), overlap / np.maximum(together, 1)
+
+    def one_with(self, hubs, n_hubs, points, at, n):
+        overlap = _overlaps(hubs[0], np.arange(len(n_hubs)), points[0], np.full(len(n_hubs), at))
+        keep = self.bound_allows(overlap, n_hubs, n) & self.sizes_allow(n_hubs, n)
+        return self._with_fine(keep, hubs[1], [points[1][at]] * len(n_hubs), n_hubs.astype(np.int64) + n)
+
+    def search(self, units: Units, points):
+        coarse, fine = points
+        unit = np.repeat(np.arange(len(units.starts) - 1), np.diff(units.starts))
+        member, stray = np.flatnonzero(units.member), np.flatnonzero(units.stray)
+        if not len(member):
+            return
+        # a component holds near copies: packed together, by size, their boxes are tight
+        order = member[np.lexsort((units.n[member], units.home[member], unit[member]))]
+        n, home = units.n.astype(np.int64), units.home.astype(np.int64)
+        trees = RTrees.pack(coarse[order], n[order], home[order], unit[order])
+        for start in range(0, len(stray), 512):
+            part = stray[start : start + 512]
+            query, point, overlap = trees.search(coarse[part], n[part], home[part], unit[part], self)
+            a, b = part[query], order[point]
+            together = n[a] + n[b]
+            keep = self._with_fine(np.ones(len(a), bool), [fine[i] for i in a.tolist()], [fine[i] for i in b.tolist()], together)
+            if keep.any():
+                yield a[keep], b[keep], (overlap / np.maximum(together, 1))[keep]
 
 
 @dataclass
@@ -295,19 +314,22 @@ def join_similar(documents: DataFrame) -> SimilarDocuments:
     own if none; ``class`` names its set, ``group`` the class that stands for its component, and
     ``version`` is the text's hash. ``links`` connects classes so that each pair of similar
     documents is joined by a path of links, without every pair in a large group: where two classes
-    are already joined, they are not compared. Repeated rows and exact copies are one class. Rows
+    are already joined, they are not compared, and the column ``links`` counts the links of a class
+    that were found, not all similar classes. Repeated rows and exact copies are one class. Rows
     with a null id take part and can join others. Shingles and sets are known by hashes of 64 and
     128 bits.
     """
     spark = documents.sparkSession
-    frame = documents.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, version long, n int, class binary, key long, counts binary, frequent long, times long"
+    frame = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, version long, n int, class binary, key long, counts binary, fine binary, frequent long, times long"
     survey = materialise(frame.withColumn("version", F.xxhash64("text")).mapInArrow(_survey, schema))
-    rows = survey.filter("class IS NOT NULL")
-    classes = rows.groupBy("class").agg(
-        F.min("doc_id").alias("least_id"), F.first("key").alias("key"), F.first("n").alias("n"), F.first("counts").alias("counts")
-    )
-    classes = materialise(classes)
+    rows = survey.filter("class IS NOT NULL").select("doc_id", "version", "n", "class")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version"))
+    classes = survey.filter("class IS NOT NULL").groupBy("class").agg(
+        least.alias("least"), F.first("key").alias("key"), F.first("n").alias("n"),
+        F.first("counts", ignorenulls=True).alias("counts"), F.first("fine", ignorenulls=True).alias("fine"),
+    )
+    classes = materialise(classes.withColumn("least", F.struct("least.doc_id", "least.version")))
 
     many = max(32, rows.count() // FREQUENT)
     often = survey.filter("times IS NOT NULL").groupBy("frequent").agg(F.sum("times").alias("times")).filter(F.col("times") > many)
@@ -319,31 +341,26 @@ def join_similar(documents: DataFrame) -> SimilarDocuments:
     prefixes = frame.select("text").mapInArrow(partial(_prefixes, frequent=frequent), "shingle long, key long")
     sorted_prefixes = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key")
     shared = materialise(sorted_prefixes.mapInArrow(_shared, "shingle long, key long"))
-    buckets = materialise(shared.join(classes.select("key", "class"), "key").select("shingle", "class").distinct())
-
-    points = classes.select("class", "n", "counts")
-    near = materialise(_near_pivots(buckets, points))
-    links = _verify(near, _sets_for(near, classes, frame))
-    open_ = materialise(_open_buckets(buckets, connected_components(links)))
-    across = materialise(_across(open_, points))
-    links = materialise(links.union(_verify(across, _sets_for(across, classes, frame))))
+    named = shared.join(classes.select("key", "class"), "key")
+    buckets = materialise(named.select(F.col("shingle").alias("key"), "class").distinct())
+    links = link_classes(classes, buckets, frame, Counts(WORDS, LEAST))
     joined = connected_components(links)
 
-    home = classes.select("class", "least_id").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    home = home.withColumn("component", F.coalesce("component", "class"))
+    home = classes.select("class", F.col("least.doc_id").alias("least_id")).join(joined.withColumnRenamed("node", "class"), "class", "left")
+    home = materialise(home.withColumn("component", F.coalesce("component", "class")))
     ids = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
     degree = links.select("a").union(links.select("b")).toDF("class").groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    home = home.join(ids, "component").join(degree, "class", "left").select(
+    home = looked_up(home.drop("least_id"), ids, "component", home.count()).join(degree, "class", "left").select(
         "class", F.col("component").alias("group"), "component_id", F.coalesce("links", F.lit(0)).alias("links")
     )
-    members = rows.select("doc_id", "version", F.col("n").alias("n_shingles"), "class").join(home, "class")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    members = members.select("doc_id", "version", "n_shingles", "class", "group", own.alias("component_id"), "links")
+    members = looked_up(rows, materialise(home), "class", rows.count())
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    members = members.select("doc_id", "version", F.col("n").alias("n_shingles"), "class", "group", own.alias("component_id"), "links")
     return SimilarDocuments(members, links)
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents with all their columns, one of each group of similar ones.
+    """The documents with all their columns, whatever their names, one of each group of similar ones.
 
     The one with the least doc_id stays, then the one whose text has the least hash; a null id
     comes last, and of repeated rows one stays. Texts without words are all kept.
@@ -351,111 +368,10 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     members = join_similar(documents).members
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "version")).alias("best")
     kept = members.filter("n_shingles > 0").groupBy("group").agg(best).select("best.doc_id", "best.version")
-    kept = kept.union(members.filter("n_shingles = 0").select("doc_id", "version")).distinct().toDF("kept_id_", "kept_version_")
-    versions = documents.withColumn("version_", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.col("version_") == F.col("kept_version_"))
-    chosen = versions.join(materialise(kept), same, "left_semi")
+    own = uuid.uuid4().hex  # no column of the documents has such a name
+    kept = materialise(kept.distinct()).toDF(f"id_{own}", f"of_{own}")
     words = F.coalesce("text", F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    once = chosen.filter(words).dropDuplicates(["doc_id", "version_"])
-    return once.union(chosen.filter(~words)).drop("version_")
-
-
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), GROUPS)
-
-
-def _within_bound(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return OF * overlap.astype(np.int64) >= NEED * (a.astype(np.int64) + b)
-
-
-def _allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their points those whose summed coordinate minima are large enough."""
-    for batch in batches:
-        overlap = np.minimum(_counts(batch.column("counts_a")), _counts(batch.column("counts_b"))).sum(axis=1)
-        keep = _within_bound(overlap, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-
-def _near_pivots(buckets: DataFrame, points: DataFrame) -> DataFrame:
-    """Each class with one class of its buckets, if their points allow it; most groups need no more."""
-    pivots = buckets.groupBy("shingle").agg(F.min("class").alias("pivot"))
-    met = buckets.join(pivots, "shingle").filter("class <> pivot")
-    pairs = met.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    sized = pairs.join(points.toDF("a", "n_a", "counts_a"), "a").join(points.toDF("b", "n_b", "counts_b"), "b")
-    alike = sized.filter("4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
-    return alike.mapInArrow(_allowed, "a binary, b binary")
-
-
-def _open_buckets(buckets: DataFrame, joined: DataFrame) -> DataFrame:
-    """(shingle, class, component) of the buckets with several components; of those with the same classes, one."""
-    placed = buckets.join(joined.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "class"))
-    kinds = placed.groupBy("shingle").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"),
-        F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("sum"), F.min("class").alias("first"),
-    )
-    kept = kinds.filter("low <> high").groupBy("many", "sum", "first").agg(F.min("shingle").alias("shingle"))
-    return placed.join(kept.select("shingle"), "shingle").select("shingle", "class", "component")
-
-
-def _sets_for(pairs: DataFrame, classes: DataFrame, frame: DataFrame) -> DataFrame:
-    """(class, shingles) for the classes of some pairs, computed again from the texts.
-
-    The texts are filtered where they are; neither they nor the sets of all classes are shuffled.
-    """
-    wanted = classes.join(pairs.select("a").union(pairs.select("b")).toDF("class").distinct(), "class", "left_semi")
-    wanted = materialise(wanted.select("class", "least_id"))
-    bits = frame.sparkSession.sparkContext.broadcast(_filter(wanted.select(F.col("least_id").alias("id"))))
-    hashed = frame.withColumns({"hash_a": F.xxhash64("doc_id"), "hash_b": F.xxhash64("doc_id", F.lit(1))})
-    sets = hashed.mapInArrow(partial(_needed_sets, bits=bits), "class binary, shingles array<long>")
-    return materialise(sets.join(wanted.select("class"), "class", "left_semi"))
-
-
-def _across(open_: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in a bucket, by its R-tree.
-
-    A bucket of many classes is split into blocks, and each pair of blocks is a unit of work.
-    """
-    sizes = open_.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = open_.join(sizes, "shingle").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.xxhash64("shingle", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = materialise(dealt.select("class", F.xxhash64("component").alias("component"), unit.alias("unit"), "block", "blocks"))
-    parts = 1 + dealt.count() // _TOGETHER
-    task = F.pmod(F.col("unit"), F.lit(parts)).alias("task")
-    return dealt.join(points, "class").groupBy(task).applyInArrow(_units_pairs, "a binary, b binary").distinct()
-
-
-def _verified(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """The pairs of a unit that share enough shingles."""
-    known = dict(zip(sets.column("class").to_pylist(), (s.values.to_numpy() for s in sets.column("shingles"))))
-    kept = [
-        enough(known[a], known[b]) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())
-    ]
-    return pairs.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-
-def enough(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have the similarity."""
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    return int((a[at] == b).sum()) * OF >= (len(a) + len(b)) * NEED
-
-
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that share enough shingles. A set may be there more than once.
-
-    Classes are dealt to parts of about _VERIFIED shingles, and a unit of work is two parts: a set
-    goes once to each unit where it has pairs, however many they are.
-    """
-    shingles = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    parts = 1 + shingles // _VERIFIED
-
-    def part(name: str) -> Column:
-        return F.pmod(F.xxhash64(name), F.lit(parts))
-
-    unit = F.struct(F.least(part("a"), part("b")).alias("low"), F.greatest(part("a"), part("b")).alias("high"))
-    units = pairs.withColumn("unit", unit)
-    members = pairs.select(unit.alias("place"), F.explode(F.array("a", "b")).alias("class")).distinct()
-    placed = members.join(sets, "class").select("place", "class", "shingles")
-    found = units.groupBy("unit").cogroup(placed.groupBy("place")).applyInArrow(_verified, "a binary, b binary")
-    return materialise(found)
+    marked = documents.withColumn(f"text_{own}", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"id_{own}")) & (F.col(f"text_{own}") == F.col(f"of_{own}"))
+    once = marked.filter(words).join(kept, same, "left_semi").dropDuplicates(["doc_id", f"text_{own}"])
+    return once.union(marked.filter(~words)).drop(f"text_{own}")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dealerscope.llm import components, decontamination, line_dedup, nearest, packing, queries, shingle_join, token_counts, token_files, tokens
+from dealerscope.llm import components, decontamination, line_dedup, linking, nearest, packing, queries, shingle_join, token_counts, token_files, tokens
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,6 @@ def texts(spark):
 
 def _ids(path, all_texts):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, tokens.END_ID], "<u4") for e in tokenizer.encode_batch(list(all_texts), add_special_tokens=False)]
 
 
@@ -150,7 +149,6 @@ def test_counts_query_and_many_edits(spark, texts):
     assert sum(r["n_encoded"] for r in rows.values()) < sum(map(len, texts.values())) / 10
     rng = random.Random(6)
     tokenizer = Tokenizer.from_file(queries.BYTE_BPE)
-    tokenizer.encode_special_tokens = True
     for _ in range(60):
         text = rng.choice(list(texts.values()))[:3000]
         tree = token_counts.build_tree(text, queries.BYTE_BPE)
@@ -228,30 +226,87 @@ def test_near_copies_in_chains(spark, monkeypatch):
         texts[len(texts)] = " ".join([*common, *(rng.choice(words) for _ in range(rng.randint(2, 20)))])
     texts |= {len(texts) + i: t for i, t in enumerate(["a", "A", "a b", "", " ", "b a", "a  B\tc D", "a b c d"])}
     sets, wanted = _similar(texts)
-    monkeypatch.setattr(shingle_join, "BLOCK", 16)
-    monkeypatch.setattr(shingle_join, "_TOGETHER", 64)
-    monkeypatch.setattr(shingle_join, "_LEAF", 4)
-    monkeypatch.setattr(shingle_join, "_VERIFIED", 500)
+    monkeypatch.setattr(linking, "SLICE", 16)
+    monkeypatch.setattr(linking, "CHUNK", 4)
+    monkeypatch.setattr(linking, "UNIT", 5)
+    monkeypatch.setattr(linking, "HOT", 20)
     frame = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
     found = shingle_join.join_similar(frame).members.collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(sets[i]), wanted[i]) for i in texts}
 
 
-def test_tree_loses_no_pair():
+def test_trees_lose_no_pair():
+    """Several units of near copies, fine counts among them: searched as the operator does."""
     rng = np.random.default_rng(9)
     base = rng.poisson(0.4, (40, shingle_join.GROUPS))
     points = np.repeat(base, 8, axis=0)
-    points = np.maximum(0, points + (rng.random(points.shape) < 0.03) - (rng.random(points.shape) < 0.03)).astype(np.int64)
-    sizes, labels = points.sum(axis=1), rng.integers(0, 60, len(points))
-    found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in shingle_join._tree_pairs(points, sizes, labels)))}
+    points = np.maximum(0, points + (rng.random(points.shape) < 0.03) - (rng.random(points.shape) < 0.03)).astype("<u4")
+    sizes, labels = points.sum(axis=1).astype(np.int32), rng.integers(0, 60, len(points))
+    stray, member = rng.random(len(points)) < 0.6, rng.random(len(points)) < 0.9
+    starts = np.array([0, 1, 90, 90, 200, len(points)])
+    test = shingle_join.Counts(5, 75)
+    rows = pa.table({"counts": pa.array([shingle_join._packed(p) if i % 3 else p.astype("<u4").tobytes() for i, p in enumerate(points)], pa.binary()), "fine": pa.nulls(len(points), pa.binary())})
+    found = set()
+    for a, b, likely in test.search(linking.Units(starts, stray, member, sizes, labels), test.points(rows)):
+        found |= set(zip(a.tolist(), b.tolist()))
     overlap = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2)
+    unit = np.searchsorted(starts, np.arange(len(points)), side="right")
     wanted = {
-        (i, j) for i in range(len(points)) for j in range(i + 1, len(points))
-        if labels[i] != labels[j] and 7 * overlap[i, j] >= 3 * (sizes[i] + sizes[j]) and 4 * sizes[i] >= 3 * sizes[j] and 4 * sizes[j] >= 3 * sizes[i]
+        (i, j) for i in np.flatnonzero(stray).tolist() for j in np.flatnonzero(member).tolist()
+        if unit[i] == unit[j] and labels[i] != labels[j] and 175 * overlap[i, j] >= 75 * (int(sizes[i]) + int(sizes[j]))
+        and 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j])
     }
     assert wanted and found == wanted
 
 
+def test_the_query_builds_and_searches_trees_on_the_given_tables(spark, tmp_path, monkeypatch):
+    """The buckets of the given documents, as the operator hands them to its tasks."""
+    met = []
+
+    def keep(rows, *rest):
+        found = opened(rows, *rest)
+        met.append(found.toArrow())
+        return found
+
+    opened = linking._open
+    monkeypatch.setattr(linking, "_open", keep)
+    queries.op6_ngram_jaccard(spark, SMALL).count()
+    packed, searched, roots = [], [], shingle_join.RTrees.pack
+    search = shingle_join.RTrees.search
+
+    def pack(*arguments):
+        packed.append(roots(*arguments))
+        return packed[-1]
+
+    def look(trees, points, *rest):
+        searched.append(len(points))
+        return search(trees, points, *rest)
+
+    monkeypatch.setattr(shingle_join.RTrees, "pack", pack)
+    monkeypatch.setattr(shingle_join.RTrees, "search", look)
+    pairs = 0
+    for table in met:
+        for part in linking._whole_units(iter(table.to_batches())):
+            pairs += sum(len(a) for a, _, _ in linking._pairs_in(part, shingle_join.Counts(5, 75)))
+    assert len(met) == 2 and packed and searched
+    assert sum(len(t.unit) for t in packed) > 0 and all(len(t.corner[-1]) == len(np.unique(t.unit)) for t in packed)
+
+
+def test_fine_counts_rule_out_long_texts():
+    rng = np.random.default_rng(3)
+    every = rng.integers(0, 2**64, 30_000, dtype=np.uint64)
+    sets = [every[:9000], every[500:9500], every[12_000:21_000], every[:200], every[:9000]]
+    fine = [shingle_join._fine_counts(np.unique(s)) for s in sets]
+    assert fine[3] is None and len(fine[0]) == 4096
+    test = shingle_join.Counts(5, 75)
+    assert test._fine_allows(fine[0], fine[1], 18_000) and test._fine_allows(fine[0], fine[4], 18_000)
+    assert not test._fine_allows(fine[0], fine[2], 18_000)
+    coarse = [np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) for s in sets]
+    assert test.bound_allows(np.minimum(coarse[0], coarse[2]).sum()[None], np.array([9000]), np.array([9000]))[0]  # not by the coarse ones
+    other = np.bincount((np.unique(sets[1]) >> np.uint64(48)).astype(np.int64), minlength=1 << 16).astype("<u2").tobytes()
+    assert test._fine_allows(fine[0], other, 18_000)  # compared on the coarser of the two
+
+
 def test_nearest_query(spark):
     rows = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
     ids = np.array(sorted(rows))
