@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,12 +147,55 @@ def _confirmed(batches: Iterator[pa.RecordBatch], test: Test) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _confirm(units: DataFrame, state: DataFrame, base: DataFrame, test: Test) -> DataFrame:
-    """Links among the rows (unit, member, class); ``state`` has the component, ``base`` points and text of each class."""
+_BITS = 27  # of the filter of needed documents, 16 MB
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``at``, of fixed size."""
+    bits = keys.select(F.explode(F.array("at", F.xxhash64("at"))).alias("bit"))
+    bit = F.pmod("bit", F.lit(1 << _BITS))
+    one = F.expr(f"shiftleft(1L, cast(pmod(bit, {1 << _BITS}) & 63 as int))")
+    found = bits.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(1 << (_BITS - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def _passing(batches: Iterator[pa.RecordBatch], bits: Broadcast) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        passed = np.ones(batch.num_rows, dtype=bool)
+        for name in ("at", "again"):
+            bit = batch.column(name).to_numpy() & ((1 << _BITS) - 1)
+            passed &= (bits.value[bit >> 6] >> (bit & 63)) & 1 == 1
+        yield batch.filter(pa.array(passed)).select(["at", "of", "text"])
+
+
+def _texts_of(classes: DataFrame, points: DataFrame, documents: DataFrame) -> DataFrame:
+    """(class, text): each class with the text of the document (doc_id, version) that stands for it.
+
+    The documents are filtered where they are, so only texts that are needed, and few others, are
+    shuffled. Repeated rows of a document are one; they are found where the join has put them.
+    """
+    key = F.xxhash64(F.col("of.doc_id").isNull(), "of.doc_id", "of.version").alias("at")
+    wanted = classes.join(points.select("class", F.col("least").alias("of")), "class").select(key, "of", "class")
+    wanted = materialise(wanted)
+    bits = documents.sparkSession.sparkContext.broadcast(_filter(wanted))
+    known = documents.select(F.struct("doc_id", F.xxhash64("text").alias("version")).alias("of"), "text")
+    keyed = known.select(key, "of", "text").withColumn("again", F.xxhash64("at"))
+    passing = keyed.mapInArrow(partial(_passing, bits=bits), "at long, of struct<doc_id: long, version: long>, text string")
+    found = passing.join(wanted.withColumnRenamed("of", "its"), "at").filter(F.col("of").eqNullSafe(F.col("its")))
+    return found.groupBy("at", "class").agg(F.first("text").alias("text")).drop("at")
+
+
+def _confirm(units: DataFrame, state: DataFrame, points: DataFrame, documents: DataFrame, test: Test) -> DataFrame:
+    """Links among the rows (unit, member, class); ``state`` has the component of each class."""
+    units = materialise(units)
+    texts = _texts_of(units.select("class").distinct(), points, documents)
     columns = ["component", "n", *test.columns, "text"]
-    rows = units.join(state.select("class", "component"), "class").join(base, "class")
-    placed = rows.repartition("unit").sortWithinPartitions("unit", "member", "class").select("unit", "member", "class", *columns)
-    return materialise(placed.mapInArrow(partial(_confirmed, test=test), "a binary, b binary"))
+    about = points.drop("least").join(texts, "class").join(state.select("class", "component"), "class")
+    placed = units.join(about, "class").repartition("unit").sortWithinPartitions("unit", "member", "class")
+    rows = placed.select("unit", "member", "class", *columns)
+    return materialise(rows.mapInArrow(partial(_confirmed, test=test), "a binary, b binary"))
 
 
 def _units(pairs: DataFrame) -> DataFrame:
@@ -176,7 +220,7 @@ def _met(batches: Iterator[pa.RecordBatch], test: Test) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "likely"]).filter(pa.array(keep))
 
 
-def _open(buckets: DataFrame, state: DataFrame, base: DataFrame, total: int, test: Test) -> DataFrame:
+def _open(buckets: DataFrame, state: DataFrame, points: DataFrame, total: int, test: Test) -> DataFrame:
     """The buckets whose classes are in several components, sliced.
 
     Rows (place, unit, stray, member, class, component, n, points, chunk), by place and unit. Of a
@@ -202,7 +246,7 @@ def _open(buckets: DataFrame, state: DataFrame, base: DataFrame, total: int, tes
         "member",
         "class",
     )
-    points = base.select("class", "n", *test.columns)
+    points = points.drop("least")
     rows = every.join(state.select("class", "component", "chunk"), "class").join(points, "class")
     return rows.repartition("place").sortWithinPartitions("place", "unit", "component")
 
@@ -275,28 +319,13 @@ def _placed(state: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(kept.withColumns({"component": F.coalesce("component", "class"), "many": F.coalesce("many", F.lit(1))}))
 
 
-def _texts_of(classes: DataFrame, documents: DataFrame, columns: list[str]) -> DataFrame:
-    """(class, *columns, text): each class with the text of the document (doc_id, version) that stands for it.
-
-    The classes have that pair as ``least``. Repeated rows of the document are one; they are
-    found where the join has put them.
-    """
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "version").alias("at")
-    home = classes.select("class", *columns, F.col("least.doc_id").alias("doc_id"), F.col("least.version").alias("version"))
-    home = home.select(key, "class", *columns, F.col("doc_id").alias("of_id"), F.col("version").alias("of_version"))
-    texts = documents.withColumn("version", F.xxhash64("text")).select(key, "doc_id", "version", "text")
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("version") == F.col("of_version"))
-    found = texts.join(home, "at").filter(same)
-    return found.groupBy("at", "class").agg(*(F.first(c).alias(c) for c in (*columns, "text"))).drop("at")
-
-
 def link_classes(classes: DataFrame, buckets: DataFrame, documents: DataFrame, test: Test) -> DataFrame:
     """Links (a, b) between classes that join every pair of linked ones which share a bucket by a path.
 
     ``classes`` has class, n, least (doc_id and version) and the test's columns, ``buckets`` (key,
     class) those with more than one class, both written; ``documents`` has doc_id and text. Points
-    and texts of the classes in buckets are written once, in buckets by class, so no round shuffles
-    those that it does not need; what changes from round to round is a small table beside them.
+    of the classes in buckets are written once, in buckets by class; what changes from round to
+    round is a small table beside them. Texts are fetched for the candidates of a round alone.
     """
     # of buckets with the same classes one stays, and its least class is the pivot
     kinds = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("mix"), F.min("class").alias("a"))
@@ -304,27 +333,26 @@ def link_classes(classes: DataFrame, buckets: DataFrame, documents: DataFrame, t
     with_pivot = materialise(looked_up(buckets, pivots, "key", buckets.count()))
     buckets = with_pivot.select("key", "class")
     total = buckets.count()
-    needed = classes.join(buckets.select("class").distinct(), "class", "left_semi")
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    base = write_buckets(_texts_of(needed, documents, ["n", *test.columns]), "class", parts)
+    needed = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "n", *test.columns, "least")
+    points = write_buckets(needed, "class", int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = {"component": F.col("class"), "many": F.lit(1).cast("long"), "chunk": F.lit(0).cast("long")}
-    state = materialise(base.select("class").withColumns(first))
+    state = materialise(points.select("class").withColumns(first))
 
     # each class with the likeliest of the least classes of its buckets
     met = materialise(with_pivot.filter("a <> class").select("a", "class").distinct())
-    points = base.select("class", "n", *test.columns)
-    pivot = points.withColumnsRenamed({"class": "a", "n": "n_a"} | {c: f"{c}_a" for c in test.columns})
-    sided = looked_up(met, pivot, "a", met.count()).join(points, "class")
+    bare = points.drop("least")
+    pivot = bare.withColumnsRenamed({"class": "a", "n": "n_a"} | {c: f"{c}_a" for c in test.columns})
+    sided = looked_up(met, pivot, "a", met.count()).join(bare, "class")
     likely = sided.mapInArrow(partial(_met, test=test), "a binary, b binary, likely double")
     pairs = materialise(likely.groupBy("b").agg(F.max(F.struct("likely", "a")).alias("best")).select("best.a", "b"))
-    links = _confirm(_units(pairs), state, base, test)
+    links = _confirm(_units(pairs), state, points, documents, test)
 
     # each class of a bucket's smaller components with its likeliest partner in another one
     state = _placed(state, links)
-    likely = _open(buckets, state, base, total, test).mapInArrow(partial(_likeliest, test=test), "class binary, partner binary, likely double")
+    likely = _open(buckets, state, points, total, test).mapInArrow(partial(_likeliest, test=test), "class binary, partner binary, likely double")
     best = materialise(likely.groupBy("class").agg(F.max(F.struct("likely", "partner")).alias("best")).select("class", "best.partner"))
     pairs = best.select(F.col("partner").alias("a"), F.col("class").alias("b"))
-    links = materialise(links.union(_confirm(_units(pairs), state, base, test)))
+    links = materialise(links.union(_confirm(_units(pairs), state, points, documents, test)))
 
     # every candidate pair that still is in two components: strays near one component share their partners' texts
     state = _placed(state, links)
@@ -334,8 +362,8 @@ def link_classes(classes: DataFrame, buckets: DataFrame, documents: DataFrame, t
     hot = hot_keys(crowd, "near", crowd.count()).withColumnRenamed("many", "crowd")
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.coalesce("crowd", F.lit(1)) / CHUNK)).cast("int")
     state = materialise(crowd.join(hot, "near", "left").withColumn("chunk", F.xxhash64("near", salt)).drop("near", "crowd"))
-    asked = _open(buckets, state, base, total, test).mapInArrow(partial(_asked, test=test), "chunk long, partner binary")
+    asked = _open(buckets, state, points, total, test).mapInArrow(partial(_asked, test=test), "chunk long, partner binary")
     members = materialise(asked.distinct())
     hubs = state.join(members.select("chunk").distinct(), "chunk", "left_semi").select("chunk", F.lit(False), "class")
     units = hubs.union(members.select("chunk", F.lit(True), "partner")).toDF("unit", "member", "class")
-    return materialise(links.union(_confirm(units, state, base, test)))
+    return materialise(links.union(_confirm(units, state, points, documents, test)))

@@ -342,7 +342,7 @@ def join_similar(documents: DataFrame) -> SimilarDocuments:
     sorted_prefixes = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key")
     shared = materialise(sorted_prefixes.mapInArrow(_shared, "shingle long, key long"))
     named = shared.join(classes.select("key", "class"), "key")
-    buckets = materialise(named.select(F.col("shingle").alias("key"), "class").distinct())
+    buckets = materialise(named.select(F.col("shingle").alias("key"), "class"))
     links = link_classes(classes, buckets, frame, Counts(WORDS, LEAST))
     joined = connected_components(links)
 
