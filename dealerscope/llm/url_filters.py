@@ -56,6 +56,12 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return F.when(best.isNotNull(), F.struct(F.concat(best["host"], best["path"]).alias("rule"), best["verdict"].alias("verdict")))
 
 
+def _once(value: Column) -> Column:
+    """The value as the one row of a list. A filter on it is not pushed below, where the optimiser would
+    write its whole expression out once for each mention, more than the generated code can hold."""
+    return F.explode(F.array(value))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """Canonical links and immediate redirects named in the pages' HTML: (a, b), both as nodes.
 
@@ -73,17 +79,21 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.col("tag").rlike(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""),
         F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
     )
-    found = tags.select("url", F.replace(F.coalesce(canonical, redirect), F.lit("&amp;"), F.lit("&")).alias("to"))
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    to, root = F.col("to"), F.concat(scheme, F.lit("://"), host_of(F.col("url")))
-    folder = F.regexp_extract(path_of(F.col("url")), r"(?s)^(.*/)", 1)
+    found = tags.select("url", _once(F.replace(F.coalesce(canonical, redirect), F.lit("&amp;"), F.lit("&"))).alias("to")).filter("to <> ''")
+    url, to = F.col("url"), F.col("to")
+    parts = found.select(
+        "to", node_of(url).alias("a"), F.regexp_extract(url, r"(?s)^(.*?)://", 1).alias("scheme"), host_of(url).alias("host"), path_of(url).alias("path")
+    )
+    folder = F.regexp_extract("path", r"(?s)^(.*/)", 1)
+    root = F.concat(F.col("scheme"), F.lit("://"), F.col("host"))
+    rooted = parts.select("to", "a", "scheme", root.alias("root"), F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")).alias("folder"))
     target = (
         F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-        .when(to.startswith("/"), F.concat(root, to))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), to))
+        .when(to.startswith("//"), F.concat(F.col("scheme"), F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(F.col("root"), to))
+        .otherwise(F.concat(F.col("root"), F.col("folder"), to))
     )
-    pairs = found.filter("to <> ''").select(node_of(F.col("url")).alias("a"), node_of(target).alias("b"))
+    pairs = rooted.select("a", _once(target).alias("target")).select("a", _once(node_of(F.col("target"))).alias("b"))
     return pairs.filter("a <> b").distinct()
 
 

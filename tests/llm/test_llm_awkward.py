@@ -199,3 +199,15 @@ def test_urls(spark):
     )
     assert url_filters.judge_urls(pages.limit(0), []).count() == 0
     assert {r["verdict"] for r in url_filters.judge_urls(pages, []).collect()} == {"allow"}
+
+
+def test_the_code_of_page_links_compiles(spark):
+    """Without the fallback to interpreted rows a projection that is too large would raise."""
+    pages = [(1, "http://a.net/x/y", '<link rel="canonical" href="z?q=1">'), (2, "http://b.net", "<meta http-equiv=refresh content='0; url=//c.net/d'>"), (3, None, None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        found = sorted(tuple(r) for r in url_filters.page_links(frame).collect())
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert found == [("http://a.net/x/y", "http://a.net/x/z?q=1"), ("http://b.net", "http://c.net/d")]
