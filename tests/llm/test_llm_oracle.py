@@ -48,7 +48,7 @@ def made(spark, tmp_path_factory):
         "",
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
-    vectors = [(i * 10, i % 3, [float((i * k) % 7) / 4 for k in range(1, 5)]) for i in range(90)] + [(5, 1, None), (6, None, [1.0] * 4), (200, 2, [0.0] * 4)]
+    vectors = [(i * 10, i % 3, [float((i * k) % 7) / 4 for k in range(1, 5)]) for i in range(90)] + [(5, 1, None), (6, None, [1.0] * 4), (900, 2, [0.0] * 4)]
     spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     canonical = '<html><head><LINK rel="canonical" HREF="{}"></head>'
     refresh = "<meta http-equiv='refresh' content='0; url={}'>"
