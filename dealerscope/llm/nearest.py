@@ -3,7 +3,8 @@
 A tree splits a bounded sample at the median along the line between the centres of two random
 halves, again and again. All vectors are then sent down the trees. A query goes through all trees
 with one priority queue: the open node whose side of the planes is nearest comes next, whichever
-tree it is in, until the query has its leaves. Candidates are ranked by their exact scores.
+tree it is in, until the query has its leaves. A point is stored once, with its leaf in every tree,
+and is a candidate of a query that has any of them; candidates are ranked by their exact scores.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealerscope.llm.common import arrow_batch, materialise
+from dealerscope.llm.common import materialise
 
 TREES = 6
 LEAF = 128  # vectors in a leaf, about
 SHARE = 2.0  # leaves that a query visits, in leaves of one tree; over all trees there are TREES times as many
 SAMPLE = 32_768  # vectors to which the planes are fitted
 TOP = 20
-_TOGETHER = 32_768  # vectors, or queries, that a task holds
+QUERIES = 4096  # queries that are sent to all tasks at a time
+_PART = 4096  # points that are scored together
+_VISITS_A_TASK = 128  # queries whose leaves a task looks for
 
 
 @dataclass
@@ -111,86 +114,78 @@ def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch], forest: Broadcast, longest: float) -> Iterator[pa.RecordBatch]:
+    """Each point with its leaf in every tree."""
     for batch in batches:
-        leaves = forest.value.leaves(_lifted(_matrix(batch.column("vector")), longest))
-        for t in range(leaves.shape[1]):
-            trees = pa.array(np.full(len(leaves), t, np.int32))
-            columns = [trees, pa.array(leaves[:, t]), batch.column("ids"), batch.column("vector")]
-            yield pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "ids", "vector"])
+        if batch.num_rows:
+            leaves = forest.value.leaves(_lifted(_matrix(batch.column("vector")), longest)).astype(np.int32)
+            columns = [batch.column("ids"), batch.column("vector"), pa.array(list(leaves), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["ids", "vector", "leaves"])
 
 
-_VISITS = pa.schema(
-    [("tree", pa.int32()), ("leaves_of", pa.int64()), ("query_id", pa.int64()), ("vector", pa.binary()), ("leaves", pa.list_(pa.int64()))]
-)
-
-
-def _visits(batches: Iterator[pa.RecordBatch], forest: Broadcast, many: int, together: int) -> Iterator[pa.RecordBatch]:
-    """For each query the leaves to visit, a row for each tree and group of leaves."""
+def _visits(batches: Iterator[pa.RecordBatch], forest: Broadcast, many: int) -> Iterator[pa.RecordBatch]:
+    """Each query with the leaves that it visits, a bit for each leaf of each tree."""
     trees, inner, width = forest.value.planes.shape
     for batch in batches:
         if not batch.num_rows:
             continue
         vectors = np.column_stack((_matrix(batch.column("vector")), np.zeros(batch.num_rows)))
         margins = vectors @ forest.value.planes.reshape(-1, width).T - forest.value.middles.ravel()
-        rows: list[tuple] = []
-        ids, packed = batch.column("query_id").to_pylist(), batch.column("vector").to_pylist()
-        for i, row in enumerate(margins.reshape(len(margins), trees, inner).tolist()):
-            groups: dict[tuple[int, int], list[int]] = {}
-            for tree, leaf in forest.value.visit(row, many):
-                groups.setdefault((tree, leaf // together), []).append(leaf)
-            rows += [(tree, group, ids[i], packed[i], leaves) for (tree, group), leaves in groups.items()]
-        yield arrow_batch(_VISITS, *map(list, zip(*rows)))
-
-
-_SCORED = "query_id long, vector binary, ids array<long>, score double"
-
-
-def _scored(queries: pa.Table, index: pa.Table, top: int) -> pa.Table:
-    """The best classes of a group of leaves for each query, by exact scores."""
-    queries, index = queries.combine_chunks(), index.combine_chunks()
-    names = ["query_id", "vector", "ids", "score"]
-    if not queries.num_rows or not index.num_rows:
-        empty = [pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.float64())]
-        return pa.table(empty, names=names)
-    leaf = index.column("leaf").to_numpy()
-    last_leaf = int(leaf.max())
-    vectors = _matrix(index.column("vector"))
-    first_ids = np.array([ids[0] for ids in index.column("ids").to_pylist()])
-    visited = queries.column("leaves").to_pylist()
-    order = np.argsort(leaf, kind="stable")
-    numbers, starts = np.unique(leaf[order], return_index=True)
-    by_leaf = list(zip(numbers.tolist(), np.split(order, starts[1:])))
-    found_query, found_index, found_score = [], [], []
-    for start in range(0, queries.num_rows, 256):
-        part = queries.slice(start, 256)
-        body = _matrix(part.column("vector"))
-        sees = np.zeros((len(body), last_leaf + 1), dtype=bool)
-        for i, leaves in enumerate(visited[start : start + len(body)]):
-            wanted = np.array(leaves)
-            sees[i, wanted[wanted <= last_leaf]] = True
-        for number, mine in by_leaf:
-            asking = np.flatnonzero(sees[:, number])
-            if not len(asking):
-                continue
-            rough = body[asking] @ vectors[mine].T
-            many = min(top + 1, len(mine))
-            # a little more than the last place may still tie with it
-            floor = np.partition(rough, len(mine) - many, axis=1)[:, len(mine) - many]
-            at, which = np.nonzero(rough >= floor[:, None] - 1e-9 * (1 + np.abs(floor[:, None])))
-            q, v = asking[at], mine[which]
-            found_query.append(q + start)
-            found_index.append(v)
-            found_score.append((body[q] * vectors[v]).sum(axis=1))  # a row alone: alike in every leaf
-    if not found_query:
-        return _scored(queries.slice(0, 0), index, top)
-    query, at, score = map(np.concatenate, (found_query, found_index, found_score))
-    order = np.lexsort((first_ids[at], -score, query))
-    query, at, score = query[order], at[order], score[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    keep = place <= top
-    query, at, score = query[keep], at[keep], score[keep]
-    columns = [queries.column("query_id").take(pa.array(query)), queries.column("vector").take(pa.array(query))]
-    return pa.table([*columns, index.column("ids").take(pa.array(at)), pa.array(score)], names=names)
+        bits = []
+        for row in margins.reshape(len(margins), trees, inner).tolist():
+            seen = np.zeros((trees, inner + 1), dtype=bool)
+            tree, leaf = zip(*forest.value.visit(row, many))
+            seen[list(tree), list(leaf)] = True
+            bits.append(np.packbits(seen).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vector"), pa.array(bits, pa.binary())], names=["query_id", "vector", "seen"])
+
+
+@dataclass
+class Block:
+    """Some queries: their vectors, and a packed bit for each leaf of each tree that they visit."""
+
+    vectors: np.ndarray
+    bits: np.ndarray
+    leaves: int
+
+    def some(self, start: int, many: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of some queries, and ``seen[tree, leaf, query]``."""
+        bits = self.bits[start : start + many]
+        seen = np.unpackbits(bits, axis=1, count=TREES * self.leaves).astype(bool).reshape(len(bits), TREES, self.leaves)
+        return self.vectors[start : start + many], np.ascontiguousarray(seen.transpose(1, 2, 0))
+
+
+_FOUND = "query int, ids array<long>, score double"
+
+
+def _scored(batches: Iterator[pa.RecordBatch], block: Broadcast, top: int) -> Iterator[pa.RecordBatch]:
+    """The best points of a task's part for each query, by exact scores; a point is scored once for all queries."""
+    for batch in batches:
+        parts = [batch.slice(start, _PART) for start in range(0, batch.num_rows, _PART)]
+        read = [(_matrix(p.column("vector")), p.column("leaves").flatten().to_numpy().reshape(p.num_rows, -1)) for p in parts]
+        first_ids = [np.array([ids[0] for ids in p.column("ids").to_pylist()]) for p in parts]
+        for start in range(0, len(block.value.vectors) if parts else 0, 512):
+            queries, seen = block.value.some(start)
+            for part, (vectors, leaves), ids in zip(parts, read, first_ids):
+                query, point, score = _best_of(vectors, leaves, ids, queries, seen, top)
+                columns = [pa.array((query + start).astype(np.int32)), part.column("ids").take(pa.array(point)), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query", "ids", "score"])
+
+
+def _best_of(vectors, leaves, first_ids, queries, seen, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    candidate = np.zeros((len(vectors), len(queries)), dtype=bool)
+    for tree in range(leaves.shape[1]):
+        candidate |= seen[tree, leaves[:, tree]]
+    rough = np.where(candidate, vectors @ queries.T, -np.inf).T
+    many = min(top + 1, len(vectors))
+    # a little more than the last place may still tie with it
+    floor = np.partition(rough, len(vectors) - many, axis=1)[:, len(vectors) - many]
+    slack = np.where(np.isfinite(floor), 1e-9 * (1 + np.abs(floor)), 0)
+    query, point = np.nonzero((rough >= (floor - slack)[:, None]) & candidate.T)
+    score = (queries[query] * vectors[point]).sum(axis=1)  # a row alone: alike in every part
+    order = np.lexsort((first_ids[point], -score, query))
+    query, point, score = query[order], point[order], score[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) <= top
+    return query[keep], point[keep], score[keep]
 
 
 def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, share: float = SHARE) -> DataFrame:
@@ -204,8 +199,9 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, share: fl
     Equal vectors are one point of the index with their ``top`` + 1 smallest ids, which is all a
     query can need of them; they are numbered in salted parts first. The planes are fitted to
     SAMPLE points or fewer, the forest goes to all tasks (at most SAMPLE / 4 planes a tree), every
-    point is indexed. A task scores the vectors of some neighbouring leaves against the queries
-    that visit them. A query visits ``share`` times as many leaves as one tree has.
+    point is indexed, in one row. Queries go to all tasks in blocks of at most QUERIES, with a bit for
+    each leaf; each task scores its points against them in one product and yields the best of its part
+    for each query. A query visits ``share`` times as many leaves as one tree has.
     """
     spark = embeddings.sparkSession
     points, queries = _valid(embeddings), _valid(queries)
@@ -231,27 +227,37 @@ def nearest(embeddings: DataFrame, queries: DataFrame, top: int = TOP, share: fl
     depth = max(0, int(np.ceil(np.log2(max(1.0, min(many / LEAF, SAMPLE / 8, len(sample) / 2))))))
     forest = spark.sparkContext.broadcast(fit_forest(_lifted(_matrix(sample.column("vector").combine_chunks()), longest), depth))
 
-    leaves = 2**depth
-    together = int(max(1, min(leaves, leaves * _TOGETHER // many)))
-    chunks = max(1, -(-many // (leaves * _TOGETHER)))
+    placing = partial(_indexed, forest=forest, longest=longest)
+    index = materialise(index.mapInArrow(placing, "ids array<long>, vector binary, leaves array<int>"))
+
     asked = materialise(queries.withColumn("ids", F.array("vec_id")).mapInArrow(_pack, "ids array<long>, vector binary"))
     asked = asked.select(F.col("ids")[0].alias("query_id"), "vector")
-    blocks = max(1, -(-asked.count() // _TOGETHER))
-    visiting = partial(_visits, forest=forest, many=max(TREES, round(share * leaves)), together=together)
-    visits = asked.mapInArrow(visiting, "tree int, leaves_of long, query_id long, vector binary, leaves array<long>")
-    visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    visits = visits.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    placed = index.mapInArrow(partial(_indexed, forest=forest, longest=longest), "tree int, leaf long, ids array<long>, vector binary")
-    placed = placed.withColumn("leaves_of", F.floor(F.col("leaf") / together).cast("long"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("vector"), F.lit(chunks)).cast("int"))
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["tree", "leaves_of", "chunk", "block"]
-    scored = visits.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(partial(_scored, top=top), _SCORED)
-
-    once = scored.groupBy("query_id", "vector", F.col("ids")[0].alias("first")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
-    rows = once.select("query_id", "vector", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
-    order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    number = asked.count()
+    visiting = partial(_visits, forest=forest, many=max(TREES, round(share * 2**depth)))
+    spread = asked.repartition(max(1, -(-number // _VISITS_A_TASK)))
+    blocks = max(1, -(-number // QUERIES))
+    visits = spread.mapInArrow(visiting, "query_id long, vector binary, seen binary")
+    visits = materialise(visits.withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)).cast("int")))
+    found = nothing
+    for block in range(blocks):
+        mine = visits.filter(F.col("block") == block).select("query_id", "vector", "seen").toArrow().combine_chunks()
+        if mine.num_rows:
+            found = found.union(_search_block(index, mine, depth, top))
+    return found
+
+
+def _search_block(index: DataFrame, queries: pa.Table, depth: int, top: int) -> DataFrame:
+    """The results of the queries of one block, which all tasks get."""
+    spark = index.sparkSession
+    bits = np.frombuffer(b"".join(queries.column("seen").to_pylist()), np.uint8).reshape(queries.num_rows, -1)
+    vectors = _matrix(queries.column("vector").combine_chunks())
+    block = spark.sparkContext.broadcast(Block(vectors, bits, 1 << depth))
+    best = materialise(index.mapInArrow(partial(_scored, block=block, top=top), _FOUND))
+    block.destroy()
+    names = pa.table([pa.array(np.arange(queries.num_rows, dtype=np.int32)), queries.column("query_id")], names=["query", "query_id"])
+    rows = best.select("query", "score", F.explode("ids").alias("vec_id")).join(F.broadcast(spark.createDataFrame(names)), "query")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = rows.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
