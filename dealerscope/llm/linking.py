@@ -27,7 +27,7 @@ HOT = 1000  # a key is hot if over 1 / HOT of the rows have it, so there are at
 SLICE = 4096  # classes of a bucket that a task compares at a time
 UNIT = 256  # members that are confirmed against one hub together
 CHUNK = 64  # hubs of a unit of the last round
-_TOLD = 1_000_000  # pairs that a task remembers to have put out
+_TOLD = 200_000  # pairs that a task remembers to have put out
 
 
 @dataclass(frozen=True)
@@ -246,7 +246,7 @@ def _open(buckets: DataFrame, state: DataFrame, points: DataFrame, total: int, t
         "member",
         "class",
     )
-    points = points.drop("least")
+    points = points.select("class", "n", *test.columns)
     rows = every.join(state.select("class", "component", "chunk"), "class").join(points, "class")
     return rows.repartition("place").sortWithinPartitions("place", "unit", "component")
 
@@ -340,7 +340,7 @@ def link_classes(classes: DataFrame, buckets: DataFrame, documents: DataFrame, t
 
     # each class with the likeliest of the least classes of its buckets
     met = materialise(with_pivot.filter("a <> class").select("a", "class").distinct())
-    bare = points.drop("least")
+    bare = points.select("class", "n", *test.columns)
     pivot = bare.withColumnsRenamed({"class": "a", "n": "n_a"} | {c: f"{c}_a" for c in test.columns})
     sided = looked_up(met, pivot, "a", met.count()).join(bare, "class")
     likely = sided.mapInArrow(partial(_met, test=test), "a binary, b binary, likely double")

@@ -30,11 +30,11 @@ from dealerscope.llm.linking import Test, Units, link_classes, looked_up, sets_o
 WORDS = 5
 LEAST = 75  # least similarity, in hundredths
 GROUPS = 256  # coordinates of a point
-FINE = {2048: 12, 1 << 17: 16}  # sets of more shingles also have counts by this many bits of the hash
+FINE = {2048: 11, 1 << 14: 14, 1 << 18: 18}  # sets of more shingles also have counts by this many bits of the hash
 FREQUENT = 4000  # a shingle is frequent in over 1 / 4000 of the documents
 MOST_FREQUENT = 2_000_000  # the rarest of the frequent shingles beyond this count as rare
 _FANOUT = 8
-_COUNTED = 1 << 22  # shingles counted together in a task
+_COUNTED = 1 << 21  # shingles counted together in a task
 
 
 def _class_of(shingles: np.ndarray) -> bytes:
@@ -240,12 +240,16 @@ def _overlaps(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray)
 
 
 class Counts(Test):
-    """Points are counts by group; the bound on the overlap, coarse then fine, says what may be linked."""
+    """Points are counts by group; the bound on the overlap, coarse then fine, says what may be linked.
+
+    The trees hold the coarse counts; the fine ones of long texts are compared with what the trees leave.
+    """
 
     columns = ("counts", "fine")
 
     def points(self, rows, ending: str = ""):
-        return _unpacked(rows.column(f"counts{ending}").to_pylist()), rows.column(f"fine{ending}").to_pylist()
+        coarse = _unpacked(rows.column(f"counts{ending}").to_pylist())
+        return coarse, rows.column(f"fine{ending}").to_pylist()
 
     def bound_allows(self, overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """overlap / (a + b - overlap) can reach the least similarity."""
@@ -287,8 +291,8 @@ class Counts(Test):
         order = member[np.lexsort((units.n[member], units.home[member], unit[member]))]
         n, home = units.n.astype(np.int64), units.home.astype(np.int64)
         trees = RTrees.pack(coarse[order], n[order], home[order], unit[order])
-        for start in range(0, len(stray), 512):
-            part = stray[start : start + 512]
+        for start in range(0, len(stray), 128):
+            part = stray[start : start + 128]
             query, point, overlap = trees.search(coarse[part], n[part], home[part], unit[part], self)
             a, b = part[query], order[point]
             together = n[a] + n[b]
