@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dealerscope.functions.dates import month_start
 from dealerscope.functions.money import TOTAL, ratio, total
@@ -19,47 +20,72 @@ SHARED = ("order_date", "region", "dealer_type")  # dimensions of every grain
 GRAINS = {"region": (), "dealer": ("dealer_id",), "crop": ("crop",), "product": ("crop", "product_id")}
 
 
-def _cells(rows: DataFrame, coarse: str, fine: str, measures: dict[str, str]) -> DataFrame:
-    """Two grains of the same rows. They are summed at the finer one first, so what the
-    grouping sets repeat is cells and not facts."""
+# The measures of the order grains and of the line grains, and how they add up.
+OF_ORDERS = {"revenue": "amount", "orders": "count"}
+OF_LINES = {"revenue": "amount", "quantity": "count"}
+CELL = (
+    "order_date DATE, region STRING, dealer_type STRING, dealer_id BIGINT, crop STRING, product_id BIGINT, "
+    "revenue DECIMAL(38,2), orders BIGINT, quantity BIGINT"
+)
+
+
+def _cells(rows: DataFrame, grain: str, measures: dict[str, str]) -> DataFrame:
+    """The cells of one grain, from rows or from the cells of a finer one."""
     sums = [(total if kind == "amount" else F.sum)(name).alias(name) for name, kind in measures.items()]
-    cells = rows.groupBy(*SHARED, *GRAINS[fine]).agg(*sums)
-    sets = [[F.col(c) for c in (*SHARED, *GRAINS[grain])] for grain in (coarse, fine)]
-    keys = [F.col(c) for c in (*SHARED, *GRAINS[fine])]
-    grain = F.when(F.grouping(GRAINS[fine][-1]) == 1, coarse).otherwise(fine).alias("grain")
-    cubed = cells.groupingSets(sets, *keys).agg(grain, *sums)
-    missing = {c: F.lit(None).cast(kind) for c, kind in (("dealer_id", "bigint"), ("product_id", "bigint"), ("crop", "string")) if c not in cells.columns}
-    missing |= {c: F.lit(None).cast(kind) for c, kind in (("orders", "bigint"), ("quantity", "bigint")) if c not in measures}
-    return cubed.withColumns(missing).select("grain", *SHARED, "dealer_id", "crop", "product_id", "revenue", "orders", "quantity")
-
-
-def sales_cube(roles: Roles) -> DataFrame:
-    """One row per cell of each grain: ``grain``, the dimensions (null where a grain lacks one) and the measures.
-
-    Order grains (region, dealer) hold revenue and orders of order headers, line grains (crop,
-    product) revenue and quantity of order lines. Orders without a known dealer and lines without
-    a known product are in no panel and in no cell. Dealers are no measure: they are counted from
-    the cells of the dealer grain.
+    return rows.groupBy(*SHARED, *GRAINS[grain]).agg(*sums)
+
+
+def _order_cells(roles: Roles) -> DataFrame:
+    """The dealer grain."""
+    dealers = roles.dealers.select("dealer_id", "region", "dealer_type")
+    by_day = roles.orders.groupBy("dealer_id", "order_date").agg(total("total_amount").alias("revenue"), F.count(F.lit(1)).alias("orders"))
+    return _cells(by_day.join(dealers, "dealer_id"), "dealer", OF_ORDERS)
+
+
+def _line_cells(roles: Roles) -> DataFrame:
+    """The product grain.
+
+    It has nearly as many cells as there are lines, so sums before a shuffle would save nothing.
+    The lines are dealt by the dimensions of the crop grain instead, once for their sums and
+    their files: a hot product, day or dealer lies in the cells of many others, and few tasks
+    have the cells of one crop and day.
     """
     dealers = roles.dealers.select("dealer_id", "region", "dealer_type")
     products = roles.products.select("product_id", F.col("target_crop").alias("crop"))
-    by_day = roles.orders.groupBy("dealer_id", "order_date").agg(total("total_amount").alias("revenue"), F.count(F.lit(1)).alias("orders"))
-    of_orders = _cells(by_day.join(dealers, "dealer_id"), "region", "dealer", {"revenue": "amount", "orders": "count"})
-    lines = roles.lines.groupBy("dealer_id", "product_id", "order_date").agg(
-        total("total_amount").alias("revenue"), F.sum("quantity").cast("bigint").alias("quantity")
+    lines = roles.lines_with(dealers).select(
+        *SHARED, "product_id", F.col("total_amount").alias("revenue"), F.col("quantity").cast("bigint").alias("quantity")
     )
-    located = lines.join(dealers, "dealer_id").join(products, "product_id")
-    return of_orders.unionByName(_cells(located, "crop", "product", {"revenue": "amount", "quantity": "count"}))
+    dealt = lines.join(products, "product_id").repartition(*SHARED, *GRAINS["crop"])
+    return _cells(dealt, "product", OF_LINES)
+
+
+def _write_cells(cells: DataFrame, path: str, grain: str) -> DataFrame:
+    """One folder of the cube; what a grain lacks is null."""
+    fields = StructType.fromDDL(CELL).fields
+    full = [(F.col(f.name) if f.name in cells.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    folder = f"{path}/grain={grain}"
+    cells.select(full).sortWithinPartitions("order_date").write.parquet(folder)
+    return cells.sparkSession.read.schema(CELL).parquet(folder)
 
 
 def store_cube(roles: Roles) -> DataFrame:
-    """The cube written with a folder for each grain, sorted by day, so a panel reads its cells only."""
-    cells = sales_cube(roles)
-    spark = cells.sparkSession
+    """The cube written with a folder for each grain, sorted by day, so a panel reads its cells only.
+
+    One row per cell of each grain: ``grain``, the dimensions (null where a grain lacks one) and the
+    measures. Order grains (region, dealer) hold revenue and orders of order headers, line grains
+    (crop, product) revenue and quantity of order lines. Orders without a known dealer and lines
+    without a known product are in no panel and in no cell. Dealers are no measure: they are counted
+    from the cells of the dealer grain. A coarse grain is summed from the stored cells of its fine one.
+    """
+    spark = roles.dealers.sparkSession
     path = fresh_path(spark)
-    cells.sortWithinPartitions("grain", "order_date").write.partitionBy("grain").parquet(path)
-    schema = cells.drop("grain").schema.add("grain", "string")
-    return spark.read.schema(schema).parquet(path)
+    for coarse, fine, cells, measures in (
+        ("region", "dealer", _order_cells(roles), OF_ORDERS),
+        ("crop", "product", _line_cells(roles), OF_LINES),
+    ):
+        stored = _write_cells(cells, path, fine)
+        _write_cells(_cells(stored, coarse, measures), path, coarse)
+    return spark.read.schema(f"{CELL}, grain STRING").parquet(path)
 
 
 def chosen(cube: DataFrame, grain: str, regions: Regions = None, lo: Day = None, hi: Day = None, types: Iterable[str] | None = None) -> DataFrame:

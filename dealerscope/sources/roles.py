@@ -34,6 +34,9 @@ class Roles(Protocol):
     def lines_of(self, products: DataFrame) -> DataFrame:
         """Order lines of a few products: order_id, order_date, product_id, quantity."""
 
+    def lines_with(self, dealers: DataFrame) -> DataFrame:
+        """Order lines joined to their dealers, with the columns of both."""
+
 
 @dataclass(frozen=True)
 class TableRoles:
@@ -52,6 +55,9 @@ class TableRoles:
         chosen = self.lines.join(products.select("product_id"), "product_id", "left_semi")
         return chosen.select("order_id", "order_date", "product_id", "quantity")
 
+    def lines_with(self, dealers: DataFrame) -> DataFrame:
+        return self.lines.join(dealers, "dealer_id")
+
 
 def roles_from_tables(tables: Mapping[str, DataFrame]) -> Roles:
     """Roles of the nine loaded tables; header and line are the same row there."""
@@ -164,6 +170,10 @@ class StarRoles:
         dates = self.orders.select("order_id", "order_date")
         return dates.join(chosen, "order_id")
 
+    def lines_with(self, dealers: DataFrame) -> DataFrame:
+        headers = self.orders.select("order_id", "order_date", "dealer_id").join(dealers, "dealer_id")
+        return self.product_lines.join(headers, "order_id")
+
     @cached_property
     def payments(self) -> DataFrame:
         return self.table("lineitem").filter(F.col("l_linestatus") == "F").select(

@@ -67,15 +67,21 @@ class StoredRoles:
     def product_lines(self) -> DataFrame:
         return self._usual_lines.unionByName(self._hot_lines)
 
-    def _with_headers(self, lines: DataFrame, hot: DataFrame, *columns: str) -> DataFrame:
+    def _with_headers(self, lines: DataFrame, hot: DataFrame, *columns: str, dealers: DataFrame | None = None) -> DataFrame:
         headers = self.orders.select("order_id", *columns)
         of_hot = materialise(headers.join(F.broadcast(self._hot_orders), "order_id", "left_semi"))
+        if dealers is not None:
+            headers, of_hot = (part.join(dealers, "dealer_id") for part in (headers, of_hot))
         return lines.join(headers, "order_id").unionByName(hot.join(F.broadcast(of_hot), "order_id"))
 
     @cached_property
     def lines(self) -> DataFrame:
         return self._with_headers(self._usual_lines, self._hot_lines, "order_date", "dealer_id")
 
+    def lines_with(self, dealers: DataFrame) -> DataFrame:
+        """The headers meet their dealers before the lines: only headers are dealt anew, to the buckets."""
+        return self._with_headers(self._usual_lines, self._hot_lines, "order_date", "dealer_id", dealers=dealers)
+
     def lines_of(self, products: DataFrame) -> DataFrame:
         chosen = products.select("product_id")
         columns = ["order_id", "product_id", "quantity"]
