@@ -22,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNITS = 1_000_000  # points are whole numbers of millionths, whose sums are alike in any order
 PASSES = 100
 TOLERANCE = 1e-4  # a model stands still when none of its centres moves farther
+POINTS_PER_TASK = 50_000  # a pass is bound by arithmetic, so points are dealt by their number and not their bytes
 _BLOCK = 4096  # points that are compared with all centres together
 
 
@@ -36,9 +37,14 @@ class Clustering:
 
 
 def whole_points(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(key, hash, x): the points as whole numbers of 1 / UNITS, written once and read by every pass."""
+    """(key, hash, x): the points as whole numbers of 1 / UNITS, written once and read by every pass.
+
+    ``rows`` are counted, and dealt to one file for each POINTS_PER_TASK if they are more.
+    """
     x = F.array(*(F.round(F.col(c).cast("double") * UNITS).cast("long") for c in columns))
-    return materialise(rows.select(F.col(key).alias("key"), F.xxhash64(key).alias("hash"), x.alias("x")))
+    points = rows.select(F.col(key).alias("key"), F.xxhash64(key).alias("hash"), x.alias("x"))
+    files = -(-rows.count() // POINTS_PER_TASK)
+    return materialise(points.repartition(files) if files > 1 else points)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,10 +59,12 @@ def _points(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Squared distances, summed in the order of the dimensions, so that a point's are its own in any batch."""
-    out = np.zeros((len(x), len(centres)))
+    """Squared distances, a row for each centre; summed in the order of the dimensions, so that a
+    point's are its own in any batch."""
+    out = np.zeros((len(centres), len(x)))
     for d in range(x.shape[1]):
-        out += (x[:, d, None] - centres[None, :, d]) ** 2
+        away = np.ascontiguousarray(x[:, d])[None, :] - centres[:, d, None]
+        out += np.square(away, out=away)
     return out
 
 
@@ -64,18 +72,19 @@ def _draws(batches: Iterator[pa.RecordBatch], models: list[tuple[int, int, np.nd
     """The task's winner of each model's draw: of exponential waiting times, at the rate of the
     squared distance to the model's nearest centre, the shortest."""
     best: dict[int, tuple[float, int, list[int]]] = {}
+    turns = [_mixed(np.array([seed * 1_000_003 + len(centres) + 1], np.uint64)) for _, seed, centres in models]
     for batch in batches:
         hashes = batch.column("hash").to_numpy().view(np.uint64)
         every = _points(batch).astype(np.float64)
         for start in range(0, len(every), _BLOCK):
             x, hashed = every[start : start + _BLOCK], hashes[start : start + _BLOCK]
-            for model, seed, centres in models:
-                turn = _mixed(np.array([seed * 1_000_003 + len(centres) + 1], np.uint64))
+            for (model, _, centres), turn in zip(models, turns):
                 luck = (_mixed(hashed ^ turn).astype(np.float64) + 1) / 2.0**64
-                rate = _squares(x, centres).min(axis=1) if len(centres) else np.ones(len(x))
+                rate = _squares(x, centres).min(axis=0) if len(centres) else np.ones(len(x))
                 with np.errstate(divide="ignore"):
                     wait = np.where(rate > 0, -np.log(luck) / rate, np.inf)
-                first = int(np.lexsort((hashed, wait))[0])
+                alike = np.flatnonzero(wait == wait.min())
+                first = int(alike[hashed[alike].argmin()])
                 entry = (float(wait[first]), int(hashed[first].astype(np.int64)), x[first].astype(np.int64).tolist())
                 if np.isfinite(entry[0]) and (model not in best or entry < best[model]):
                     best[model] = entry
@@ -100,28 +109,46 @@ def _seeded(points: DataFrame, jobs: Sequence[tuple[int, int]]) -> list[np.ndarr
     return [np.array(c, np.float64) for c in centres]
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each of some models (their centres: models, clusters, dimensions) and each point the nearest
+    cluster; the lower of two that are equally near."""
+    least = _squares(x, centres[:, 0])
+    nearest = np.zeros(least.shape, np.int8 if centres.shape[1] < 128 else np.int64)
+    for cluster in range(1, centres.shape[1]):
+        squares = _squares(x, centres[:, cluster])
+        nearest[squares < least] = cluster
+        np.minimum(least, squares, out=least)
+    return nearest
+
+
 def _moves(batches: Iterator[pa.RecordBatch], models: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Points and coordinate sums of each model's clusters in the task."""
-    sizes = [len(c) for _, c in models]
-    bounds = np.cumsum([0, *sizes])
-    every_centre = np.concatenate([c for _, c in models])
-    counts = np.zeros(bounds[-1], np.int64)
-    sums = np.zeros((bounds[-1], every_centre.shape[1]), np.int64)
+    """Points and coordinate sums of each model's clusters in the task. Models of as many clusters go together."""
+    groups = [[(m, c) for m, c in models if len(c) == size] for size in sorted({len(c) for _, c in models})]
+    centres = [np.stack([c for _, c in group]) for group in groups]
+    width = centres[0].shape[2]
+    counts = [np.zeros(c.shape[:2], np.int64) for c in centres]
+    sums = [np.zeros(c.shape, np.int64) for c in centres]
     for batch in batches:
         points = _points(batch)
         for start in range(0, len(points), _BLOCK):
             x = points[start : start + _BLOCK]
-            squares = _squares(x.astype(np.float64), every_centre)
-            nearest = np.stack([squares[:, a:b].argmin(axis=1) + a for a, b in zip(bounds[:-1], bounds[1:])], axis=1)
-            counts += np.bincount(nearest.ravel(), minlength=bounds[-1])
-            for d in range(x.shape[1]):  # in two halves, whose sums of a block a double holds exactly
-                for half, unit in ((x[:, d] >> 32, 1 << 32), (x[:, d] & 0xFFFFFFFF, 1)):
-                    weights = np.repeat(half.astype(np.float64), len(models))
-                    sums[:, d] += np.bincount(nearest.ravel(), weights, bounds[-1]).astype(np.int64) * unit
-    if counts.any():
-        model = np.repeat([m for m, _ in models], sizes)
-        cluster = np.concatenate([np.arange(n) for n in sizes])
-        columns = [pa.array(model, pa.int32()), pa.array(cluster, pa.int32()), pa.array(counts), pa.array(list(sums), pa.list_(pa.int64()))]
+            exact = x.astype(np.float64)
+            # in two halves, whose sums of a block a double holds exactly, in any order
+            parts = np.concatenate((np.ones((len(x), 1)), x >> 32, x & 0xFFFFFFFF), axis=1)
+            for c, count, sum_ in zip(centres, counts, sums):
+                nearest = _nearest(exact, c)
+                for cluster in range(c.shape[1]):
+                    found = ((nearest == cluster).astype(np.float64) @ parts).astype(np.int64)
+                    count[:, cluster] += found[:, 0]
+                    sum_[:, cluster] += (found[:, 1 : width + 1] << 32) + found[:, width + 1 :]
+    if counts[0].any():
+        model = [m for group, c in zip(groups, centres) for m, _ in group for _ in range(c.shape[1])]
+        cluster = [j for c in centres for _ in range(c.shape[0]) for j in range(c.shape[1])]
+        rows = np.concatenate([s.reshape(-1, width) for s in sums])
+        columns = [
+            pa.array(model, pa.int32()), pa.array(cluster, pa.int32()), pa.array(np.concatenate([c.ravel() for c in counts])),
+            pa.array(list(rows), pa.list_(pa.int64())),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=["model", "cluster", "n", "sums"])
 
 

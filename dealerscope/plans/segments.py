@@ -174,7 +174,7 @@ def segment_dealers(
     seed: int = SEED,
 ) -> Segmentation:
     """Cluster the dealers for each k, keep the k that separates best, label its clusters."""
-    table = materialise(standardise(rfm(dealers, orders)))
+    table = materialise(standardise(materialise(rfm(dealers, orders))))
     models = fit_restarts(whole_points(table, "dealer_id", Z_COLUMNS), ks, restarts, seed)
     diagnostics = diagnose(table, models)
     chosen = models[best_k(diagnostics)]

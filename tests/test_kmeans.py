@@ -92,3 +92,20 @@ def test_sums_are_exact_for_large_coordinates(spark):
     points = kmeans.whole_points(_frame(spark, rows), "id", COLUMNS)
     (n, sums), = kmeans._pass(points, [(0, np.zeros((1, 3)))])[0]
     assert n == 40 and sums == [sum(round(r[d] * 1e6) for r in rows) for d in range(3)]
+
+
+def test_points_are_dealt_by_their_number(spark, cloud, monkeypatch):
+    """A few bytes are many points to compare: one file would leave a pass to one task."""
+    monkeypatch.setattr(kmeans, "POINTS_PER_TASK", 100, raising=False)
+    points = kmeans.whole_points(_frame(spark, cloud).coalesce(1), "id", COLUMNS)
+    assert points.count() == len(cloud)
+    assert len(points.inputFiles()) == len(cloud) // 100
+
+
+def test_nearest_of_many_models_is_the_plain_one(cloud):
+    """Also for points between two centres, which go to the lower id."""
+    x = np.concatenate((np.round(cloud * kmeans.UNITS), np.zeros((5, 3))))
+    rng = np.random.default_rng(3)
+    centres = np.concatenate((np.round(rng.standard_normal((6, 4, 3)) * kmeans.UNITS), [[[0, 0, 1], [0, 0, -1], [1, 0, 0], [9, 9, 9]]]))
+    plain = ((x[None, :, None] - centres[:, None]) ** 2).sum(axis=3).argmin(axis=2)
+    assert (kmeans._nearest(x, centres) == plain).all()
