@@ -50,6 +50,10 @@ STATUSES = ["Paid", "Partial", "Overdue"]
 ALL_DEALER_TYPES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 ROW_BOUNDS = {"dealers": (100, 20_000), "products": (100, 50_000), "orders": (4_000, 6_000), "calendar": (125, 125)}
 
+# The CSV files on the way to reloaded tables.
+CSV_FILES = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+ROWS_PER_CSV = 1_000_000
+
 CROP = "Brand#12"
 TERM = "00[1-3]7"
 ADHOC = (
@@ -201,13 +205,16 @@ def _loaded(spark: SparkSession, folder: str) -> StoredRoles:
 
 
 def _reloaded(spark: SparkSession, folder: str) -> tuple[Loaded, Roles]:
-    """All star tables written as CSV, loaded from there with their declared types and checked on the way."""
+    """All star tables written as CSV, loaded from there with their declared types and checked on the way.
+
+    The files are compressed, so each is read by one task and holds a bounded number of rows.
+    """
     key = ("reload", spark.sparkContext.applicationId, folder)
     if key not in _stored:
         csvs, out = fresh_path(spark), fresh_path(spark)
         for name, ddl in STAR.ddl.items():
             rows = spark.read.schema(ddl).parquet(f"{folder}/{name}.parquet")
-            rows.write.option("header", True).csv(f"{csvs}/{name}.csv")
+            rows.write.options(**CSV_FILES, header=True, maxRecordsPerFile=ROWS_PER_CSV).csv(f"{csvs}/{name}.csv")
         loaded = load_tables(spark, csvs, out, lambda table, columns: quality.row_rules(table, columns, STAR), STAR)
         _stored[key] = loaded, roles_from_star(spark, out, ending="")
     return _stored[key]

@@ -46,16 +46,16 @@ def orphans(child: DataFrame, parents: Mapping[str, DataFrame], name: str) -> Da
     """Child rows for which any of the foreign keys (null included) has no parent row.
 
     Rows are counted per key combination first, so what is joined to the parents is one
-    row per combination, however many rows a popular key has. A combination counts once:
-    those that lack the first parent, then those that have it but lack the second, and so on.
+    row per combination, however many rows a popular key has. Each parent's distinct keys are
+    joined to the combinations once, and a combination counts once if it lacks any of them.
     """
-    matched = child.groupBy(*parents).agg(F.count(F.lit(1)).alias("_rows"))
-    broken = []
+    combinations = child.groupBy(*parents).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_whole", F.lit(True))
     for key, parent in parents.items():
-        broken.append(matched.join(parent.select(key), key, "left_anti").select("_rows"))
-        matched = matched.join(parent.select(key), key, "left_semi")
-    total = F.coalesce(F.sum("_rows"), F.lit(0)).alias("failures")
-    return reduce(DataFrame.unionByName, broken).agg(total).select(F.lit(name).alias("check_name"), "failures")
+        known = parent.select(key).distinct().withColumn("_known", F.lit(True))
+        whole = F.col("_whole") & F.coalesce("_known", F.lit(False))
+        combinations = combinations.join(known, key, "left").withColumn("_whole", whole).drop(key, "_known")
+    broken = F.coalesce(F.sum(F.when(~F.col("_whole"), F.col("_rows"))), F.lit(0)).alias("failures")
+    return combinations.agg(broken).select(F.lit(name).alias("check_name"), "failures")
 
 
 def reconciliation(orders: DataFrame, payments: DataFrame, name: str) -> DataFrame:

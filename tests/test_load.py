@@ -1,8 +1,10 @@
 from decimal import Decimal as D
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from dealerscope.operators.quality import QualityError, run_suite
 from dealerscope.plans import jobs
 from dealerscope.sources import tables as t
@@ -177,3 +179,34 @@ def test_jobs_store_results_that_sql_can_read(spark, csvs, tmp_path, monkeypatch
         {"id": 3},
     ).collect()
     assert [r.dealer_name for r in named] == ["D3"] and named[0].segment_label
+
+
+def test_reloaded_csv_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    """What is written on the way to the stored tables is a fraction of the text; all rows come back."""
+    rows = {
+        "region": "SELECT 0 AS r_regionkey, 'ASIA' AS r_name",
+        "nation": "SELECT 0 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey",
+        "customer": "SELECT id AS c_custkey, 'a, \"b\"' AS c_name, 0 AS c_nationkey, 1.5D AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range(10)",
+        "supplier": "SELECT id AS s_suppkey, CAST(NULL AS STRING) AS s_name, 0 AS s_nationkey, 1D AS s_acctbal FROM range(3)",
+        "part": "SELECT id AS p_partkey, 'p' AS p_name, 'Brand#12' AS p_brand, 't' AS p_type, 1 AS p_size, 2D AS p_retailprice FROM range(9)",
+        "orders": "SELECT id AS o_orderkey, id % 11 AS o_custkey, 'F' AS o_orderstatus, 1D AS o_totalprice, TIMESTAMP_NTZ '1996-01-02' AS o_orderdate, '1' AS o_orderpriority FROM range(50)",
+        "lineitem": "SELECT id % 60 AS l_orderkey, id % 9 AS l_partkey, id % 4 AS l_suppkey, CAST(id AS INT) AS l_linenumber, 1D AS l_quantity, 2D AS l_extendedprice, 0D AS l_discount, 0D AS l_tax, 'R' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP_NTZ '1996-01-02' AS l_shipdate FROM range(0, 1000, 1, 2)",
+    }
+    for name, query in rows.items():
+        spark.sql(query).write.parquet(f"{tmp_path}/{name}.parquet")
+    read = []
+    load = entry.load_tables
+
+    def noted(spark, csvs, *args):
+        read.append(csvs)
+        return load(spark, csvs, *args)
+
+    monkeypatch.setattr(entry, "load_tables", noted)
+    monkeypatch.setattr(entry, "ROWS_PER_CSV", 100, raising=False)
+    counts = {r.table_name: r.row_count for r in entry._reload_counts(spark, str(tmp_path)).collect()}
+    assert counts == {"region": 1, "nation": 1, "customer": 10, "supplier": 3, "part": 9, "orders": 50, "lineitem": 1000}
+    found = {r.check_name: r.failures for r in entry._reload_suite(spark, str(tmp_path)).collect()}
+    assert found["orders: orphan foreign key"] == 4
+    assert found["lineitem: orphan foreign key"] == sum(i % 60 >= 50 or i % 4 == 3 for i in range(1000))
+    files = [path.name for path in Path(f"{read[0]}/lineitem.csv").iterdir() if path.name.startswith("part-")]
+    assert len(files) == 10 and all(name.endswith(".csv.gz") for name in files)

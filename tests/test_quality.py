@@ -1,6 +1,7 @@
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from dealerscope.functions.dates import as_date
 from dealerscope.operators import quality as q
@@ -86,3 +87,18 @@ def test_money_type_of_receipts(make):
     from dealerscope.operators.rollups import receipts_by_order
 
     assert receipts_by_order(make.payments((1, 1.1), (1, 2.2))).first().received == D("3.30")
+
+
+def test_orphans_are_joined_to_each_parent_once(spark):
+    """A combination of keys is dealt for its count and for each parent, not twice for each."""
+    child = spark.range(200).selectExpr("id % 7 AS a", "id % 5 AS b", "id % 3 AS c")
+    parents = {k: spark.range(n).select(F.col("id").alias(k)) for k, n in (("a", 6), ("b", 5), ("c", 2))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        checked = q.orphans(child, parents, "x")
+        plan = checked._jdf.queryExecution().executedPlan().toString()
+        assert failures(checked) == {"x": sum(i % 7 == 6 or i % 3 == 2 for i in range(200))}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 3
+    assert plan.count("Exchange hashpartitioning") == 1 + 2 * 3  # the counts; rows and keys of each parent
