@@ -275,8 +275,9 @@ def _stored_run(kind: str, spark: SparkSession, folder: str):
     key = (kind, spark.sparkContext.applicationId, folder)
     if key not in _stored:
         r = _loaded(spark, folder)
-        if kind == "forecast":
-            run = forecast.run_forecast(r.lines_of(_top_skus(r)), r.products, r.calendar)
+        if kind == "forecast":  # the lines of a few products, read once: storing all lines would cost more
+            source = roles_from_star(spark, folder)
+            run = forecast.run_forecast(source.lines_of(_top_skus(source)), source.products, source.calendar)
             run = replace(run, results=_result_table(spark, "demand_forecast_results", run.results))
         elif kind == "backtest":
             run = backtest.run_backtest(_series_of(spark, folder))

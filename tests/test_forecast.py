@@ -4,9 +4,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day
+from conftest import SMALL, day
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from dealerscope.plans import forecast as fc
 from dealerscope.plans import timeseries as ts
 
@@ -135,3 +136,29 @@ def test_series_too_short_to_train_on(make):
     assert fc.fit_boosted(features) is None
     rows = fc.forecast_boosted(None, features).collect()
     assert len(rows) == 8 and all(r.yhat >= 0 for r in rows)
+
+
+def test_the_lines_of_a_forecast_are_read_and_not_stored(spark, monkeypatch):
+    """A dozen products' lines are filtered at the scan; no job stores all the facts for them."""
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def run_forecast(lines, *args):
+        seen.append(lines)
+        raise Stop
+
+    monkeypatch.setattr(entry, "_stored", {})
+    monkeypatch.setattr(entry.forecast, "run_forecast", run_forecast)
+    group = "lines of a forecast"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        with pytest.raises(Stop):
+            entry._stored_run("forecast", spark, SMALL)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stored = entry._loaded(spark, SMALL)
+    theirs = stored.lines_of(entry._top_skus(stored))
+    assert seen[0].exceptAll(theirs).isEmpty() and theirs.exceptAll(seen[0]).isEmpty()
