@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dealerscope.llm import decontamination, packing, quality, queries, token_counts, token_files, tokens
+from dealerscope.llm import components, decontamination, packing, quality, queries, token_counts, token_files, tokens
 from dealerscope.sources.durable import fresh_path
 
 # -- tokens -----------------------------------------------------------------------------
@@ -155,3 +155,17 @@ def test_a_long_text_in_a_foreign_script_goes(spark):
     docs = spark.createDataFrame([*((i, t, "en") for i, t in enumerate(known)), (8, known[0], None), (9, greek, None)], "doc_id long, text string, lang string")
     kept = corpus_pipeline.known_language(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 8]
+
+
+def test_few_edges_are_few_files(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        found = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"))
+        assert {r["component"] for r in found.collect()} == {0} and found.count() == 301
+        assert len(found.inputFiles()) == 1
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
