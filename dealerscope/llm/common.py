@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dealerscope.sources.durable import materialise
 
-__all__ = ["arrow_batch", "in_blocks", "materialise", "mix64", "read_table", "remainder", "shingle_hashes", "shingles_of_each", "texts_of", "word_hashes"]
+__all__ = ["arrow_batch", "in_blocks", "kept_for", "materialise", "mix64", "read_table", "remainder", "shingle_hashes", "shingles_of_each", "texts_of", "word_hashes"]
 
 
 def share_package(spark: SparkSession) -> None:
@@ -32,6 +32,20 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; what it kept for another one goes.
+
+    Spark reuses workers, so without this a pipeline's workers would hold the caches of all its stages.
+    """
+    if operator not in _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+    return _KEPT.setdefault(operator, {})
+
+
 def remainder(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(parts)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dealerscope.llm.common import arrow_batch, in_blocks, mix64, texts_of
+from dealerscope.llm.common import arrow_batch, in_blocks, kept_for, mix64, texts_of
 
 DIMENSIONS = 1024
 _SCALE = float(1 << 20)  # profiles are summed as whole numbers, in any order alike
@@ -82,9 +82,11 @@ class _Table:
         return out
 
 
-@cache
 def _table() -> _Table:
-    return _Table()
+    kept = kept_for("language")
+    if "table" not in kept:
+        kept["table"] = _Table()
+    return kept["table"]
 
 
 def _pieces(texts: list[str]) -> Iterator[list[tuple[int, str]]]:

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealerscope.llm.common import materialise, texts_of
+from dealerscope.llm.common import kept_for, materialise, texts_of
 from dealerscope.llm.components import connected_components
 from dealerscope.llm.linking import Test, Units, link_classes, looked_up, sets_of
 
@@ -35,6 +35,7 @@ FREQUENT = 4000  # a shingle is frequent in over 1 / 4000 of the documents
 MOST_FREQUENT = 2_000_000  # the rarest of the frequent shingles beyond this count as rare
 _FANOUT = 8
 _COUNTED = 1 << 21  # shingles counted together in a task
+_PUT_OUT = 1 << 17  # shingles that a task puts out together
 
 
 def _class_of(shingles: np.ndarray) -> bytes:
@@ -86,6 +87,7 @@ def _spread(fine: bytes) -> np.ndarray:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, its counts where its class is met first in the task; rows
     (frequent, times) for shingles met often in a task."""
+    kept_for("shingles")
     names = ["doc_id", "version", "n", "class", "key", "counts", "fine", "frequent", "times"]
     seen: set[bytes] = set()
     kept: list[np.ndarray] = []
@@ -129,8 +131,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterato
     """(shingle, class key) for the first shingles of each set; a set once for each task."""
     values, times = frequent.value
     seen: set[bytes] = set()
+    firsts: list[np.ndarray] = []
+    keys: list[np.ndarray] = []
+    size = 0
+
+    def found() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(np.concatenate(firsts)), pa.array(np.concatenate(keys))], names=["shingle", "key"])
+
     for batch in batches:
-        firsts, keys = [], []
         for shingles in sets_of(texts_of(batch), WORDS):
             n = len(shingles)
             name = _class_of(shingles)
@@ -143,10 +151,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterato
                 often = values[at] == shingles
                 late = shingles[often][np.argsort(times[at[often]], kind="stable")]
                 shingles = np.concatenate((shingles[~often], late))
-            firsts.append(shingles[:many])
+            firsts.append(shingles[:many].copy())  # no view, which would hold the whole set
             keys.append(np.full(many, _key(name)))
-        if firsts:
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(firsts)), pa.array(np.concatenate(keys))], names=["shingle", "key"])
+            size += many
+            if size > _PUT_OUT:
+                yield found()
+                firsts, keys, size = [], [], 0
+    if firsts:
+        yield found()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from dealerscope.llm.common import kept_for
+
 END_ID = 2
 _CACHED = 300_000  # words, and parts of words, that a Python worker keeps
 _LONGEST = 48  # characters of a kept word
@@ -109,7 +110,9 @@ class Encoder:
         return self._cut(text) if self.cuts and self._plain(text) else self._whole(text)
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    """One for each Python worker and file."""
-    return Encoder(path)
+    """One for each Python worker and file, while the worker encodes."""
+    kept = kept_for("tokens")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]

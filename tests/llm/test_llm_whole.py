@@ -4,13 +4,15 @@ import itertools
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dealerscope.llm import components, decontamination, packing, quality, queries, token_counts, token_files, tokens
+from dealerscope.llm import components, decontamination, language_id, packing, quality, queries, shingle_join, token_counts, token_files, tokens
 from dealerscope.sources.durable import fresh_path
 
 # -- tokens -----------------------------------------------------------------------------
@@ -169,3 +171,20 @@ def test_few_edges_are_few_files(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_a_worker_keeps_the_caches_of_one_operator():
+    first = tokens.encoder(queries.BYTE_BPE)
+    assert tokens.encoder(queries.BYTE_BPE) is first
+    language_id._table()
+    assert tokens.encoder(queries.BYTE_BPE) is not first
+    list(shingle_join._survey(iter([])))
+    assert language_id._table().grams.size == 0
+
+
+def test_prefixes_go_out_in_parts():
+    texts = [" ".join(f"w{k}x{i}" for i in range(400)) for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    frequent = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    found = [part.num_rows for part in shingle_join._prefixes(iter([batch]), frequent)]
+    assert sum(found) == 2000 * 100 and max(found) < 1 << 18 and len(found) > 1
