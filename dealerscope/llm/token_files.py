@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dealerscope.llm.common import arrow_batch, materialise, texts_of
+from dealerscope.llm.common import arrow_batch, in_blocks, materialise, texts_of
 from dealerscope.llm.tokens import END_ID, encoder
 
 LONGEST_CODE = 16
 CHECKPOINT = 256  # ids between two bit offsets
 BLOCK_IDS = 1 << 16  # a block ends with the document that reaches this
 _AT_ONCE = 1 << 20  # ids coded or decoded together
+_TEXTS_AT_ONCE = 1 << 24  # characters of texts tokenised together
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.large_binary())])
 _CODED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("payload", pa.large_binary()), ("offsets", pa.large_binary())])
@@ -39,16 +40,10 @@ _BLOCK = pa.schema(
 def _tokenise(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     end = np.uint32(END_ID).tobytes()
     for batch in batches:
-        ids, out, size = batch.column("doc_id"), [], 0
-        first = 0
-        for i, text in enumerate(texts_of(batch)):
-            out.append(_narrow(encoder(tokenizer).encode(text) + end))
-            size += len(out[-1])
-            if size > 1 << 24:
-                yield arrow_batch(_IDS, ids[first : i + 1], out)
-                first, out, size = i + 1, [], 0
-        if out:
-            yield arrow_batch(_IDS, ids[first:], out)
+        ids, texts = batch.column("doc_id"), texts_of(batch)
+        for part in in_blocks(texts, _TEXTS_AT_ONCE):
+            out = [_narrow(found + end) for found in encoder(tokenizer).encode_each(texts[part])]
+            yield arrow_batch(_IDS, ids[part.start : part.stop], out)
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -70,8 +65,8 @@ def token_ids(documents: DataFrame, tokenizer: str) -> DataFrame:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for ids in batch.column("ids").to_pylist():
-            found = np.bincount(_wide(ids))
+        for docs in _together([_wide(ids) for ids in batch.column("ids").to_pylist()]):
+            found = np.bincount(np.concatenate(docs))
             if len(found) > len(total):
                 total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
             total[: len(found)] += found
@@ -79,6 +74,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "count"])
 
 
+def _together(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Lists of documents of at most _AT_ONCE ids, or of one longer document."""
+    first = 0
+    while first < len(docs):
+        last, size = first, 0
+        while last < len(docs) and (last == first or size + len(docs[last]) <= _AT_ONCE):
+            size += len(docs[last])
+            last += 1
+        yield docs[first:last]
+        first = last
+
+
 def code_lengths(counts: np.ndarray, longest: int = LONGEST_CODE) -> np.ndarray:
     """Lengths of an optimal prefix code for positive counts, none above ``longest``.
 
@@ -167,6 +174,7 @@ class Code:
         """The ids of runs of bits, laid end to end: all runs step on together by table look-up."""
         symbols, lengths = self.table
         data = np.concatenate((payload, np.zeros(8, np.uint8))).astype(np.uint32)
+        ahead_of = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]  # the 32 bits from each byte on
         out = np.empty(int(counts.sum()), np.uint32)
         place = np.cumsum(counts) - counts
         order = np.argsort(-counts, kind="stable")
@@ -175,9 +183,7 @@ class Code:
         for step in range(int(counts[0]) if len(counts) else 0):
             live = int(np.searchsorted(-counts, -step, side="left"))
             bit = at[:live]
-            byte = bit >> 3
-            ahead = (data[byte] << 24) | (data[byte + 1] << 16) | (data[byte + 2] << 8) | data[byte + 3]
-            ahead = (ahead << (bit & 7).astype(np.uint32)) >> np.uint32(room)
+            ahead = (ahead_of[bit >> 3] << (bit & 7).astype(np.uint32)) >> np.uint32(room)
             out[place[:live] + step] = symbols[ahead]
             at[:live] += lengths[ahead]
         return out
@@ -193,13 +199,10 @@ def _encode(batches: Iterator[pa.RecordBatch], code: tuple[bytes, bytes]) -> Ite
         buckets, doc_ids = batch.column("bucket"), batch.column("doc_id")
         docs = [_wide(ids) for ids in batch.column("ids").to_pylist()]
         first = 0
-        while first < len(docs):
-            last, size = first, 0
-            while last < len(docs) and (last == first or size + len(docs[last]) <= _AT_ONCE):
-                size += len(docs[last])
-                last += 1
-            coded = _code(*code).encode(docs[first:last])
-            counts = [len(d) for d in docs[first:last]]
+        for some in _together(docs):
+            last = first + len(some)
+            coded = _code(*code).encode(some)
+            counts = [len(d) for d in some]
             yield arrow_batch(_CODED, buckets[first:last], doc_ids[first:last], counts, [c[0] for c in coded], [c[1] for c in coded])
             first = last
 

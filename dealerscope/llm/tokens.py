@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
-from dealerscope.llm.common import kept_for
+from dealerscope.llm.common import in_blocks, kept_for
 
 END_ID = 2
 _CACHED = 300_000  # words, and parts of words, that a Python worker keeps
 _LONGEST = 48  # characters of a kept word
+_TOGETHER = 1 << 23  # characters of texts whose distinct words are looked up together
 
 # Characters for which a blank always ends a pre-token and nothing joins or folds across it.
 _ODD = re.compile("[^\n\x20-\x7e¡-ſ]")
@@ -109,6 +111,43 @@ class Encoder:
             return _NONE
         return self._cut(text) if self.cuts and self._plain(text) else self._whole(text)
 
+    def encode_each(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text; to the byte-level kind, plain texts go together, each distinct word once."""
+        if self.by_word or not self.cuts:
+            return [self.encode(text) for text in texts]
+        out = [_NONE] * len(texts)
+        plain = []
+        for i, text in enumerate(texts):
+            if len(text) <= _TOGETHER and self._plain(text):
+                plain.append(i)
+            else:
+                out[i] = self.encode(text)
+        for part in in_blocks([texts[i] for i in plain], _TOGETHER):
+            mine = plain[part]
+            for i, ids in zip(mine, self._cut_each([texts[i].encode() for i in mine])):
+                out[i] = ids
+        return out
+
+    def _cut_each(self, raws: list[bytes]) -> list[bytes]:
+        """``_cut`` of each text: words begin at a text, a blank, a newline and after a newline."""
+        data = b"".join(raws)
+        chars = np.frombuffer(data, np.uint8)
+        ends = np.cumsum([len(raw) for raw in raws])
+        cuts = np.zeros(len(data) + 1, dtype=bool)
+        cuts[ends] = cuts[0] = True
+        cuts[:-1] |= chars == 32
+        lines = np.flatnonzero(chars == 10)
+        cuts[lines] = cuts[lines + 1] = True
+        at = np.flatnonzero(cuts)
+        words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array([self.words[word] for word in distinct], pa.large_binary()).take(words.indices)
+        _, starts, packed = ids.buffers()
+        starts = np.frombuffer(starts, np.int64)[ids.offset :][: len(ids) + 1]
+        ends = starts[np.searchsorted(at, ends)].tolist()
+        packed = packed.to_pybytes() if packed is not None else _NONE
+        return [packed[a:b] for a, b in zip([int(starts[0]), *ends], ends)]
+
 
 def encoder(path: str) -> Encoder:
     """One for each Python worker and file, while the worker encodes."""

@@ -173,6 +173,21 @@ def test_few_edges_are_few_files(spark):
             spark.conf.set(name, value)
 
 
+TOGETHER = ["", "a", " a b", "a ", "\n", "one\n\ntwo, three", "\nb", "é it's 12!", "x  y", "日本 語", "<|endoftext|> a", "z\n\n", " \n", "one two " * 50]
+
+
+def test_texts_encoded_together_are_the_same(monkeypatch):
+    one, many = tokens.Encoder(queries.BYTE_BPE), tokens.Encoder(queries.BYTE_BPE)
+    assert many.encode_each(TOGETHER) == [one.encode(text) for text in TOGETHER]
+    monkeypatch.setattr(tokens, "_CACHED", 0)
+    asked, merge = [], many.words.merge
+    many.words.clear()
+    many.words.parts.clear()
+    many.words.merge = lambda word: asked.append(word) or merge(word)
+    many.encode_each(["rare words", "of rare words", "and rare words"])
+    assert len(asked) == len(set(asked)) == 5  # rare, and words, of, rare after a blank, and
+
+
 def test_a_worker_keeps_the_caches_of_one_operator():
     first = tokens.encoder(queries.BYTE_BPE)
     assert tokens.encoder(queries.BYTE_BPE) is first
