@@ -94,6 +94,8 @@ _BREAK[[32, *range(9, 14)]] = True
 _PUNCTUATION = _BREAK.copy()
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
+_MIXED = mix64(_POWERS)
+_BLOCK = 1 << 17  # bytes of texts that are hashed together: their arrays stay in a core's cache
 
 
 def word_hashes(texts: Iterable[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +123,7 @@ def word_hashes(texts: Iterable[str], plain: bool = False) -> tuple[np.ndarray,
     for text in texts:
         raw = (text.lower() if plain else text).encode("utf-8", "surrogatepass")
         if len(raw) <= 1 << 20:
-            if size + len(raw) > 1 << 20:
+            if size + len(raw) > _BLOCK:
                 flush()
             pending.append(raw)
             size += len(raw)
@@ -153,10 +155,12 @@ def _hash_block(raws: list[bytes], plain: bool) -> tuple[np.ndarray, list[int]]:
         return np.zeros(0, np.uint64), per_text
     ends = np.flatnonzero(gaps[1:] & ~gaps[:-1]) + 1
     lengths = ends - starts
-    inner = np.flatnonzero(~gaps)
-    place = np.arange(len(inner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    values = (data[inner].astype(np.uint64) + np.uint64(1)) * mix64(_POWERS[place & 0xFFFF] + (place >> 16).astype(np.uint64))
-    sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(begin, lengths)
+    high = place >> 16 if lengths.max() > 1 << 16 else None  # of words this long only
+    values = _MIXED[place] if high is None else mix64(_POWERS[place & 0xFFFF] + high.astype(np.uint64))
+    values *= data[~gaps].astype(np.uint64) + np.uint64(1)
+    sums = np.add.reduceat(values, begin)
     return mix64(sums + lengths.astype(np.uint64) * _A), per_text
 
 

@@ -2,7 +2,7 @@
 
 An operator brings the buckets and a :class:`Test`: what it knows of a class (its points), and which
 pairs that leaves. Candidates are confirmed on the full sets, taken from the texts again. Only paths
-of links are wanted, so three rounds do: each class with the least class of its buckets; then each
+of links are wanted, so three rounds do: each class with the likeliest pivot of its buckets; then each
 class of a bucket's smaller components with its likeliest partner in another one; then every
 candidate pair that still lies in two components.
 """
@@ -25,6 +25,7 @@ from dealerscope.sources.stored import write_buckets
 
 HOT = 1000  # a key is hot if over 1 / HOT of the rows have it, so there are at most HOT such keys
 SLICE = 4096  # classes of a bucket that a task compares at a time
+LARGE = 64  # classes of a bucket whose main component's large buckets are searched together
 UNIT = 256  # members that are confirmed against one hub together
 CHUNK = 64  # hubs of a unit of the last round
 _TOLD = 200_000  # pairs that a task remembers to have put out
@@ -70,20 +71,29 @@ class Test:
 
 @dataclass
 class Units:
-    """Rows of whole units, one after the other: which are strays, which are members, in which components."""
+    """Rows of whole units, one after the other: which are strays, which are members, in which components.
+
+    ``row`` is the point of each; one point can be in several units.
+    """
 
     starts: np.ndarray  # of the units, one more for the end
     stray: np.ndarray
     member: np.ndarray
     n: np.ndarray
     home: np.ndarray
+    row: np.ndarray = None
+
+    def __post_init__(self):
+        if self.row is None:
+            self.row = np.arange(len(self.n))
 
 
 def sets_of(texts: list[str], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each text, as unsigned 64-bit hashes."""
     for part in in_blocks(texts):
         for shingles in shingles_of_each(*word_hashes(texts[part]), words):
-            yield np.unique(shingles)
+            shingles = np.sort(shingles)  # np.unique takes ten times as long
+            yield shingles[np.concatenate((shingles[:1] == shingles[:1], shingles[1:] != shingles[:-1]))]
 
 
 # -- keys that many rows have -------------------------------------------------------------
@@ -223,44 +233,48 @@ def _met(batches: Iterator[pa.RecordBatch], test: Test) -> Iterator[pa.RecordBat
 def _open(buckets: DataFrame, state: DataFrame, points: DataFrame, total: int, test: Test) -> DataFrame:
     """The buckets whose classes are in several components, sliced.
 
-    Rows (place, unit, stray, member, class, component, n, points, chunk), by place and unit. Of a
+    Rows (place, units, stray, member, class, component, n, points, chunk), by place. Of a
     bucket's components the one with the most classes (then the greatest) is its main one, classes
     of others are strays. A pair of two components has a stray, so a bucket of many classes is cut
     into slices, and the strays of it go to each slice as well (such a row is no member of that
-    slice). Slices with one main component share a ``place``, so a task sees that they repeat pairs.
+    slice). Slices with one main component share a ``place``, small buckets only if their least
+    component is one too, so a class is sent to a place once, with the buckets (``units``) it has
+    there, and a task sees that they repeat pairs.
     """
     placed = materialise(looked_up(buckets, state.select("class", "component", "many"), "class", total))
     kinds = placed.groupBy("key").agg(
         F.max(F.struct("many", "component")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")
     )
-    mixed = kinds.filter("low <> high").select("key", F.col("main.component").alias("main"), F.ceil(F.col("size") / SLICE).cast("int").alias("slices"))
+    around = F.when(F.col("size") > LARGE, F.xxhash64("main.component")).otherwise(F.xxhash64("main.component", "low"))
+    mixed = kinds.filter("low <> high").select("key", F.col("main.component").alias("main"), around.alias("around"), F.ceil(F.col("size") / SLICE).cast("int").alias("slices"))
     mixed = materialise(mixed)
     rows = looked_up(placed.select("key", "class", "component"), mixed, "key", total)
     rows = materialise(rows.withColumn("slice", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")))
     strays = rows.filter("component <> main AND slices > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     strays = strays.filter("other <> slice").withColumn("slice", F.col("other")).drop("other").withColumn("member", F.lit(False))
     every = rows.withColumn("member", F.lit(True)).unionByName(strays).select(
-        F.xxhash64("main", "slice").alias("place"),
+        F.xxhash64("around", "slice").alias("place"),
         F.xxhash64("key", "slice").alias("unit"),
         (F.col("component") != F.col("main")).alias("stray"),
         "member",
         "class",
     )
     points = points.select("class", "n", *test.columns)
-    rows = every.join(state.select("class", "component", "chunk"), "class").join(points, "class")
-    return rows.repartition("place").sortWithinPartitions("place", "unit", "component")
+    once = every.repartition("class").groupBy("class", "place", "stray", "member").agg(F.collect_list("unit").alias("units"))
+    rows = once.join(state.select("class", "component", "chunk"), "class").join(points, "class")
+    return rows.repartition("place").sortWithinPartitions("place", "component", "class")
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of some whole units at a time; those of a unit follow each other."""
+    """The rows of some whole places, and so of whole units, at a time; those of a place follow each other."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        unit = batch.column("unit").to_numpy()
-        same = unit == unit[-1]
-        first = 0 if same.all() else int(len(unit) - np.argmin(same[::-1]))  # the last unit may go on
-        if first or (held and held[-1].column("unit")[-1].as_py() != unit[0]):
+        place = batch.column("place").to_numpy()
+        same = place == place[-1]
+        first = 0 if same.all() else int(len(place) - np.argmin(same[::-1]))  # the last place may go on
+        if first or (held and held[-1].column("place")[-1].as_py() != place[0]):
             yield pa.Table.from_batches([*held, batch.slice(0, first)]).combine_chunks()
             held = []
         held.append(batch.slice(first))
@@ -268,12 +282,37 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _in_units(place: np.ndarray, stray: np.ndarray, member: np.ndarray, row: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the units to search, one after the other, and where each begins.
+
+    A place is searched as a whole where that compares no more pairs than its units do, which
+    repeat them: those of a group of near copies share most of their classes. Row ``row[i]`` is in unit ``unit[i]``.
+    """
+    number = np.cumsum(np.concatenate(([0], place[1:] != place[:-1])))
+    pairs = np.bincount(number, stray).astype(np.int64) * np.bincount(number, member).astype(np.int64)
+    order = np.lexsort((unit, number[row]))
+    row, unit = row[order], unit[order]
+    new = np.concatenate(([True], (unit[1:] != unit[:-1]) | (number[row[1:]] != number[row[:-1]])))
+    starts = np.flatnonzero(new)
+    each = np.add.reduceat(stray[row].astype(np.int64), starts) * np.add.reduceat(member[row].astype(np.int64), starts)
+    whole = pairs <= np.bincount(number[row[starts]], each, minlength=len(pairs))
+    alone = ~whole[number[row]]
+    rows = np.flatnonzero(whole[number])
+    begin = np.concatenate((np.concatenate(([True], number[rows[1:]] != number[rows[:-1]])) if len(rows) else np.zeros(0, bool), new[alone]))
+    rows = np.concatenate((rows, row[alone]))
+    return rows, np.append(np.flatnonzero(begin), len(rows))
+
+
 def _pairs_in(table: pa.Table, test: Test) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    unit = table.column("unit").to_numpy()
+    """(stray, member, how likely) for the pairs of the units that may be linked, as row numbers."""
     stray, member = (np.asarray(table.column(c).combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("stray", "member"))
     home = np.unique(np.array(table.column("component").to_pylist(), dtype="V16"), return_inverse=True)[1]
-    starts = np.append(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))), len(unit))
-    return test.search(Units(starts, stray, member, table.column("n").to_numpy(), home), test.points(table))
+    units = table.column("units").combine_chunks()
+    many = units.value_lengths().to_numpy()
+    rows, starts = _in_units(table.column("place").to_numpy(), stray, member, np.repeat(np.arange(len(many)), many), units.flatten().to_numpy())
+    n = table.column("n").to_numpy()
+    for a, b, likely in test.search(Units(starts, stray[rows], member[rows], n[rows], home[rows], rows), test.points(table)):
+        yield rows[a], rows[b], likely
 
 
 def _likeliest(batches: Iterator[pa.RecordBatch], test: Test) -> Iterator[pa.RecordBatch]:
@@ -319,26 +358,30 @@ def _placed(state: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(kept.withColumns({"component": F.coalesce("component", "class"), "many": F.coalesce("many", F.lit(1))}))
 
 
+def with_pivots(buckets: DataFrame) -> DataFrame:
+    """Of written buckets (key, class) with the same classes one, with its least class, ``a``."""
+    kinds = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("mix"), F.min("class").alias("a"))
+    pivots = materialise(kinds.groupBy("size", "mix", "a").agg(F.min("key").alias("key")).select("key", "a"))
+    return materialise(looked_up(buckets, pivots, "key", buckets.count()))
+
+
 def link_classes(classes: DataFrame, buckets: DataFrame, documents: DataFrame, test: Test) -> DataFrame:
     """Links (a, b) between classes that join every pair of linked ones which share a bucket by a path.
 
     ``classes`` has class, n, least (doc_id and version) and the test's columns, ``buckets`` (key,
-    class) those with more than one class, both written; ``documents`` has doc_id and text. Points
+    class, a) those with more than one class and which of its classes, the pivot, each is compared
+    with first, both written; ``documents`` has doc_id and text. Points
     of the classes in buckets are written once, in buckets by class; what changes from round to
     round is a small table beside them. Texts are fetched for the candidates of a round alone.
     """
-    # of buckets with the same classes one stays, and its least class is the pivot
-    kinds = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("mix"), F.min("class").alias("a"))
-    pivots = materialise(kinds.groupBy("size", "mix", "a").agg(F.min("key").alias("key")).select("key", "a"))
-    with_pivot = materialise(looked_up(buckets, pivots, "key", buckets.count()))
-    buckets = with_pivot.select("key", "class")
+    with_pivot, buckets = buckets, buckets.select("key", "class")
     total = buckets.count()
     needed = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "n", *test.columns, "least")
     points = write_buckets(needed, "class", int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = {"component": F.col("class"), "many": F.lit(1).cast("long"), "chunk": F.lit(0).cast("long")}
     state = materialise(points.select("class").withColumns(first))
 
-    # each class with the likeliest of the least classes of its buckets
+    # each class with the likeliest of the pivots of its buckets
     met = materialise(with_pivot.filter("a <> class").select("a", "class").distinct())
     bare = points.select("class", "n", *test.columns)
     pivot = bare.withColumnsRenamed({"class": "a", "n": "n_a"} | {c: f"{c}_a" for c in test.columns})

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dealerscope.llm.common import arrow_batch, materialise, mix64, texts_of
 from dealerscope.llm.components import connected_components
-from dealerscope.llm.linking import Test, link_classes, looked_up, sets_of
+from dealerscope.llm.linking import Test, link_classes, looked_up, sets_of, with_pivots
 
 WORDS = 2
 LEAST = 80  # least similarity, in hundredths
@@ -160,7 +160,7 @@ class Signatures(Test):
         for start, end in zip(units.starts[:-1].tolist(), units.starts[1:].tolist()):
             strays, members = start + np.flatnonzero(units.stray[start:end]), start + np.flatnonzero(units.member[start:end])
             for part in np.array_split(strays, 1 + len(strays) * len(members) // 1_000_000):
-                fits, places = self.pairwise(points[part][:, None], points[members][None], units.n[part][:, None], units.n[members][None])
+                fits, places = self.pairwise(points[units.row[part]][:, None], points[units.row[members]][None], units.n[part][:, None], units.n[members][None])
                 at, to = np.nonzero(fits & (units.home[part][:, None] != units.home[members][None]))
                 if len(at):
                     yield part[at], members[to], places[at, to]
@@ -171,7 +171,7 @@ def _links(classes: DataFrame, documents: DataFrame, words: int, least: int) ->
     bands = materialise(classes.select("class", F.explode("bands").alias("key")))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
     buckets = materialise(looked_up(bands, materialise(shared), "key", bands.count()))
-    return link_classes(classes, buckets, documents, Signatures(words, least))
+    return link_classes(classes, with_pivots(buckets), documents, Signatures(words, least))
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:

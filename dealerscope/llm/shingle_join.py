@@ -20,10 +20,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealerscope.llm.common import kept_for, materialise, texts_of
+from dealerscope.llm.common import kept_for, materialise, mix64, texts_of
 from dealerscope.llm.components import connected_components
 from dealerscope.llm.linking import Test, Units, link_classes, looked_up, sets_of
 
@@ -36,6 +36,8 @@ MOST_FREQUENT = 2_000_000  # the rarest of the frequent shingles beyond this cou
 _FANOUT = 8
 _COUNTED = 1 << 21  # shingles counted together in a task
 _PUT_OUT = 1 << 17  # shingles that a task puts out together
+_SEARCHED = 1 << 19  # pairs of a stray and a member of its unit that a search has at most, or one stray's
+_PART = 1 << 16  # first shingles of a part, about
 
 
 def _class_of(shingles: np.ndarray) -> bytes:
@@ -61,7 +63,7 @@ def _packed(counts: np.ndarray) -> bytes:
 def _unpacked(points: list[bytes]) -> np.ndarray:
     """Points of all widths as one matrix."""
     sizes = np.fromiter(map(len, points), np.int64, len(points)) // GROUPS
-    kind = np.uint32 if (sizes == 4).any() else np.uint16
+    kind = np.dtype(f"<u{int(sizes.max(initial=1))}")
     out = np.empty((len(points), GROUPS), kind)
     for size in np.unique(sizes).tolist():
         mine = np.flatnonzero(sizes == size)
@@ -161,29 +163,140 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: Broadcast) -> Iterato
         yield found()
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (shingle, key) the distinct ones whose shingle has more than one key."""
-    empty = np.zeros(0, np.int64)
-    last = (empty, empty)  # the last distinct row, not yet known to be shared or already put out
-    put = False
+def _in_parts(part: np.ndarray, bits: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """A row (part, bytes of each column) for each part that rows of numbers lie in; columns go with the parts."""
+    order = np.argsort(part.astype(np.uint16), kind="stable")
+    many = np.bincount(part.astype(np.int64), minlength=1 << bits)
+    present = np.flatnonzero(many)
+    packed = []
+    for column in columns:
+        ends = np.concatenate(([0], np.cumsum(many[present]))) * column.itemsize
+        buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(column[order]))]
+        packed.append(pa.Array.from_buffers(pa.binary(), len(present), buffers))
+    return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *packed], names=["part", *(f"c{i}" for i in range(len(columns)))])
+
+
+def _part_of(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values >> np.uint64(64 - bits)) if bits else np.zeros(len(values), np.uint64)
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[list[np.ndarray]]:
+    """The columns of one part after the other, from rows sorted by part."""
+    part, held = None, []
+
+    def joined() -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(column), kind) for column, kind in zip(zip(*held), kinds)]
+
     for batch in batches:
-        shingle = np.concatenate((last[0], batch.column(0).to_numpy()))
-        key = np.concatenate((last[1], batch.column(1).to_numpy()))
-        if not len(shingle):
-            continue
-        new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])))
-        shingle, key = shingle[new], key[new]
+        parts, columns = batch.column(0).to_pylist(), [batch.column(i + 1).to_pylist() for i in range(len(kinds))]
+        for mine, *blobs in zip(parts, *columns):
+            if held and mine != part:
+                yield joined()
+                held = []
+            part = mine
+            held.append(blobs)
+    if held:
+        yield joined()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], frequent: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`_prefixes` by parts of the shingles: few large rows are shuffled and sorted, not all small ones."""
+    for batch in _prefixes(batches, frequent):
+        shingle = batch.column(0).to_numpy().view(np.uint64)
+        yield _in_parts(_part_of(shingle, bits), bits, shingle, batch.column(1).to_numpy())
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where in sorted rows a new one starts."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = columns[0][1:] != columns[0][:-1]
+    for column in columns[1:]:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
+_HEAD = np.dtype([("mix", "<u8"), ("low", "<i8"), ("shingle", "<i8"), ("size", "<i8")])
+
+
+def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The buckets of shingles that more than one class has: (head, keys), by parts of a mix of their keys.
+
+    Buckets of the same classes have equal heads but for the shingle, so they meet in one part.
+    """
+    heads: list[np.ndarray] = []
+    members: list[np.ndarray] = []
+    size = 0
+
+    def found() -> pa.RecordBatch:
+        head, keys = np.concatenate(heads), np.concatenate(members)
+        part = _part_of(head["mix"], bits)
+        many = head["size"]
+        by_head, by_key = _in_parts(part, bits, head), _in_parts(np.repeat(part, many), bits, keys)
+        return pa.RecordBatch.from_arrays([*by_head.columns, by_key.column(1)], names=["part", "c0", "c1"])
+
+    for shingle, key in _whole_parts(batches, "<i8", "<i8"):
+        order = np.argsort(shingle)
+        shingle, key = shingle[order], key[order]
         same = shingle[1:] == shingle[:-1]
-        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        out = shared.copy()
-        if put:
-            out[0] = False
-            if len(shingle) == 1:
-                continue
-        put = bool(shared[-1])
-        last = (shingle[-1:], key[-1:])
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(key[out])], names=["shingle", "key"])
+        met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        shingle, key = shingle[met], key[met]  # met by several rows, perhaps of one class
+        order = np.lexsort((key, shingle))
+        shingle, key = shingle[order], key[order]
+        once = _runs(shingle, key)
+        shingle, key = shingle[once], key[once]
+        starts = _runs(shingle)
+        many = np.diff(np.append(starts, len(shingle)))
+        shared = many > 1
+        keys = key[np.repeat(shared, many)]
+        starts, many = starts[shared], many[shared]
+        if not len(starts):
+            continue
+        head = np.empty(len(starts), _HEAD)
+        head["mix"] = np.bitwise_xor.reduceat(mix64(keys.view(np.uint64)), np.cumsum(many) - many)
+        head["low"], head["shingle"], head["size"] = key[starts], shingle[starts], many
+        heads.append(head)
+        members.append(keys)
+        size += len(keys)
+        if size > _PUT_OUT:
+            yield found()
+            heads, members, size = [], [], 0
+    if heads:
+        yield found()
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, member, shingles): of buckets of the same classes one, named by the least of its shingles, and how many they were."""
+    for head, keys in _whole_parts(batches, _HEAD, "<i8"):
+        starts = np.cumsum(head["size"]) - head["size"]
+        order = np.lexsort((head["shingle"], head["low"], head["size"], head["mix"]))
+        head, starts = head[order], starts[order]
+        once = _runs(head["mix"], head["size"], head["low"])
+        times = np.diff(np.append(once, len(head)))
+        head, starts = head[once], starts[once]
+        many = head["size"]
+        at = np.repeat(starts - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        columns = [np.repeat(head["shingle"], many), keys[at], np.repeat(times, many)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "member", "shingles"])
+
+
+def _buckets(frame: DataFrame, classes: DataFrame, frequent: Broadcast) -> DataFrame:
+    """(key, class, a): the distinct buckets, with the class each is compared with first.
+
+    That is the class of the bucket most of whose shingles are first ones of others too: in a group
+    of near copies the one that the others were made from, or one of the least changed.
+    """
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    bits = min(16, max(total // 4 // _PART, 4 * partitions).bit_length())
+    blobs = "part int, c0 binary, c1 binary"
+    dealt = frame.select("text").mapInArrow(partial(_dealt, frequent=frequent, bits=bits), blobs)
+    shared = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(partial(_shared, bits=bits), blobs)
+    distinct = shared.repartition("part").sortWithinPartitions("part").mapInArrow(_distinct, "key long, member long, shingles long")
+    named = materialise(distinct).join(classes.select(F.col("key").alias("member"), "class", "n"), "member")
+    central = F.sum("shingles").over(Window.partitionBy("member")) / F.col("n")
+    named = materialise(named.select("key", "class", central.alias("central")))
+    pivots = named.groupBy("key").agg(F.max(F.struct("central", "class")).alias("most")).select("key", F.col("most.class").alias("a"))
+    return materialise(looked_up(named.drop("central"), materialise(pivots), "key", named.count()))
 
 
 @dataclass
@@ -245,9 +358,9 @@ class RTrees:
 def _overlaps(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
     """Sums of the smaller coordinates, row by row."""
     out = np.empty(len(at_a), np.int64)
-    for start in range(0, len(out), 8192):
-        part = slice(start, start + 8192)
-        out[part] = np.minimum(a[at_a[part]], b[at_b[part]]).sum(axis=1, dtype=np.int64)
+    for start in range(0, len(out), 1024):  # so many stay in a core's cache
+        part = slice(start, start + 1024)
+        out[part] = np.minimum(a[at_a[part]], b[at_b[part]]).sum(axis=1, dtype=np.uint32)
     return out
 
 
@@ -301,14 +414,19 @@ class Counts(Test):
             return
         # a component holds near copies: packed together, by size, their boxes are tight
         order = member[np.lexsort((units.n[member], units.home[member], unit[member]))]
-        n, home = units.n.astype(np.int64), units.home.astype(np.int64)
-        trees = RTrees.pack(coarse[order], n[order], home[order], unit[order])
-        for start in range(0, len(stray), 128):
-            part = stray[start : start + 128]
-            query, point, overlap = trees.search(coarse[part], n[part], home[part], unit[part], self)
+        n, home, row = units.n.astype(np.int64), units.home.astype(np.int64), units.row
+        trees = RTrees.pack(coarse[row[order]], n[order], home[order], unit[order])
+        # strays of small units go together, up to so many pairs
+        pairs = np.cumsum(np.bincount(unit[member], minlength=len(units.starts))[unit[stray]])
+        start = 0
+        while start < len(stray):
+            most = (pairs[start - 1] if start else 0) + _SEARCHED
+            part = stray[start : max(start + 1, min(start + 4096, int(np.searchsorted(pairs, most, side="right"))))]
+            start += len(part)
+            query, point, overlap = trees.search(coarse[row[part]], n[part], home[part], unit[part], self)
             a, b = part[query], order[point]
             together = n[a] + n[b]
-            keep = self._with_fine(np.ones(len(a), bool), [fine[i] for i in a.tolist()], [fine[i] for i in b.tolist()], together)
+            keep = self._with_fine(np.ones(len(a), bool), [fine[i] for i in row[a].tolist()], [fine[i] for i in row[b].tolist()], together)
             if keep.any():
                 yield a[keep], b[keep], (overlap / np.maximum(together, 1))[keep]
 
@@ -354,12 +472,7 @@ def join_similar(documents: DataFrame) -> SimilarDocuments:
     order = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[order], often.column("times").to_numpy()[order]))
 
-    prefixes = frame.select("text").mapInArrow(partial(_prefixes, frequent=frequent), "shingle long, key long")
-    sorted_prefixes = prefixes.repartition("shingle").sortWithinPartitions("shingle", "key")
-    shared = materialise(sorted_prefixes.mapInArrow(_shared, "shingle long, key long"))
-    named = shared.join(classes.select("key", "class"), "key")
-    buckets = materialise(named.select(F.col("shingle").alias("key"), "class"))
-    links = link_classes(classes, buckets, frame, Counts(WORDS, LEAST))
+    links = link_classes(classes, _buckets(frame, classes, frequent), frame, Counts(WORDS, LEAST))
     joined = connected_components(links)
 
     home = classes.select("class", F.col("least.doc_id").alias("least_id")).join(joined.withColumnRenamed("node", "class"), "class", "left")

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -235,6 +236,104 @@ def test_near_copies_in_chains(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(sets[i]), wanted[i]) for i in texts}
 
 
+def test_a_group_of_near_copies_is_not_compared_once_for_each_bucket(spark, monkeypatch):
+    """Its classes go to a place once, whatever buckets they share there, and are searched there together."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    body = [rng.choice(words) for _ in range(200)]
+    texts = {}
+    for _ in range(60):
+        body = list(body)
+        for _ in range(2):
+            body[rng.randrange(len(body))] = rng.choice(words)
+        texts[len(texts)] = " ".join(body)
+    sets, wanted = _similar(texts)
+    met, opened = [], linking._open
+    monkeypatch.setattr(linking, "_open", lambda *a: met.append(opened(*a).toArrow()) or opened(*a))
+    frame = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    found = shingle_join.join_similar(frame).members.collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(sets[i]), wanted[i]) for i in texts}
+    rows = [(r["place"], r["class"], r["member"]) for r in met[0].select(["place", "class", "member"]).to_pylist()]
+    assert rows and len(rows) == len(set(rows))
+    compared, overlaps = [], shingle_join._overlaps
+    monkeypatch.setattr(shingle_join, "_overlaps", lambda a, at_a, b, at_b: compared.append(len(at_a)) or overlaps(a, at_a, b, at_b))
+    strays, members = collections.Counter(), collections.Counter()
+    for r in met[0].select(["place", "stray", "member"]).to_pylist():
+        strays[r["place"]] += r["stray"]
+        members[r["place"]] += r["member"]
+    for part in linking._whole_units(iter(met[0].to_batches())):
+        list(linking._pairs_in(part, shingle_join.Counts(5, 75)))
+    assert sum(compared) <= 2 * sum(strays[p] * members[p] for p in strays)
+
+
+def test_places_and_units_are_searched_where_that_is_less():
+    rng = np.random.default_rng(4)
+    place = np.repeat(np.arange(40), rng.integers(1, 12, 40))
+    stray, member = rng.random(len(place)) < 0.5, rng.random(len(place)) < 0.9
+    row = np.repeat(np.arange(len(place)), rng.integers(1, 6, len(place)))
+    unit = place[row] * 100 + rng.integers(0, np.where(place % 2, 2, 30)[row])
+    rows, starts = linking._in_units(place, stray, member, row, unit)
+    found, compared = set(), collections.Counter()
+    for a, b in itertools.pairwise(starts.tolist()):
+        part = rows[a:b]
+        assert len(set(place[part].tolist())) == 1
+        pairs = {(i, j) for i in part[stray[part]].tolist() for j in part[member[part]].tolist()}
+        found |= pairs
+        compared[place[part[0]]] += len(pairs)
+    every = collections.Counter()
+    for u in np.unique(unit).tolist():
+        part = row[unit == u]
+        pairs = [(i, j) for i in part[stray[part]].tolist() for j in part[member[part]].tolist()]
+        assert found >= set(pairs)
+        every[u // 100] += len(pairs)
+    whole = {p: int(stray[place == p].sum() * member[place == p].sum()) for p in every}
+    assert all(compared[p] <= min(every[p], whole[p]) for p in every) and any(whole[p] < every[p] for p in every) and any(whole[p] > every[p] for p in every)
+
+
+def test_buckets_are_those_of_shared_first_shingles(spark):
+    """The shingles of few large rows: of buckets of the same classes one, with the text that the others were made from first."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(160)]
+    texts = [base]
+    for _ in range(30):
+        copy = list(base)
+        for i in rng.sample(range(len(base)), rng.randint(2, 5)):
+            copy[i] = rng.choice(words)
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts] + [" ".join(rng.choice(words) for _ in range(100)) for _ in range(20)]
+    texts += texts[3:6]  # exact copies are one class
+    frequent = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    batches = pa.table({"text": texts}).to_batches(max_chunksize=9)
+    wanted = collections.defaultdict(set)
+    for found in shingle_join._prefixes(iter(batches), frequent):
+        for shingle, key in zip(*(c.to_pylist() for c in found.columns)):
+            wanted[shingle].add(key)
+    kinds = collections.Counter(frozenset(keys) for keys in wanted.values() if len(keys) > 1)
+    dealt = [list(shingle_join._dealt(iter([b]), frequent, 3)) for b in batches]
+    assert sum(b.num_rows for d in dealt for b in d) <= 8 * len(batches) and len(kinds) > 8
+
+    def by_part(found):
+        return pa.Table.from_batches(found).sort_by("part").to_batches(max_chunksize=2)
+
+    shared = list(shingle_join._shared(iter(by_part([b for d in dealt for b in d])), 3))
+    distinct = pa.Table.from_batches(shingle_join._distinct(iter(by_part(shared)))).to_pylist()
+    members, times = collections.defaultdict(set), {}
+    for r in distinct:
+        members[r["key"]].add(r["member"])
+        times[r["key"]] = r["shingles"]
+    assert {frozenset(m): times[k] for k, m in members.items()} == kinds and sum(map(len, members.values())) == len(distinct)
+    assert all(wanted[k] == m for k, m in members.items())
+    classes = [(shingle_join._class_of(s), len(s)) for s in linking.sets_of(texts, 5)]
+    rows = spark.createDataFrame([(bytearray(c), shingle_join._key(c), n) for c, n in set(classes)], "class binary, key long, n int")
+    none = spark.sparkContext.broadcast(frequent.value)
+    buckets = shingle_join._buckets(spark.createDataFrame([(t,) for t in texts], "text string"), rows, none).collect()
+    first = {r["key"]: bytes(r["a"]) for r in buckets}
+    assert {k: {shingle_join._key(bytes(r["class"])) for r in buckets if r["key"] == k} for k in first} == members
+    with_base = [k for k, m in members.items() if shingle_join._key(classes[0][0]) in m]
+    assert with_base and all(first[k] == classes[0][0] for k in with_base)
+
+
 def test_trees_lose_no_pair():
     """Several units of near copies, fine counts among them: searched as the operator does."""
     rng = np.random.default_rng(9)
